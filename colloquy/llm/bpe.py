@@ -12,10 +12,13 @@ replaces an input column of that name.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -28,8 +31,8 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import add_columns
 
 NEVER = 1 << 60
-#: What a worker remembers at most: chunks of text between white space, and words.
-MOST_CHUNKS, MOST_WORDS = 400_000, 300_000
+#: What a worker remembers at most: words, and states of prefixes.
+MOST_WORDS, MOST_STATES = 350_000, 250_000
 STEP = 2 << 20
 
 
@@ -67,11 +70,16 @@ class Model:
             self.parts.setdefault(token, pair)
             self.made.setdefault(token, i)
         self.longest = max(len(t.removesuffix(self.suffix)) for t in self.vocab)
-        self.letters = byte_letters()
+        self.letters = dict(enumerate(byte_letters()))
         self.follows: dict[int, bool] = {}
-        self.whole: set[int] = set()
+        self.known = self.usable()
         self.words: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
+        self.states: dict[str, tuple[int, int]] = {}
+        # In ASCII text the classes are plain ranges, which the standard module matches faster.
+        plain = split["pattern"]["Regex"]
+        for wide, narrow in ((r"\p{L}", "a-z"), (r"\p{N}", "0-9"), (r"\s", r"\t-\r ")):
+            plain = plain.replace(wide, narrow)
+        self.ascii_pattern = re.compile(plain).findall
 
     def stands(self, left: int, right: int, before: int = NEVER) -> bool:
         """Whether the two tokens stay apart: at no time before `before` is a merge across their border the next one.
@@ -93,107 +101,118 @@ class Model:
             else:
                 right_used, right = b, parts[right][0]
 
-    def reachable(self, token: int) -> bool:
-        """Whether merging a token's own letters gives that token; self.whole holds those that are known to be."""
-        if token in self.whole:
-            return True
-        pair = self.parts.get(token)
-        if pair and not (self.reachable(pair[0]) and self.reachable(pair[1]) and self.stands(*pair, before=self.made[token])):
-            return False
-        self.whole.add(token)
-        return True
-
-    def may_follow(self, left: int, right: int) -> bool:
-        key = left << 20 | right
-        if (known := self.follows.get(key)) is None:
-            if len(self.follows) > 1_000_000:
-                self.follows.clear()
-            self.follows[key] = known = self.stands(left, right)
-        return known
+    def usable(self) -> dict[str, int]:
+        """The tokens that merging their own letters gives; no other token is ever in an encoding."""
+        good: set[int] = set()
+        for token in sorted(self.vocab.values(), key=lambda t: self.made.get(t, -1)):  # parts come before what they make
+            pair = self.parts.get(token)
+            if not pair or (pair[0] in good and pair[1] in good and self.stands(*pair, before=self.made[token])):
+                good.add(token)
+        return {text: token for text, token in self.vocab.items() if token in good}
 
     def learn(self, words: list[str]) -> None:
-        """Encodes words (of byte letters) by way of a trie, into self.words."""
+        """Encodes words by way of a trie of their byte letters, into self.words.
+
+        Nodes are visited depth first; last[d] is the last token of the encoding of the path's first d letters, back[d]
+        where that token starts. A node's own state needs only those of its ancestors. States of paths are remembered,
+        as the next step's words share prefixes with this one's.
+        """
         trie: dict = {}
-        for w in words:
+        suffix, letters = self.suffix, self.letters
+        longest_word = 0
+        for word in words:
+            w = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(letters)
+            longest_word = max(longest_word, len(w))
             node = trie
             for c in w[:-1]:
-                node = node.setdefault(c, {})
-            node.setdefault(w[-1] + self.suffix if self.suffix else w[-1], {})[""] = w
-        path: list[str] = []
-        last, back = [-1], [0]  # by depth: last token of the path so far, and the depth where it starts
-        todo = [(0, symbol, below) for symbol, below in trie.items()]
-        find, longest, whole, reachable, may_follow = self.vocab.get, self.longest, self.whole, self.reachable, self.may_follow
+                if (below := node.get(c)) is None:
+                    below = node[c] = {}
+                node = below
+            node[w[-1] + suffix + "."] = word  # the last letter with the suffix; the dot tells it from a letter that goes on
+        if len(self.states) > MOST_STATES:
+            self.states.clear()
+        if len(self.follows) > MOST_STATES:
+            self.follows.clear()
+        last, back = [-1] * (longest_word + 1), [0] * (longest_word + 1)
+        ends, states, found = self.ends, self.states, self.words
+        todo = [("", trie)]
         while todo:
-            depth, symbol, below = todo.pop()
-            del path[depth:], last[depth + 1 :], back[depth + 1 :]
-            path.append(symbol)
-            depth += 1
-            text = ""
-            for at in range(depth - 1, max(-1, depth - 1 - longest), -1):
-                text = path[at] + text
-                token = find(text)
-                if token is not None and (token in whole or reachable(token)) and (at == 0 or may_follow(last[at], token)):
-                    last.append(token)
-                    back.append(at)
-                    break
-            else:
-                raise ValueError(f"no token for {symbol!r}")
-            for s, b in below.items():
-                if s:
-                    todo.append((depth, s, b))
+            path, node = todo.pop()
+            if depth := len(path):
+                if (state := states.get(path)) is None:
+                    state = states[path] = ends(path, path, depth - 1, last)
+                last[depth], back[depth] = state
+            for c, below in node.items():
+                if below.__class__ is dict:
+                    todo.append((path + c, below))
                 else:
-                    out, at = [], depth
-                    while at:
-                        out.append(last[at])
-                        at = back[at]
-                    self.words[b] = tuple(reversed(out))
-
-    def pieces(self, chunk: str) -> list[str]:
-        """The words of a text, as byte letters."""
-        text = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        letters = self.letters
-        return ["".join([letters[b] for b in m.encode()]) for m in self.pattern.findall(text)]
-
-    def remember(self, chunks: set[str]) -> None:
-        new = {c: self.pieces(c) for c in chunks}
-        wanted = {w for ws in new.values() for w in ws}
-        if len(self.words) + len(wanted) > MOST_WORDS:
-            self.words.clear()
-        self.learn([w for w in wanted if w not in self.words])
-        for c, ws in new.items():
-            self.chunks[c] = self.words[ws[0]] if len(ws) == 1 else tuple(chain.from_iterable(map(self.words.__getitem__, ws)))
-
-    def split(self, text: str) -> list[str]:
-        """Runs between white space; words never cross it. The four separators that only Python counts as white space stay."""
-        return regex.split(r"[\p{White_Space}]+", text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
-
-    def parts_of(self, text: str | None) -> list[str]:
-        """The chunks of a text; a special token's string is marked by a line feed, which no chunk holds."""
-        if not text:
-            return []
-        if self.find_special and self.find_special.search(text):
-            found = enumerate(self.find_special.split(text))
-            return [c for i, x in found for c in (["\n" + x] if i % 2 else self.split(x))]
-        return self.split(text)
+                    token, at = ends(path + c[:-1], c, depth, last)
+                    if at:
+                        out = [token]
+                        while at:
+                            out.append(last[at])
+                            at = back[at]
+                        found[below] = tuple(out[::-1])
+                    else:
+                        found[below] = (token,)
+
+    def ends(self, path: str, symbol: str, start: int, last: list[int]) -> tuple[int, int]:
+        """The token that ends a path, and where it starts: the one that may follow what is last there."""
+        find, follows = self.known.get, self.follows
+        for at in range(start, max(-1, start - self.longest), -1):
+            if (token := find(path[at:])) is not None:
+                if at == 0:
+                    return token, 0
+                key = last[at] << 20 | token
+                if (apart := follows.get(key)) is None:
+                    apart = follows[key] = self.stands(last[at], token)
+                if apart:
+                    return token, at
+        raise ValueError(f"no token for {symbol!r}")
+
+    def pieces(self, text: str) -> list[str]:
+        """The words of a text, normalised."""
+        if text.isascii():
+            return self.ascii_pattern(text.lower())
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        return self.pattern.findall(text.replace("Σ", "σ").lower())
+
+    def pieces_around(self, text: str) -> list[str]:
+        """The same where special tokens' strings stand in the text; these are marked by a line feed, which no word holds."""
+        parts = enumerate(self.find_special.split(text))
+        return [w for i, x in parts for w in (["\n" + x] if i % 2 else self.pieces(x))]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each text's begin."""
-        parts = [self.parts_of(text) for text in texts]
+        special = self.find_special.search if self.find_special else lambda _: None
+        parts = [[] if not t else self.pieces_around(t) if "<" in t and special(t) else self.pieces(t) for t in texts]
         needed = set(chain.from_iterable(parts))
-        unknown = needed - self.chunks.keys()
-        if len(self.chunks) + len(unknown) > MOST_CHUNKS:
-            self.chunks.clear()
+        unknown = needed - self.words.keys()
+        if len(self.words) + len(unknown) > MOST_WORDS:
+            self.words.clear()
             unknown = needed
-        marked = {c for c in unknown if c[:1] == "\n"}
-        self.chunks |= {c: (self.special[c[1:]],) for c in marked}
-        self.remember(unknown - marked)
-        flat, starts, get = [], [0], self.chunks.__getitem__
+        marked = {w for w in unknown if w[0] == "\n"}
+        self.words |= {w: (self.special[w[1:]],) for w in marked}
+        with paused_gc():
+            self.learn(list(unknown - marked))
+        flat, starts, get = [], [0], self.words.__getitem__
         for p in parts:
             flat.extend(chain.from_iterable(map(get, p)))
             starts.append(len(flat))
         return np.array(flat, np.int32), np.array(starts, np.int32)
 
 
+@contextmanager
+def paused_gc() -> Iterator[None]:
+    """Without cycle collection, which would walk the whole trie again and again; nothing made here has cycles."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 _models: dict[str, Model] = {}
 
 
@@ -241,6 +260,19 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     return add_columns(df, {"_text": F.col(f"`{text}`").cast("string")}, {ids: "array<int>"}, make, "_text", STEP)
 
 
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded_text: str = "decoded") -> DataFrame:
+    """encode, then decode of the ids it gave, in one pass of a Python worker."""
+    data = vocabulary(df, path)
+
+    def make(part: pa.RecordBatch) -> dict[str, pa.Array]:
+        model = model_of(data.value)
+        flat, starts = model.encode(part.column("_text").to_pylist())
+        coded = pa.ListArray.from_arrays(pa.array(starts), pa.array(flat))
+        return {ids: coded, decoded_text: decoded(model, coded)}
+
+    return add_columns(df, {"_text": F.col(f"`{text}`").cast("string")}, {ids: "array<int>", decoded_text: "string"}, make, "_text", STEP)
+
+
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """df with the text that a column of ids stands for, special tokens kept."""
     data = vocabulary(df, path)

@@ -23,7 +23,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     path = vocabulary_path()
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path).select("doc_id", "ids"), path)
+    coded = bpe.round_trip(docs.select("doc_id", "text"), path)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
