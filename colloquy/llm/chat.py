@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm.common import bounded_batches
+
 START, END = "<|im_start|>", "<|im_end|>"
 EXAMPLES = "conv_id long, example long, text string, loss_start long, loss_end long, last boolean"
 #: Examples that a batch holds at most, in characters.
@@ -69,6 +71,7 @@ def turns_of(text: str) -> list[tuple[str, str]]:
 
 def examples(conversations: DataFrame) -> DataFrame:
     """The examples of each conversation, in order, next to each other in one partition."""
+    bounded_batches(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 

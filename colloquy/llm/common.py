@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 
 #: Bytes of text that one step of a Python worker handles at once; a single longer text is a step of its own.
 STEP_BYTES = 4 << 20
+BATCH_BYTES = 16 << 20
+#: What Spark says where nobody has set the bound.
+DEFAULT_BATCH_BYTES = f"{64 << 20}b"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +71,7 @@ def add_columns(df: DataFrame, needs: dict[str, Column], new: dict[str, str], ma
 
     needs: what make reads besides, gone afterwards. sized: the text in it that bounds a run's size. No shuffle.
     """
+    bounded_batches(df.sparkSession)
     replaced = {c.lower() for c in new}
     kept = [c for c in df.columns if c.lower() not in replaced]
     fields = [df.schema[c] for c in kept]
@@ -92,6 +96,25 @@ def add_columns(df: DataFrame, needs: dict[str, Column], new: dict[str, str], ma
     return source.mapInArrow(run, schema)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES between the JVM and its Python workers, unless the session sets a bound itself."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == DEFAULT_BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def keep_where(docs: DataFrame, test: Callable[[list[str | None]], list[bool]], text: str = "text") -> DataFrame:
+    """docs whose whole text passes a test; only the texts go to Python, the rows stay in the JVM."""
+    bounded_batches(docs.sparkSession)
+
+    @F.arrow_udf("boolean")
+    def passes(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        return pa.array([ok for part in slices(batch, "text", 1 << 20) for ok in test(part.column("text").to_pylist())], pa.bool_())
+
+    return docs.filter(passes(F.col(f"`{text}`").cast("string")))
+
+
 class Ids(dict):
     """Word (bytes) to a 64-bit hash, remembered; forgets everything when it holds `most` words."""
 

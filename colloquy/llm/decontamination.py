@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import Ids, add_columns, windows
+from colloquy.llm.common import Ids, add_columns, keep_where, windows
 
 MIN_MATCH = 5
 COVERAGE = 0.5
@@ -208,7 +208,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, b
     return one.select("doc_id", "m.item_id", "m.n_tiles", "m.covered_words", "m.item_words", (F.col("m.covered_words") / F.col("m.item_words")).alias("coverage"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
     """docs without the contaminated ones, with the columns of docs."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
-    return with_matches(packed, benchmark).filter(F.size("found") == 0).select("_row.*")
+    for block in blocks(benchmark, block_seeds):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        state: dict = {}
+
+        def good(texts: list[str | None], shared=shared, state=state) -> list[bool]:
+            if not state:
+                state.update(index=Index(shared.value), ids=Ids())
+            return [not judged(state["index"], state["ids"].array(words_of(t)), coverage) for t in texts]
+
+        docs = keep_where(docs, good)
+    return docs

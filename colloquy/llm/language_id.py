@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import add_columns, crc_mod
+from colloquy.llm.common import add_columns, crc_mod, keep_where
 
 DIMENSIONS = 4096
 PER_LANGUAGE, LANGUAGES = 800, 64
@@ -167,7 +167,10 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """docs without those that have no language: no text, no letter, or an ambiguous decoding with under half the score."""
-    model = fitted(docs, ~is_held_out())
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
-    good = (F.col("lang_pred") != "und") & ~(F.col("ambiguous") & (F.col("score") < 0.5))
-    return predict(packed, model).filter(good).select("_row.*")
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, ~is_held_out()))
+
+    def good(texts: list[str | None]) -> list[bool]:
+        found = [r for at in range(0, len(texts), 256) for r in shared.value.predict(texts[at : at + 256])]
+        return [language != "und" and not (ambiguous and score < 0.5) for language, score, _, ambiguous in found]
+
+    return keep_where(docs, good)

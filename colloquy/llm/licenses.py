@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import Ids, slices, windows
+from colloquy.llm.common import bounded_batches, slices, windows, Ids
 
 #: Base phrases and their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -78,6 +78,7 @@ def template_rows() -> tuple[list[tuple[int, int, int]], list[tuple[int, str, bo
 
 def gram_arrays(docs: DataFrame) -> DataFrame:
     """doc_id, _key (a hash of the text), n_words and all k-gram hashes of each text, the marker last."""
+    bounded_batches(docs.sparkSession)
     state: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import Ids, changes, mix64, runs, slices, windows, written
+from colloquy.llm.common import bounded_batches, changes, mix64, runs, slices, windows, written, Ids
 from colloquy.llm.components import components
 
 SHINGLE = 5
@@ -113,6 +113,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def ids_and_texts(docs: DataFrame) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "utf-8").alias("text"))
 
 

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import Ids, add_columns, windows
+from colloquy.llm.common import Ids, add_columns, keep_where, windows
 
 #: (bytes below which the band holds, lowest ratio, highest ratio) of whole texts, at zstandard level 3.
 BANDS = ((150, 0.30, 1.10), (300, 0.45, 1.00), (600, 0.45, 0.90), (1200, 0.45, 0.80), (2400, 0.445, 0.75), (4800, 0.43, 0.70), (10_000, 0.40, 0.68), (float("inf"), 0.34, 0.66))
@@ -78,6 +78,18 @@ def continuation_bytes(data: bytes) -> int:
     return 0 if data.isascii() else int(((np.frombuffer(data, np.uint8) & 0xC0) == 0x80).sum())
 
 
+def judged(data: bytes | None, ids: Ids, z: zstandard.ZstdCompressor) -> tuple:
+    """The values of COLUMNS for one text."""
+    data = data or b""
+    words = data.split()
+    n = len(words)
+    repeated = repeated_words(ids.array(words)) if n > WINDOW else 0
+    failed = n < MIN_WORDS or 100 * repeated > MOST_REPEATED * n
+    whole, share, good = compression(z, data) if data else (None, None, False)
+    chars = sum(map(len, words)) - continuation_bytes(data)
+    return n, chars, len(data.translate(None, _OTHERS)), duplicate_lines(data), repeated, failed, whole, share, good and not failed
+
+
 def apply_rules(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the columns of COLUMNS for each row's whole text."""
     state: dict = {}
@@ -85,17 +97,7 @@ def apply_rules(df: DataFrame, text: str = "text") -> DataFrame:
     def make(part: pa.RecordBatch) -> dict[str, pa.Array]:
         if not state:
             state.update(ids=Ids(), z=zstandard.ZstdCompressor(level=LEVEL))
-        rows = []
-        for data in part.column("text").to_pylist():
-            data = data or b""
-            words = data.split()
-            n = len(words)
-            repeated = repeated_words(state["ids"].array(words)) if n > WINDOW else 0
-            failed = n < MIN_WORDS or 100 * repeated > MOST_REPEATED * n
-            whole, share, good = compression(state["z"], data) if data else (None, None, False)
-            chars = sum(map(len, words))
-            rows.append((n, chars - continuation_bytes(data), len(data.translate(None, _OTHERS)), duplicate_lines(data), repeated, failed, whole, share, good and not failed))
-        columns = list(zip(*rows, strict=True))
+        columns = zip(*[judged(data, **state) for data in part.column("text").to_pylist()], strict=True)
         kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
         return {k: pa.array(c, t) for k, c, t in zip(COLUMNS, columns, kinds, strict=True)}
 
@@ -104,5 +106,11 @@ def apply_rules(df: DataFrame, text: str = "text") -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """docs without those that the rules reject, with the columns of docs."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
-    return apply_rules(packed).filter("kept").select("_row.*")
+    state: dict = {}
+
+    def good(texts: list[str | None]) -> list[bool]:
+        if not state:
+            state.update(ids=Ids(), z=zstandard.ZstdCompressor(level=LEVEL))
+        return [judged(t.encode() if t else b"", **state)[-1] for t in texts]
+
+    return keep_where(docs, good)

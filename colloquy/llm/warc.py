@@ -23,7 +23,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import shared_dir, slices, written
+from colloquy.llm.common import bounded_batches, shared_dir, slices, written
 
 #: High half of the record ids; the low half is the page_id.
 ID_HIGH = 0x5A1E_0C0D_E000_8000
@@ -111,6 +111,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, min_bytes: int = 0,
     lists count, so that what lost executors or repeated attempts leave behind is never read.
     """
     spark = pages.sparkSession
+    bounded_batches(spark)
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
