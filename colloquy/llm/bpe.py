@@ -134,19 +134,22 @@ class Model:
         if len(self.follows) > MOST_STATES:
             self.follows.clear()
         last, back = [-1] * (longest_word + 1), [0] * (longest_word + 1)
-        ends, states, found = self.ends, self.states, self.words
-        todo = [("", trie)]
+        ends, states, found, longest = self.ends, self.states, self.words, self.longest
+        todo = [(0, "", trie)]  # depth, the path's last letters (as many as any token has), node
         while todo:
-            path, node = todo.pop()
-            if depth := len(path):
-                if (state := states.get(path)) is None:
-                    state = states[path] = ends(path, path, depth - 1, last)
-                last[depth], back[depth] = state
+            depth, tail, node = todo.pop()
+            if depth:
+                if depth > longest:
+                    last[depth], back[depth] = ends(tail, depth - 1, last, 1)
+                else:
+                    if (state := states.get(tail)) is None:
+                        state = states[tail] = ends(tail, depth - 1, last, 1)
+                    last[depth], back[depth] = state
             for c, below in node.items():
                 if below.__class__ is dict:
-                    todo.append((path + c, below))
+                    todo.append((depth + 1, (tail + c)[-longest:], below))
                 else:
-                    token, at = ends(path + c[:-1], c, depth, last)
+                    token, at = ends(tail + c[:-1], depth, last, len(c) - 1)
                     if at:
                         out = [token]
                         while at:
@@ -156,11 +159,15 @@ class Model:
                     else:
                         found[below] = (token,)
 
-    def ends(self, path: str, symbol: str, start: int, last: list[int]) -> tuple[int, int]:
-        """The token that ends a path, and where it starts: the one that may follow what is last there."""
+    def ends(self, tail: str, start: int, last: list[int], size: int) -> tuple[int, int]:
+        """The token that ends a path, and where it starts: the one that may follow what is last there.
+
+        tail: the path's last letters, whose last symbol has `size` characters and stands at depth `start`.
+        """
         find, follows = self.known.get, self.follows
-        for at in range(start, max(-1, start - self.longest), -1):
-            if (token := find(path[at:])) is not None:
+        cut = len(tail) - size
+        for at in range(start, max(-1, start - cut - 1), -1):
+            if (token := find(tail[cut - (start - at) :])) is not None:
                 if at == 0:
                     return token, 0
                 key = last[at] << 20 | token
@@ -168,7 +175,7 @@ class Model:
                     apart = follows[key] = self.stands(last[at], token)
                 if apart:
                     return token, at
-        raise ValueError(f"no token for {symbol!r}")
+        raise ValueError(f"no token for {tail[cut:]!r}")
 
     def pieces(self, text: str) -> list[str]:
         """The words of a text, normalised."""

@@ -38,7 +38,7 @@ BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
 PLAUSIBLE = 0.58
 #: Members of a block in the comparison of signatures, and of full sets.
-BLOCK, SET_BLOCK = 1024, 256
+BLOCK, SET_BLOCK = 1024, 128
 NUMERATOR, DENOMINATOR = 75, 100
 _SIGMA, _PI = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47)
 
