@@ -27,9 +27,10 @@ HEADING_1 = r"(?U)^\s*#\s+(.+?)\s*$"
 TITLE_TIMESTAMPS = r"(?U)^(?:\*?\d{1,2}:\d{2}(?::\d{2})?\*?\s+)+"
 TITLE_SPEAKER = r"(?iuU)^(?:\*\*)?speaker\s+\d+(?:\*\*)?\s*:?\s*"
 GENERIC_STEM = r"(?iu)^(?:transcript|notes|summary|audio|video|recording|source|meeting|lecture)$"
-SPEAKER_NUMBER = r"(?iuU)^speaker\s+\d+$"
-GENERIC_PEOPLE = ("author", "creator", "uploader", "channel")
-PLACEHOLDER_PEOPLE = ("unknown", "speaker", "author", "creator", "uploader")
+#: Titles of four letters and names of two that are no generic word, `Speaker N`, number or time.
+INFORMATIVE_TITLE = r"(?isuU)^(?!(?:transcript|notes|summary|audio|video|recording|source|meeting|lecture)$)(?!speaker\s+\d+$)(?![\d\s:._-]+$).{4}"
+INFORMATIVE_PERSON = r"(?isuU)^(?!(?:author|creator|uploader|channel)$)(?!speaker\s+\d+$)(?![\d\s:._/\-]+$).{2}"
+PLACEHOLDER = r"(?iuU)^(?:|[—–-]|unknown|speaker|author|creator|uploader|speaker\s+\d+)$"
 DASHES = ("—", "-", "–")
 VIDEO_ID = r"(?:youtube\.com/watch\?(?:.*?&)?v=|youtu\.be/|youtube\.com/shorts/|youtube\.com/live/|youtube\.com/embed/)([A-Za-z0-9_-]{11})"
 PERSON = r"(?U)\b(?:[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,2}|[А-ЯЁ][а-яё]+(?:\s+[А-ЯЁ][а-яё]+){1,2})\b"

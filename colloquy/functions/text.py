@@ -9,12 +9,14 @@ import html
 import json
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from colloquy.functions import lexicons as L
 
@@ -25,6 +27,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it; the value holds no Python function."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def strip(c: Column | str) -> Column:
     """Without white space at either end, of any Unicode kind."""
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
@@ -66,8 +73,9 @@ def starts_with_any(words: tuple[str, ...], c: Column) -> Column:
 
 def first_distinct(items: Column) -> Column:
     """An array without later entries that differ from an earlier one in case only."""
-    keys = F.transform(items, lambda x: F.lower(x))
-    return F.filter(items, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
+    pairs = F.transform(items, lambda x: F.struct(x.alias("x"), F.lower(x).alias("k")))
+    first = let(pairs, lambda p: F.filter(p, lambda x, i: F.array_position(p["k"], x["k"]) == i + 1))
+    return first["x"]
 
 
 # Times
@@ -85,7 +93,8 @@ def vtt_seconds(c: Column | str) -> Column:
 
 def whole_seconds(c: Column | str) -> Column:
     """Seconds as a number cut to a whole one, at least 0; null if it isn't a number."""
-    return F.greatest(F.lit(0), col(c).cast("string").try_cast("double").cast("long"))
+    n = col(c).cast("string").try_cast("double").cast("long")
+    return F.when(n < 0, 0).otherwise(n)
 
 
 def mmss(c: Column | str) -> Column:
@@ -131,7 +140,7 @@ def language_hint(c: Column | str) -> Column:
 # Text from markup
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def unescape(texts: pd.Series) -> pd.Series:
     """HTML character references as characters."""
     return texts.map(lambda x: html.unescape(x) if isinstance(x, str) and "&" in x else x)
@@ -143,7 +152,7 @@ def clean_caption(lines: Column) -> Column:
     return squeeze(unescape(F.regexp_replace(F.array_join(stripped, " "), L.TAG, "")))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def slug(texts: pd.Series) -> pd.Series:
     """A file name part: ASCII letters and digits joined by hyphens, at most 72 characters, `notes` if none remain."""
 
@@ -155,7 +164,7 @@ def slug(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def merge_json(base: pd.Series, patch: pd.Series) -> pd.Series:
     """JSON objects merged at every depth; the patch wins, its nulls included, and lists are replaced whole."""
 
@@ -207,20 +216,17 @@ def path_title(c: Column | str, unescaped: bool = True) -> Column:
 
 def is_title(c: Column | str) -> Column:
     """Whether a title says something."""
-    text = strip(F.coalesce(col(c), F.lit("")))
-    return (F.length(text) >= 4) & ~text.rlike(L.GENERIC_STEM) & ~text.rlike(L.SPEAKER_NUMBER) & ~text.rlike(r"(?U)^[\d\s:._-]+$")
+    return strip(F.coalesce(col(c), F.lit(""))).rlike(L.INFORMATIVE_TITLE)
 
 
 def is_person(c: Column | str) -> Column:
     """Whether a name can be one."""
-    text = strip(F.coalesce(col(c), F.lit("")))
-    return (F.length(text) >= 2) & ~text.rlike(L.SPEAKER_NUMBER) & ~text.rlike(r"(?U)^[\d\s:._/\-]+$") & ~F.lower(text).isin(*L.GENERIC_PEOPLE)
+    return strip(F.coalesce(col(c), F.lit(""))).rlike(L.INFORMATIVE_PERSON)
 
 
 def is_placeholder(c: Column | str) -> Column:
     """Whether an entity stands for nobody."""
-    text = squeeze(F.coalesce(col(c), F.lit("")))
-    return text.isin("", *L.DASHES) | F.lower(text).isin(*L.PLACEHOLDER_PEOPLE) | text.rlike(L.SPEAKER_NUMBER)
+    return squeeze(F.coalesce(col(c), F.lit(""))).rlike(L.PLACEHOLDER)
 
 
 def people(c: Column | str) -> Column:
@@ -239,13 +245,20 @@ def is_video_url(c: Column | str) -> Column:
 
 def author_hint(creator: Column, uploader: Column, channel: Column, artist: Column, handle: Column, unescaped: bool = True) -> Column:
     """The first name in metadata that can be one, else the handle; null without any."""
-    names = F.filter(F.array(*[person_text(c, unescaped) for c in (creator, uploader, channel, artist)]), is_person)
-    own = F.coalesce(F.try_element_at(names, F.lit(1)), person_text(handle, unescaped))
-    return F.when(is_person(own), own)
+    names = [person_text(c, unescaped) for c in (creator, uploader, channel, artist, handle)]
+    return F.coalesce(*[F.when(is_person(n), n) for n in names[:-1]], F.when(is_person(names[-1]), names[-1]))
 
 
 def speaker_candidates(creator: Column, uploader: Column, channel: Column, artist: Column, unescaped: bool = True) -> Column:
-    return first_distinct(F.filter(F.array(*[person_text(c, unescaped) for c in (creator, uploader, channel, artist)]), is_person))
+    """The names in metadata that can be one, each once; written out, as array functions don't take Python functions."""
+    names = [person_text(c, unescaped) for c in (creator, uploader, channel, artist)]
+    kept = []
+    for i, n in enumerate(names):
+        new = is_person(n)
+        for before in names[:i]:
+            new = new & (F.lower(before) != F.lower(n))
+        kept.append(F.when(new, n))
+    return F.array_compact(F.array(*kept))
 
 
 # Statements, topics, actions
@@ -261,8 +274,8 @@ def statement(c: Column | str) -> Column:
 
 
 def limit_text(c: Column | str, most: int = 140) -> Column:
-    text = squeeze(F.coalesce(col(c), F.lit("")))
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, most - 1)), F.lit("…")))
+    cut = lambda t: F.when(F.length(t) <= most, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, most - 1)), F.lit("…")))
+    return let(squeeze(F.coalesce(col(c), F.lit(""))), cut)
 
 
 def topic_tokens(c: Column | str) -> Column:
@@ -278,36 +291,48 @@ def split_values(c: Column | str) -> Column:
 
 def action_candidate(c: Column | str) -> Column:
     """What follows a marker word and a colon, else the whole statement; without quotation marks."""
-    text = statement(c)
-    at = F.locate(":", text)
-    rest = squeeze(F.regexp_replace(strip(F.substring(text, at + 1, F.length(text))), '^[«»"]+|[«»"]+$', ""))
-    marked = (at > 0) & any_of(L.ACTION_PREFIX_MARKERS, F.lower(F.substring(text, F.lit(1), at - 1))) & (rest != "")
-    chosen = F.when(marked, rest).otherwise(text)
-    return F.regexp_replace(F.regexp_replace(strip(chosen), '^[«»"]+|[«»"]+$', ""), r"\.+$", "")
+
+    def bare(x: Column) -> Column:
+        return F.regexp_replace(strip(x), '^[«»"]+|[«»"]+$', "")
+
+    def chosen(text: Column) -> Column:
+        at = F.locate(":", text)
+        rest = F.when(at > 0, squeeze(bare(F.substring(text, at + 1, F.length(text)))))
+        marked = any_of(L.ACTION_PREFIX_MARKERS, F.lower(F.substring(text, F.lit(1), at - 1)))
+        return F.when(marked, F.coalesce(blank_to_null(rest), text)).otherwise(text)
+
+    return F.regexp_replace(bare(let(statement(c), chosen)), r"\.+$", "")
 
 
 def imperative(c: Column | str) -> Column:
     """An action as a request."""
-    text = action_candidate(c)
-    first = F.lower(F.regexp_replace(F.element_at(F.split(text, " "), 1), '^[«»".,:;!?]+|[«»".,:;!?]+$', ""))
-    rest = F.concat(F.lower(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 30))
-    out = F.when((text == "") | first.isin(*L.IMPERATIVES), text)
-    for word, prefix in L.IMPERATIVE_PREFIXES:
-        out = out.when(F.lower(text).contains(word), F.concat(F.lit(prefix), rest))
-    return out.otherwise(text)
+
+    def request(text: Column) -> Column:
+        first = F.lower(F.regexp_replace(F.element_at(F.split(text, " "), 1), '^[«»".,:;!?]+|[«»".,:;!?]+$', ""))
+        rest = F.concat(F.lower(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 30))
+        out = F.when((text == "") | first.isin(*L.IMPERATIVES), text)
+        for word, prefix in L.IMPERATIVE_PREFIXES:
+            out = out.when(F.lower(text).contains(word), F.concat(F.lit(prefix), rest))
+        return out.otherwise(text)
+
+    return let(action_candidate(c), request)
 
 
 def action_score(c: Column | str) -> Column:
-    text, low = col(c), F.lower(col(c))
-    return 2 * count_of(L.STRONG_ACTION, low) + count_of(L.WEAK_ACTION, low) - 2 * count_of(L.NO_ACTION, low) + (text.contains("?") | text.contains("«")).cast("int") - (F.length(text) > 220).cast("int")
+    """How much a text asks for an action."""
+    told = lambda low: 2 * count_of(L.STRONG_ACTION, low) + count_of(L.WEAK_ACTION, low) - 2 * count_of(L.NO_ACTION, low)
+    shape = lambda text: (text.contains("?") | text.contains("«")).cast("int") - (F.length(text) > 220).cast("int")
+    return let(col(c), lambda text: let(F.lower(text), told) + shape(text))
 
 
 def action_bucket(c: Column | str) -> Column:
     """immediate, ongoing or month; null for what is no action."""
-    low = F.lower(col(c))
-    chosen = F.when(any_of(L.IMMEDIATE_WORDS, low) | starts_with_any(L.IMMEDIATE_STARTS, low), "immediate")
-    chosen = chosen.when(any_of(L.ONGOING_WORDS, low) | starts_with_any(L.ONGOING_STARTS, low), "ongoing").otherwise("month")
-    return F.when(action_score(c) >= 2, chosen)
+
+    def chosen(low: Column) -> Column:
+        out = F.when(any_of(L.IMMEDIATE_WORDS, low) | starts_with_any(L.IMMEDIATE_STARTS, low), "immediate")
+        return out.when(any_of(L.ONGOING_WORDS, low) | starts_with_any(L.ONGOING_STARTS, low), "ongoing").otherwise("month")
+
+    return let(col(c), lambda text: F.when(action_score(text) >= 2, let(F.lower(text), chosen)))
 
 
 def summary_point(line: Column | str) -> Column:

@@ -112,7 +112,8 @@ def collected_actions(manifest: DataFrame, candidates: DataFrame, lines: DataFra
     order = [F.length("chunk_id").alias("a"), F.col("chunk_id").alias("b"), F.col("row_no").cast("long").alias("c"), F.lit(0).cast("long").alias("d")]
     parts = None
     for k, (column, bucket) in enumerate((("action_now", "immediate"), ("action_check", "month"), ("action_avoid", "ongoing"))):
-        own = manifest.select("work_id", F.lit(bucket).alias("bucket"), X.imperative(X.imperative(column)).alias("action"), F.struct(F.lit(k).alias("s"), *order).alias("o"))
+        once = manifest.select("work_id", X.imperative(column).alias("_once"), F.struct(F.lit(k).alias("s"), *order).alias("o"))
+        own = once.select("work_id", F.lit(bucket).alias("bucket"), X.imperative("_once").alias("action"), "o")  # requests are made of requests
         parts = own if parts is None else parts.unionByName(own)
     said = candidates.select("work_id", X.action_candidate("statement").alias("action"), F.struct(F.lit(3).alias("s"), F.lit(0).alias("a"), F.lit("").alias("b"), F.col("block_key").cast("long").alias("c"), F.col("line_no").cast("long").alias("d")).alias("o"))
     said = said.filter(X.action_score("action") >= 2).select("work_id", X.action_bucket("action").alias("bucket"), "action", "o")

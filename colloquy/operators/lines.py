@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from colloquy.functions import lexicons as L
 from colloquy.functions import text as X
 
-BY_DOC = Window.partitionBy("doc_id").orderBy("line_no")
 CLUES = 15
 
 
+def by_doc() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("line_no")
+
+
 def line_features(lines: DataFrame) -> DataFrame:
     """lines with what each says about its speaker: dialogue prefix and name, introduction, clue, markers, times."""
     t = F.col("text")
@@ -68,7 +71,7 @@ def drop_repeated_lines(lines: DataFrame) -> DataFrame:
     """lines without consecutive repeats, blanks collapsed; unknown-word marks go first."""
     text = F.trim(F.regexp_replace(F.replace("text", F.lit("<unk>"), F.lit("")), r"[ \t]+", " "))
     clean = lines.withColumn("text", X.strip(text))
-    return clean.withColumn("_before", F.lag("text").over(BY_DOC)).filter("_before is null or text <> _before").drop("_before")
+    return clean.withColumn("_before", F.lag("text").over(by_doc())).filter("_before is null or text <> _before").drop("_before")
 
 
 SPEAKER_LINE = r"(?U)^(?:\*\*(.+?)\*\*|([A-Za-zА-Яа-я0-9][A-Za-zА-Яа-я0-9 .,_\-]{0,40}))\s*:\s*(.*)"
@@ -81,14 +84,14 @@ def utterances(lines: DataFrame, compat: bool = False) -> DataFrame:
     Lines without a speaker go on with the open turn; with compat they are dropped. A time line is part of its turn.
     """
     speaker = F.coalesce(X.blank_to_null(F.regexp_extract("text", SPEAKER_LINE, 1)), F.regexp_extract("text", SPEAKER_LINE, 2))
-    one, two = F.lead("text", 1).over(BY_DOC), F.lead("text", 2).over(BY_DOC)
+    one, two = F.lead("text", 1).over(by_doc()), F.lead("text", 2).over(by_doc())
     stamp = F.when(one.rlike(STAMP_LINE), F.regexp_extract(one, STAMP_LINE, 1)).when((one == "") & two.rlike(STAMP_LINE), F.regexp_extract(two, STAMP_LINE, 1))
     turn = F.col("text").rlike(SPEAKER_LINE)
     all_rows = lines.select("doc_id", "line_no", turn.alias("_turn"), X.strip(speaker).alias("speaker"), F.when(turn, X.strip(F.regexp_extract("text", SPEAKER_LINE, 3))).otherwise(F.col("text")).alias("text"), F.coalesce(stamp, F.lit("")).alias("ts"))
     if compat:
-        rows = all_rows.filter("_turn").withColumn("utt_no", F.row_number().over(BY_DOC))
+        rows = all_rows.filter("_turn").withColumn("utt_no", F.row_number().over(by_doc()))
         return rows.select("doc_id", "utt_no", "speaker", "text", "ts")
-    rows = all_rows.withColumn("utt_no", F.sum(F.col("_turn").cast("int")).over(BY_DOC)).filter(F.col("utt_no") > 0)
+    rows = all_rows.withColumn("utt_no", F.sum(F.col("_turn").cast("int")).over(by_doc())).filter(F.col("utt_no") > 0)
     rows = rows.filter(F.col("_turn") | ((F.col("text") != "") & ~F.col("text").rlike(STAMP_LINE)))
     return rows.groupBy("doc_id", "utt_no").agg(
         F.min_by("speaker", "line_no").alias("speaker"),
@@ -145,7 +148,7 @@ def normalised_transcript(lines: DataFrame, compat: bool = False) -> DataFrame:
 def first_clues(lines: DataFrame, most: int = CLUES) -> DataFrame:
     """The first clue lines of each file, numbered."""
     clues = lines.filter(F.col("text").rlike(L.SPEAKER_CLUE))
-    return clues.withColumn("clue_no", F.row_number().over(BY_DOC)).filter(F.col("clue_no") <= most)
+    return clues.withColumn("clue_no", F.row_number().over(by_doc())).filter(F.col("clue_no") <= most)
 
 
 def clue_context(lines: DataFrame, most: int = CLUES, around: int = 2) -> DataFrame:
@@ -236,7 +239,7 @@ def local_title(files: DataFrame, lines: DataFrame) -> DataFrame:
 
 def title_candidates(author: Column, chapters: Column, hints: Column) -> Column:
     """At most six titles: the author, three chapters, then hints; each once."""
-    names = F.filter(F.array(X.person_text(author)), X.is_person)
+    names = F.filter(F.array(X.person_text(author, unescaped=False)), X.is_person)
     titles = F.concat(names, F.slice(F.coalesce(chapters, F.array().cast("array<string>")), 1, 3), F.coalesce(hints, F.array().cast("array<string>")))
     cleaned = F.filter(F.transform(titles, lambda x: X.title_text(x, unescaped=False)), X.is_title)
     return F.slice(X.first_distinct(cleaned), 1, 6)

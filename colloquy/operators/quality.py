@@ -9,14 +9,12 @@ from colloquy.functions import lexicons as L
 from colloquy.functions import text as X
 from colloquy.operators.contract import density_targets, longform_targets, minutes
 
-BY_NOTE = Window.partitionBy("work_id").orderBy("line_no")
-
 
 def populated_sections(lines: DataFrame) -> DataFrame:
     """work_id, meaning_blocks and case_blocks: third-level sections of the two kinds that hold any text."""
     t = X.strip("text")
     rows = lines.withColumn("_t", t).withColumn("_h", F.col("_t").rlike(r"(?U)^###\s+"))
-    rows = rows.withColumn("_section", F.sum(F.col("_h").cast("int")).over(BY_NOTE))
+    rows = rows.withColumn("_section", F.sum(F.col("_h").cast("int")).over(Window.partitionBy("work_id").orderBy("line_no")))
     own = rows.filter("_section > 0").groupBy("work_id", "_section").agg(F.max(F.when(F.col("_h"), F.col("_t"))).alias("_head"), F.count_if(~F.col("_h") & (F.col("_t") != "")).alias("_filled"))
     own = own.filter("_filled > 0")
     return own.groupBy("work_id").agg(F.count_if(F.col("_head").rlike(r"(?U)^###\s+Смысл блока:\s*$")).alias("meaning_blocks"), F.count_if(F.col("_head").rlike(r"(?U)^###\s+Кейс:\s*(.+?)\s*$")).alias("case_blocks"))
