@@ -15,8 +15,11 @@ def by_doc() -> WindowSpec:
     return Window.partitionBy("doc_id").orderBy("line_no")
 
 
-def line_features(lines: DataFrame) -> DataFrame:
-    """lines with what each says about its speaker: dialogue prefix and name, introduction, clue, markers, times."""
+def line_features(lines: DataFrame, compat: bool = True) -> DataFrame:
+    """lines with what each says about its speaker: dialogue prefix and name, introduction, clue, markers, times.
+
+    With compat, times of 100 minutes and more (three digits) aren't seen, as in the transcripts' first readers.
+    """
     t = F.col("text")
     name = F.regexp_replace(F.regexp_extract(t, L.DIALOGUE_PREFIX, 1), r"^[ *_]+|[ *_]+$", "")
     return lines.withColumns(
@@ -26,7 +29,7 @@ def line_features(lines: DataFrame) -> DataFrame:
             "is_intro": t.rlike(L.INTRODUCTION),
             "is_clue": t.rlike(L.SPEAKER_CLUE),
             "markers": F.regexp_extract_all(t, F.lit(L.SPEAKER_MARKER), F.lit(1)),
-            "times": F.regexp_extract_all(t, F.lit(L.TIMESTAMP), F.lit(1)),
+            "times": F.regexp_extract_all(t, F.lit(L.TIMESTAMP if compat else L.TIMESTAMP_LONG), F.lit(1)),
         }
     )
 
@@ -40,9 +43,9 @@ def token_estimate(text: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(1), F.bround(F.greatest(chars / 4.1, words * 1.18), 0)), F.lit(0)).cast("long")
 
 
-def file_meta(lines: DataFrame) -> DataFrame:
+def file_meta(lines: DataFrame, compat: bool = True) -> DataFrame:
     """A row per file: lines, estimated_tokens, distinct markers and dialogue speakers, dialogue and introduction lines, last timestamp."""
-    f = line_features(lines)
+    f = line_features(lines, compat)
     last = F.max(F.when(F.size("times") > 0, F.struct("line_no", F.element_at("times", -1).alias("t"))))
     return f.groupBy("doc_id").agg(
         F.count("*").alias("lines"),

@@ -189,3 +189,30 @@ def already_delivered(notes: DataFrame, deliveries: DataFrame) -> DataFrame:
 def status_payload(stages: DataFrame, statuses: DataFrame, files: DataFrame) -> DataFrame:
     """A row per work: plan, chunk rollup and artifact counts."""
     return execution_plan(stages, statuses).join(extraction_rollup(statuses).drop("extraction"), "work_id", "left").join(artifact_counts(files).drop("has_tldr", "has_speakers"), "work_id", "left")
+
+
+def loaded_state(works: DataFrame, states: DataFrame, plans: DataFrame, reports: DataFrame) -> DataFrame:
+    """work_id and each field of the stored state, else of the plan, else of the report (struct columns of equal names are not needed in all)."""
+    own = works.select("work_id")
+    fields: dict[str, list[Column]] = {}
+    for k, source in enumerate((states, plans, reports)):
+        columns = [c for c in source.columns if c != "work_id"]
+        own = own.join(source.select("work_id", *[F.col(c).alias(f"_{k}_{c}") for c in columns]), "work_id", "left")
+        for c in columns:
+            fields.setdefault(c, []).append(F.col(f"_{k}_{c}"))
+    return own.select("work_id", *[F.coalesce(*cs).alias(c) for c, cs in fields.items()])
+
+
+def delivery_summary(deliveries: DataFrame) -> DataFrame:
+    """work_id and the filled fields of a delivery, as a map of texts."""
+    names = [c for c in ("enabled", "attempted", "success", "reason", "chat", "file_sha256", "error") if c in deliveries.columns]
+    pairs = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value"))) for c in names]))
+    return deliveries.select("work_id", F.map_from_entries(pairs).alias("delivery"))
+
+
+def timeline(runs: DataFrame) -> DataFrame:
+    """A row per run in the order of the log, with its change flags: runs as change_flags takes them, with command, status and title."""
+    flags = ("first_run", "input_changed", "output_changed", "quality_changed", "delivery_changed", "only_resume")
+    own = change_flags(runs)
+    hashes = F.struct("transcript", "markdown", "html")
+    return own.select("finished_at", "run_id", "note_id", "command", "status", "title", hashes.alias("hashes"), "quality", "delivery", F.struct(*flags).alias("change_flags"))

@@ -252,6 +252,9 @@ SELECT doc_id AS work_id, count(*) FILTER (y.conv_id IS NOT NULL AND regexp_matc
     "transcript_markdown": rf"""WITH t AS (SELECT conv_id, turn, replace(text, chr(10), ' ') AS text FROM conversations WHERE text <> '') SELECT CAST(conv_id AS VARCHAR) AS doc_id, regexp_replace(string_agg('*' || ({pad("turn * 10 // 60")}) || ':' || ({pad("turn * 10 % 60")}) || '* ' || text, chr(10) ORDER BY turn), '\s+$', '') || chr(10) AS text FROM t GROUP BY conv_id""",
     "folded_segments": rf"""WITH e AS (SELECT *, event_id % 6000 AS s, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) = event_type THEN 0 ELSE 1 END AS new FROM events), i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM e)
 SELECT CAST(user_id AS VARCHAR) AS doc_id, CAST(island AS BIGINT) AS utt_no, any_value(event_type) AS speaker, string_agg(CAST(event_id AS VARCHAR), ' ' ORDER BY event_id) AS text, ({pad("arg_min(s, event_id) // 60")}) || ':' || ({pad("arg_min(s, event_id) % 60")}) AS ts FROM i GROUP BY user_id, island""",
+    "best_subtitles": f"""WITH {LINES}, t AS (SELECT doc_id, source, count(*) AS cues, CAST(sum(length(text)) AS BIGINT) AS chars FROM dl GROUP BY ALL), f AS (SELECT t.*, d.lang, t.doc_id || '.' || d.lang || '.vtt' AS name FROM t JOIN documents d USING (doc_id) WHERE CASE WHEN t.doc_id % 2 = 0 THEN cues >= 2 AND chars >= 20 ELSE cues >= 20 AND chars >= 400 END),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE lang WHEN 'ru' THEN 0 WHEN 'en' THEN 1 ELSE 2 END, chars DESC, name) AS n FROM f) SELECT source AS work_id, doc_id, name, lang AS language, chars FROM r WHERE n = 1""",
+    "numbered_blocks": f"WITH e AS (SELECT user_id AS work_id, event_id, {label('(event_id % 60)')} AS chunk_id FROM events) SELECT work_id, chunk_id, event_id AS block_no, row_number() OVER (PARTITION BY work_id ORDER BY length(chunk_id), chunk_id, event_id) AS number FROM e",
     "summary_points": f"WITH {POINTS} SELECT * FROM pts",
     "tldr_round_robin": rf"""WITH {POINTS}, f AS (SELECT *, {strip("point")} AS pt, lower({squeeze("point")}) AS key, row_number() OVER (PARTITION BY work_id, lower({squeeze("point")}) ORDER BY pos, chunk_id) AS n FROM pts),
 r AS (SELECT *, dense_rank() OVER (PARTITION BY work_id ORDER BY pos) - 1 AS round FROM f WHERE n = 1), g AS (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY pos, chunk_id) AS rank FROM r WHERE round = pos),

@@ -219,6 +219,20 @@ def folded_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(RD.words_to_turns(words), "utt_no").select("doc_id", "utt_no", "speaker", "text", "ts")
 
 
+@query
+def best_subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as caption files of their source, their language in the name."""
+    d = table(spark, sf_dir, "documents")
+    files = d.select("doc_id", F.col("source").alias("work_id"), F.concat(F.col("doc_id").cast("string"), F.lit("."), F.col("lang"), F.lit(".vtt")).alias("name"), F.when(F.col("doc_id") % 2 == 0, 200).alias("seconds"))
+    return RD.best_subtitles(doc_lines(spark, sf_dir), files)
+
+
+@query
+def numbered_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("work_id"), X.chunk_label(F.col("event_id") % 60).alias("chunk_id"), F.col("event_id").alias("block_no"))
+    return longs(WR.numbered_blocks(e), "number")
+
+
 # Take-aways, topics, people
 
 

@@ -101,6 +101,31 @@ def caption_cues(snippets: DataFrame) -> DataFrame:
     return one.filter(X.strip("s.text") != "").select("doc_id", (F.col("_pos") + 1).alias("cue_no"), F.col("s.start").cast("double").alias("start_s"), F.col("s.text").alias("text"))
 
 
+def subtitle_totals(cues: DataFrame) -> DataFrame:
+    """doc_id, cues and chars of caption files."""
+    return cues.groupBy("doc_id").agg(F.count("*").alias("cues"), F.sum(F.length("text")).alias("chars"))
+
+
+def subtitles_usable(cues: Column, chars: Column, seconds: Column) -> Column:
+    """Whether captions hold enough; short recordings (up to 300 s) need less, an unknown length counts as long."""
+    short = F.coalesce(seconds <= 300, F.lit(False))
+    return F.when(short, (cues >= 2) & (chars >= 20)).otherwise((cues >= 20) & (chars >= 400))
+
+
+def best_subtitles(cues: DataFrame, files: DataFrame) -> DataFrame:
+    """Of a recording's caption files (doc_id, work_id, name, seconds) the best usable one: Russian, English, then others; the longest; by name."""
+    language = X.subtitle_language("name")
+    rank = F.when(language == "ru", 0).when(language == "en", 1).otherwise(2)
+    own = files.join(subtitle_totals(cues), "doc_id").filter(subtitles_usable(F.col("cues"), F.col("chars"), F.col("seconds")))
+    best = own.groupBy("work_id").agg(F.min(F.struct(rank.alias("rank"), (-F.col("chars")).alias("less"), "name", "doc_id", language.alias("language"))).alias("b"))
+    return best.select("work_id", F.col("b.doc_id").alias("doc_id"), F.col("b.name").alias("name"), F.col("b.language").alias("language"), (-F.col("b.less")).alias("chars"))
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """path and SHA-256 of whole files."""
+    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+
+
 # Speech recognition
 
 _SEGMENT = "struct<start:string,start_time:string,timestamp:string,speaker:string,transcript:string,text:string,content:string>"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as X
@@ -113,3 +113,21 @@ def prepare_report(plan: DataFrame, meta: DataFrame, works: DataFrame) -> DataFr
     return both.select("work_id", F.concat(head, F.lit("\n\n=== CHUNK ASSIGNMENTS ===\n\n"), F.col("_chunks"), F.format_string("\n\n=== TOTAL CHUNKS: %d ===\n", "chunks")).alias("report"))
 
 
+
+
+def prescan_text(sample: DataFrame, hints: DataFrame | None = None) -> DataFrame:
+    """doc_id and the prescan sample as text: hint lines (doc_id, hint_lines array) first, then the sections, each under its heading."""
+    names = F.element_at(F.array(*[F.lit(x) for x in ("FIRST LINES", "LAST LINES", "MIDDLE SAMPLE", "SPEAKER HINTS")]), F.col("section"))
+    parts = sample.groupBy("doc_id", "section").agg(joined_in_order("text", "line_no", "\n").alias("_body"))
+    parts = parts.withColumn("_text", F.concat(F.lit("=== "), names, F.lit(" ===\n"), F.col("_body")))
+    own = parts.groupBy("doc_id").agg(joined_in_order("_text", "section", "\n\n").alias("_all"))
+    if hints is None:
+        return own.select("doc_id", with_end(F.col("_all")).alias("text"))
+    head = F.when(F.size("hint_lines") > 0, F.concat(F.array_join("hint_lines", "\n"), F.lit("\n\n"))).otherwise("")
+    return own.join(hints, "doc_id", "left").select("doc_id", with_end(F.concat(F.coalesce(head, F.lit("")), F.col("_all"))).alias("text"))
+
+
+def numbered_blocks(blocks: DataFrame) -> DataFrame:
+    """blocks with their number in the note: natural order of chunks, then of blocks."""
+    w = Window.partitionBy("work_id").orderBy(F.length("chunk_id"), "chunk_id", "block_no")
+    return blocks.withColumn("number", F.row_number().over(w))

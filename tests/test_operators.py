@@ -328,3 +328,22 @@ def test_empty_tables(spark):
     assert LN.file_meta(none).count() == LN.normalised_transcript(none).count() == LN.densest_window(none, 40).count() == RD.parse_vtt(none).count() == 0
     meta = LN.file_meta(none).withColumn("work_id", F.lit("w"))
     assert PL.planned(meta, none).count() == 0
+
+
+def test_state_fallbacks_and_timeline(spark):
+    works = spark.createDataFrame([("a",), ("b",), ("c",)], "work_id string")
+    states = spark.createDataFrame([("a", "multi", None)], "work_id string, mode string, files int")
+    plans = spark.createDataFrame([("a", "single", 2), ("b", "single", None)], "work_id string, mode string, files int")
+    reports = spark.createDataFrame([("b", 7), ("c", 9)], "work_id string, files int")
+    assert rows(ST.loaded_state(works, states, plans, reports), "work_id") == [("a", "multi", 2), ("b", "single", 7), ("c", None, 9)]
+    d = ST.delivery_summary(spark.createDataFrame([("a", True, None, "disabled")], "work_id string, enabled boolean, chat string, reason string"))
+    assert d.first()["delivery"] == {"enabled": "true", "reason": "disabled"}
+    runs = spark.createDataFrame([("r", "n", 1, "t", None, None, "", "", "local", "source-ready", "T")], "run_id string, note_id string, finished_at int, transcript string, markdown string, html string, quality string, delivery string, command string, status string, title string")
+    r = ST.timeline(runs).first()
+    assert r["change_flags"]["first_run"] and r["change_flags"]["input_changed"] and not r["change_flags"]["output_changed"]
+
+
+def test_long_timestamps(spark):
+    own = lines(spark, ["*99:59* a", "*120:01* b"])
+    assert LN.file_meta(own).first()["duration_estimate"] == "99:59"
+    assert LN.file_meta(own, compat=False).first()["duration_estimate"] == "120:01"

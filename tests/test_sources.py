@@ -134,3 +134,20 @@ def test_sinks(spark, tmp_path):
     assert (r["total"], r["ok"], r["failed"]) == (3, 2, 1) and '<a href="x.html">A &lt;b&gt;</a>' in r["html"] and "(no HTML)" in r["html"]
     linked = spark.range(1).select(W.linked_times(F.lit("## Topic (1:02–1:03:04)\ntext 1:02"), F.lit("https://x/?v=1")).alias("t")).first()["t"]
     assert linked == "## Topic ([1:02](https://x/?v=1&t=62)–[1:03:04](https://x/?v=1&t=3784))\ntext 1:02"
+
+
+def test_best_subtitles(spark):
+    cues = spark.createDataFrame([(d, i, float(i), t) for d, n, t in (("en", 30, "x" * 20), ("ru", 25, "y" * 20), ("de", 3, "z" * 10), ("s", 2, "q" * 10)) for i in range(n)], "doc_id string, cue_no int, start_s double, text string")
+    files = spark.createDataFrame([("en", "w", "a.en.vtt", None), ("ru", "w", "a.ru-orig.vtt", None), ("de", "w", "a.de.vtt", None), ("s", "v", "b.vtt", 300)], "doc_id string, work_id string, name string, seconds int")
+    assert rows(R.best_subtitles(cues, files), "work_id") == [("v", "s", "b.vtt", None, 20), ("w", "ru", "a.ru-orig.vtt", "ru", 500)]
+    snippets = spark.createDataFrame([("d", [(1.0, "a"), (2.0, " ")])], "doc_id string, snippets array<struct<start:double,text:string>>")
+    assert rows(R.caption_cues(snippets), "cue_no") == [("d", 1, 1.0, "a")]
+
+
+def test_hashes_and_prescan_text(spark, tmp_path):
+    (tmp_path / "f").write_bytes(b"abc")
+    assert R.file_hashes(spark, f"{tmp_path}/f").first()["sha256"].startswith("ba7816bf")
+    sample = spark.createDataFrame([("d", 1, 2, "b"), ("d", 1, 1, "a"), ("d", 4, 1, "c")], "doc_id string, section int, line_no int, text string")
+    assert W.prescan_text(sample).first()["text"] == "=== FIRST LINES ===\na\nb\n\n=== SPEAKER HINTS ===\nc\n"
+    hints = spark.createDataFrame([("d", ["h1", "h2"])], "doc_id string, hint_lines array<string>")
+    assert W.prescan_text(sample, hints).first()["text"].startswith("h1\nh2\n\n=== FIRST")
