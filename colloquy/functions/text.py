@@ -357,13 +357,14 @@ def short_hash(c: Column | str) -> Column:
 
 def chunk_label(index: Column, letters: int = 8) -> Column:
     """A, B, ..., Z, AA, AB, ... for 0, 1, ...; up to `letters` letters (over 200 billion chunks)."""
-    out, below = None, 0
-    for n in range(1, letters + 1):
-        own = index - below  # place among the labels of n letters
-        label = F.concat(*[F.char((65 + F.floor(own / F.lit(26**k)) % 26).cast("long")) for k in range(n - 1, -1, -1)])
-        below += 26**n
-        out = F.when(index < below, label) if out is None else out.when(index < below, label)
-    return out
+    start = F.struct(index.cast("long").alias("n"), F.lit("").alias("label"))
+
+    def step(state: Column, _: Column) -> Column:
+        letter = F.concat(F.char(state["n"] % 26 + 65), state["label"])
+        open_ = state["n"] >= 0
+        return F.struct(F.when(open_, F.floor(state["n"] / 26).cast("long") - 1).otherwise(F.lit(-1).cast("long")).alias("n"), F.when(open_, letter).otherwise(state["label"]).alias("label"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(letters)), start, step, lambda s: s["label"])
 
 
 def label_order(label: Column | str) -> Column:

@@ -26,7 +26,7 @@ def line_features(lines: DataFrame, compat: bool = True) -> DataFrame:
         {
             "is_dialogue": t.rlike(L.DIALOGUE_PREFIX),
             "speaker_name": X.blank_to_null(name),
-            "is_intro": t.rlike(L.INTRODUCTION),
+            "is_intro": t.rlike(L.CYRILLIC) & t.rlike(L.INTRODUCTION),  # the cheap test first: all introductions have such letters
             "is_clue": t.rlike(L.SPEAKER_CLUE),
             "markers": F.regexp_extract_all(t, F.lit(L.SPEAKER_MARKER), F.lit(1)),
             "times": F.regexp_extract_all(t, F.lit(L.TIMESTAMP if compat else L.TIMESTAMP_LONG), F.lit(1)),
@@ -34,23 +34,25 @@ def line_features(lines: DataFrame, compat: bool = True) -> DataFrame:
     )
 
 
-def token_estimate(text: Column) -> Column:
-    """An aggregate: estimated tokens of a group's lines, 0 without any text."""
-    t = X.strip(text)
-    filled = t != ""
-    chars = F.sum(F.when(filled, F.length(t))) + F.count_if(filled) - 1
-    words = F.sum(F.when(filled, F.regexp_count(t, F.lit(r"(?U)\S+"))))
-    return F.coalesce(F.greatest(F.lit(1), F.bround(F.greatest(chars / 4.1, words * 1.18), 0)), F.lit(0)).cast("long")
+def with_sizes(lines: DataFrame) -> DataFrame:
+    """lines with _chars and _words of their stripped text, once a line, for token_estimate."""
+    return lines.withColumn("_stripped", X.strip("text")).withColumns({"_chars": F.length("_stripped"), "_words": F.regexp_count("_stripped", F.lit(r"(?U)\S+"))}).drop("_stripped")
+
+
+def token_estimate() -> Column:
+    """An aggregate over with_sizes: estimated tokens of a group's lines, 0 without any text. Line breaks between filled lines count."""
+    filled = F.count_if(F.col("_chars") > 0)
+    return F.when(filled > 0, F.greatest(F.lit(1), F.bround(F.greatest((F.sum("_chars") + filled - 1) / 4.1, F.sum("_words") * 1.18), 0))).otherwise(0).cast("long")
 
 
 def file_meta(lines: DataFrame, compat: bool = True) -> DataFrame:
     """A row per file: lines, estimated_tokens, distinct markers and dialogue speakers, dialogue and introduction lines, last timestamp."""
-    f = line_features(lines, compat)
+    f = with_sizes(line_features(lines, compat))
     last = F.max(F.when(F.size("times") > 0, F.struct("line_no", F.element_at("times", -1).alias("t"))))
     return f.groupBy("doc_id").agg(
         F.count("*").alias("lines"),
         F.sum(F.octet_length("text") + 1).alias("bytes"),
-        token_estimate(F.col("text")).alias("estimated_tokens"),
+        token_estimate().alias("estimated_tokens"),
         F.size(F.array_distinct(F.flatten(F.collect_set("markers")))).cast("long").alias("markers"),
         F.count_if("is_dialogue").alias("dialogue_cues"),
         F.size(F.collect_set("speaker_name")).cast("long").alias("dialogue_speakers"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import lexicons as L
 from colloquy.functions import text as X
-from colloquy.operators.lines import token_estimate
+from colloquy.operators.lines import token_estimate, with_sizes, work_totals
 
 MINUTE = 60
 
@@ -78,15 +78,16 @@ def chunks_by_lines(lines: Column, stage: Column) -> Column:
 
 def chunk_count(lines: Column, stage: Column, seconds: Column, tokens: Column, mode: Column) -> Column:
     """The number of chunks of a file: by lines, raised by tokens and duration, capped by mode."""
-    base = chunks_by_lines(lines, stage)
-    by_tokens = F.least(F.greatest(F.lit(1), F.ceil(tokens / by_stage(2200, 2600, 3000, stage))), base + 1)
-    n = F.when((tokens > 0) & (lines < 2000), F.greatest(base, by_tokens)).otherwise(base)
-    by_time = F.least(F.greatest(F.lit(1), F.ceil(seconds / MINUTE / 20)), base + 2)
-    n = F.when(seconds > 0, F.greatest(n, by_time)).otherwise(n)
     timed = F.when(seconds <= 30 * MINUTE, 2).when(seconds <= 55 * MINUTE, 3).otherwise(4)
     alone = F.when(seconds > 0, timed).otherwise(F.when(lines < 2000, 2).otherwise(3))
     cap = F.when(mode == "monologue", alone).when(lines >= 12000, 12).when(lines >= 8000, 10).otherwise(8)
-    return F.when(quick_mode(lines), 1).otherwise(F.least(n, cap)).cast("int")
+
+    def raised(base: Column) -> Column:
+        by_tokens = F.least(F.greatest(F.lit(1), F.ceil(tokens / by_stage(2200, 2600, 3000, stage))), base + 1)
+        by_time = F.least(F.greatest(F.lit(1), F.ceil(seconds / MINUTE / 20)), base + 2)
+        return F.greatest(base, F.when((tokens > 0) & (lines < 2000), by_tokens), F.when(seconds > 0, by_time))
+
+    return F.when(quick_mode(lines), 1).otherwise(F.least(X.let(chunks_by_lines(lines, stage), raised), cap)).cast("int")
 
 
 def min_blocks(lines: Column, tokens: Column, seconds: Column) -> Column:
@@ -101,73 +102,103 @@ def target_lines(lines: Column, stage: Column) -> Column:
     return F.greatest(F.lit(650), F.bround((F.lit(1000.0) + lines / 12.0) * by_stage(0.92, 1.0, 1.16, stage), 0).cast("int"))
 
 
-def classified(meta: DataFrame, hints: DataFrame | None = None) -> DataFrame:
-    """A row per work: totals, stage, reason, content mode and duration. hints: work_id, source_kind, author_hint, duration_seconds."""
-    from colloquy.operators.lines import work_totals
+COUNTS = ("lines", "markers", "dialogue_cues", "dialogue_speakers", "intro_cues")
+
 
-    totals = work_totals(meta)
+def with_modes(totals: DataFrame, hints: DataFrame | None) -> DataFrame:
+    """totals of works (in columns named as in COUNTS, and duration_seconds) with stage, reason, content mode and effective duration."""
     kind, author, override = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(0)
     if hints is not None:
-        totals = totals.join(hints.select("work_id", F.col("source_kind").alias("_kind"), F.col("author_hint").alias("_author"), F.col("duration_seconds").alias("_told")), "work_id", "left")
+        told = hints.select("work_id", F.col("source_kind").alias("_kind"), F.col("author_hint").alias("_author"), F.col("duration_seconds").alias("_told"))
+        totals = totals.join(told, "work_id", "left")
         kind, author, override = F.col("_kind"), F.col("_author"), F.greatest(F.lit(0), F.coalesce(F.col("_told").cast("long"), F.lit(0)))
-    counts = [F.col(c) for c in ("lines", "markers", "dialogue_cues", "dialogue_speakers", "intro_cues")]
-    own = totals.withColumn("duration_seconds", F.when(override > 0, override).otherwise(F.col("duration_seconds")))
-    own = own.withColumn("_stage", speaker_stage(*counts))
+    counts = [F.col(c) for c in COUNTS]
+    own = totals.withColumns({"override_seconds": override, "_stage": speaker_stage(*counts)})
+    own = own.withColumn("duration_seconds", F.when(F.col("override_seconds") > 0, F.col("override_seconds")).otherwise(F.col("duration_seconds")))
     own = own.withColumn("content_mode", content_mode(F.col("_stage"), *counts, F.col("duration_seconds"), kind, author))
-    own = own.withColumn("speaker_stage", effective_stage(F.col("_stage"), F.col("content_mode"), kind, author)).withColumn("override_seconds", override)
+    own = own.withColumn("speaker_stage", effective_stage(F.col("_stage"), F.col("content_mode"), kind, author))
     return own.withColumn("speaker_reason", speaker_reason(F.col("speaker_stage"))).drop("_stage", "_kind", "_author", "_told")
 
 
-def chunk_ranges(files: DataFrame) -> DataFrame:
-    """The chunks of each file (work_id, doc_id, lines, estimated_tokens, seconds, speaker_stage, content_mode): ranges and labels.
+def classified(meta: DataFrame, hints: DataFrame | None = None) -> DataFrame:
+    """A row per work: totals, stage, reason, content mode and duration. hints: work_id, source_kind, author_hint, duration_seconds."""
+    return with_modes(work_totals(meta), hints)
+
 
-    Labels count through all files of a work in their order; its very first chunk has no context.
+def classified_files(meta: DataFrame, hints: DataFrame | None = None) -> DataFrame:
+    """The files of each work with the work's stage, content mode, and their own share of its duration.
+
+    Totals are sums over the work's files in a window, so that the meta isn't computed a second time to be joined.
     """
+    w = Window.partitionBy("work_id")
+    seconds = X.duration_seconds("duration_estimate")
+    own = meta.select("work_id", "doc_id", F.col("lines").alias("_lines"), F.col("estimated_tokens").alias("_tokens"), seconds.alias("_own"), *[F.sum(c).over(w).alias(c) for c in COUNTS])
+    last = F.max(F.when(F.col("_own") > 0, F.struct("doc_id", "_own"))).over(w)["_own"]
+    modes = with_modes(own.withColumn("duration_seconds", F.coalesce(last, F.lit(0)).cast("long")), hints)
+    share = F.bround(F.col("override_seconds") * (F.col("_lines") / F.greatest(F.lit(1), F.col("lines"))), 0).cast("long")
+    seconds = F.when(F.col("override_seconds") > 0, share).otherwise(F.col("_own"))
+    return modes.select("work_id", "doc_id", F.col("_lines").alias("lines"), F.col("_tokens").alias("estimated_tokens"), seconds.alias("seconds"), "speaker_stage", "content_mode")
+
+
+def chunked_files(files: DataFrame) -> DataFrame:
+    """Files (work_id, doc_id, lines, estimated_tokens, seconds, speaker_stage, content_mode) with their chunks, chunk_size, overlap, and the chunks of the work's files before."""
     n = F.col("lines").cast("int")
     own = files.withColumn("chunks", chunk_count(n, F.col("speaker_stage"), F.col("seconds"), F.col("estimated_tokens"), F.col("content_mode")))
     own = own.withColumn("chunk_size", F.ceil(n / F.col("chunks")).cast("int"))
-    own = own.withColumn("overlap", F.greatest(F.lit(10), F.least(F.lit(24), F.bround(F.col("chunk_size") * 0.08, 0))).cast("int"))
-    one = own.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    start = (F.col("_k") * F.col("chunk_size") + 1).cast("int")
-    end = F.when(F.col("_k") == F.col("chunks") - 1, n).otherwise(F.least(n, (F.col("_k") + 1) * F.col("chunk_size"))).cast("int")
-    one = one.withColumns({"extraction_start": start, "extraction_end": end, "read_end": end})
-    index = F.row_number().over(Window.partitionBy("work_id").orderBy("doc_id", "_k")) - 1  # a work's files, times 12 at most
-    one = one.withColumn("_index", index)
-    first = F.col("_index") == 0
-    return one.withColumns(
+    before = Window.partitionBy("work_id").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    return own.withColumns({"overlap": F.greatest(F.lit(10), F.least(F.lit(24), F.bround(F.col("chunk_size") * 0.08, 0))).cast("int"), "_before": F.coalesce(F.sum("chunks").over(before), F.lit(0))})
+
+
+def with_ranges(chunks: DataFrame) -> DataFrame:
+    """Rows of chunked files and chunk numbers _k (from 0) with label and ranges; a work's very first chunk has no context."""
+    n, size, k = F.col("lines").cast("int"), F.col("chunk_size"), F.col("_k")
+    end = F.when(k == F.col("chunks") - 1, n).otherwise(F.least(n, (k + 1) * size)).cast("int")
+    own = chunks.withColumns({"_index": F.col("_before") + k, "extraction_start": (k * size + 1).cast("int"), "extraction_end": end, "read_end": end})
+    later = F.col("_index") > 0
+    from_line = F.greatest(F.lit(1), F.col("extraction_start") - F.col("overlap"))
+    return own.withColumns(
         {
             "chunk_id": X.chunk_label(F.col("_index")),
-            "context_start": F.when(~first, F.greatest(F.lit(1), F.col("extraction_start") - F.col("overlap"))),
-            "context_end": F.when(~first, F.greatest(F.lit(1), F.col("extraction_start") - 1)),
-            "read_start": F.when(first, F.col("extraction_start")).otherwise(F.greatest(F.lit(1), F.col("extraction_start") - F.col("overlap"))),
+            "context_start": F.when(later, from_line),
+            "context_end": F.when(later, F.greatest(F.lit(1), F.col("extraction_start") - 1)),
+            "read_start": F.when(later, from_line).otherwise(F.col("extraction_start")),
             "target_lines": target_lines(n, F.col("speaker_stage")),
         }
-    ).drop("_k")
+    )
+
+
+def chunk_ranges(files: DataFrame) -> DataFrame:
+    """The chunks of each file: ranges and labels, which count through all files of a work in their order."""
+    return with_ranges(chunked_files(files).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))).drop("_k", "_index", "_before")
 
 
-def chunk_lines(ranges: DataFrame, lines: DataFrame) -> DataFrame:
-    """lines with their chunk: the chunk's number is computed from the line's, so the join is an equi-join on the file."""
-    files = ranges.select("work_id", "doc_id", "chunk_size", "chunks").distinct()
-    numbered = lines.join(files, "doc_id").withColumn("_k", F.least(F.floor((F.col("line_no") - 1) / F.col("chunk_size")), F.col("chunks") - 1))
-    keys = ranges.select("doc_id", F.floor((F.col("extraction_start") - 1) / F.col("chunk_size")).alias("_k"), "chunk_id")
-    return numbered.join(keys, ["doc_id", "_k"]).select("work_id", "doc_id", "chunk_id", "line_no", "text")
+def lines_in_chunks(chunked: DataFrame, lines: DataFrame) -> DataFrame:
+    """lines with the columns of their chunked file and the number _k of their chunk, by arithmetic on the line's number."""
+    k = F.least(F.floor((F.col("line_no") - 1) / F.col("chunk_size")), F.col("chunks") - 1).cast("int")
+    return lines.join(chunked, "doc_id").withColumn("_k", k)
+
+
+def chunk_lines(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """work_id, doc_id, chunk_id, line_no, text: the lines that each chunk extracts."""
+    return with_ranges(lines_in_chunks(chunked_files(files), lines)).select("work_id", "doc_id", "chunk_id", "line_no", "text")
 
 
 def chunk_plan(files: DataFrame, lines: DataFrame, fingerprints: bool = True) -> DataFrame:
-    """The plan: ranges with tokens, duration, least blocks and a fingerprint of each chunk."""
-    ranges = chunk_ranges(files)
-    parts = chunk_lines(ranges, lines)
-    told = [token_estimate(F.col("text")).alias("chunk_tokens")]
+    """The plan: ranges with tokens, duration, least blocks and a fingerprint of each chunk.
+
+    Lines meet their file once and are grouped by chunk with the file's columns, so nothing is joined back.
+    """
+    chunked = chunked_files(files)
+    told = [token_estimate().alias("chunk_tokens")]
     if fingerprints:
         told.append(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]), "\n").alias("_text"))
-    own = ranges.join(parts.groupBy("doc_id", "chunk_id").agg(*told), ["doc_id", "chunk_id"], "left")
-    tokens = F.coalesce("chunk_tokens", F.lit(0))
+    own = with_ranges(with_sizes(lines_in_chunks(chunked, lines)).groupBy(*chunked.columns, "_k").agg(*told))
     count = F.col("extraction_end") - F.col("extraction_start") + 1
     seconds = F.when(F.col("seconds") > 0, F.bround(F.col("seconds") * (count / F.greatest(F.col("lines"), F.lit(1))), 0)).otherwise(0).cast("long")
-    own = own.withColumns({"chunk_tokens": tokens, "approx_duration_seconds": seconds})
+    own = own.withColumn("approx_duration_seconds", seconds)
     own = own.withColumn("min_blocks", min_blocks(count, F.col("chunk_tokens"), F.col("approx_duration_seconds")))
     if fingerprints:
-        parts_of = [F.col("doc_id").cast("string"), F.col("speaker_stage"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("extraction_start", "extraction_end", "context_start", "context_end")], F.coalesce("_text", F.lit(""))]
+        parts_of = [F.col("doc_id").cast("string"), F.col("speaker_stage"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("extraction_start", "extraction_end", "context_start", "context_end")], F.col("_text")]
         own = own.withColumn("chunk_fingerprint", X.short_hash(F.concat_ws("\n", *parts_of)))
     kept = ["work_id", "doc_id", "chunk_id", "context_start", "context_end", "extraction_start", "extraction_end", "read_start", "read_end", "chunk_size", "overlap", F.col("chunk_tokens").alias("estimated_tokens"), "approx_duration_seconds", "min_blocks", "target_lines", "content_mode", "speaker_stage"]
     return own.select(*kept, *(["chunk_fingerprint"] if fingerprints else []))
@@ -175,12 +206,7 @@ def chunk_plan(files: DataFrame, lines: DataFrame, fingerprints: bool = True) ->
 
 def planned(meta: DataFrame, lines: DataFrame, hints: DataFrame | None = None, fingerprints: bool = True) -> DataFrame:
     """From file meta (work_id, doc_id, ...) and lines to the plan of each work."""
-    works = classified(meta, hints).select("work_id", "speaker_stage", "content_mode", "override_seconds", F.col("lines").alias("_all"))
-    files = meta.join(works, "work_id")
-    own = X.duration_seconds("duration_estimate")
-    share = F.bround(F.col("override_seconds") * (F.col("lines") / F.greatest(F.lit(1), F.col("_all"))), 0).cast("long")
-    files = files.withColumn("seconds", F.when(F.col("override_seconds") > 0, share).otherwise(own))
-    return chunk_plan(files.select("work_id", "doc_id", "lines", "estimated_tokens", "seconds", "speaker_stage", "content_mode"), lines, fingerprints)
+    return chunk_plan(classified_files(meta, hints), lines, fingerprints)
 
 
 def fingerprint(files: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def doc_lines_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def doc_token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doc_lines(spark, sf_dir).groupBy("doc_id").agg(LN.token_estimate(F.col("text")).alias("estimated_tokens"))
+    return LN.with_sizes(doc_lines(spark, sf_dir)).groupBy("doc_id").agg(LN.token_estimate().alias("estimated_tokens"))
 
 
 @query
@@ -110,10 +110,7 @@ def source_chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = source_lines(spark, sf_dir)
-    plan = PL.planned(source_meta(lines), lines, fingerprints=False)
-    files = plan.groupBy("work_id", "doc_id").agg(F.max("chunk_size").alias("chunk_size"), F.count("*").alias("chunks"))
-    ranges = plan.join(files.select("doc_id", "chunks"), "doc_id")
-    parts = PL.chunk_lines(ranges, lines)
+    parts = PL.chunk_lines(PL.classified_files(source_meta(lines)), lines)
     return longs(parts.groupBy("doc_id", "chunk_id").agg(F.count("*").alias("lines"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.sum(F.length("text")).alias("chars")), "first_line", "last_line")
 
 
