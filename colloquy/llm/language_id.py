@@ -4,8 +4,8 @@ Each language has a codeword of bits. One linear classifier per bit (logistic lo
 lower-cased letters of a text) predicts it. Decoding adds up the loss of each language's codeword under the bits'
 margins and takes the language of the smallest loss; where the second is within AMBIGUOUS of it, the text is flagged.
 
-Training reads at most PER_LANGUAGE labelled rows of each of at most LANGUAGES languages (a documented bound; rows are
-picked by a hash of their ids); prediction reads whole texts, in one map pass without a shuffle.
+Training reads at most PER_LANGUAGE labelled rows of each of at most LANGUAGES languages, SAMPLE_ROWS in all (documented
+bounds; rows are picked by a hash of their ids); prediction reads whole texts, in one map pass without a shuffle.
 
 Defined results: a null text or one without a letter is `und` with score 0; without any labelled row every text is
 `und`; ties go to the first language by name; a null doc_id counts as the text 'null' in the split; other columns are
@@ -26,6 +26,8 @@ from colloquy.llm.common import add_columns, crc_mod, keep_where
 
 DIMENSIONS = 4096
 PER_LANGUAGE, LANGUAGES = 800, 64
+#: Rows of the sample in all (8 KB each on the driver); with many languages each gets its share.
+SAMPLE_ROWS = 6400
 AMBIGUOUS = 0.5
 EPOCHS, RATE, BATCH = 6, 0.4, 32
 #: Bits of a codeword: all splits of up to 5 languages, else this many random ones.
@@ -123,7 +125,8 @@ def fitted(docs: DataFrame, labelled: Column, lang: str = "lang", text: str = "t
     counts = found.groupBy(F.col(lang).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return train([])
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.25 * PER_LANGUAGE / r["count"]))])
+    most = min(PER_LANGUAGE, SAMPLE_ROWS // len(counts))
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.25 * most / r["count"]))])
     key = F.xxhash64(F.col("doc_id").cast("string"), F.lit(61))
     picked = found.filter(F.shiftrightunsigned(key, 11) < share[F.col(lang).cast("string")] * float(1 << 53))
 
@@ -131,11 +134,11 @@ def fitted(docs: DataFrame, labelled: Column, lang: str = "lang", text: str = "t
         return {"features": pa.array([r.tobytes() for r in features(part.column("text").to_pylist()).astype(np.float16)], pa.binary())}
 
     sample = picked.select(F.col(lang).cast("string").alias("lang"), key.alias("key"), F.col(text).cast("string").alias("text"))
-    rows = add_columns(sample, {"text": F.col("text")}, {"features": "binary"}, make, "text", 1 << 20).drop("text").orderBy("lang", "key").limit(2 * PER_LANGUAGE * len(counts)).collect()
+    rows = add_columns(sample, {"text": F.col("text")}, {"features": "binary"}, make, "text", 1 << 20).drop("text").orderBy("lang", "key").limit(2 * most * len(counts)).collect()
     taken: dict[str, int] = {}
     kept = []
     for r in rows:
-        if taken.get(r["lang"], 0) < PER_LANGUAGE:
+        if taken.get(r["lang"], 0) < most:
             taken[r["lang"]] = taken.get(r["lang"], 0) + 1
             kept.append((r["lang"], r["features"]))
     return train(kept)
