@@ -53,8 +53,8 @@ def first_filled(*columns: Column) -> Column:
 
 def split_lines(c: Column | str) -> Column:
     """The lines of a text, without an empty one after a last line break."""
-    parts = F.split(col(c), LINE_BREAK, -1)
-    return F.when(col(c) == "", F.array().cast("array<string>")).otherwise(F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
+    cut = lambda parts: F.slice(parts, 1, F.when(F.element_at(parts, -1) == "", F.size(parts) - 1).otherwise(F.size(parts)))
+    return let(F.split(col(c), LINE_BREAK, -1), cut)
 
 
 def any_of(words: tuple[str, ...], c: Column) -> Column:

@@ -16,8 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than there are cores is dealt out once, as one file may be one task; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines_of(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines_of(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,8 +34,8 @@ def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from colloquy.functions.text import split_lines
 
-    docs = table(spark, sf_dir, "documents").filter("text is not null").select("source", "doc_id", split_lines("text").alias("_lines"))
-    counts = docs.select("source", "doc_id", F.floor(F.col("doc_id") / STRIDE).alias("_g"), F.size("_lines").alias("_n"))
+    docs = spread(table(spark, sf_dir, "documents").select("source", "doc_id", "text")).filter("text is not null")
+    counts = docs.select("source", "doc_id", F.floor(F.col("doc_id") / STRIDE).alias("_g"), F.size(split_lines("text")).alias("_n"))
     groups = counts.groupBy("source", "_g").agg(F.sum("_n").alias("_all"))
     w = Window.partitionBy("source").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.withColumn("_base", F.coalesce(F.sum("_all").over(w), F.lit(0))).drop("_all")
@@ -37,7 +43,7 @@ def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     within = counts.withColumn("_before", F.coalesce(F.sum("_n").over(own), F.lit(0)))
     offsets = within.join(groups, ["source", "_g"]).select(F.col("doc_id").alias("_doc"), (F.col("_base") + F.col("_before")).alias("_offset"))
     placed = docs.join(offsets, F.col("doc_id") == F.col("_doc"))
-    one = placed.select(F.col("source").alias("doc_id"), "_offset", F.posexplode("_lines").alias("_pos", "text"))
+    one = placed.select(F.col("source").alias("doc_id"), "_offset", F.posexplode(split_lines("text")).alias("_pos", "text"))
     return one.select("doc_id", (F.col("_offset") + F.col("_pos") + 1).cast("int").alias("line_no"), "text")
 
 
