@@ -8,8 +8,9 @@ the template without being much longer than it.
 Templates are phrases, which must stand whole (every vote on one diagonal; these are the base places), and notices. The
 template table is fixed, about 300 rows; it is the one side of the join that is broadcast.
 
-Everything about a text is brought together by (doc_id, hash of the text) with one shuffle of the votes, which are few;
-each text also votes once for a marker, so that texts without any match keep their row, and as often as rows repeat.
+Votes are few. They are counted before they are shuffled, then everything about a text is brought together by (doc_id,
+hash of the text); each text also votes once for a marker, so that texts without any match keep their row, and as often
+as rows repeat.
 
 Defined results: null or empty texts have no words and labels; a null doc_id keeps its row; repeated rows get a row each;
 other columns are ignored.
@@ -111,7 +112,8 @@ def votes(docs: DataFrame, spark: SparkSession) -> DataFrame:
     hits = hits.select("doc_id", "_key", "n_words", "template", (word - F.col("place")).alias("diagonal"), word.alias("word"))
     marked = F.col("template") == MARKER
     by = ["doc_id", "_key", "n_words", "template", F.when(marked, F.lit(0)).otherwise(F.col("diagonal")).alias("diagonal"), F.when(marked, F.lit(0)).otherwise(F.col("word")).alias("word")]
-    once = hits.select(*by).repartition("doc_id", "_key").groupBy("doc_id", "_key", "n_words", "template", "diagonal", "word").agg(F.count("*").alias("_rows"))
+    # Rows that repeat a document are counted before any shuffle; then all votes of a text go to one place, for every step to come.
+    once = hits.select(*by).groupBy("doc_id", "_key", "n_words", "template", "diagonal", "word").agg(F.count("*").alias("_rows")).repartition("doc_id", "_key")
     return once.groupBy("doc_id", "_key", "n_words", "template", "diagonal").agg(F.min("word").alias("first"), F.max("word").alias("last"), F.count("*").alias("votes"), F.max("_rows").alias("_rows"))
 
 
