@@ -32,8 +32,8 @@ from colloquy.llm.common import add_columns
 
 NEVER = 1 << 60
 #: What a worker remembers at most: words, and states of prefixes.
-MOST_WORDS, MOST_STATES = 350_000, 250_000
-STEP = 2 << 20
+MOST_WORDS, MOST_STATES = 300_000, 200_000
+STEP = 1 << 20
 
 
 def byte_letters() -> list[str]:

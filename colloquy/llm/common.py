@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 #: Bytes of text that one step of a Python worker handles at once; a single longer text is a step of its own.
 STEP_BYTES = 4 << 20
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: What Spark says where nobody has set the bound.
 DEFAULT_BATCH_BYTES = f"{64 << 20}b"
 
@@ -122,7 +122,7 @@ def keep_where(docs: DataFrame, test: Callable[[list[str | None]], list[bool]],
 class Ids(dict):
     """Word (bytes) to a 64-bit hash, remembered; forgets everything when it holds `most` words."""
 
-    def __init__(self, most: int = 400_000) -> None:
+    def __init__(self, most: int = 150_000) -> None:
         super().__init__()
         self.most = most
 
