@@ -4,7 +4,11 @@ A tokenizer and a tree builder with implied tags (a new paragraph closes the ope
 on) make a tree; visibility rules leave out what a browser doesn't show (head matter, scripts, styles, templates,
 `hidden`, `display:none`, ...). The renderer emits all visible text: blocks on lines of their own with blank lines
 between paragraphs, list items with bullets or numbers and indentation, table cells padded to the widths of their
-columns, and preformatted text as it is.
+columns, and preformatted text as it is. Formulas are written on one line with `/` for a fraction's bar; of a drawing the
+text elements count, of a drop-down the option that it shows, of a list box all options; an object is taken as one that
+can't be loaded, so that its fallback is shown.
+
+Left out, although a browser shows them: elements with `aria-hidden=true`, and the content of `textarea`.
 
 One map pass, whole pages, no shuffle; memory is bounded by the largest page.
 
@@ -26,11 +30,14 @@ from colloquy.llm.common import add_columns
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never shown.
-UNSEEN = frozenset("head script style template noscript title meta link svg math iframe object audio video canvas datalist select textarea".split())
+UNSEEN = frozenset("head script style template noscript title meta link iframe audio video canvas datalist textarea annotation annotation-xml".split())
+#: Elements with a layout of their own, and what of a drawing is only referred to or told.
+DRAWN = frozenset("math svg select".split())
+UNDRAWN = frozenset("defs symbol clippath mask pattern marker desc metadata".split())
 #: Elements whose content is text up to their own end tag.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Blocks, and those that stand apart by a blank line.
-BLOCK = frozenset("address article aside body blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table caption tbody thead tfoot tr td th ul".split())
+BLOCK = frozenset("address article aside body blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu mtr nav ol optgroup option p pre search section summary table caption tbody thead tfoot tr td th ul".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl figure article section hr form fieldset details".split())
 #: A start tag closes an open element of these, up to the named borders.
 CLOSES = {
@@ -251,6 +258,8 @@ def render(children: list[Node | str], lines: Lines) -> None:
         block, apart = tag in BLOCK, tag in APART
         if block:
             lines.end(apart)
+        if tag in ("svg", "mtd"):
+            lines.text(" ")
         if tag == "table":
             render(outside_rows(node), lines)
             lines.end()
@@ -264,6 +273,12 @@ def render(children: list[Node | str], lines: Lines) -> None:
             items(node, lines)
         elif tag in ("blockquote", "dd"):
             indented(node.children, lines, "> " if tag == "blockquote" else "    ")
+        elif tag == "svg":
+            drawing(node.children, lines)
+        elif tag == "select":
+            choice(node, lines)
+        elif tag == "mfrac":
+            fraction(node, lines)
         elif tag == "hr":
             pass
         else:
@@ -272,6 +287,65 @@ def render(children: list[Node | str], lines: Lines) -> None:
             lines.end(apart)
 
 
+def drawing(children: list[Node | str], lines: Lines) -> None:
+    """The text elements of an svg, and the markup within."""
+    for node in children:
+        if isinstance(node, str) or node.tag in UNDRAWN or not visible(node):
+            continue
+        if node.tag in ("text", "foreignobject"):
+            lines.text(" ")
+            render(node.children, lines)
+            lines.text(" ")
+        else:
+            drawing(node.children, lines)
+
+
+def fraction(node: Node, lines: Lines) -> None:
+    """The parts of an mfrac with the bar between them; parts of several signs stand in brackets."""
+    for k, part in enumerate(c for c in node.children if isinstance(c, Node) and visible(c)):
+        inner = Lines()
+        render([part], inner)
+        inner.end()
+        text = " ".join(inner.out)
+        lines.text(("/" if k else "") + (text if len(text) < 2 or text.isdecimal() else f"({text})"))
+
+
+def choice(node: Node, lines: Lines) -> None:
+    """The option that a drop-down shows; all groups and options of a list box."""
+    size = node.attrs.get("size", "")
+    listed = "multiple" in node.attrs or (size.isdecimal() and int(size) > 1)
+    found: list[tuple[Node, bool]] = []
+
+    def collect(within: Node, disabled: bool) -> None:
+        for c in within.children:
+            if not isinstance(c, Node) or not visible(c):
+                continue
+            off = disabled or "disabled" in c.attrs
+            if c.tag == "option":
+                found.append((c, off))
+            elif listed and c.tag == "optgroup" and c.attrs.get("label"):
+                found.append((Node("optgroup", c.attrs), off))
+            if c.tag != "option":
+                collect(c, disabled or (c.tag == "optgroup" and off))
+
+    collect(node, False)
+    if not listed:
+        options = [c for c, _ in found if "selected" in c.attrs][-1:] or [c for c, off in found if not off][:1]
+    else:
+        options = [c for c, _ in found]
+    for c in options:
+        if listed:
+            lines.end()
+        else:
+            lines.text(" ")
+        label = c.attrs.get("label")
+        render([label] if label else c.children, lines)
+        if listed:
+            lines.end()
+        else:
+            lines.text(" ")
+
+
 def plain(node: Node) -> list[str]:
     out = []
     for c in node.children:
@@ -279,6 +353,11 @@ def plain(node: Node) -> list[str]:
             out.append(c)
         elif c.tag == "br":
             out.append("\n")
+        elif c.tag in DRAWN and visible(c):
+            inner = Lines()
+            render([c], inner)
+            inner.end()
+            out.append("\n".join(inner.out))
         elif visible(c):
             out += plain(c)
     return out

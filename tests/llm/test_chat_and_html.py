@@ -80,6 +80,29 @@ def test_rendering():
     assert html_text.extract(None) == html_text.extract("") == ""
 
 
+SHOWN = [
+    ("so <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mrow><mn>2</mn><mi>y</mi></mrow></mfrac></math> holds", "so x=1/(2y) holds"),
+    ("<math><mfrac><mn>1</mn><mrow><mi>a</mi><mo>+</mo><mi>b</mi></mrow></mfrac></math>", "1/(a+b)"),
+    (
+        '<span class="katex"><span class="katex-mathml"><math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi></mrow><annotation encoding="application/x-tex">E=m</annotation></semantics></math></span>'
+        '<span class="katex-html" aria-hidden="true"><span>E</span><span>=</span><span>m</span></span></span> is known',
+        "E=m is known",
+    ),
+    ("<p>a<svg><title>t</title><desc>d</desc><defs><text>no</text></defs><g><text x=1>one<tspan>two</tspan></text><path d='M0'/></g><text>three</text></svg>b", "a onetwo three b"),
+    ("<p>Pick <select><option>red<option selected>green<option>blue</select> now", "Pick green now"),
+    ("<select><option disabled>none<option label='Red one'>r<option>g</select>", "Red one"),
+    ("<select multiple><optgroup label=Warm><option>red<option>pink</optgroup><optgroup label=Cold><option>blue</select>", "Warm\nred\npink\nCold\nblue"),
+    ("<object data=a.swf><param name=x><p>No player</p></object>after", "No player\n\nafter"),
+    ("<pre>a <select><option>b</select>\nc</pre>", "a b\nc"),
+    ("<svg><foreignObject><div>in</div></foreignObject></svg>", "in"),
+]
+
+
+def test_rendered_elements_are_shown():
+    for html, want in SHOWN:
+        assert html_text.extract(html) == want, html
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="<>/abpuliotrdh =\"'!-&;é", max_size=80))
 def test_any_markup_is_rendered(html):
