@@ -1,12 +1,14 @@
 """License scans by diagonal voting.
 
 All rolling word k-gram hashes of every text are joined by Spark with the places of the templates' k-grams. A match at
-word p of the text and place q of a template votes for the diagonal p - q. Votes are counted per diagonal, neighbouring
-diagonals (insertions and deletions shift them) are merged into spans, and a span counts if its votes cover enough of
-the template without being much longer than it.
+word p of the text and place q of a template votes for the diagonal p - q. Votes are collected per diagonal, chains of
+votes over neighbouring diagonals (insertions and deletions shift them) are spans, and a span counts if its votes cover
+enough of the template's words without being much longer than it.
 
-Templates are phrases, which must stand whole (every vote on one diagonal; these are the base places), and notices. The
-template table is fixed, about 300 rows; it is the one side of the join that is broadcast.
+Templates are phrases, which must stand whole (every vote on one diagonal; these are the base places), and notices. Short
+notices have 2-grams, also with a word between, so that an edit costs a word and not all votes; their TELLING words must be
+covered, and no word of BARRED may stand between, which makes it another license.
+The template table is fixed, under 1000 rows; it is the one side of the join that is broadcast.
 
 Votes are few. They are counted before they are shuffled, then everything about a text is brought together by (doc_id,
 hash of the text); each text also votes once for a marker, so that texts without any match keep their row, and as often
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import bounded_batches, slices, windows, Ids
@@ -44,11 +46,21 @@ NOTICES = (
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc-notice"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("all rights reserved", "all-rights-reserved"),
     ("all rights reserved no part of this publication may be reproduced", "all-rights-reserved"),
 )
 PHRASE_K, NOTICE_K = 2, 4
-#: Diagonals this near are merged; the share of a notice's votes that a span needs; the span's length against the notice's.
-NEIGHBOURS, VOTES, STRETCH = 3, 0.7, 1.5
+#: Notices of up to so many words are short.
+SHORT_WORDS = 12
+#: The steps between diagonals of a span; the share of a long or short notice's words that a span needs; its length against the notice's.
+NEIGHBOURS, SHARE, SHORT_SHARE, STRETCH = 3, 0.7, 0.8, 1.5
+#: Words that a span of a short notice needs wherever the notice has them, beside numbers; words that make it another license.
+TELLING = frozenset("apache mit cc by nc sa gnu general public unencumbered".split())
+BARRED = {"cc": ("nc", "nd", "sa"), "gnu": ("lesser", "library", "affero")}
+#: Added to a notice's number where a k-gram has a barred word at its second or first place.
+BARRED_AFTER, BARRED_BEFORE = 1000, 2000
+#: Added to it for 2-grams with a word between, which have a width and a hash of their own.
+SKIPPED, SKIP_K, SKIP_HASH = 3000, 3, np.uint64(0x5851F42D4C957F2D)
 MARKER = -1
 #: Lower-cases A-Z; ASCII other than digits and letters separates words.
 _TABLE = bytes(i + 32 if 0x41 <= i <= 0x5A else i if 0x30 <= i <= 0x39 or 0x61 <= i <= 0x7A or i >= 0x80 else 0x20 for i in range(256))
@@ -59,22 +71,75 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def grams(ids: np.ndarray) -> np.ndarray:
-    """The hashes of all word 2-grams, then of all 4-grams."""
-    return np.concatenate([windows(ids, PHRASE_K), windows(ids, NOTICE_K)])
+    """The hashes of all word 2-grams, then of all 4-grams, then of all 2-grams with a word between."""
+    skipped = np.empty(max(len(ids) - 2, 0), np.uint64)
+    skipped[::2], skipped[1::2] = windows(ids[::2], PHRASE_K), windows(ids[1::2], PHRASE_K)
+    return np.concatenate([windows(ids, PHRASE_K), windows(ids, NOTICE_K), skipped ^ SKIP_HASH])
 
 
-def template_rows() -> tuple[list[tuple[int, int, int]], list[tuple[int, str, bool, int, int]]]:
-    """(hash, template, place) of all template k-grams, and (template, label, phrase, words, votes that a whole one gives)."""
+def template_rows() -> tuple[list[tuple[int, int, int, int]], list[tuple[int, str, bool, int, int, int]]]:
+    """(hash, template, place, k) of all template k-grams, and (template, label, phrase, words, k, k-grams of a whole one)."""
     places, templates = [], []
     ids = Ids()
+
+    def hashes(words: list[bytes], k: int) -> list[int]:
+        return windows(ids.array(words), k).view(np.int64).tolist()
+
     for number, (text, label) in enumerate([*PHRASES, *NOTICES]):
         phrase = number < len(PHRASES)
         words = words_of(text.encode())
-        own = windows(ids.array(words), PHRASE_K if phrase else NOTICE_K).view(np.int64).tolist()
-        places += [(h, number, q) for q, h in enumerate(own)]
-        templates.append((number, label, phrase, len(words), len(own)))
+        k = PHRASE_K if phrase or len(words) <= SHORT_WORDS else NOTICE_K
+        own = hashes(words, k)
+        places += [(h, number, q, k) for q, h in enumerate(own)]
+        templates.append((number, label, phrase, len(words), k, len(own)))
+        if phrase or k == NOTICE_K:
+            continue
+        places += [(h, SKIPPED + number, q, SKIP_K) for q, h in enumerate((np.array(own).view(np.uint64) ^ SKIP_HASH).view(np.int64).tolist())]
+        for x in (x.encode() for name, barred in BARRED.items() if name.encode() in words for x in barred):
+            for q in range(len(words) - 1):
+                if words[q + 1] != x:
+                    places += [(hashes([words[q], x], k)[0], BARRED_AFTER + number, q, k)]
+                if words[q] != x:
+                    places += [(hashes([x, words[q + 1]], k)[0], BARRED_BEFORE + number, q, k)]
     marker = np.uint64(1).view(np.int64).item()
-    return [*places, (marker, MARKER, 0)], templates
+    return [*places, (marker, MARKER, 0, PHRASE_K)], templates
+
+
+def best_span(hits: list[tuple[int, int]], barred: set[int], words: list[bytes], k: int) -> tuple[float, int] | None:
+    """The largest share of a notice's words that a span of (word, place) hits of k words covers, and its diagonal; None if none counts."""
+    short = k == 1
+    n, most = len(words), STRETCH * len(words)
+    telling = [0]  # how many telling words stand before each place
+    for x in words:
+        telling.append(telling[-1] + (short and (x.isdigit() or x.decode() in TELLING)))
+    hits = sorted(set(hits))
+    # Per hit: the words covered by the chain that ends in it, by the chain's first hit.
+    chains: list[dict[tuple[int, int], int]] = []
+    best = None
+    low = 0
+    for j, (p, q) in enumerate(hits):
+        own: dict[tuple[int, int], int] = {}
+        if not telling[q]:
+            own[p, q] = k
+        while p + k - hits[low][0] > most:
+            chains[low] = {}
+            low += 1
+        for i in range(low, j):
+            a, b = hits[i]
+            if a == p or b >= q or abs((p - q) - (a - b)) > NEIGHBOURS or telling[q] > telling[min(b + k, q)]:
+                continue
+            if barred and any(x in barred for x in range(a + k, p)):
+                continue
+            for start, covered in chains[i].items():
+                if p + k - start[0] <= most:
+                    own[start] = max(own.get(start, 0), covered + min(k, q - b, p - a))
+        chains.append(own)
+        if telling[n] == telling[min(q + k, n)]:
+            for (a, b), covered in own.items():
+                share = covered / n
+                if share >= (SHORT_SHARE if short else SHARE) and (best is None or share > best[0]):
+                    best = (share, a - b)
+    return best
 
 
 def gram_arrays(docs: DataFrame) -> DataFrame:
@@ -101,36 +166,51 @@ def gram_arrays(docs: DataFrame) -> DataFrame:
 
 
 def votes(docs: DataFrame, spark: SparkSession) -> DataFrame:
-    """doc_id, _key, n_words, template, diagonal, first (smallest word), last, votes: matches counted per diagonal."""
+    """doc_id, _key, n_words, template, diagonal, places, votes: matches counted per diagonal."""
     places, _ = template_rows()
-    templates = F.broadcast(spark.createDataFrame(places, "gram long, template int, place long"))  # about 300 rows, fixed
+    templates = F.broadcast(spark.createDataFrame(places, "gram long, template int, place long, k int"))  # under 1000 rows, fixed
     every = gram_arrays(docs).select("doc_id", "_key", "n_words", F.posexplode("grams").alias("at", "gram"))
     hits = every.join(templates, "gram")
     twos = F.greatest(F.col("n_words") - (PHRASE_K - 1), F.lit(0))
-    word = F.when(F.col("template") < len(PHRASES), F.col("at")).otherwise(F.col("at") - twos)
-    # A 2-gram's hash differs from any 4-gram's, so that the template tells which of the two lists `at` counts in.
+    fours = F.greatest(F.col("n_words") - (NOTICE_K - 1), F.lit(0))
+    word = F.when(F.col("k") == PHRASE_K, F.col("at")).when(F.col("k") == NOTICE_K, F.col("at") - twos).otherwise(F.col("at") - twos - fours)
+    # The three kinds of k-grams have different hashes, so that the template tells which of the lists `at` counts in.
     hits = hits.select("doc_id", "_key", "n_words", "template", (word - F.col("place")).alias("diagonal"), word.alias("word"))
     marked = F.col("template") == MARKER
     by = ["doc_id", "_key", "n_words", "template", F.when(marked, F.lit(0)).otherwise(F.col("diagonal")).alias("diagonal"), F.when(marked, F.lit(0)).otherwise(F.col("word")).alias("word")]
     # Rows that repeat a document are counted before any shuffle; then all votes of a text go to one place, for every step to come.
     once = hits.select(*by).groupBy("doc_id", "_key", "n_words", "template", "diagonal", "word").agg(F.count("*").alias("_rows")).repartition("doc_id", "_key")
-    return once.groupBy("doc_id", "_key", "n_words", "template", "diagonal").agg(F.min("word").alias("first"), F.max("word").alias("last"), F.count("*").alias("votes"), F.max("_rows").alias("_rows"))
+    return once.groupBy("doc_id", "_key", "n_words", "template", "diagonal").agg(F.collect_list(F.col("word") - F.col("diagonal")).alias("places"), F.count("*").alias("votes"), F.max("_rows").alias("_rows"))
 
 
 def spans(voted: DataFrame, spark: SparkSession) -> DataFrame:
     """Verified spans: doc_id, _key, n_words, template, label, phrase, diagonal, share, _rows; markers among them."""
     _, rows = template_rows()
-    told = F.broadcast(spark.createDataFrame(rows, "template int, label string, phrase boolean, words int, whole int"))
-    known = voted.join(told, "template", "left")
+    told = F.broadcast(spark.createDataFrame(rows, "template int, label string, phrase boolean, words int, k int, whole int"))
+    own = F.when(F.col("template") >= BARRED_AFTER, F.col("template") % BARRED_AFTER).otherwise(F.col("template"))
+    known = voted.withColumn("_kind", F.when(F.col("template") >= BARRED_AFTER, F.col("template") - own).otherwise(0)).withColumn("template", own).join(told, "template", "left")
     phrases = known.filter("phrase and votes = whole").withColumn("share", F.lit(1.0))
-    w = Window.partitionBy("doc_id", "_key", "n_words", "template").orderBy("diagonal", "first")
-    near = (F.col("diagonal") - F.lag("diagonal").over(w) <= NEIGHBOURS) & (F.col("first") - F.lag("last").over(w) <= F.col("words"))
-    merged = known.filter("not phrase").withColumn("_new", F.when(near, 0).otherwise(1)).withColumn("_span", F.sum("_new").over(w))
-    merged = merged.groupBy("doc_id", "_key", "n_words", "template", "label", "phrase", "words", "whole", "_span").agg(
-        F.min("diagonal").alias("diagonal"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("votes").alias("votes"), F.max("_rows").alias("_rows")
+    hits = known.filter("not phrase").groupBy("doc_id", "_key", "n_words", "template", "label", "phrase", "words", "k").agg(
+        F.collect_list(F.struct("_kind", "diagonal", "places")).alias("hits"),
+        F.array_distinct(F.flatten(F.collect_list(F.when(F.col("_kind").isin(0, SKIPPED), F.col("places"))))).alias("_places"),
+        F.max("_rows").alias("_rows"),
     )
-    merged = merged.withColumn("share", F.least(F.lit(1.0), F.col("votes") / F.col("whole")))
-    merged = merged.filter((F.col("share") >= VOTES) & (F.col("last") - F.col("first") + NOTICE_K <= STRETCH * F.col("words")))
+    notices = {number: (words_of(text.encode()), k) for (number, _, phrase, _, k, _), (text, _) in zip(rows, [*PHRASES, *NOTICES], strict=True) if not phrase}
+
+    def verify(template, found):  # (share, diagonal) or None
+        words, k = notices[template]
+        own = [(d + q, q) for kind, d, places in found if kind in (0, SKIPPED) for q in places]
+        if k == NOTICE_K:
+            return best_span(own, set(), words, k)
+        # Short notices go on with single words: the second ones of their 2-grams are told by the kind.
+        own += [(d + q + (2 if kind else 1), q + 1) for kind, d, places in found if kind in (0, SKIPPED) for q in places]
+        barred = {d + q + (kind == BARRED_AFTER) for kind, d, places in found if kind in (BARRED_AFTER, BARRED_BEFORE) for q in places}
+        return best_span(own, barred, words, 1)
+
+    # Each k-gram covers k words at most; few texts have places enough to be looked at.
+    enough = F.size("_places") * F.col("k") >= SHARE * F.col("words")
+    merged = hits.filter(enough).withColumn("_span", F.udf(verify, "share double, diagonal long")("template", "hits")).filter("_span is not null")
+    merged = merged.withColumn("share", F.col("_span.share")).withColumn("diagonal", F.col("_span.diagonal"))
     out = ["doc_id", "_key", "n_words", "template", "label", "phrase", "diagonal", "share", "_rows"]
     return phrases.select(*out).unionByName(merged.select(*out)).unionByName(known.filter(F.col("template") == MARKER).withColumn("share", F.lit(0.0)).select(*out))
 

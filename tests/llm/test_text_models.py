@@ -180,3 +180,27 @@ def test_licenses_on_documents(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in d.collect()}
     for r in LC.scan(d).collect():
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == brute_licenses(texts[r["doc_id"]])
+
+
+EDITED = [
+    ("released under an MIT license", "mit-release"), ("Licensed under the terms of the Apache License, Version 2.0", "apache-2.0"), ("All rights reserved.", "all-rights-reserved"),
+    ("released under licence, released under the mit license", "mit-release"), ("This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0", "mpl-2.0"),
+]
+OTHERS = [
+    ("licensed under cc by nc 4 0", "cc-by-4.0"), ("licensed under cc by nd 4 0", "cc-by-4.0"), ("licensed under cc by nc sa 4 0", "cc-by-nc-4.0"), ("licensed under cc by nc sa 4 0", "cc-by-sa-4.0"),
+    ("licensed under the apache license version 1 1", "apache-2.0"), ("this work is licensed under the gnu lesser general public license version 3", "gpl-3.0"),
+    ("this work is licensed under the gnu general public license version 2", "gpl-3.0"), ("licensed under cc by 3 0", "cc-by-4.0"), ("released under the bsd license", "mit-release"),
+]
+
+
+def test_short_notices_with_an_inserted_word(spark):
+    inserted = [
+        (" ".join([*w[:i], "word", *w[i:]]), label)
+        for notice, label in LC.NOTICES
+        if 3 < len(w := notice.split()) <= 12
+        for i in range(1, len(w))
+    ]
+    cases = EDITED + inserted
+    rows = {r["doc_id"]: r["labels"].split(",") for r in LC.scan(docs(spark, *[t for t, _ in cases + OTHERS])).collect()}
+    assert len(inserted) > 50 and [c for i, c in enumerate(cases) if c[1] not in rows[i]] == []
+    assert [c for i, c in enumerate(OTHERS, len(cases)) if c[1] in rows[i]] == []
