@@ -141,6 +141,17 @@ def test_bands_reject_both_ends(spark):
     assert not rows[0]["kept"] and rows[0]["ratio"] > 0.6 and not rows[1]["kept"]
 
 
+def test_long_documents_with_a_little_repetition(spark):
+    rows = table(spark, "/root/testdata/sf0.1", "documents").filter("lang in ('de', 'es') and length(text) > 800").orderBy("doc_id").select("lang", "text").collect()
+    z, ids = zstandard.ZstdCompressor(level=QR.LEVEL), QR.Ids()
+    for lang in ("de", "es"):
+        long = "\n".join(dict.fromkeys(r["text"] for r in rows if r["lang"] == lang and QR.judged(r["text"].encode(), ids, z)[-1])).encode()[:1_000_000]
+        for size in (200_000, 1_000_000):
+            assert QR.compression(z, long[:size])[2] and QR.compression(z, long[:size] + long[: size * 6 // 100])[2]
+            assert not QR.compression(z, long[:size] + long[:size])[2]
+        assert QR.judged(long + long[:60_000], ids, z)[-1]
+
+
 # Licenses
 
 
