@@ -4,8 +4,8 @@ Each language has a codeword of bits. One linear classifier per bit (logistic lo
 lower-cased letters of a text) predicts it. Decoding adds up the loss of each language's codeword under the bits'
 margins and takes the language of the smallest loss; where the second is within AMBIGUOUS of it, the text is flagged.
 
-Training reads at most PER_LANGUAGE labelled rows of each of at most LANGUAGES languages, SAMPLE_ROWS in all (documented
-bounds; rows are picked by a hash of their ids); prediction reads whole texts, in one map pass without a shuffle.
+Training covers every language. It reads at most PER_LANGUAGE labelled rows of each, SAMPLE_ROWS in all, but LEAST_ROWS of
+each however many there are (documented bounds; rows are picked by a hash of their ids); prediction reads whole texts, in one map pass without a shuffle.
 
 Defined results: a null text or one without a letter is `und` with score 0; without any labelled row every text is
 `und`; ties go to the first language by name; a null doc_id counts as the text 'null' in the split; other columns are
@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import add_columns, crc_mod, keep_where
 
 DIMENSIONS = 4096
-PER_LANGUAGE, LANGUAGES = 800, 64
+PER_LANGUAGE, LEAST_ROWS = 800, 8
 #: Rows of the sample in all (8 KB each on the driver); with many languages each gets its share.
 SAMPLE_ROWS = 6400
 AMBIGUOUS = 0.5
 EPOCHS, RATE, BATCH = 6, 0.4, 32
-#: Bits of a codeword: all splits of up to 5 languages, else this many random ones.
+#: Bits of a codeword: all splits of up to 5 languages, else this many random ones, for more than 64 as the logarithm grows.
 RANDOM_BITS = 31
+#: Code comparisons and loss terms at once.
+MOST_TERMS = 1 << 22
 LETTER = re.compile(r"[^\W\d_]")
 _SPACES = bytes(i if 0x61 <= i <= 0x7A or i >= 0x80 else 0x20 for i in range(256))
 
@@ -44,8 +46,13 @@ def codewords(n: int) -> np.ndarray:
         columns = [[1 if i == 0 or i in chosen else -1 for i in range(n)] for k in range(n - 1) for chosen in combinations(range(1, n), k)]
         return np.array(columns, np.float32).T
     rng = np.random.default_rng(15)
-    tried = [rng.choice(np.array([-1, 1], np.float32), (n, RANDOM_BITS)) for _ in range(200)]
-    return max(tried, key=lambda c: (np.abs(c.sum(0)).max() < n, -int((c @ c.T - 2 * RANDOM_BITS * np.eye(n)).max())))
+    bits = max(RANDOM_BITS, int(np.ceil(RANDOM_BITS * np.log2(n) / 6)))
+    if n * n > MOST_TERMS:  # too many to compare all pairs; the codes only have to differ
+        while len(np.unique(codes := rng.choice(np.array([-1, 1], np.float32), (n, bits)), axis=0)) < n:
+            pass
+        return codes
+    tried = [rng.choice(np.array([-1, 1], np.float32), (n, bits)) for _ in range(200 if n <= 200 else 10)]
+    return max(tried, key=lambda c: (np.abs(c.sum(0)).max() < n, -int((c @ c.T - 2 * bits * np.eye(n)).max())))
 
 
 def features(texts: list[str | None]) -> np.ndarray:
@@ -72,7 +79,9 @@ class Classifier:
     def losses(self, x: np.ndarray) -> np.ndarray:
         """The loss of each language's codeword for each row."""
         margins = x @ self.weights + self.bias
-        return np.log1p(np.exp(-np.clip(margins[:, None, :] * self.codes[None, :, :], -30, 30))).sum(2)
+        step = max(1, MOST_TERMS // self.codes.size)
+        parts = [margins[at : at + step] for at in range(0, len(margins), step)]
+        return np.concatenate([np.log1p(np.exp(-np.clip(m[:, None, :] * self.codes[None, :, :], -30, 30))).sum(2) for m in parts])
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float, bool]]:
         """(language, score, margin to the second, ambiguous) for each text."""
@@ -98,7 +107,8 @@ def train(rows: list[tuple[str, bytes]]) -> Classifier:
     if len(languages) < 2:
         return Classifier(languages, codes, np.zeros((DIMENSIONS, codes.shape[1] if languages else 1), np.float32), np.ones(1, np.float32))
     x = np.frombuffer(b"".join(f for _, f in rows), np.float16).reshape(len(rows), DIMENSIONS)
-    y = np.array([languages.index(lang) for lang, _ in rows])
+    number = {lang: i for i, lang in enumerate(languages)}
+    y = np.array([number[lang] for lang, _ in rows])
     w, bias = np.zeros((DIMENSIONS, codes.shape[1]), np.float32), np.zeros(codes.shape[1], np.float32)
     seen, seen_bias = np.full_like(w, 1e-6), np.full_like(bias, 1e-6)
     rng = np.random.default_rng(6)
@@ -122,19 +132,20 @@ def train(rows: list[tuple[str, bytes]]) -> Classifier:
 def fitted(docs: DataFrame, labelled: Column, lang: str = "lang", text: str = "text") -> Classifier:
     """A classifier from a bounded sample of the labelled rows, of each language the ones with the smallest id hashes."""
     found = docs.filter(labelled & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = found.groupBy(F.col(lang).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = found.groupBy(F.col(lang).cast("string").alias("lang")).count().collect()
     if not counts:
         return train([])
-    most = min(PER_LANGUAGE, SAMPLE_ROWS // len(counts))
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.25 * most / r["count"]))])
+    most = min(PER_LANGUAGE, max(LEAST_ROWS, SAMPLE_ROWS // len(counts)))
+    enough = 1.25 * most + 16  # so many are expected; that a language has none by chance is out of the question
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, enough / r["count"])) for r in counts], "_lang string, _share double")
     key = F.xxhash64(F.col("doc_id").cast("string"), F.lit(61))
-    picked = found.filter(F.shiftrightunsigned(key, 11) < share[F.col(lang).cast("string")] * float(1 << 53))
+    picked = found.join(F.broadcast(shares), F.col(lang).cast("string") == F.col("_lang")).filter(F.shiftrightunsigned(key, 11) < F.col("_share") * float(1 << 53))
 
     def make(part: pa.RecordBatch) -> dict[str, pa.Array]:
         return {"features": pa.array([r.tobytes() for r in features(part.column("text").to_pylist()).astype(np.float16)], pa.binary())}
 
     sample = picked.select(F.col(lang).cast("string").alias("lang"), key.alias("key"), F.col(text).cast("string").alias("text"))
-    rows = add_columns(sample, {"text": F.col("text")}, {"features": "binary"}, make, "text", 1 << 20).drop("text").orderBy("lang", "key").limit(2 * most * len(counts)).collect()
+    rows = add_columns(sample, {"text": F.col("text")}, {"features": "binary"}, make, "text", 1 << 20).drop("text").orderBy("lang", "key").limit(int(2 * enough) * len(counts)).collect()
     taken: dict[str, int] = {}
     kept = []
     for r in rows:
@@ -146,7 +157,7 @@ def fitted(docs: DataFrame, labelled: Column, lang: str = "lang", text: str = "t
 
 def predict(df: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
     """df with lang_pred, score, margin and ambiguous."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS x bits x 4 bytes, at most 508 KB
+    shared = df.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS x bits x 4 bytes, 508 KB for up to 64 languages
     new = {"lang_pred": "string", "score": "double", "margin": "double", "ambiguous": "boolean"}
 
     def make(part: pa.RecordBatch) -> dict[str, pa.Array]:

@@ -52,6 +52,20 @@ def test_language_without_labels(spark):
     assert LI.identify(none.limit(0)).count() == 0
 
 
+def test_more_than_64_languages_are_learnt(spark):
+    rng = random.Random(2)
+    rows = []
+    for k in range(80):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(8)]
+        rows += [(100 * k + i, " ".join(rng.choices(words, k=40)), f"l{k:02}", "s", None) for i in range(10 + k % 7)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    model = LI.fitted(d, F.lit(True))
+    assert model.languages == [f"l{k:02}" for k in range(80)]
+    right = [model.predict([text])[0][0] == lang for _, text, lang, *_ in rows]
+    assert sum(right) >= 0.95 * len(rows)
+    assert all(len({tuple(r) for r in LI.codewords(n)}) == n for n in (65, 300, 3000))
+
+
 def test_codewords_differ():
     for n in range(2, 12):
         c = LI.codewords(n)
