@@ -1,26 +1,35 @@
 """HTML extraction by layout-aware rendering.
 
-A tokenizer and a tree builder with implied tags (a new paragraph closes the open one, a new list item the last, and so
-on) make a tree; visibility rules leave out what a browser doesn't show (head matter, scripts, styles, templates,
-`hidden`, `display:none`, ...). The renderer emits all visible text: blocks on lines of their own with blank lines
-between paragraphs, list items with bullets or numbers and indentation, table cells padded to the widths of their
-columns, and preformatted text as it is. Formulas are written on one line with `/` for a fraction's bar; of a drawing the
-text elements count, of a drop-down the option that it shows, of a list box all options; an object is taken as one that
-can't be loaded, so that its fallback is shown.
-
-Left out, although a browser shows them: elements with `aria-hidden=true`, and the content of `textarea`.
-
-One map pass, whole pages, no shuffle; memory is bounded by the largest page.
-
-Defined results: a null or empty page gives an empty text; broken markup is read as text or closed at the end, nothing
-raises; repeated rows are rendered alike; other columns are kept.
+A tokenizer and a tree builder with implied tags (a new paragraph closes the open one, a cell opens its row, and so on)
+make a tree of what a browser shows; visibility rules leave out head matter, scripts, styles, templates, `hidden`,
+`display:none`, ... The renderer emits all visible text: blocks on lines of their own with blank lines between
+paragraphs, list items with bullets or numbers and indentation, table cells padded to the widths of their columns, and
+preformatted text as it is. Formulas are written on one line with `/` for a fraction's bar; of a drawing the text
+elements count, of a drop-down the option that it shows, of a list box all options; an object is taken as one that can't
+be loaded, so that its fallback is shown; closed details count as open; scripts are taken as on (no `noscript`).
+
+`screen=True` (the query's mode) emits all that a screen shows without the page's style sheets: also elements with
+`aria-hidden=true`, the content of `textarea`, and what input fields and buttons say. The plain mode leaves these out.
+
+One map pass, whole pages, no shuffle. Time is linear in a page's length, memory is bounded by the largest page. Depth is
+not bounded; only the layout is: indentation grows up to about MOST_LEAD characters, tables within MOST_TABLES tables and those that would
+need far more padding than they have text are written row by row without aligned columns, and fractions as deep have no
+brackets. Text is never left out.
+
+Defined results: a null or empty page gives an empty text; broken markup is read as browsers read it (a tag that the
+page's end cuts off is dropped, an open element ends with the page), nothing raises; repeated rows are rendered alike;
+other columns are kept.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+from collections import defaultdict
+from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,133 +38,307 @@ from colloquy.llm.common import add_columns
 
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is never shown.
-UNSEEN = frozenset("head script style template noscript title meta link iframe audio video canvas datalist textarea annotation annotation-xml".split())
+#: Elements whose content is never shown, and those whose content only the screen mode shows.
+UNSEEN = frozenset("head script style template noscript noembed noframes title meta link iframe audio video canvas datalist rp annotation annotation-xml".split())
+SCREEN_ONLY = frozenset("textarea input".split())
 #: Elements with a layout of their own, and what of a drawing is only referred to or told.
 DRAWN = frozenset("math svg select".split())
 UNDRAWN = frozenset("defs symbol clippath mask pattern marker desc metadata".split())
-#: Elements whose content is text up to their own end tag.
-RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+#: Elements whose content is text up to their own end tag; those of RCDATA have character references.
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
+RCDATA = frozenset("textarea title".split())
+PRE = frozenset("pre xmp listing".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Blocks, and those that stand apart by a blank line.
-BLOCK = frozenset("address article aside body blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu mtr nav ol optgroup option p pre search section summary table caption tbody thead tfoot tr td th ul".split())
-APART = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl figure article section hr form fieldset details".split())
-#: A start tag closes an open element of these, up to the named borders.
+BLOCK = frozenset("address article aside body blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu mtr nav ol optgroup option p pre search section summary table caption tbody textarea thead tfoot tr td th ul xmp".split())
+APART = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre listing xmp table ul ol dl figure article section hr form fieldset details".split())
+#: A start tag closes open elements of these, up to the named borders.
+_CELLS = ("td", "th", "caption")
+_ROWS = ("thead", "tbody", "tfoot", "tr", *_CELLS)
+_SPECIAL = tuple("article aside blockquote button caption center details dir dl fieldset figcaption figure footer form header main menu nav object ol pre section select table td th ul".split())
 CLOSES = {
-    "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th", "caption"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
-    "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
-    "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
-    "option": ({"option"}, {"select", "datalist"}),
-    "optgroup": ({"option", "optgroup"}, {"select"}),
-    "body": ({"head"}, {"html"}),
+    "li": (("li",), (*_SPECIAL, "dd", "dt")),
+    "dt": (("dt", "dd"), (*_SPECIAL, "li")),
+    "dd": (("dt", "dd"), (*_SPECIAL, "li")),
+    "tr": (("tr", *_CELLS), ("table",)),
+    "td": (_CELLS, ("tr", "table")),
+    "th": (_CELLS, ("tr", "table")),
+    "tbody": (_ROWS, ("table",)),
+    "thead": (_ROWS, ("table",)),
+    "tfoot": (_ROWS, ("table",)),
+    "option": (("option",), ("select", "datalist")),
+    "optgroup": (("option", "optgroup"), ("select",)),
+    "caption": (_ROWS, ("table",)),
+    "body": (("head",), ("html",)),
+    "select": (("select",), ("html",)),
+    "input": (("select",), ("html",)),
+    "textarea": (("select",), ("html",)),
 }
 #: Start tags that close an open paragraph.
-ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li dd dt".split())
-#: An end tag never reaches beyond these.
-SCOPE = frozenset("table td th caption html body".split())
+ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr listing main menu nav ol p pre search section table ul li dd dt xmp".split())
+#: An end tag never reaches beyond these, but for those of a table's own parts.
+SCOPE = ("table", "td", "th", "caption", "template", "html", "body")
+TABLE_PARTS = frozenset("table tr tbody thead tfoot body html".split())
+#: Where a table waits for rows or cells.
+TABLE_CONTEXT = frozenset("table tbody thead tfoot tr".split())
+#: Elements that only change how text looks; their end tag leaves blocks open that were opened within.
+LOOKS = frozenset("a b big code em font i nobr s small span strike strong tt u".split())
 HEAD_ONLY = frozenset("title meta link base style script noscript template".split())
-DEEPEST = 200
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+#: Fields whose value is shown; others show nothing or aren't text.
+BUTTONS = frozenset("submit reset button".split())
+FIELDS = frozenset(["", *"text search tel url email number date time month week datetime-local".split()])
+MOST_LEAD, MOST_TABLES = 120, 12
+#: The largest colspan that HTML knows.
+MOST_SPAN = 1000
+
+_WS = " \t\n\f\r"
+_NAME = re.compile(r"[a-zA-Z][^ \t\n\f\r/>]*")
+_ATTRIBUTE = re.compile(r"[ \t\n\f\r/]*(?:([^ \t\n\f\r/>][^ \t\n\f\r/>=]*)(?:[ \t\n\f\r]*(=)[ \t\n\f\r]*([\"'])?)?)?")
+_UNQUOTED = re.compile(r"[^ \t\n\f\r>]*")
+_GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|content-visibility\s*:\s*hidden)", re.IGNORECASE)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)", re.IGNORECASE)
 _SPACE = re.compile(r"[ \t\r\n\f]+")
+_MANY_DIGITS = re.compile(r"&#([0-9]{8,})")
+_INTEGER = re.compile(r"[ \t\n\f\r]*([+-]?[0-9]+)")
 
 
-class Node:
-    __slots__ = ("attrs", "children", "tag")
+def text_of(raw: str) -> str:
+    """raw with its character references replaced; numbers of any length are read."""
+    if "&" not in raw:
+        return raw
+    if "&#" in raw:
+        raw = _MANY_DIGITS.sub(lambda m: "&#" + (m[1].lstrip("0")[:8] or "0"), raw)
+    return unescape(raw)
 
-    def __init__(self, tag: str, attrs: dict[str, str]) -> None:
-        self.tag, self.attrs, self.children = tag, attrs, []
 
+def number(text: str | None, least: int, most: int, default: int) -> int:
+    """An attribute's integer, within bounds; the default where there is none."""
+    m = _INTEGER.match(text or "")
+    if not m:
+        return default
+    sign, digits = m[1][0] == "-", m[1].lstrip("+-").lstrip("0")
+    value = int(digits or "0") if len(digits) < 10 else 10**9
+    return max(least, min(most, -value if sign else value))
 
-def attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): unescape((m[2] or "").strip("\"'")) for m in reversed(list(_ATTRIBUTE.finditer(text)))} if text.strip("/ \n\t\r") else {}
 
+class Node:
+    """An element. gone: neither it nor what is in it is shown; shown: its own text is (visibility is inherited)."""
 
-def tree(html: str) -> Node:
-    """The document as a tree; implied end tags are inserted, unknown ends are ignored."""
-    root = Node("html", {})
-    stack = [root]
+    __slots__ = ("attrs", "children", "gone", "shown", "tag")
 
-    def close(upto: int) -> None:
-        del stack[upto:]
+    def __init__(self, tag: str, attrs: dict[str, str], gone: bool = False, shown: bool = True) -> None:
+        self.tag, self.attrs, self.gone, self.shown, self.children = tag, attrs, gone, shown, []
 
-    def close_any(tags: set[str], borders: set[str] | frozenset[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                close(i)
-                return close_any(tags, borders)
-            if stack[i].tag in borders:
-                return None
-        return None
 
-    at = 0
-    while at < len(html):
-        m = _TOKEN.search(html, at)
-        text = html[at : m.start() if m else len(html)]
-        if text:
-            if stack[-1].tag == "head" and text.strip():
-                stack.pop()
-            stack[-1].children.append(unescape(text))
-        if not m:
-            break
+def attributes(html: str, at: int, kept: bool) -> tuple[dict[str, str], int, bool] | None:
+    """The attributes of a tag from `at` on, the place behind its `>`, whether a slash closes it; None if the page ends."""
+    found: dict[str, str] = {}
+    while True:
+        m = _ATTRIBUTE.match(html, at)
         at = m.end()
-        if not m[2]:
+        name = m[1]
+        if name is None:
+            break
+        value = ""
+        if m[2]:
+            if quote := m[3]:
+                end = html.find(quote, at)
+                if end < 0:
+                    return None
+                value, at = html[at:end], end + 1
+            else:
+                v = _UNQUOTED.match(html, at)
+                value, at = v[0], v.end()
+        if kept:
+            found.setdefault(name.lower(), text_of(value))
+    return None if at >= len(html) else (found, at + 1, m[0].endswith("/"))
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, dict[str, str], bool]]:
+    """(kind, name or text, attributes, slash) of texts, start and end tags and raw contents, in order and in linear time."""
+    at = start = 0  # where to look on, and where the text began that hasn't been told yet
+    endless: set[str] = set()  # raw elements without an end tag from here on
+    while (lt := html.find("<", at)) >= 0:
+        following = html[lt + 1 : lt + 2]
+        m = _NAME.match(html, lt + 1 + (following == "/"))
+        if not m and following not in ("!", "?", "/"):
+            at = lt + 1
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag == "br":
-                stack[-1].children.append(Node("br", {}))
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
-                if stack[i].tag in SCOPE and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    break
+        if start < lt:
+            yield "text", html[start:lt], {}, False
+        if not m:
+            if html.startswith("<!--", lt):
+                end = lt + 4 if html.startswith(">", lt + 4) else html.find("-->", lt + 4)
+                at = len(html) if end < 0 else end + (1 if end == lt + 4 and html[end] == ">" else 3)
+            else:
+                at = html.find(">", lt) + 1 or len(html)
+            start = at
             continue
-        if tag == "html":
-            root.attrs = attributes(m[3]) | root.attrs
+        found = attributes(html, m.end(), following != "/")
+        if not found:
+            return
+        attrs, at, slash = found
+        start = at
+        tag = m[0].lower()
+        if following == "/":
+            yield "end", tag, {}, False
             continue
-        if stack[-1].tag == "head" and tag not in HEAD_ONLY:
-            stack.pop()
-        if tag in ENDS_P:
-            close_any({"p"}, SCOPE | {"button", "object"})
-        if tag in CLOSES:
-            close_any(*CLOSES[tag])
-        node = Node(tag, attributes(m[3]))
-        stack[-1].children.append(node)
+        yield "start", tag, attrs, slash
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}[\s>/]", re.IGNORECASE).search(html, at)
-            stop = end.start() if end else len(html)
-            node.children.append(html[at:stop])
-            at = (html.find(">", stop) + 1 or len(html)) if end else len(html)
-        elif tag not in VOID and not m[3].endswith("/") and len(stack) < DEEPEST:
-            stack.append(node)
-    return root
-
+            end = None if tag in endless else re.compile(rf"</{re.escape(tag)}(?=[{_WS}/>])", re.IGNORECASE).search(html, at)
+            if not end:
+                endless.add(tag)
+                if not slash:
+                    yield "raw", html[at:], {}, False
+                    return
+                stop = at
+            else:
+                stop = end.start()
+            yield "raw", html[at:stop], {}, False
+            start = at = stop
+    if start < len(html):
+        yield "text", html[start:], {}, False
+
+
+class Tree:
+    """Builds the tree of what is shown; where each tag is open is known, so that no step searches the open elements."""
+
+    def __init__(self, screen: bool) -> None:
+        self.screen, self.title = screen, None
+        self.root = Node("html", {})
+        self.stack, self.places = [self.root], defaultdict(list)
+        self.places["html"].append(0)
+        self.foreign = 0  # open svg and math elements
+        self.blocks: list[int] = []  # where blocks are open
+
+    def deepest(self, tags: tuple[str, ...]) -> int:
+        """The place of the innermost open element of these tags; -1 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=-1)
+
+    def close(self, upto: int) -> None:
+        while len(self.stack) > upto:
+            node = self.stack.pop()
+            self.places[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+            self.foreign -= node.tag in ("svg", "math")
+
+    def close_any(self, tags: tuple[str, ...], borders: tuple[str, ...]) -> None:
+        borders = (*borders, "template")
+        while (at := self.deepest(tags)) > max(0, self.deepest(borders)):
+            self.close(at)
 
-def visible(node: Node) -> bool:
-    a = node.attrs
-    if node.tag in UNSEEN or "hidden" in a or (node.tag == "dialog" and "open" not in a):
-        return False
-    return not (a.get("aria-hidden", "").lower() == "true" or ("style" in a and _HIDING.search(a["style"])))
+    def text(self, text: str) -> None:
+        top = self.stack[-1]
+        if top.tag == "head" and text.strip(_WS):
+            self.close(len(self.stack) - 1)
+            top = self.stack[-1]
+        if not top.gone and top.shown:
+            top.children.append(text)
+
+    def node(self, tag: str, attrs: dict[str, str]) -> Node:
+        """A new element under the innermost open one; what isn't shown is no child of it."""
+        parent = self.stack[-1]
+        gone, shown = parent.gone, parent.shown
+        if not gone and (attrs or tag in UNSEEN or tag in SCREEN_ONLY or tag == "dialog"):
+            style = attrs.get("style")
+            gone = (
+                tag in UNSEEN
+                or (tag in SCREEN_ONLY and not self.screen)
+                or "hidden" in attrs
+                or (tag == "dialog" and "open" not in attrs)
+                or (not self.screen and attrs.get("aria-hidden", "").lower() == "true")
+                or bool(style and _GONE.search(style))
+            )
+            if style and (told := _VISIBILITY.findall(style)):
+                shown = told[-1].lower() == "visible"
+        made = Node(tag, attrs, gone, shown)
+        if not gone:
+            parent.children.append(made)
+        return made
+
+    def open(self, node: Node) -> None:
+        self.places[node.tag].append(len(self.stack))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+        self.foreign += node.tag in ("svg", "math")
+
+    def start(self, tag: str, attrs: dict[str, str], slash: bool) -> None:
+        if tag == "html":
+            self.root.attrs = attrs | self.root.attrs
+            return
+        if self.stack[-1].tag == "head" and tag not in HEAD_ONLY:
+            self.close(len(self.stack) - 1)
+        if tag in ENDS_P and self.places["p"]:
+            self.close_any(("p",), (*SCOPE, "button", "object"))
+        if tag in CLOSES:
+            self.close_any(*CLOSES[tag])
+        if tag in _ROWS and (around := self.deepest(tuple(TABLE_CONTEXT))) > 0:
+            self.close(around + 1)  # what else is open between table and row or cell
+        top = self.stack[-1].tag
+        if tag in HEADINGS and top in HEADINGS:
+            self.close(len(self.stack) - 1)
+        elif top in TABLE_CONTEXT:
+            if tag == "table":
+                self.close(self.deepest(("table",)))
+            elif tag in ("td", "th") and top != "tr":
+                self.open(self.node("tr", {}))
+        node = self.node(tag, attrs)
+        if tag in VOID or (slash and self.foreign) or (tag == "form" and top in TABLE_CONTEXT):
+            return
+        self.open(node)
+
+    def raw(self, text: str) -> None:
+        """The content of a raw element, which ends with it."""
+        node = self.stack[-1]
+        if node.tag in RCDATA:
+            text = text_of(text)
+        if node.tag == "title" and self.title is None and not self.foreign:
+            self.title = _SPACE.sub(" ", text).strip()
+        if not node.gone and node.shown:
+            node.children.append(text)
+        self.close(len(self.stack) - 1)
+
+    def end(self, tag: str) -> None:
+        if tag == "br":
+            self.stack[-1].children.append(Node("br", {}))
+            return
+        at = self.deepest(tuple(HEADINGS) if tag in HEADINGS else (tag,))
+        if at <= 0 or (tag not in TABLE_PARTS and self.deepest(SCOPE) > at):
+            if tag == "p":
+                self.node("p", {})
+            return
+        if tag in LOOKS and self.blocks and self.blocks[-1] > at and self.stack[at].shown and not self.stack[at].gone:
+            return  # blocks that were opened within stay open; how text looks doesn't matter here
+        self.close(at)
+
+
+def tree(html: str, screen: bool = False) -> Tree:
+    """The page as a tree; implied tags are inserted, unknown ends are ignored."""
+    built = Tree(screen)
+    for kind, value, attrs, slash in tokens(html):
+        if kind == "text":
+            built.text(text_of(value))
+        elif kind == "start":
+            built.start(value, attrs, slash)
+        elif kind == "end":
+            built.end(value)
+        else:
+            built.raw(value)
+    return built
 
 
 class Lines:
-    """Collects lines; knows how many blank ones must stand before the next."""
+    """Collects lines; knows how many blank ones must stand before the next. depth: of tables and fractions around."""
 
-    def __init__(self) -> None:
+    def __init__(self, depth: int = 0) -> None:
         self.out: list[str] = []
         self.line: list[str] = []
         self.blank = False
         self.lead = ""
         self.first: str | None = None
+        self.depth = depth
 
     def text(self, text: str) -> None:
         text = _SPACE.sub(" ", text)
@@ -183,42 +366,107 @@ class Lines:
             self.first = None
 
 
-def rows_of(table: Node) -> list[list[Node]]:
-    """The rows' cells, in the table itself and not in tables within."""
-    out = []
+def inner_lines(children: list[Node | str], around: Lines) -> list[str]:
+    """What children give as lines of their own."""
+    inner = Lines(around.depth + 1)
+    render(children, inner)
+    inner.end()
+    return inner.out
+
+
+def rows_of(table: Node) -> list[tuple[int, list[Node]]]:
+    """The rows as (row group, cells), of the table itself and not of tables within; the head's first, the foot's last."""
+    parts: dict[str, list[tuple[int, list[Node]]]] = {"thead": [], "tbody": [], "tfoot": []}
+    group = 0
+
+    def cells(row: Node) -> list[Node]:
+        return [x for x in row.children if not isinstance(x, str) and x.tag in ("td", "th")]
+
     for c in table.children:
-        if isinstance(c, Node) and visible(c):
-            if c.tag == "tr":
-                out.append([x for x in c.children if isinstance(x, Node) and x.tag in ("td", "th") and visible(x)])
-            elif c.tag in ("tbody", "thead", "tfoot"):
-                out += rows_of(c)
-            elif c.tag in ("td", "th"):
-                out.append([c])
+        if isinstance(c, str):
+            continue
+        if c.tag == "tr":
+            parts["tbody"].append((group, cells(c)))
+        elif c.tag in parts:
+            into = "tbody" if parts[c.tag] else c.tag
+            group += 2  # rows that stand in the table itself afterwards are a group of their own
+            parts[into] += [(group - 1, cells(r)) for r in c.children if not isinstance(r, str) and r.tag == "tr"]
+    return [*parts["thead"], *parts["tbody"], *parts["tfoot"]]
+
+
+def placed(rows: list[tuple[int, list[Node]]]) -> list[list[tuple[int, Node]]]:
+    """Each row's cells with their columns: those that a cell from above reaches into are left out, spans take several."""
+    out: list[list[tuple[int, Node]]] = []
+    none = np.empty(0, np.int64)
+    starts = ends = untils = none  # cells that reach into rows below: their columns, and the row where they end
+    group = None
+    for i, (own_group, cells) in enumerate(rows):
+        if own_group != group:
+            group, starts, ends, untils = own_group, none, none, none
+        taken_from: list[int] = []
+        taken_to: list[int] = []
+        if len(starts):
+            live = untils > i
+            starts, ends, untils = starts[live], ends[live], untils[live]
+        if len(starts):
+            reach = np.maximum.accumulate(ends)
+            cut = np.flatnonzero(starts[1:] > reach[:-1]) + 1
+            taken_from = starts[np.append(0, cut)].tolist()
+            taken_to = reach[np.append(cut, len(reach)) - 1].tolist()
+        column = k = 0
+        line = []
+        for cell in cells:
+            while k < len(taken_from) and taken_from[k] <= column:
+                column = max(column, taken_to[k])
+                k += 1
+            line.append((column, cell))
+            wide = tall = 1
+            if cell.attrs:
+                wide = number(cell.attrs.get("colspan"), 1, MOST_SPAN, 1)
+                tall = number(cell.attrs.get("rowspan"), 0, 65534, 1)
+            if tall != 1:
+                at = int(np.searchsorted(starts, column))
+                starts, ends = np.insert(starts, at, column), np.insert(ends, at, column + wide)
+                untils = np.insert(untils, at, i + tall if tall else 1 << 40)
+            column += wide
+        out.append(line)
     return out
 
 
-def aligned(table: Node) -> list[str]:
-    """The rows as lines, each column as wide as its widest cell; a cell of several lines takes several lines."""
-    cells: list[list[list[str]]] = []
-    for row in rows_of(table):
-        line = []
-        for cell in row:
-            inner = Lines()
-            render(cell.children, inner)
-            inner.end()
-            line.append(inner.out or [""])
-            span = cell.attrs.get("colspan", "")
-            line += [[""]] * (min(int(span), 100) - 1 if span.isdecimal() else 0)
-        if any(any(x) for x in line):
-            cells.append(line)
+def aligned(table: Node, around: Lines) -> list[str]:
+    """The rows as lines, each column as wide as its widest cell; a cell of several lines takes several lines.
+
+    Where this would need much more padding than there is text, cells stand two blanks apart instead.
+    """
+    rows = []
+    for row in placed(rows_of(table)):
+        line = [(column, text) for column, cell in row if any(text := inner_lines(cell.children, around))]
+        if line:
+            rows.append(line)
     width: dict[int, int] = {}
-    for row in cells:
-        for k, cell in enumerate(row):
-            width[k] = max(width.get(k, 0), *map(len, cell))
+    size = padded = 0
+    for row in rows:
+        for column, text in row:
+            width[column] = max(width.get(column, 0), *map(len, text))
+    place, at = {}, 0
+    for column in sorted(width):
+        place[column] = at
+        at += width[column] + 2
+    for row in rows:
+        for column, text in row:
+            size += sum(map(len, text))
+        padded += max(len(text) for _, text in row) * place[row[-1][0]]
+    free = padded > 65_536 + 16 * size
     out = []
-    for row in cells:
-        for i in range(max(map(len, row))):
-            out.append("  ".join((cell[i] if i < len(cell) else "").ljust(width[k]) for k, cell in enumerate(row)).rstrip())
+    for row in rows:
+        for i in range(max(len(text) for _, text in row)):
+            line, at = [], 0
+            for column, text in row:
+                if i < len(text) and text[i]:
+                    line.append(" " * ((2 if line else 0) if free else place[column] - at))
+                    line.append(text[i])
+                    at = place[column] + len(text[i])
+            out.append("".join(line).rstrip())
     return out
 
 
@@ -226,22 +474,30 @@ def outside_rows(table: Node) -> list[Node | str]:
     """What stands in a table but in none of its rows: captions and stray text."""
     out: list[Node | str] = []
     for c in table.children:
-        if isinstance(c, str) or c.tag not in ("tr", "td", "th", "tbody", "thead", "tfoot"):
+        if isinstance(c, str) or c.tag not in TABLE_CONTEXT:
             out.append(c)
-        elif c.tag in ("tbody", "thead", "tfoot") and visible(c):
-            out += outside_rows(c)
-        elif c.tag == "tr" and visible(c):
+        elif c.tag == "tr":
             out += [x for x in c.children if isinstance(x, str) or x.tag not in ("td", "th")]
+        elif c.tag != "table":
+            out += outside_rows(c)
     return out
 
 
+def unaligned(table: Node, lines: Lines) -> None:
+    """The rows of a table, each from a line of its own, cells a blank apart."""
+    for _, cells in rows_of(table):
+        lines.end()
+        for cell in cells:
+            render(cell.children, lines)
+            lines.text(" ")
+    lines.end()
+
+
 def render(children: list[Node | str], lines: Lines) -> None:
     for node in children:
         if isinstance(node, str):
             lines.text(node)
             continue
-        if not visible(node):
-            continue
         tag = node.tag
         if tag == "br":
             if lines.line:
@@ -250,10 +506,11 @@ def render(children: list[Node | str], lines: Lines) -> None:
                 lines.blank = lines.blank or bool(lines.out)
             continue
         if tag == "img":
-            if alt := node.attrs.get("alt"):
+            if node.shown and (alt := node.attrs.get("alt")):
                 lines.text(alt)
             continue
-        if tag == "wbr":
+        if tag == "input":
+            field(node, lines)
             continue
         block, apart = tag in BLOCK, tag in APART
         if block:
@@ -263,12 +520,16 @@ def render(children: list[Node | str], lines: Lines) -> None:
         if tag == "table":
             render(outside_rows(node), lines)
             lines.end()
-            if rows := aligned(node):
+            if lines.depth >= MOST_TABLES:
+                unaligned(node, lines)
+            elif rows := aligned(node, lines):
                 lines.put(rows)
-        elif tag == "pre":
-            inner = "".join(plain(node)).strip("\n")
+        elif tag in PRE or tag == "textarea":
+            text: list[str] = []
+            plain(node, text, lines)
+            inner = "".join(text).replace("\r\n", "\n").strip("\n")
             if inner.strip():
-                lines.put(inner.replace("\r\n", "\n").split("\n"))
+                lines.put(inner.split("\n"))
         elif tag in ("ul", "ol", "menu", "dir"):
             items(node, lines)
         elif tag in ("blockquote", "dd"):
@@ -279,18 +540,26 @@ def render(children: list[Node | str], lines: Lines) -> None:
             choice(node, lines)
         elif tag == "mfrac":
             fraction(node, lines)
-        elif tag == "hr":
-            pass
-        else:
+        elif tag != "hr":
             render(node.children, lines)
         if block:
             lines.end(apart)
 
 
+def field(node: Node, lines: Lines) -> None:
+    """What an input field or a button says."""
+    kind = node.attrs.get("type", "").strip(_WS).lower()
+    told = node.attrs.get("value") if kind in BUTTONS else node.attrs.get("value") or node.attrs.get("placeholder") if kind in FIELDS else None
+    if told and node.shown:
+        lines.text(" ")
+        lines.text(told)
+        lines.text(" ")
+
+
 def drawing(children: list[Node | str], lines: Lines) -> None:
     """The text elements of an svg, and the markup within."""
     for node in children:
-        if isinstance(node, str) or node.tag in UNDRAWN or not visible(node):
+        if isinstance(node, str) or node.tag in UNDRAWN:
             continue
         if node.tag in ("text", "foreignobject"):
             lines.text(" ")
@@ -302,33 +571,37 @@ def drawing(children: list[Node | str], lines: Lines) -> None:
 
 def fraction(node: Node, lines: Lines) -> None:
     """The parts of an mfrac with the bar between them; parts of several signs stand in brackets."""
-    for k, part in enumerate(c for c in node.children if isinstance(c, Node) and visible(c)):
-        inner = Lines()
-        render([part], inner)
-        inner.end()
-        text = " ".join(inner.out)
+    parts = [c for c in node.children if not isinstance(c, str)]
+    for k, part in enumerate(parts):
+        if lines.depth >= MOST_TABLES:
+            lines.text("/" if k else "")
+            render([part], lines)
+            continue
+        text = " ".join(inner_lines([part], lines))
         lines.text(("/" if k else "") + (text if len(text) < 2 or text.isdecimal() else f"({text})"))
 
 
+def options_of(within: Node, listed: bool, disabled: bool, found: list[tuple[Node, bool]]) -> None:
+    """The options in a select, and where all are shown the groups' labels, each with whether it is disabled."""
+    for c in within.children:
+        if isinstance(c, str):
+            continue
+        off = disabled or "disabled" in c.attrs
+        if c.tag == "option":
+            found.append((c, off))
+            continue
+        if listed and c.tag == "optgroup" and c.attrs.get("label"):
+            found.append((Node("optgroup", c.attrs), off))
+        options_of(c, listed, disabled or (c.tag == "optgroup" and off), found)
+
+
 def choice(node: Node, lines: Lines) -> None:
     """The option that a drop-down shows; all groups and options of a list box."""
-    size = node.attrs.get("size", "")
-    listed = "multiple" in node.attrs or (size.isdecimal() and int(size) > 1)
+    if not node.shown:
+        return
+    listed = "multiple" in node.attrs or number(node.attrs.get("size"), 0, MOST_SPAN, 0) > 1
     found: list[tuple[Node, bool]] = []
-
-    def collect(within: Node, disabled: bool) -> None:
-        for c in within.children:
-            if not isinstance(c, Node) or not visible(c):
-                continue
-            off = disabled or "disabled" in c.attrs
-            if c.tag == "option":
-                found.append((c, off))
-            elif listed and c.tag == "optgroup" and c.attrs.get("label"):
-                found.append((Node("optgroup", c.attrs), off))
-            if c.tag != "option":
-                collect(c, disabled or (c.tag == "optgroup" and off))
-
-    collect(node, False)
+    options_of(node, listed, False, found)
     if not listed:
         options = [c for c, _ in found if "selected" in c.attrs][-1:] or [c for c, off in found if not off][:1]
     else:
@@ -346,27 +619,29 @@ def choice(node: Node, lines: Lines) -> None:
             lines.text(" ")
 
 
-def plain(node: Node) -> list[str]:
-    out = []
+def plain(node: Node, out: list[str], lines: Lines) -> None:
+    """The text in a preformatted element as it is; blocks within start and end lines."""
     for c in node.children:
         if isinstance(c, str):
             out.append(c)
         elif c.tag == "br":
             out.append("\n")
-        elif c.tag in DRAWN and visible(c):
-            inner = Lines()
-            render([c], inner)
-            inner.end()
-            out.append("\n".join(inner.out))
-        elif visible(c):
-            out += plain(c)
-    return out
+        elif c.tag in DRAWN:
+            out.append("\n".join(inner_lines([c], lines)))
+        else:
+            breaks = c.tag in BLOCK
+            if breaks and out and not out[-1].endswith("\n"):
+                out.append("\n")
+            plain(c, out, lines)
+            if breaks and out and not out[-1].endswith("\n"):
+                out.append("\n")
 
 
 def indented(children: list[Node | str], lines: Lines, by: str, first: str | None = None) -> None:
     before, waiting = lines.lead, lines.first
-    lines.lead = before + by
-    if first is not None:
+    if len(before) < MOST_LEAD:
+        lines.lead = before + by
+    if first is not None and len(waiting or before) < MOST_LEAD:
         lines.first = (waiting if waiting is not None else before) + first
     render(children, lines)
     lines.end()
@@ -376,40 +651,49 @@ def indented(children: list[Node | str], lines: Lines, by: str, first: str | Non
 
 
 def items(node: Node, lines: Lines) -> None:
-    start = node.attrs.get("start", "")
-    number = int(start) if start.lstrip("-").isdecimal() else 1
+    count = number(node.attrs.get("start"), -(10**9), 10**9, 1)
     for c in node.children:
-        if isinstance(c, Node) and c.tag == "li":
-            if not visible(c):
-                continue
-            mark = f"{number}. " if node.tag == "ol" else "- "
-            number += 1
+        if not isinstance(c, str) and c.tag == "li":
+            count = number(c.attrs.get("value"), -(10**9), 10**9, count) if c.attrs else count
+            mark = f"{count}. " if node.tag == "ol" else "- "
+            count += 1
             indented(c.children, lines, " " * len(mark), mark)
             lines.blank = False
         else:
             render([c], lines)
 
 
-def extract(html: str | None) -> str:
-    """All visible text of a page, laid out."""
+def read(html: str | None, screen: bool = False) -> tuple[str | None, str]:
+    """A page's title and all its visible text, laid out."""
     if not html:
-        return ""
-    lines = Lines()
-    render(tree(html).children, lines)
-    lines.end()
-    return "\n".join(lines.out)
+        return None, ""
+    built = tree(html, screen)
+    usual = sys.getrecursionlimit()
+    try:
+        sys.setrecursionlimit(usual + 4 * html.count("<"))  # at most so deep; Python's own calls need no stack of the machine
+        lines = Lines()
+        render(built.root.children, lines)
+        lines.end()
+    finally:
+        sys.setrecursionlimit(usual)
+    return built.title, "\n".join(lines.out)
+
+
+def extract(html: str | None, screen: bool = False) -> str:
+    """All visible text of a page, laid out."""
+    return read(html, screen)[1]
 
 
 def title(html: str | None) -> str | None:
-    m = re.search(r"<title[^>]*>(.*?)</title", html or "", re.IGNORECASE | re.DOTALL)
-    return _SPACE.sub(" ", unescape(m[1])).strip() if m else None
+    """The text of the page's first title; None if it has none."""
+    return tree(html).title if html else None
 
 
-def extract_text(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
+def extract_text(pages: DataFrame, html: str = "html", text: str = "text", screen: bool = False) -> DataFrame:
     """pages with title and visible text."""
 
     def make(part: pa.RecordBatch) -> dict[str, pa.Array]:
-        data = part.column("html").to_pylist()
-        return {"title": pa.array([title(x) for x in data], pa.string()), text: pa.array([extract(x) for x in data], pa.string())}
+        found = [read(x, screen) for x in part.column("html").to_pylist()]
+        return {"title": pa.array([t for t, _ in found], pa.string()), text: pa.array([x for _, x in found], pa.string())}
 
     return add_columns(pages, {"html": F.col(f"`{html}`").cast("string")}, {"title": "string", text: "string"}, make, "html")

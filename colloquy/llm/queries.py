@@ -58,7 +58,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    pages = html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), screen=True)
     lines = F.when(F.col("text") == "", F.lit(0)).otherwise(F.size(F.split("text", "\n")))
     return pages.select("page_id", "url", "title", "text", F.length("text").cast("long").alias("n_chars"), lines.cast("long").alias("n_lines"))
 
