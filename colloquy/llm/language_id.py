@@ -5,7 +5,8 @@ lower-cased letters of a text) predicts it. Decoding adds up the loss of each la
 margins and takes the language of the smallest loss; where the second is within AMBIGUOUS of it, the text is flagged.
 
 Training covers every language. It reads at most PER_LANGUAGE labelled rows of each, SAMPLE_ROWS in all, but LEAST_ROWS of
-each however many there are (documented bounds; rows are picked by a hash of their ids); prediction reads whole texts, in one map pass without a shuffle.
+each however many there are (documented bounds; rows are picked by a hash of id and text, repeated rows count once);
+prediction reads whole texts, in one map pass without a shuffle.
 
 Defined results: a null text or one without a letter is `und` with score 0; without any labelled row every text is
 `und`; ties go to the first language by name; a null doc_id counts as the text 'null' in the split; other columns are
@@ -15,14 +16,15 @@ ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import add_columns, crc_mod, keep_where
+from colloquy.llm.common import add_columns, bounded_batches, crc_mod, keep_where, slices
 
 DIMENSIONS = 4096
 PER_LANGUAGE, LEAST_ROWS = 800, 8
@@ -129,30 +131,45 @@ def train(rows: list[tuple[str, bytes]]) -> Classifier:
     return Classifier(languages, codes, w, bias)
 
 
+def sample_key(text: str) -> Column:
+    """What the sample is picked by: rows with other texts differ, whatever their ids; repeated rows count once."""
+    return F.xxhash64(F.lit("language"), F.col("doc_id").cast("string"), F.col(f"`{text}`").cast("string"))
+
+
 def fitted(docs: DataFrame, labelled: Column, lang: str = "lang", text: str = "text") -> Classifier:
-    """A classifier from a bounded sample of the labelled rows, of each language the ones with the smallest id hashes."""
-    found = docs.filter(labelled & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = found.groupBy(F.col(lang).cast("string").alias("lang")).count().collect()
+    """A classifier from a bounded sample of the labelled rows, of each language the distinct ones with the smallest hashes.
+
+    The number of distinct rows of each language is estimated first (JVM side), so that only the keys that can be among
+    the smallest are shuffled; texts are not. A row that repeats very often is read once a task.
+    """
+    spark = docs.sparkSession
+    found = docs.filter(labelled & F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
+    found = found.select(F.col(f"`{lang}`").cast("string").alias("lang"), sample_key(text).alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
+    counts = found.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("n")).collect()
     if not counts:
         return train([])
     most = min(PER_LANGUAGE, max(LEAST_ROWS, SAMPLE_ROWS // len(counts)))
-    enough = 1.25 * most + 16  # so many are expected; that a language has none by chance is out of the question
-    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, enough / r["count"])) for r in counts], "_lang string, _share double")
-    key = F.xxhash64(F.col("doc_id").cast("string"), F.lit(61))
-    picked = found.join(F.broadcast(shares), F.col(lang).cast("string") == F.col("_lang")).filter(F.shiftrightunsigned(key, 11) < F.col("_share") * float(1 << 53))
-
-    def make(part: pa.RecordBatch) -> dict[str, pa.Array]:
-        return {"features": pa.array([r.tobytes() for r in features(part.column("text").to_pylist()).astype(np.float16)], pa.binary())}
-
-    sample = picked.select(F.col(lang).cast("string").alias("lang"), key.alias("key"), F.col(text).cast("string").alias("text"))
-    rows = add_columns(sample, {"text": F.col("text")}, {"features": "binary"}, make, "text", 1 << 20).drop("text").orderBy("lang", "key").limit(int(2 * enough) * len(counts)).collect()
-    taken: dict[str, int] = {}
-    kept = []
-    for r in rows:
-        if taken.get(r["lang"], 0) < most:
-            taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-            kept.append((r["lang"], r["features"]))
-    return train(kept)
+    enough = 1.3 * most + 16  # so many are expected; that a language has far fewer by chance is out of the question
+    shares = spark.createDataFrame([(r["lang"], min(1.0, enough / max(r["n"], 1))) for r in counts], "lang string, share double")
+    low = F.shiftrightunsigned("key", 11) < F.col("share") * float(1 << 53)
+    smallest = Window.partitionBy("lang").orderBy("key")
+    keys = found.select("lang", "key").join(F.broadcast(shares), "lang").filter(low).select("lang", "key").distinct()
+    keys = keys.withColumn("_place", F.row_number().over(smallest)).filter(F.col("_place") <= most).select("lang", "key").collect()
+    wanted = spark.createDataFrame([tuple(r) for r in keys], "lang string, key long")  # at most SAMPLE_ROWS, or LEAST_ROWS of each language
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
+        for part in (p for b in batches for p in slices(b, "text", 1 << 20)):
+            rows = {(r["lang"], r["key"]): r["text"] for r in part.to_pylist()}
+            new = [k for k in rows if k not in seen]
+            seen.update(new)
+            made = [r.tobytes() for r in features([rows[k] for k in new]).astype(np.float16)]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in new], pa.string()), pa.array([k[1] for k in new], pa.int64()), pa.array(made, pa.binary())], names=["lang", "key", "features"])
+
+    bounded_batches(spark)
+    picked = found.join(F.broadcast(wanted), ["lang", "key"]).mapInArrow(make, "lang string, key long, features binary")
+    rows = picked.dropDuplicates(["lang", "key"]).collect()
+    return train([(r["lang"], r["features"]) for r in sorted(rows, key=lambda r: (r["lang"], r["key"]))])
 
 
 def predict(df: DataFrame, model: Classifier, text: str = "text") -> DataFrame:

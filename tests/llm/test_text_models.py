@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
@@ -66,6 +67,90 @@ def test_more_than_64_languages_are_learnt(spark):
     assert all(len({tuple(r) for r in LI.codewords(n)}) == n for n in (65, 300, 3000))
 
 
+def many(spark, lang, ids, texts):
+    return spark.createDataFrame([(i, t, lang, "s", None) for i, t in zip(ids, texts, strict=True)], SCHEMA)
+
+
+def test_languages_with_shared_or_null_ids_are_learnt(spark):
+    rng = random.Random(5)
+    text = lambda letters: " ".join("".join(rng.choices(letters, k=5)) for _ in range(30))
+    de, en = [text("abcdefg") for _ in range(5000)], [text("tuvwxyz") for _ in range(1000)]
+    for ids in ([7] * 5000, [None] * 5000):
+        d = many(spark, "de", ids, de).unionByName(many(spark, "en", range(1000), en))
+        model = LI.fitted(d, ~LI.is_held_out() | F.lit(True))
+        assert model.languages == ["de", "en"] and [model.predict([t])[0][0] for t in (de[0], en[0])] == ["de", "en"]
+    # One row that repeats very often neither crowds out the others of its language nor other languages.
+    d = many(spark, "de", [7] * 4000, de[:1] * 4000).unionByName(many(spark, "de", range(100, 160), de[:60])).unionByName(many(spark, "zz", range(200, 230), en[:30]))
+    model = LI.fitted(d, F.lit(True))
+    assert model.languages == ["de", "zz"] and [model.predict([t])[0][0] for t in (de[99], en[99])] == ["de", "zz"]
+
+
+def plain_language_id(rows):
+    """The same classifier in plain loops and float64: sample, training and decoding written out anew."""
+
+    def hashed(data, seed):
+        return xxhash.xxh64_intdigest(data, seed)
+
+    def key(i, t):
+        h = hashed(b"language", 42)
+        h = hashed(str(i).encode(), h) if i is not None else h
+        h = hashed(t.encode(), h)
+        return h - 2**64 if h >= 2**63 else h
+
+    def vector(t):
+        t = "".join(c if ("a" <= c <= "z") or ord(c) >= 128 else " " for c in t.lower())
+        data = (" " + " ".join(re.sub("[ ]+", " ", t).strip(" ").split(" ")) + " ").encode() if t.strip(" ") else b" "
+        out = np.zeros(LI.DIMENSIONS)
+        for n, factors in ((2, (0x9E3779B1, 0x85EBCA77)), (3, None)):
+            for i in range(len(data) - n + 1):
+                two = data[i] * 0x9E3779B1 + data[i + 1] * 0x85EBCA77
+                g = (two if n == 2 else two % 2**32 * 0xC2B2AE3D + data[i + 2] * 0x27D4EB2F) % 2**32
+                g = (g ^ g >> 15) * 0x2C1B3C6D % 2**32
+                out[g >> 20] += 1
+        out = np.sqrt(out)
+        return out / max(np.linalg.norm(out), 1e-12)
+
+    def is_held(i):
+        return zlib.crc32(str("null" if i is None else i).encode()) % 4 == 2
+
+    langs = sorted({lang for i, t, lang in rows if lang and t is not None and not is_held(i)})
+    most = min(LI.PER_LANGUAGE, max(LI.LEAST_ROWS, LI.SAMPLE_ROWS // len(langs)))
+    sample = [(g, x) for g in langs for _, x in sorted({key(i, t): t for i, t, lang in rows if lang == g and t is not None and not is_held(i)}.items())[:most]]
+    codes = LI.codewords(len(langs)).astype(float)
+    x = np.array([vector(t).astype(np.float16).astype(float) for _, t in sample])
+    y = np.array([langs.index(g) for g, _ in sample])
+    w, b = np.zeros((LI.DIMENSIONS, codes.shape[1])), np.zeros(codes.shape[1])
+    sw, sb = w + 1e-6, b + 1e-6
+    rng = np.random.default_rng(6)
+    share = {k: len(y) / len(langs) / (y == k).sum() for k in set(y.tolist())}
+    for _ in range(LI.EPOCHS):
+        order = rng.permutation(len(y))
+        for at in range(0, len(y), LI.BATCH):
+            gw, gb, chosen = 0, 0, order[at : at + LI.BATCH]
+            for i in chosen:
+                pull = -codes[y[i]] / (1 + np.exp(codes[y[i]] * (x[i] @ w + b))) * share[y[i]]
+                gw, gb = gw + np.outer(x[i], pull), gb + pull
+            gw, gb = gw / len(chosen), gb / len(chosen)
+            sw, sb = sw + gw**2, sb + gb**2
+            w, b = w - LI.RATE * gw / np.sqrt(sw), b - 0.1 * gb / np.sqrt(sb)
+    out = {}
+    for i, t, _ in rows:
+        if not t or not any(c.isalpha() for c in t):
+            out[i] = ("und", 0.0)
+            continue
+        loss = np.log1p(np.exp(-(vector(t) @ w + b)[None, :] * codes)).sum(1)
+        p = np.exp(loss.min() - loss)
+        out[i] = (langs[int(loss.argmin())], float(p.max() / p.sum()))
+    return out
+
+
+def test_language_query_against_plain_loops(spark):
+    d = table(spark, SF, "documents").filter("doc_id < 260").select("doc_id", "text", "lang")
+    want = plain_language_id([tuple(r) for r in d.collect()])
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in LI.identify(d).collect()}
+    assert got.keys() == want.keys() and all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 0.01 for i in want)
+
+
 def test_codewords_differ():
     for n in range(2, 12):
         c = LI.codewords(n)
