@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import checkpointed
+from colloquy.llm.common import dropped, written
 
 MOST_ROUNDS = 64
 
@@ -14,21 +14,24 @@ def components(edges: DataFrame) -> DataFrame:
     """edges (a, b: long, not null) to (node, component): the smallest node that can be reached.
 
     Alternates the large-star and small-star steps of the public map-reduce algorithm until every node has one smaller
-    neighbour, a root. Minima come from aggregations with map-side combine and are checkpointed, so that the join with
-    the edges has a plain exchange on both sides and a node of very many edges is split by adaptive skew handling.
+    neighbour, a root. Minima come from aggregations with map-side combine and are written to the shared folder, so that
+    the join with the edges has a plain exchange on both sides and a node of very many edges is split by adaptive skew
+    handling. What a step has read is deleted when its result is written.
     """
     up = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    up = checkpointed(up.distinct())
+    up = written(up.distinct(), "edges")
     for _ in range(MOST_ROUNDS):
         if done(up):
             break
         both = up.unionByName(up.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = checkpointed(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
-        up = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        up = checkpointed(up.filter("u <> v").distinct())
-        least = checkpointed(up.groupBy("u").agg(F.min("v").alias("m")))
-        small = up.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        up = checkpointed(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        least = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = written(large.filter("u <> v").distinct(), "edges")
+        dropped(up, least)
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        up = written(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "edges")
+        dropped(large, least)
     else:
         raise RuntimeError("components did not settle")
     nodes = up.select(F.col("u").alias("node"), F.col("v").alias("component"))
