@@ -34,6 +34,39 @@ NEVER = 1 << 60
 #: What a worker remembers at most: words, and states of prefixes.
 MOST_WORDS, MOST_STATES = 300_000, 200_000
 STEP = 1 << 20
+#: Code points (hexadecimal, ranges with a hyphen) that the `regex` module takes as letters or numbers and
+#: the library, with older tables, doesn't; marks that it knows nothing of when it composes (and U+11930, which it leaves
+#: apart from U+11935); capitals that it lower-cases and Python doesn't, with their small letters.
+NO_LETTERS = """
+558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7
+10ed9-10eee 11b0a 11db0-11ddb 11df1 16ea0-16eb8 16ebb-16ed3 16ff2-16ff3 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2
+18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2
+1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f
+"""
+NO_NUMBERS = "11de0-11de9 1246f 12475-1247f 12550-12686 16ff4-16ff6"
+UNKNOWN_MARKS = """
+898 89c-89f 8ca-8ce 9fe c3c d3b-d3c eba 1715 1ac1-1ac2 1ac5-1ac9 1acb-1ace 1df6-1df8 1dfa a82c 10d24-10d27 10eab-10eac
+10f48-10f4a 10f4c 10f82 10f84 11070 1133b 1145e 11839-1183a 11930 1193d-1193e 11943 119e0 11a34 11a47 11a99 11d42
+11d44-11d45 11d97 11f41-11f42 16ff0-16ff1 1e08f 1e130-1e136 1e2ae 1e2ec-1e2ef 1e4ec-1e4ed 1e4ef
+"""
+NEW_CAPITALS = "1c89 a7cb a7cc a7ce a7d2 a7d4 a7da a7dc 10d50-10d65 16ea0-16eb8"
+THEIR_SMALL = "1c8a 264 a7cd a7cf a7d3 a7d5 a7db 19b 10d70-10d85 16ebb-16ed3"
+
+
+def code_points(ranges: str) -> list[int]:
+    """The code points of a list of hexadecimal numbers and ranges."""
+    bounds = [[int(x, 16) for x in r.split("-")] for r in ranges.split()]
+    return [c for b in bounds for c in range(b[0], b[-1] + 1)]
+
+
+def char_class(ranges: str) -> str:
+    """The same as the inside of a pattern's character class."""
+    return "".join("-".join(f"\\U{int(x, 16):08x}" for x in r.split("-")) for r in ranges.split())
+
+
+_SMALL = dict(zip(code_points(NEW_CAPITALS), map(chr, code_points(THEIR_SMALL)), strict=True))
+_ODD = re.compile(f"[{char_class(NO_LETTERS)}{char_class(NO_NUMBERS)}{char_class(UNKNOWN_MARKS)}{char_class(NEW_CAPITALS)}]")
+_MARKS = re.compile(f"([{char_class(UNKNOWN_MARKS)}])")
 
 
 def byte_letters() -> list[str]:
@@ -55,10 +88,14 @@ class Model:
             raise ValueError("only BPE over lower-cased words with byte letters, without a decoder, is known")
         self.suffix = model.get("end_of_word_suffix") or ""
         self.pattern = regex.compile(split["pattern"]["Regex"])
+        # Only texts with code points that the library reads otherwise need the exact classes, which are slower.
+        exact = split["pattern"]["Regex"].replace(r"\p{L}", rf"[\p{{L}}--[{char_class(NO_LETTERS)}]]").replace(r"\p{N}", rf"[\p{{N}}--[{char_class(NO_NUMBERS)}]]")
+        self.exact_pattern = regex.compile("(?V1)" + exact)
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
         self.names = dict.fromkeys(range(max([*self.vocab.values(), *self.special.values()]) + 1))
         self.names |= {v: k for k, v in [*self.vocab.items(), *self.special.items()]}
+        self.name_array = pa.array([self.names[i] for i in range(len(self.names))])
         self.find_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
@@ -181,6 +218,9 @@ class Model:
         """The words of a text, normalised."""
         if text.isascii():
             return self.ascii_pattern(text.lower())
+        if _ODD.search(text):
+            text = "".join(unicodedata.normalize("NFC", x) for x in _MARKS.split(text))
+            return self.exact_pattern.findall(text.replace("Σ", "σ").translate(_SMALL).lower())
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         return self.pattern.findall(text.replace("Σ", "σ").lower())
@@ -242,8 +282,7 @@ def vocabulary(df: DataFrame, path: str):
 
 def decoded(model: Model, ids: pa.ListArray) -> pa.Array:
     """The tokens' strings joined by blanks, as a vocabulary without a decoder decodes. Goes row block by row block."""
-    names = pa.array([model.names[i] for i in range(len(model.names))])
-    out = []
+    names, out = model.name_array, []
     for at in range(0, len(ids), 512):
         some = ids.slice(at, 512)
         flat = some.flatten()
