@@ -2,7 +2,8 @@
 
 Writer: one gzip member per record, one archive per task and `roll_bytes`; equal payloads are stored once, the others
 as `revisit` records. Reader: streams an archive through an incremental zlib decompressor, frames records by
-Content-Length, and verifies payload and block digests.
+Content-Length, and verifies payload and block digests. A broken record gives a row with `error`; the reader goes on with
+the next member, which it finds by its gzip header where the data themselves are broken.
 
 Defined results: a null html is an empty payload; an empty table gives no archive and no rows; rows that repeat a
 page_id with an equal payload are all `response` when that id is the largest of its payload; a null page_id is written
@@ -30,6 +31,10 @@ ID_HIGH = 0x5A1E_0C0D_E000_8000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ROLL_BYTES = 64 << 20
 READ_BYTES = 1 << 18
+#: A record's header is at most so long; so much of a member is looked at to tell whether it starts a record.
+HEADER_BYTES, PROBE_BYTES = 1 << 20, 512
+DIGESTS = ("sha1", "sha256", "sha512", "md5")
+GZIP_MAGIC = b"\x1f\x8b\x08"
 MANIFEST = "path string, records long, bytes long"
 RECORDS = (
     "archive string, offset long, record_type string, page_id long, target_uri string, refers_to long, "
@@ -141,10 +146,11 @@ def write_warc(pages: DataFrame, folder: str | None = None, min_bytes: int = 0,
 
 
 class Members:
-    """The bytes of consecutive gzip members, decompressed bit by bit; never holds more than a chunk or what is asked for."""
+    """The bytes of consecutive gzip members, decompressed bit by bit; holds no more than a chunk, what is asked for, and
+    the compressed bytes of the open member, from which a broken one is searched for the next."""
 
     def __init__(self, source) -> None:
-        self.source, self.raw, self.have = source, b"", bytearray()
+        self.source, self.raw, self.have, self.past = source, b"", bytearray(), bytearray()
         self.gz, self.done, self.offset, self.used = None, True, 0, 0
 
     def start(self) -> bool:
@@ -155,6 +161,7 @@ class Members:
             return False
         self.gz, self.done, self.offset = zlib.decompressobj(31), False, self.used
         self.have.clear()
+        self.past.clear()
         return True
 
     def more(self) -> bool:
@@ -167,14 +174,19 @@ class Members:
                 raise ValueError("truncated member")
         got = self.gz.decompress(self.raw, READ_BYTES)
         rest = self.gz.unused_data if self.gz.eof else self.gz.unconsumed_tail
-        self.used += len(self.raw) - len(rest)
+        taken = len(self.raw) - len(rest)
+        self.past += self.raw[:taken]
+        self.used += taken
         self.have += got
         self.raw, self.done = rest, self.gz.eof
         return True
 
-    def until(self, mark: bytes) -> bytes:
-        while (at := self.have.find(mark)) < 0:
-            if not self.more():
+    def until(self, mark: bytes, most: int) -> bytes:
+        """What stands before and with the mark, within the first `most` bytes."""
+        seen = 0
+        while (at := self.have.find(mark, seen)) < 0:
+            seen = max(0, len(self.have) - len(mark) + 1)
+            if seen > most or not self.more():
                 raise ValueError("record without an end of its header")
         return self.take(at + len(mark))
 
@@ -186,10 +198,38 @@ class Members:
         del self.have[:n]
         return out
 
-    def rest(self) -> bytes:
-        while self.more():
+    def ends_with(self, rest: bytes) -> bool:
+        """Whether exactly this is left of the member."""
+        while len(self.have) <= len(rest) and self.more():
             pass
-        return bytes(self.have)
+        return bytes(self.have) == rest
+
+    def recover(self) -> None:
+        """Goes behind a broken member: to its end, or where it can't be read to the next start of a record's member."""
+        try:
+            while self.more():
+                self.have.clear()
+            return
+        except (ValueError, zlib.error):
+            self.done = True
+        self.raw, self.used = bytes(self.past[1:]) + self.raw if self.past else self.raw[1:], self.offset + 1
+        while True:
+            at = self.raw.find(GZIP_MAGIC)
+            skipped = at if at >= 0 else max(0, len(self.raw) - len(GZIP_MAGIC) + 1)
+            self.raw, self.used = self.raw[skipped:], self.used + skipped
+            if at < 0 or len(self.raw) < PROBE_BYTES:
+                if more := self.source.read(READ_BYTES):
+                    self.raw += more
+                    continue
+                if at < 0:
+                    self.raw = b""
+                    return
+            try:
+                if zlib.decompressobj(31).decompress(self.raw[:PROBE_BYTES], 5) == b"WARC/":
+                    return
+            except zlib.error:
+                pass
+            self.raw, self.used = self.raw[1:], self.used + 1
 
 
 def headers(block: bytes) -> dict[str, str]:
@@ -197,36 +237,44 @@ def headers(block: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:] if line)}
 
 
+def agrees(told: str, data: bytes) -> bool:
+    """Whether a labelled digest (base32 or hexadecimal) is that of data; true for none and for unknown algorithms."""
+    algorithm, _, value = told.partition(":")
+    if algorithm.lower() not in DIGESTS or not value:
+        return True
+    own = hashlib.new(algorithm.lower(), data)
+    return value.upper().rstrip("=") in (base64.b32encode(own.digest()).decode().rstrip("="), own.hexdigest().upper())
+
+
 def records(source, archive: str, payloads: bool = True) -> Iterator[dict]:
-    """The records of one archive, in order. A broken record ends the archive with a row that has `error`."""
+    """The records of one archive, in order. A broken record gives a row that has `error`."""
     stream = Members(source)
     while True:
         try:
             if not stream.start():
                 return
-            head = stream.until(b"\r\n\r\n")
+            head = stream.until(b"\r\n\r\n", HEADER_BYTES)
             if not head.startswith(b"WARC/"):
                 raise ValueError("no WARC version line")
             fields = headers(head)
             block = stream.take(int(fields["content-length"]))
-            if stream.rest() != b"\r\n\r\n":
+            if not stream.ends_with(b"\r\n\r\n"):
                 raise ValueError("record longer than its Content-Length")
         except (ValueError, KeyError, zlib.error) as e:
             yield dict.fromkeys(("record_type", "page_id", "target_uri", "refers_to", "payload_bytes", "payload_digest", "payload")) | {"archive": archive, "offset": stream.offset, "verified": False, "error": str(e)}
-            return
+            stream.recover()
+            continue
         kind = fields.get("warc-type")
         http, _, payload = block.partition(b"\r\n\r\n") if fields.get("content-type", "").startswith("application/http") else (b"", b"", block)
-        told = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-        wrong = []
-        if (d := fields.get("warc-block-digest")) and d != "sha1:" + base32_sha1(block):
-            wrong.append("block digest")
+        told = fields.get("warc-payload-digest", "")
+        wrong = ["block digest"] if not agrees(fields.get("warc-block-digest", ""), block) else []
         if kind == "revisit":  # the payload is in another record: its size stands in the kept HTTP header
-            size = int(headers(http).get("content-length", 0))
+            size, told = int(headers(http).get("content-length", "0").strip() or 0), told.removeprefix("sha1:")
         else:
-            size, own = len(payload), base32_sha1(payload)
-            if told and told != own:
+            size = len(payload)
+            if not agrees(told, payload):
                 wrong.append("payload digest")
-            told = own
+            told = base32_sha1(payload)
         yield {
             "archive": archive, "offset": stream.offset, "record_type": kind, "page_id": page_of(fields.get("warc-record-id")),
             "target_uri": fields.get("warc-target-uri"), "refers_to": page_of(fields.get("warc-refers-to")), "payload_bytes": size,
@@ -269,7 +317,3 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     back = read_warc(write_warc(pages, min_bytes=min_bytes), payloads=False)
     checked: Column = F.when(F.col("verified"), F.col("record_type")).otherwise(F.raise_error(F.concat(F.lit("bad WARC record: "), F.coalesce("error", F.lit("?")))))
     return back.select("page_id", "payload_bytes", "payload_digest", checked.alias("record_type"), "refers_to")
-
-
-
-

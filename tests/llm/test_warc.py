@@ -74,3 +74,34 @@ def test_ids_keep_all_page_ids():
     for i in (0, -1, 2**63 - 1, -(2**63)):
         assert warc.page_of(warc.record_id(i)) == i
     assert warc.page_of("<urn:uuid:00000000-0000-0000-0000-000000000001>") is None and warc.page_of(None) is None
+
+
+@pytest.mark.parametrize("size", [5, 100, 1 << 18])
+def test_records_behind_a_broken_one_are_read(monkeypatch, size):
+    monkeypatch.setattr(warc, "READ_BYTES", size)
+    good = [warc.member(i, f"u{i}", f"payload {i} ".encode() * 40, None, False) for i in range(5)]
+    plain = zlib.decompress(good[1], 31)
+    for broken in (good[1][:60], good[1][:-3] + b"xyz", b"noise without any member", good[1][:30] + b"\x00" * 200, gzip.compress(b"hello"), gzip.compress(plain.replace(b"Content-Length: ", b"Content-Length: x")), b"\x1f\x8b\x08" * 9):
+        data = good[0] + broken + good[2] + good[3] + broken + good[4]
+        found = list(warc.records(io.BytesIO(data), "a"))
+        assert [r["page_id"] for r in found if r["verified"]] == [0, 2, 3, 4], broken[:20]
+        assert [r["offset"] for r in found if r["verified"]] == [0, len(good[0] + broken), len(good[0] + broken + good[2]), len(data) - len(good[4])]
+        assert sum(bool(r["error"]) for r in found) >= 2
+
+
+def test_a_header_without_an_end_is_bounded(monkeypatch):
+    monkeypatch.setattr(warc, "HEADER_BYTES", 1000)
+    stream = warc.Members(io.BytesIO(gzip.compress(b"x" * 50_000_000) + warc.member(1, "u", b"p", None, False)))
+    stream.start()
+    with pytest.raises(ValueError, match="header"):
+        stream.until(b"\r\n\r\n", 1000)
+    assert len(stream.have) <= 2 * warc.READ_BYTES
+    stream.recover()
+    assert stream.start() and stream.until(b"\r\n", 1000) == b"WARC/1.1\r\n"
+
+
+def test_digests_of_other_kinds():
+    import hashlib
+
+    assert warc.agrees("sha256:" + hashlib.sha256(b"x").hexdigest(), b"x") and not warc.agrees("sha256:" + hashlib.sha256(b"y").hexdigest(), b"x")
+    assert warc.agrees("SHA1:" + warc.base32_sha1(b"x").lower(), b"x") and warc.agrees("crc9:anything", b"x") and warc.agrees("", b"x")
