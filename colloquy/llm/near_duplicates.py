@@ -302,7 +302,11 @@ def star_links(stars: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node (doc_id) and its set as bytes, for the documents among nodes; a set of each text where an id repeats."""
+    """node (doc_id) and its set as bytes, for the documents among nodes; a set of each text where an id repeats.
+
+    nodes is a written table, so that its size is known: few ids are broadcast and no text is shuffled; beyond Spark's
+    broadcast threshold both sides are dealt by id.
+    """
     state: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +315,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             sets = [shingles(t, ids).tobytes() for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    texts = ids_and_texts(docs).join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = ids_and_texts(docs).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     return texts.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node", "shingles"])
 
 
@@ -332,9 +336,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = written(members.filter("node <> hub").select("node", "hub").distinct(), "pairs")
     both = pairs.join(signed, "node").join(signed.select(F.col("node").alias("hub"), F.col("signature").alias("hub_signature")), "hub")
     stars = written(plausible_pairs(both).distinct(), "stars")
-    sets = written(full_sets(docs, stars.select("node").unionByName(stars.select(F.col("hub").alias("node")))), "sets")
+    needed = written(stars.select("node").unionByName(stars.select(F.col("hub").alias("node"))).distinct(), "needed")
+    sets = written(full_sets(docs, needed), "sets")
     groups = written(components(star_links(stars, sets)), "groups")
-    dropped(pairs, stars, sets)
+    dropped(pairs, stars, needed, sets)
 
     # What is left: members that aren't hubs, of buckets with several components.
     owned = members.filter("node <> hub").join(groups, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
