@@ -65,12 +65,18 @@ def topic_descriptions(manifest: DataFrame, candidates: DataFrame) -> DataFrame:
 def best_lines(topics: DataFrame, lines: DataFrame) -> DataFrame:
     """work_id, topic and the line that shares most tokens with it, the first of equal ones; topics without any shared token go.
 
-    Topics and lines meet on their tokens (an equi-join), not in all pairs.
+    lines: work_id, pos (of any type with an order), line. Topics and lines meet on their tokens (an equi-join), not in
+    all pairs; only numbers of topics and places of lines are shuffled, and the winners' texts are fetched at the end.
     """
-    wanted = topics.select("work_id", "topic", F.explode(F.array_distinct(X.topic_tokens("topic"))).alias("_token"))
-    had = lines.select("work_id", "pos", "line", F.explode(F.array_distinct(X.topic_tokens("line"))).alias("_token"))
-    shared = wanted.join(had, ["work_id", "_token"]).groupBy("work_id", "topic", "pos", "line").agg(F.count("*").alias("score"))
-    return shared.groupBy("work_id", "topic").agg(F.max_by("line", F.struct("score", (-F.col("pos")).alias("p"))).alias("line"), F.max("score").alias("score"))
+    named = topics.select("work_id", "topic").distinct()
+    named = named.withColumn("_t", F.row_number().over(Window.partitionBy("work_id").orderBy("topic")))
+    wanted = named.select("work_id", "_t", F.explode(F.array_distinct(X.topic_tokens("topic"))).alias("_token"))
+    had = lines.select("work_id", "pos", F.explode(F.array_distinct(X.topic_tokens("line"))).alias("_token"))
+    shared = wanted.join(had, ["work_id", "_token"]).groupBy("work_id", "_t", "pos").agg(F.count("*").alias("score"))
+    best = shared.groupBy("work_id", "_t").agg(F.min(F.struct((-F.col("score")).alias("less"), "pos")).alias("_b"))
+    best = best.select("work_id", "_t", (-F.col("_b.less")).alias("score"), F.col("_b.pos").alias("pos"))
+    found = lines.join(best, ["work_id", "pos"]).groupBy("work_id", "_t").agg(F.min("line").alias("line"), F.max("score").alias("score"))
+    return found.join(named, ["work_id", "_t"]).select("work_id", "topic", "line", "score")
 
 
 def described_topics(top: DataFrame, descriptions: DataFrame, lines: DataFrame) -> DataFrame:

@@ -108,34 +108,36 @@ def utterances(lines: DataFrame, compat: bool = False) -> DataFrame:
 def merge_turns(turns: DataFrame, order: str = "utt_no") -> DataFrame:
     """Fragments put together: a turn joins the one before if that has the same speaker and an open end.
 
-    Exact also with empty texts: whether a turn opened or joined decides about the next, so the turns of a document are
-    folded in order. Turns that hold only punctuation go afterwards.
+    Exact also with empty texts: an empty turn that joins leaves its turn open, one that doesn't is never gone on with.
+    So a turn goes on exactly if the last filled turn before it has an open end and no other speaker stands between,
+    which two running values tell; a document's turns are never listed as a whole. Turns that hold only punctuation go
+    afterwards.
     """
-    entry = "struct<speaker:string,text:string,ts:string>"
-    listed = turns.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), "speaker", "text", "ts"))).alias("_all"))
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        goes_on = (last["speaker"] == x["speaker"]) & (last["text"] != "") & ~last["text"].rlike(r"[.!?…]$")
-        joined = F.struct(last["speaker"].alias("speaker"), F.concat(last["text"], F.lit(" "), x["text"]).alias("text"), last["ts"].alias("ts"))
-        fresh = F.struct(x["speaker"].alias("speaker"), x["text"].alias("text"), x["ts"].alias("ts"))
-        return F.when(F.coalesce(goes_on, F.lit(False)), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(fresh)))
-
-    merged = listed.select("doc_id", F.posexplode(F.aggregate("_all", F.array().cast(f"array<{entry}>"), step)).alias("_pos", "e"))
-    rows = merged.select("doc_id", "_pos", "e.speaker", "e.text", "e.ts").filter(~is_noise(F.col("text")))
-    return rows.withColumn("utt_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("_pos"))).drop("_pos")
+    w = Window.partitionBy("doc_id").orderBy(order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    change = F.coalesce(~F.col("speaker").eqNullSafe(F.lag("speaker").over(w)) | F.lag("speaker").over(w).isNull(), F.lit(True))
+    filled = F.coalesce(F.col("text") != "", F.lit(False))
+    own = turns.withColumn("_run", F.sum(change.cast("int")).over(w))
+    last = F.last(F.when(filled, F.struct((~F.col("text").rlike(r"[.!?…]$") & F.col("speaker").isNotNull()).alias("open"), "_run")), ignorenulls=True).over(before)
+    own = own.withColumn("_last", last)
+    goes_on = F.coalesce(F.col("_last.open") & (F.col("_last._run") == F.col("_run")), F.lit(False))
+    return islands(own.withColumn("_joins", goes_on), order)
+
+
+def islands(turns: DataFrame, order: str) -> DataFrame:
+    """Turns with _joins put together: each that doesn't join starts a new one."""
+    own = turns.withColumn("_island", F.sum(F.when(F.col("_joins"), 0).otherwise(1)).over(Window.partitionBy("doc_id").orderBy(order)))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), "text"))), lambda s: s["text"]), " ")
+    merged = own.groupBy("doc_id", "_island").agg(F.first("speaker").alias("speaker"), texts.alias("text"), F.min_by("ts", order).alias("ts"))
+    rows = merged.filter(~is_noise(F.col("text")))
+    return rows.withColumn("utt_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("_island"))).drop("_island")
 
 
 def merge_filled_turns(turns: DataFrame, order: str = "utt_no") -> DataFrame:
-    """As merge_turns where no text is empty: islands by a window, which needs no list of a document's turns."""
+    """As merge_turns where no text is empty: only the turn before decides."""
     w = Window.partitionBy("doc_id").orderBy(order)
     goes_on = (F.lag("speaker").over(w) == F.col("speaker")) & ~F.lag("text").over(w).rlike(r"[.!?…]$")
-    island = F.sum(F.when(goes_on, 0).otherwise(1)).over(w)
-    merged = turns.withColumn("_island", island).groupBy("doc_id", "_island").agg(
-        F.first("speaker").alias("speaker"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), "text"))), lambda s: s["text"]), " ").alias("text"), F.min_by("ts", order).alias("ts")
-    )
-    rows = merged.filter(~is_noise(F.col("text")))
-    return rows.withColumn("utt_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("_island"))).drop("_island")
+    return islands(turns.withColumn("_joins", F.coalesce(goes_on, F.lit(False))), order)
 
 
 def is_noise(text: Column) -> Column:
@@ -210,16 +212,19 @@ def densest_window(lines: DataFrame, limit: int, **options: int) -> DataFrame:
 
 
 def prescan(lines: DataFrame, limit: int, size: int = 50, tail_lines: int = 100) -> DataFrame:
-    """The sample that is read before planning: doc_id, section (1 head, 2 tail, 3 densest, 4 clues), line_no, text."""
+    """The sample that is read before planning: doc_id, section (1 head, 2 tail, 3 densest, 4 clues), part, line_no, text.
+
+    part: the clue's number in section 4, else 0; sections are in the order of part and line_no.
+    """
     best = densest_window(lines, limit, tail_lines=tail_lines, size=size)
     keys = best.select("doc_id", F.explode(F.sequence(F.col("offset") + 1, F.col("offset") + size)).alias("line_no"))
     middle = lines.join(keys, ["doc_id", "line_no"])
     parts = [(1, head(lines, limit)), (2, tail(lines, limit, tail_lines)), (3, middle)]
     out = None
     for section, part in parts:
-        own = part.select("doc_id", F.lit(section).alias("section"), "line_no", "text")
+        own = part.select("doc_id", F.lit(section).alias("section"), F.lit(0).alias("part"), "line_no", "text")
         out = own if out is None else out.unionByName(own)
-    clues = clue_context(lines).select("doc_id", F.lit(4).alias("section"), (F.col("clue_no") * 1000 + F.col("line_no") % 1000).cast("int").alias("line_no"), F.concat_ws(" ", "mark", "text").alias("text"))
+    clues = clue_context(lines).select("doc_id", F.lit(4).alias("section"), F.col("clue_no").alias("part"), "line_no", F.concat_ws(" ", "mark", "text").alias("text"))
     return out.unionByName(clues)
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from colloquy.functions import text as X
 
 FALLBACK = 7
+#: Parts of a round in which its first points are searched before they come together.
+PARTS = 64
 
 
 def summary_points(lines: DataFrame) -> DataFrame:
@@ -34,13 +36,19 @@ def merged_points(points: DataFrame, targets: DataFrame) -> DataFrame:
 
     points: work_id, file_no, pos, point. Points that repeat an earlier one (in any case) go; a round that adds nothing
     ends the merge; so does the target (work_id, target).
+
+    Each round adds a point, so that only places below the target matter, and of a round's new points only the first
+    `target` files'; what is left for one task is bounded by the target, not by the number of summaries.
     """
-    key = F.lower(X.squeeze("point"))
-    rows = points.withColumn("point", X.strip("point")).filter("point <> ''").withColumn("_key", key)
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("work_id", "_key").orderBy("pos", "file_no"))).filter("_n = 1")
-    unbroken = first.withColumn("_round", F.dense_rank().over(Window.partitionBy("work_id").orderBy("pos")) - 1).filter("_round = pos")
-    ranked = unbroken.withColumn("rank", F.row_number().over(Window.partitionBy("work_id").orderBy("pos", "file_no")))
-    return ranked.join(targets, "work_id").filter("rank <= target").select("work_id", "rank", "point")
+    rows = points.join(targets, "work_id").filter(F.col("pos") < F.col("target"))
+    rows = rows.withColumn("point", X.strip("point")).filter("point <> ''").withColumn("_key", F.lower(X.squeeze("point")))
+    first = rows.groupBy("work_id", "_key").agg(F.min(F.struct("pos", "file_no", "point")).alias("_f"), F.first("target").alias("target")).select("work_id", "_f.*", "target")
+    rounds = first.select("work_id", "pos").distinct().withColumn("_round", F.row_number().over(Window.partitionBy("work_id").orderBy("pos")) - 1)
+    unbroken = first.join(rounds.filter("_round = pos").select("work_id", "pos"), ["work_id", "pos"])
+    part = Window.partitionBy("work_id", "pos", F.pmod(F.xxhash64("file_no"), F.lit(PARTS))).orderBy("file_no")
+    few = unbroken.withColumn("_n", F.row_number().over(part)).filter(F.col("_n") <= F.col("target"))
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("work_id").orderBy("pos", "file_no")))
+    return ranked.filter("rank <= target").select("work_id", "rank", "point")
 
 
 def tldr_text(merged: DataFrame) -> DataFrame:

@@ -207,14 +207,16 @@ sp AS (SELECT doc_id, n - 150 AS e, CAST(greatest(1, (n - 100 - 40 - 50) // 20)
 w AS (SELECT doc_id, unnest(range(40, e, step)) AS o FROM sp),
 g AS (SELECT w.doc_id, w.o, count(*) FILTER (regexp_matches(text, {CLUE})) + 2 * len(list_distinct(flatten(list(regexp_extract_all(text, {MARKER}, 1))))) AS score FROM w JOIN sl ON sl.doc_id = w.doc_id AND line_no > o AND line_no <= o + 50 GROUP BY w.doc_id, w.o)
 SELECT doc_id, arg_max(o, score * 1000000 - o) AS "offset", CAST(max(score) AS BIGINT) AS score FROM g GROUP BY doc_id""",
-    "clue_context": rf"""WITH {SOURCE_LINES}, q AS (SELECT doc_id, line_no AS hit, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS clue_no FROM sl WHERE regexp_matches(text, {CLUE}))
-SELECT sl.doc_id, clue_no, line_no, CASE WHEN line_no = hit THEN '>>>' ELSE '   ' END AS mark, {strip("text")} AS text FROM q JOIN sl ON sl.doc_id = q.doc_id AND line_no BETWEEN hit - 2 AND hit + 2 WHERE clue_no <= 15""",
-    "prescan_sections": rf"""WITH {SOURCE_LINES}, n AS (SELECT doc_id, max(line_no) AS n FROM sl GROUP BY doc_id),
+    "clue_context": rf"""WITH {CONVERSATION_LINES}, q AS (SELECT doc_id, line_no AS hit, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS clue_no FROM cl WHERE regexp_matches(text, {CLUE}))
+SELECT cl.doc_id, clue_no, line_no, CASE WHEN line_no = hit THEN '>>>' ELSE '   ' END AS mark, {strip("text")} AS text FROM q JOIN cl ON cl.doc_id = q.doc_id AND line_no BETWEEN hit - 2 AND hit + 2 WHERE clue_no <= 15""",
+    "prescan_sections": rf"""WITH {SOURCE_LINES}, {CONVERSATION_LINES}, al AS (SELECT doc_id, line_no, text FROM sl UNION ALL SELECT doc_id, line_no, text FROM cl), n AS (SELECT doc_id, max(line_no) AS n FROM al GROUP BY doc_id),
 sp AS (SELECT doc_id, n - 150 AS e, CAST(greatest(1, (n - 190) // 20) AS BIGINT) AS step FROM n WHERE n - 140 > 50), w AS (SELECT doc_id, unnest(range(40, e, step)) AS o FROM sp),
-g AS (SELECT w.doc_id, w.o, count(*) FILTER (regexp_matches(text, {CLUE})) + 2 * len(list_distinct(flatten(list(regexp_extract_all(text, {MARKER}, 1))))) AS score FROM w JOIN sl ON sl.doc_id = w.doc_id AND line_no > o AND line_no <= o + 50 GROUP BY w.doc_id, w.o),
+g AS (SELECT w.doc_id, w.o, count(*) FILTER (regexp_matches(text, {CLUE})) + 2 * len(list_distinct(flatten(list(regexp_extract_all(text, {MARKER}, 1))))) AS score FROM w JOIN al ON al.doc_id = w.doc_id AND line_no > o AND line_no <= o + 50 GROUP BY w.doc_id, w.o),
 b AS (SELECT doc_id, arg_max(o, score * 1000000 - o) AS o FROM g GROUP BY doc_id),
-p AS (SELECT doc_id, 1 AS section, line_no FROM sl WHERE line_no <= 40 UNION ALL SELECT sl.doc_id, 2, line_no FROM sl JOIN n USING (doc_id) WHERE n > 140 AND line_no > n - 100 UNION ALL SELECT sl.doc_id, 3, line_no FROM sl JOIN b ON b.doc_id = sl.doc_id AND line_no > o AND line_no <= o + 50)
-SELECT doc_id, CAST(section AS BIGINT) AS section, count(*) AS lines, min(line_no) AS first_line, max(line_no) AS last_line FROM p GROUP BY ALL""",
+q AS (SELECT doc_id, line_no AS hit, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS clue_no FROM al WHERE regexp_matches(text, {CLUE})),
+p AS (SELECT doc_id, 1 AS section, 0 AS part, line_no, length(text) AS k FROM al WHERE line_no <= 40 UNION ALL SELECT al.doc_id, 2, 0, line_no, length(text) FROM al JOIN n USING (doc_id) WHERE n > 140 AND line_no > n - 100 UNION ALL SELECT al.doc_id, 3, 0, line_no, length(text) FROM al JOIN b ON b.doc_id = al.doc_id AND line_no > o AND line_no <= o + 50
+  UNION ALL SELECT al.doc_id, 4, clue_no, line_no, 4 + length({strip("text")}) FROM q JOIN al ON al.doc_id = q.doc_id AND line_no BETWEEN hit - 2 AND hit + 2 WHERE clue_no <= 15)
+SELECT doc_id, CAST(section AS BIGINT) AS section, CAST(part AS BIGINT) AS part, count(*) AS lines, min(line_no) AS first_line, max(line_no) AS last_line, CAST(sum(k) AS BIGINT) AS chars FROM p GROUP BY ALL""",
     "topic_hint": f"WITH {LINES}, t AS (SELECT doc_id, line_no, {title('text')} AS title FROM dl WHERE line_no <= 80) SELECT doc_id, arg_min(title, line_no) AS topic_hint FROM t WHERE {is_title('title')} GROUP BY doc_id",
     "imperative_actions": actions(),
     "work_totals": f"WITH {SOURCE_LINES}, {meta('sl')} {WORKS} SELECT work_id, files, lines, estimated_tokens, markers, dialogue_cues, dialogue_speakers, intro_cues, duration_seconds, speaker_stage, content_mode FROM w",
@@ -260,7 +262,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE lang WHEN '
 r AS (SELECT *, dense_rank() OVER (PARTITION BY work_id ORDER BY pos) - 1 AS round FROM f WHERE n = 1), g AS (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY pos, chunk_id) AS rank FROM r WHERE round = pos),
 t AS (SELECT work_id, count(DISTINCT chunk_id) AS files FROM pts GROUP BY work_id) SELECT work_id, rank, pt AS point FROM g JOIN t USING (work_id) WHERE rank <= CASE WHEN files <= 1 THEN 5 WHEN files = 2 THEN 7 WHEN files = 3 THEN 8 WHEN files = 4 THEN 9 ELSE 10 END""",
     "topic_top8": rf"""WITH t AS (SELECT source AS work_id, doc_id, regexp_extract(text, '^([^ \n]+)', 1) AS topic FROM documents WHERE text IS NOT NULL), c AS (SELECT work_id, topic, count(*) AS n, min(doc_id) AS f FROM t WHERE {squeeze("topic")} <> '' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY n DESC, f) AS rank FROM c) SELECT work_id, topic, n, rank FROM r WHERE rank <= 8""",
-    "topic_best_match": rf"""WITH {LINES}, b AS (SELECT DISTINCT text AS topic, unnest(list_distinct({TOPIC_TOKENS.replace("{0}", "text")})) AS tok FROM benchmark), l AS (SELECT doc_id * 1000000 + line_no AS pos, text AS line, unnest(list_distinct({TOPIC_TOKENS.replace("{0}", "text")})) AS tok FROM dl),
+    "topic_best_match": rf"""WITH {LINES}, b AS (SELECT DISTINCT text AS topic, unnest(list_distinct({TOPIC_TOKENS.replace("{0}", "text")})) AS tok FROM benchmark), l AS (SELECT (doc_id, line_no) AS pos, text AS line, unnest(list_distinct({TOPIC_TOKENS.replace("{0}", "text")})) AS tok FROM dl),
 s AS (SELECT topic, pos, line, count(*) AS score FROM b JOIN l USING (tok) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, pos) AS n FROM s) SELECT 'corpus' AS work_id, topic, line, score FROM r WHERE n = 1""",
     "people_mentions": rf"""WITH t AS (SELECT doc_id, regexp_replace(text, '([\p{{L}}\p{{M}}\p{{N}}_]+)', '‹\1›', 'g') AS text FROM documents),
 p AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:‹[A-Z][a-z]+›(?:\s+‹[A-Z][a-z]+›){{1,2}}|‹[А-ЯЁ][а-яё]+›(?:\s+‹[А-ЯЁ][а-яё]+›){{1,2}})', 0)) AS name FROM t) SELECT DISTINCT doc_id, regexp_replace(translate(name, '‹›', ''), '\s+', ' ', 'g') AS name FROM p""",
@@ -308,6 +310,8 @@ SELECT c_custkey, speaker, tldr, assemble, CASE WHEN h = 'required' AND speaker
     "stage_metrics": "SELECT event_type AS stage, count(*) AS events, CAST(sum(event_id % 1000) AS BIGINT) AS total_ms, max(event_id % 1000) AS longest_ms FROM events GROUP BY event_type",
     "run_ledger": """WITH s AS (SELECT event_id // 2 AS r, user_id, ts FROM events WHERE event_id % 2 = 0), f AS (SELECT event_id // 2 AS r, ts AS t FROM events WHERE event_id % 2 = 1 AND event_id % 20 <> 1)
 SELECT CAST(s.r AS VARCHAR) AS run_id, CAST(user_id AS VARCHAR) AS note_id, CASE WHEN t IS NULL THEN 'failed' ELSE 'assembled' END AS status FROM s LEFT JOIN f ON f.r = s.r AND t >= ts AND t <= ts + INTERVAL 6 HOURS""",
-    "batch_index": "SELECT count(*) AS total, count(*) FILTER (o_orderkey % 9 > 0) AS ok, count(*) FILTER (o_orderkey % 9 = 0) AS failed FROM orders",
+    "batch_index": """WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS f, o_orderkey % 9 > 0 AS ok, CASE WHEN o_orderkey % 10 = 7 THEN 'Unknown' ELSE 'A&amp;B &lt;' || o_orderkey || '&gt;' END AS t FROM orders),
+i AS (SELECT f, ok, CASE WHEN f LIKE '%3' THEN '<li>' || t || ' <span class=''meta''>(no HTML)</span></li>' ELSE '<li><a href="' || f || '.html">' || t || '</a></li>' END AS item FROM o)
+SELECT count(*) AS total, count(*) FILTER (ok) AS ok, count(*) FILTER (NOT ok) AS failed, sha256('<ol>' || string_agg(item, '' ORDER BY f) FILTER (ok) || '</ol>') AS html FROM i""",
     "already_delivered": "SELECT doc_id, CAST(doc_id AS VARCHAR) AS path FROM documents WHERE doc_id % 2 = 0 AND doc_id % 4 = 0 AND (doc_id % 3 > 0 OR doc_id % 5 > 0)",
 }

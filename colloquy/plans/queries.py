@@ -77,13 +77,15 @@ def densest_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def clue_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(LN.clue_context(source_lines(spark, sf_dir)), "clue_no", "line_no")
+    return longs(LN.clue_context(conversation_lines(spark, sf_dir)), "clue_no", "line_no")
 
 
 @query
 def prescan_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = LN.prescan(source_lines(spark, sf_dir), 40).filter("section < 4")
-    return longs(p.groupBy("doc_id", "section").agg(F.count("*").alias("lines"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line")), "section", "first_line", "last_line")
+    """All four sections of sources and conversations."""
+    own = source_lines(spark, sf_dir).unionByName(conversation_lines(spark, sf_dir))
+    p = LN.prescan(own, 40)
+    return longs(p.groupBy("doc_id", "section", "part").agg(F.count("*").alias("lines"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.sum(F.length("text")).alias("chars")), "section", "part", "first_line", "last_line")
 
 
 @query
@@ -164,8 +166,11 @@ def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def conversation_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select("conv_id", "role").distinct()
-    return c.withColumn("speaker", F.concat(F.lit("Speaker "), F.dense_rank().over(Window.partitionBy("conv_id").orderBy("role")).cast("string")))
+    """Conversations landed as diarized JSON: each segment's role, and the speaker it becomes."""
+    segment = F.struct(F.col("turn").cast("string").alias("start"), F.col("role").alias("speaker"), F.concat("role", F.lit(" "), F.col("turn").cast("string")).alias("transcript"))
+    c = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(segment)).alias("utterances"))).alias("content"))
+    turns = RD.diarized_turns(c, fold=False)
+    return turns.select(F.col("doc_id").alias("conv_id"), F.regexp_extract("text", "^(.+) ", 1).alias("role"), "speaker").distinct()
 
 
 @query
@@ -266,7 +271,7 @@ def topic_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topic_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each benchmark item the document line that shares most tokens with it; items are few, and all lines are read."""
     topics = table(spark, sf_dir, "benchmark").select(F.lit("corpus").alias("work_id"), F.col("text").alias("topic"))
-    lines = doc_lines(spark, sf_dir).select(F.lit("corpus").alias("work_id"), (F.col("doc_id") * 1000000 + F.col("line_no")).alias("pos"), F.col("text").alias("line"))
+    lines = doc_lines(spark, sf_dir).select(F.lit("corpus").alias("work_id"), F.struct("doc_id", "line_no").alias("pos"), F.col("text").alias("line"))
     return longs(AP.best_lines(topics.distinct(), lines), "score")
 
 
@@ -438,9 +443,9 @@ def planned_vs_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = table(spark, sf_dir, "documents").select(F.lit("corpus").alias("work_id"), F.col("doc_id").alias("chunk_id"))
     seen = table(spark, sf_dir, "labels").select(F.lit("corpus").alias("work_id"), (F.col("doc_id") * 2).alias("chunk_id"), F.col("quality").cast("long").alias("blocks"), (F.col("toxic") == 1).alias("manifest"))
     own = ST.planned_and_observed(plan, seen)
-    some = (F.coalesce("blocks", F.lit(0)) > 0) | F.coalesce("manifest", F.lit(False))
-    status = F.when(~F.col("planned"), F.when(some, "stale").otherwise("missing")).when((F.coalesce("blocks", F.lit(0)) > 0) & F.coalesce("manifest", F.lit(False)), "ready").when(some, "partial").otherwise("missing")
-    return own.select("work_id", "chunk_id", "planned", "observed", status.alias("status"))
+    none = plan.filter("false")
+    statuses = ST.chunk_statuses(plan.withColumns({"chunk_fingerprint": F.lit(""), "expected_outputs": F.array().cast("array<string>")}), seen, none.withColumns({"fingerprint": F.lit(""), "outputs": F.array().cast("array<string>")}), none.select("work_id", F.lit("").alias("name")))
+    return own.select("work_id", "chunk_id", "planned", "observed").join(statuses.select("work_id", "chunk_id", "status"), ["work_id", "chunk_id"])
 
 
 @query
@@ -480,7 +485,8 @@ def run_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def batch_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("file"), F.when(F.col("o_orderkey") % 9 > 0, "ok").otherwise("error").alias("status"))
-    return o.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") != "ok").alias("failed"))
+    listed = o.withColumns({"title": F.when(F.col("file").endswith("7"), None).otherwise(F.concat(F.lit("A&B <"), "file", F.lit('>'))), "html": F.when(F.col("file").endswith("3"), None).otherwise(F.concat("file", F.lit(".html")))})
+    return WR.batch_index(listed).withColumn("html", F.sha2("html", 256))
 
 
 @query

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -17,11 +19,13 @@ def ship(spark: SparkSession, top: str) -> None:
     if app in _sent:
         return
     _sent.add(app)
-    path = os.path.join(tempfile.mkdtemp(prefix="colloquy-"), "colloquy.zip")
+    folder = tempfile.mkdtemp(prefix="colloquy-")  # the driver serves it to executors until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "colloquy.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(os.path.join(top, "colloquy")):
+        for within, _, names in os.walk(os.path.join(top, "colloquy")):
             for name in sorted(names):
                 if name.endswith(".py"):
-                    full = os.path.join(folder, name)
+                    full = os.path.join(within, name)
                     z.write(full, os.path.relpath(full, top))
     spark.sparkContext.addPyFile(path)

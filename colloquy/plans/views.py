@@ -30,20 +30,20 @@ def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source as one transcript: the lines of its documents in order, numbered through.
 
     Offsets are sums in two levels (groups of documents, then documents within a group), so that no task holds all lines
-    or all documents of a large source.
+    or all documents of a large source. Rows that repeat a document count as often as they stand there; rows without a
+    doc_id come first, and rows without a source are a transcript without a name.
     """
     from colloquy.functions.text import split_lines
 
     docs = spread(table(spark, sf_dir, "documents").select("source", "doc_id", "text")).filter("text is not null")
-    counts = docs.select("source", "doc_id", F.floor(F.col("doc_id") / STRIDE).alias("_g"), F.size(split_lines("text")).alias("_n"))
-    groups = counts.groupBy("source", "_g").agg(F.sum("_n").alias("_all"))
+    placed = docs.withColumns({"_g": F.floor(F.col("doc_id") / STRIDE), "_n": F.size(split_lines("text"))})
+    groups = placed.groupBy("source", "_g").agg(F.sum("_n").alias("_all"))
     w = Window.partitionBy("source").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.withColumn("_base", F.coalesce(F.sum("_all").over(w), F.lit(0))).drop("_all")
-    own = Window.partitionBy("source", "_g").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    within = counts.withColumn("_before", F.coalesce(F.sum("_n").over(own), F.lit(0)))
-    offsets = within.join(groups, ["source", "_g"]).select(F.col("doc_id").alias("_doc"), (F.col("_base") + F.col("_before")).alias("_offset"))
-    placed = docs.join(offsets, F.col("doc_id") == F.col("_doc"))
-    one = placed.select(F.col("source").alias("doc_id"), "_offset", F.posexplode(split_lines("text")).alias("_pos", "text"))
+    groups = groups.select(F.col("source").alias("_source"), F.col("_g").alias("_group"), F.coalesce(F.sum("_all").over(w), F.lit(0)).alias("_base"))
+    own = Window.partitionBy("source", "_g").orderBy("doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    within = placed.withColumn("_before", F.coalesce(F.sum("_n").over(own), F.lit(0)))
+    numbered = within.join(groups, F.col("source").eqNullSafe(F.col("_source")) & F.col("_g").eqNullSafe(F.col("_group")))
+    one = numbered.select(F.col("source").alias("doc_id"), (F.col("_base") + F.col("_before")).alias("_offset"), F.posexplode(split_lines("text")).alias("_pos", "text"))
     return one.select("doc_id", (F.col("_offset") + F.col("_pos") + 1).cast("int").alias("line_no"), "text")
 
 

@@ -113,12 +113,11 @@ def prepare_report(plan: DataFrame, meta: DataFrame, works: DataFrame) -> DataFr
     return both.select("work_id", F.concat(head, F.lit("\n\n=== CHUNK ASSIGNMENTS ===\n\n"), F.col("_chunks"), F.format_string("\n\n=== TOTAL CHUNKS: %d ===\n", "chunks")).alias("report"))
 
 
-
-
 def prescan_text(sample: DataFrame, hints: DataFrame | None = None) -> DataFrame:
-    """doc_id and the prescan sample as text: hint lines (doc_id, hint_lines array) first, then the sections, each under its heading."""
+    """doc_id and the prescan sample (doc_id, section, part, line_no, text) as text: hint lines (doc_id, hint_lines array) first, then the sections, each under its heading."""
     names = F.element_at(F.array(*[F.lit(x) for x in ("FIRST LINES", "LAST LINES", "MIDDLE SAMPLE", "SPEAKER HINTS")]), F.col("section"))
-    parts = sample.groupBy("doc_id", "section").agg(joined_in_order("text", "line_no", "\n").alias("_body"))
+    place = F.struct("part", "line_no") if "part" in sample.columns else F.col("line_no")
+    parts = sample.withColumn("_place", place).groupBy("doc_id", "section").agg(joined_in_order("text", "_place", "\n").alias("_body"))
     parts = parts.withColumn("_text", F.concat(F.lit("=== "), names, F.lit(" ===\n"), F.col("_body")))
     own = parts.groupBy("doc_id").agg(joined_in_order("_text", "section", "\n\n").alias("_all"))
     if hints is None:

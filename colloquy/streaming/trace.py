@@ -41,15 +41,22 @@ def latest_stage(events: DataFrame) -> DataFrame:
 
 
 def run_ledger(events: DataFrame, late: str = LATE, timeout: str = "6 hours") -> DataFrame:
-    """A row per run: start joined with finish on the run; a run without a finish within the timeout has status `failed`.
+    """A row per start of a run: joined with its first finish; a run without a finish within the timeout has status `failed`.
 
     Both sides carry watermarks and the join bounds their distance, so that state is dropped once the timeout has passed.
+    Of several finishes of a run the first that arrives counts in a stream, the earliest after the start in a table.
     """
     own = events.withWatermark("ts", late) if events.isStreaming else events
-    start = own.filter("event = 'run.started'").select(F.col("run_id").alias("run_id"), "note_id", F.col("ts").alias("started_at"))
+    start = own.filter("event = 'run.started'").select("run_id", "note_id", F.col("ts").alias("started_at"))
     finish = own.filter("event = 'run.finished'").select(F.col("run_id").alias("_run"), F.col("ts").alias("finished_at"), F.get_json_object("props", "$.status").alias("_status"))
+    if events.isStreaming:
+        finish = finish.dropDuplicatesWithinWatermark(["_run"])
     near = (F.col("run_id") == F.col("_run")) & (F.col("finished_at") >= F.col("started_at")) & (F.col("finished_at") <= F.col("started_at") + F.expr(f"interval {timeout}"))
-    return start.join(finish, near, "left_outer").select("run_id", "note_id", "started_at", "finished_at", F.coalesce(F.when(F.col("finished_at").isNotNull(), F.coalesce("_status", F.lit("finished"))), F.lit("failed")).alias("status"))
+    both = start.join(finish, near, "left_outer")
+    if not events.isStreaming:
+        first = F.min(F.when(F.col("finished_at").isNotNull(), F.struct("finished_at", "_status")))
+        both = both.groupBy("run_id", "note_id", "started_at").agg(first.alias("_f")).select("run_id", "note_id", "started_at", "_f.finished_at", "_f._status")
+    return both.select("run_id", "note_id", "started_at", "finished_at", F.coalesce(F.when(F.col("finished_at").isNotNull(), F.coalesce("_status", F.lit("finished"))), F.lit("failed")).alias("status"))
 
 
 def batch_progress(events: DataFrame) -> DataFrame:
