@@ -16,6 +16,7 @@ from colloquy.operators import quality as QL
 from colloquy.operators import speakers as SP
 from colloquy.operators import state as ST
 from colloquy.operators import tldr as TL
+from colloquy.plans import landed, notes
 from colloquy.plans.fixtures import ACTION_TEXTS, MANIFEST_ROWS, NAMES, TIMES, URLS
 from colloquy.plans.views import conversation_lines, doc_lines, source_lines, source_meta, table
 from colloquy.sources import readers as RD
@@ -495,3 +496,6 @@ def already_delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = d.select("doc_id", F.col("source").alias("title"), F.col("doc_id").cast("string").alias("path"), F.lit("c").alias("chat"), F.sha2("text", 256).alias("sha256"))
     sent = d.select(F.col("source").alias("title"), F.col("doc_id").cast("string").alias("path"), F.when(F.col("doc_id") % 4 == 0, "c").otherwise("other").alias("chat"), F.when(F.col("doc_id") % 3 > 0, F.sha2("text", 256)).when(F.col("doc_id") % 5 == 0, "x").alias("sha256"), (F.col("doc_id") % 2 == 0).alias("success"))
     return ST.already_delivered(notes, sent).select("doc_id", "path")
+
+
+QUERIES |= landed.QUERIES | notes.QUERIES

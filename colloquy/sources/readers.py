@@ -255,7 +255,11 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
     Each file is parsed by its own header, so that files of several generations can be read at once.
     """
-    lines = read_lines(spark, path)
+    return manifests_of(read_lines(spark, path))
+
+
+def manifests_of(lines: DataFrame) -> DataFrame:
+    """As read_manifest, of lines that are landed already; doc_id is the file's path."""
     header = lines.filter("line_no = 1").select("doc_id", F.split("text", "\t").alias("names"))
     rows = lines.filter("line_no > 1 and trim(text) <> ''").join(header, "doc_id")
     cells = F.transform(F.split("text", "\t"), unquoted)
