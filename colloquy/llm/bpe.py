@@ -65,7 +65,9 @@ def char_class(ranges: str) -> str:
 
 
 _SMALL = dict(zip(code_points(NEW_CAPITALS), map(chr, code_points(THEIR_SMALL)), strict=True))
-_ODD = re.compile(f"[{char_class(NO_LETTERS)}{char_class(NO_NUMBERS)}{char_class(UNKNOWN_MARKS)}{char_class(NEW_CAPITALS)}]")
+_ODD = np.zeros(0x110000, bool)
+_ODD[[c for r in (NO_LETTERS, NO_NUMBERS, UNKNOWN_MARKS, NEW_CAPITALS) for c in code_points(r)]] = True
+_FIRST_ODD = int(_ODD.argmax())
 _MARKS = re.compile(f"([{char_class(UNKNOWN_MARKS)}])")
 
 
@@ -218,7 +220,8 @@ class Model:
         """The words of a text, normalised."""
         if text.isascii():
             return self.ascii_pattern(text.lower())
-        if _ODD.search(text):
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if codes.max() >= _FIRST_ODD and _ODD[codes].any():
             text = "".join(unicodedata.normalize("NFC", x) for x in _MARKS.split(text))
             return self.exact_pattern.findall(text.replace("Σ", "σ").translate(_SMALL).lower())
         if not unicodedata.is_normalized("NFC", text):
