@@ -3,7 +3,8 @@
 All rolling word k-gram hashes of every text are joined by Spark with the places of the templates' k-grams. A match at
 word p of the text and place q of a template votes for the diagonal p - q. Votes are collected per diagonal, chains of
 votes over neighbouring diagonals (insertions and deletions shift them) are spans, and a span counts if its votes cover
-enough of the template's words without being much longer than it.
+enough of the template's words without being much longer than it. The places of a span are then verified: the text is
+read again, and only places whose words are the template's, word by word, go on counting.
 
 Templates are phrases, which must stand whole (every vote on one diagonal; these are the base places), and notices. Short
 notices have 2-grams, also with a word between, so that an edit costs a word and not all votes; their TELLING words must be
@@ -11,8 +12,9 @@ covered, and no word of BARRED may stand between, which makes it another license
 The template table is fixed, under 1000 rows; it is the one side of the join that is broadcast.
 
 Votes are few. They are counted before they are shuffled, then everything about a text is brought together by (doc_id,
-hash of the text); each text also votes once for a marker, so that texts without any match keep their row, and as often
-as rows repeat.
+hash of the text) and written once for all steps to come; each text also votes once for a marker, so that texts without
+any match keep their row, and as often as rows repeat. Only the ids of texts that may hold a notice are joined back to
+the documents (broadcast by Spark while they are few), and only these texts are read in Python again.
 
 Defined results: null or empty texts have no words and labels; a null doc_id keeps its row; repeated rows get a row each;
 other columns are ignored.
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import bounded_batches, slices, windows, Ids
+from colloquy.llm.common import Ids, bounded_batches, slices, windows, written
 
 #: Base phrases and their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -183,10 +185,66 @@ def votes(docs: DataFrame, spark: SparkSession) -> DataFrame:
     return once.groupBy("doc_id", "_key", "n_words", "template", "diagonal").agg(F.collect_list(F.col("word") - F.col("diagonal")).alias("places"), F.count("*").alias("votes"), F.max("_rows").alias("_rows"))
 
 
-def spans(voted: DataFrame, spark: SparkSession) -> DataFrame:
+def verified_hits(found: list[dict], words: list[bytes], template: list[bytes], k: int) -> tuple[list[tuple[int, int]], set[int]]:
+    """The (word, place) hits of a notice whose words are its own in the text, and the places of barred words.
+
+    Long notices have hits of k words. Short ones go on with single words, those of their 2-grams.
+    """
+    hits, barred = [], set()
+    for group in found:
+        kind, diagonal = group["_kind"], group["diagonal"]
+        for q in group["places"]:
+            p = diagonal + q
+            if kind in (BARRED_AFTER, BARRED_BEFORE):
+                barred.add(p + (kind == BARRED_AFTER))
+            elif k == NOTICE_K:
+                if words[p : p + k] == template[q : q + k]:
+                    hits.append((p, q))
+            else:
+                step = 2 if kind == SKIPPED else 1
+                if words[p : p + 1] == template[q : q + 1] and words[p + step : p + step + 1] == template[q + 1 : q + 2]:
+                    hits += [(p, q), (p + step, q + 1)]
+    return hits, barred
+
+
+def verified(candidates: DataFrame, docs: DataFrame, notices: dict[int, tuple[list[bytes], int]]) -> DataFrame:
+    """The candidates (doc_id, _key, template, hits) that hold a span in their text: with its share and diagonal."""
+    wanted = written(candidates, "candidates")
+    few = wanted.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_hash"))  # ids alone, so that as many as can be are broadcast
+    text = F.col("text").cast("string")
+    texts = docs.select("doc_id", F.xxhash64(text).alias("_key"), F.encode(text, "utf-8").alias("text"))
+    texts = texts.join(few, texts["doc_id"].eqNullSafe(F.col("_id")) & (texts["_key"] == F.col("_hash")), "left_semi")
+    both = texts.withColumnsRenamed({"doc_id": "_id", "_key": "_hash"}).join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("_key")))
+    kept = ["doc_id", "_key", "n_words", "template", "label", "phrase", "_rows"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.select(*kept).schema.fields) + ", share double, diagonal long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[int, int], tuple[float, int] | None] = {}  # texts that repeat are verified once
+        for part in (p for b in batches for p in slices(b, "text", 1 << 20)):
+            spans, here = [], {}
+            for key, number, text, found in zip(*[part.column(c).to_pylist() for c in ("_key", "template", "text", "hits")], strict=True):
+                if (key, number) not in known:
+                    if len(known) > 50_000:
+                        known.clear()
+                    if key not in here:
+                        here = {key: words_of(text)}
+                    template, k = notices[number]
+                    hits, barred = verified_hits(found, here[key], template, k)
+                    known[key, number] = best_span(hits, barred if k != NOTICE_K else set(), template, k if k == NOTICE_K else 1)
+                spans.append(known[key, number])
+            good = pa.array([x is not None for x in spans])
+            share = pa.array([x[0] if x else None for x in spans], pa.float64())
+            diagonal = pa.array([x[1] if x else None for x in spans], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], share, diagonal], names=[*kept, "share", "diagonal"]).filter(good)
+
+    bounded_batches(docs.sparkSession)
+    return both.select(*kept, "hits", "text").mapInArrow(run, schema).dropDuplicates(["doc_id", "_key", "template"])
+
+
+def spans(voted: DataFrame, docs: DataFrame) -> DataFrame:
     """Verified spans: doc_id, _key, n_words, template, label, phrase, diagonal, share, _rows; markers among them."""
     _, rows = template_rows()
-    told = F.broadcast(spark.createDataFrame(rows, "template int, label string, phrase boolean, words int, k int, whole int"))
+    told = F.broadcast(docs.sparkSession.createDataFrame(rows, "template int, label string, phrase boolean, words int, k int, whole int"))
     own = F.when(F.col("template") >= BARRED_AFTER, F.col("template") % BARRED_AFTER).otherwise(F.col("template"))
     known = voted.withColumn("_kind", F.when(F.col("template") >= BARRED_AFTER, F.col("template") - own).otherwise(0)).withColumn("template", own).join(told, "template", "left")
     phrases = known.filter("phrase and votes = whole").withColumn("share", F.lit(1.0))
@@ -196,29 +254,16 @@ def spans(voted: DataFrame, spark: SparkSession) -> DataFrame:
         F.max("_rows").alias("_rows"),
     )
     notices = {number: (words_of(text.encode()), k) for (number, _, phrase, _, k, _), (text, _) in zip(rows, [*PHRASES, *NOTICES], strict=True) if not phrase}
-
-    def verify(template, found):  # (share, diagonal) or None
-        words, k = notices[template]
-        own = [(d + q, q) for kind, d, places in found if kind in (0, SKIPPED) for q in places]
-        if k == NOTICE_K:
-            return best_span(own, set(), words, k)
-        # Short notices go on with single words: the second ones of their 2-grams are told by the kind.
-        own += [(d + q + (2 if kind else 1), q + 1) for kind, d, places in found if kind in (0, SKIPPED) for q in places]
-        barred = {d + q + (kind == BARRED_AFTER) for kind, d, places in found if kind in (BARRED_AFTER, BARRED_BEFORE) for q in places}
-        return best_span(own, barred, words, 1)
-
     # Each k-gram covers k words at most; few texts have places enough to be looked at.
     enough = F.size("_places") * F.col("k") >= SHARE * F.col("words")
-    merged = hits.filter(enough).withColumn("_span", F.udf(verify, "share double, diagonal long")("template", "hits")).filter("_span is not null")
-    merged = merged.withColumn("share", F.col("_span.share")).withColumn("diagonal", F.col("_span.diagonal"))
+    merged = verified(hits.filter(enough).drop("words", "k", "_places"), docs, notices)
     out = ["doc_id", "_key", "n_words", "template", "label", "phrase", "diagonal", "share", "_rows"]
     return phrases.select(*out).unionByName(merged.select(*out)).unionByName(known.filter(F.col("template") == MARKER).withColumn("share", F.lit(0.0)).select(*out))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """n_words, base places and labels of each document; see the module's text."""
-    spark = docs.sparkSession
-    found = spans(votes(docs, spark), spark)
+    found = spans(written(votes(docs, docs.sparkSession), "votes"), docs)
     base, marker = F.col("phrase") & (F.col("template") != MARKER), F.col("template") == MARKER
 
     def joined(labels: Column) -> Column:

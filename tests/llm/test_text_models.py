@@ -314,3 +314,74 @@ def test_short_notices_with_an_inserted_word(spark):
     rows = {r["doc_id"]: r["labels"].split(",") for r in LC.scan(docs(spark, *[t for t, _ in cases + OTHERS])).collect()}
     assert len(inserted) > 50 and [c for i, c in enumerate(cases) if c[1] not in rows[i]] == []
     assert [c for i, c in enumerate(OTHERS, len(cases)) if c[1] in rows[i]] == []
+
+
+def brute_labels(text):
+    """The labels by their definition, in plain loops over words: which chains of equal words cover enough of a notice."""
+    words = [w.decode() for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().lower())]
+    found = {x for x in brute_licenses(text)[4].split(",") if x}
+    for notice, label in LC.NOTICES:
+        t = notice.split()
+        short = len(t) <= LC.SHORT_WORDS
+        k = 1 if short else LC.NOTICE_K
+        hits, places, barred = set(), set(), set()
+        for p in range(len(words)):
+            for q in range(len(t)):
+                if not short:
+                    if words[p : p + 4] == t[q : q + 4] and q + 4 <= len(t):
+                        hits.add((p, q))
+                        places.add(q)
+                    continue
+                for step in (1, 2):
+                    if q + 1 < len(t) and words[p] == t[q] and words[p + step : p + step + 1] == t[q + 1 : q + 2]:
+                        hits |= {(p, q), (p + step, q + 1)}
+                        places.add(q)
+                for x in (x for name, xs in LC.BARRED.items() if name in t for x in xs if q + 1 < len(t)):
+                    if words[p] == t[q] and words[p + 1 : p + 2] == [x] and t[q + 1] != x:
+                        barred.add(p + 1)
+                    if words[p] == x and words[p + 1 : p + 2] == [t[q + 1]] and t[q] != x:
+                        barred.add(p)
+        if len(places) * (2 if short else 4) < LC.SHARE * len(t):
+            continue
+        telling = [short and (x.isdigit() or x in LC.TELLING) for x in t]
+        order, best = sorted(hits), 0.0
+        for start in order:
+            if any(telling[: start[1]]):
+                continue
+            covered = {start: k}
+            for at in order:
+                if at > start and at[0] + k - start[0] <= LC.STRETCH * len(t):
+                    ways = [
+                        c + min(k, at[1] - b, at[0] - a)
+                        for (a, b), c in covered.items()
+                        if a < at[0] and b < at[1] and abs(at[0] - at[1] - a + b) <= LC.NEIGHBOURS and not any(telling[b + k : at[1]]) and not any(a + k <= x < at[0] for x in barred)
+                    ]
+                    if ways:
+                        covered[at] = max(ways)
+            best = max([best, *[c / len(t) for (a, b), c in covered.items() if not any(telling[b + k :])]])
+        if best >= (LC.SHORT_SHARE if short else LC.SHARE):
+            found.add(label)
+    return ",".join(sorted(found))
+
+
+def test_labels_against_plain_loops(spark):
+    rng = random.Random(31)
+    texts = [t for t, _ in EDITED + OTHERS] + [t for t in TEXTS if t is None or len(t) < 1000]
+    for notice, _ in LC.NOTICES * 4:
+        w = notice.split()
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randrange(len(w))
+            change = rng.random()
+            w = [*w[:at], *([] if change < 0.3 else [rng.choice(["word", "nc", "the", "2", "lesser", w[at]])] if change < 0.6 else [rng.choice(["and", "mit"]), w[at]]), *w[at + 1 :]] or ["x"]
+        texts.append(" ".join([*rng.choices(["a", "the", "license", "cc", "by"], k=3), *w, "end"]))
+    rows = {r["doc_id"]: r["labels"] for r in LC.scan(docs(spark, *texts)).collect()}
+    assert [(t, rows[i], want) for i, t in enumerate(texts) if rows[i] != (want := brute_labels(t))] == []
+    assert sum(bool(x) for x in rows.values()) > 40
+
+
+def test_labels_of_documents_against_plain_loops(spark):
+    d = table(spark, SF, "documents").filter("length(text) < 3000")
+    texts = {r["doc_id"]: r["text"] for r in d.collect()}
+    rows = {r["doc_id"]: r["labels"] for r in LC.scan(d).collect()}
+    some = [i for i, t in texts.items() if "icense" in t or "cc by" in t.lower() or "rights reserved" in t.lower()]
+    assert len(some) > 10 and all(rows[i] == brute_labels(texts[i]) for i in some) and sum(bool(x) for x in rows.values()) == sum(bool(brute_labels(texts[i])) for i in some)
