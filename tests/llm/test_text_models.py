@@ -136,11 +136,11 @@ def plain_language_id(rows):
     out = {}
     for i, t, _ in rows:
         if not t or not any(c.isalpha() for c in t):
-            out[i] = ("und", 0.0)
+            out[i] = ("und", 0.0, 0.0)
             continue
         loss = np.log1p(np.exp(-(vector(t) @ w + b)[None, :] * codes)).sum(1)
         p = np.exp(loss.min() - loss)
-        out[i] = (langs[int(loss.argmin())], float(p.max() / p.sum()))
+        out[i] = (langs[int(loss.argmin())], float(p.max() / p.sum()), float(np.sort(loss)[1] - loss.min()) if len(loss) > 1 else 1e9)
     return out
 
 
@@ -211,6 +211,19 @@ def brute_rules(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(repeat), failed, ratio
 
 
+def brute_kept(text):
+    """The verdict by its definition: the base rule, the whole text's band, and the share of bytes in chunks out of their band."""
+    data, z = (text or "").encode(), zstandard.ZstdCompressor(level=3)
+    if not data or brute_rules(text)[5]:
+        return False
+    ratio = len(z.compress(data)) / len(data)
+    low, high = [(a, b) for below, a, b in QR.BANDS if len(data) < below][0]
+    chunks = [data[i : i + 4096] for i in range(0, len(data), 4096)]
+    chunks = [c for c in chunks if len(c) >= 2048]
+    bad = sum(len(c) for c in chunks if not 0.43 <= len(z.compress(c)) / len(c) <= 0.75)
+    return low <= ratio <= high and (not chunks or bad / sum(map(len, chunks)) <= 0.3)
+
+
 def test_rules_against_brute_force(spark):
     texts = [None, "", "a", "ä b\n\nä b\n \nä b", "x # * $ % & | < > [ ]", "one two three four five six seven eight " * 3, " ".join("".join(R.choices("abcdefghinorstu", k=R.randint(2, 9))) for _ in range(300)), "слово " * 40, "a b c d e f g h\x1ci \x85 j k " * 5, "aaaa " * 50_000]
     rows = {r["doc_id"]: r for r in QR.apply_rules(docs(spark, *texts).withColumn("kept", F.lit("clash"))).collect()}
@@ -227,6 +240,7 @@ def test_rules_on_documents(spark, sf_dir):
     rows = QR.apply_rules(d).collect()
     for r in rows:
         assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio")) == brute_rules(r["text"])
+        assert r["kept"] == brute_kept(r["text"])
     kept = QR.keep(d)
     assert kept.columns == d.columns and {r["doc_id"] for r in kept.select("doc_id").collect()} == {r["doc_id"] for r in rows if r["kept"]}
     assert QR.keep(d.limit(0)).count() == QR.apply_rules(d.limit(0)).count() == 0
