@@ -35,7 +35,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language), ("quality_rules", quality), ("near_dedup", near_dedup), ("decontamination", decontaminate), ("bpe", tokens)]
 
-#: Trained classifiers, compression ratios and BPE are beyond SQL; tests hold run() against a brute-force version.
+#: Trained classifiers, compression ratios and BPE are beyond SQL; tests hold run()'s rows against plain Python.
 ORACLE_SQL = None
 
 
