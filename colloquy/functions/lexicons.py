@@ -3,7 +3,7 @@
 #: Speaker markers, dialogue prefixes, self-introductions, timestamps and clues in transcript lines.
 SPEAKER_MARKER = r"(?U)\*\*Speaker\s+(\d+)\*\*"
 DIALOGUE_PREFIX = r"(?U)^\s*(?:\*\*)?([A-Za-zА-Яа-я0-9][A-Za-zА-Яа-я0-9 .,_\-]{0,40})(?:\*\*)?\s*:"
-CYRILLIC = r"[\u0400-\u04FF]"
+CYRILLIC = r"[\u0400-\u04FF\u1C80-\u1C8F]"
 INTRODUCTION = (
     r"(?iu)(меня зовут|мне зовут|расскажи про себя|расскажите про себя|"
     r"представься|представьтесь|представь себя|представьте себя|"

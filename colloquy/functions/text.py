@@ -32,9 +32,13 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
+#: What the pattern (?U)\\s matches: the white space of Unicode.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column | str) -> Column:
-    """Without white space at either end, of any Unicode kind."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    """Without white space at either end, of any Unicode kind; looks at the ends only."""
+    return F.btrim(col(c), F.lit(WHITE_SPACE))
 
 
 def squeeze(c: Column | str) -> Column:
@@ -42,6 +46,11 @@ def squeeze(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(col(c), r"(?U)\s+", " "))
 
 
+def filled_runs(c: Column | str) -> Column:
+    """How many runs of characters that aren't white space a text has, without listing them."""
+    return let(squeeze(c), lambda t: F.when(t == "", 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1))
+
+
 def blank_to_null(c: Column | str) -> Column:
     return F.nullif(col(c), F.lit(""))
 

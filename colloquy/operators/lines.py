@@ -15,28 +15,33 @@ def by_doc() -> WindowSpec:
     return Window.partitionBy("doc_id").orderBy("line_no")
 
 
+def is_clue(t: Column) -> Column:
+    """Whether a line tells of its speaker. Plain tests first: without a colon, `peaker` or a Cyrillic letter none does."""
+    return (t.contains(":") | F.lower(t).contains("peaker") | ((F.octet_length(t) > F.length(t)) & t.rlike(L.CYRILLIC))) & t.rlike(L.SPEAKER_CLUE)
+
+
 def line_features(lines: DataFrame, compat: bool = True) -> DataFrame:
     """lines with what each says about its speaker: dialogue prefix and name, introduction, clue, markers, times.
 
     With compat, times of 100 minutes and more (three digits) aren't seen, as in the transcripts' first readers.
     """
-    t = F.col("text")
+    t, none = F.col("text"), F.array().cast("array<string>")  # plain tests before patterns: few lines have a mark at all
     name = F.regexp_replace(F.regexp_extract(t, L.DIALOGUE_PREFIX, 1), r"^[ *_]+|[ *_]+$", "")
     return lines.withColumns(
         {
-            "is_dialogue": t.rlike(L.DIALOGUE_PREFIX),
+            "is_dialogue": t.contains(":") & t.rlike(L.DIALOGUE_PREFIX),
             "speaker_name": X.blank_to_null(name),
-            "is_intro": t.rlike(L.CYRILLIC) & t.rlike(L.INTRODUCTION),  # the cheap test first: all introductions have such letters
-            "is_clue": t.rlike(L.SPEAKER_CLUE),
-            "markers": F.regexp_extract_all(t, F.lit(L.SPEAKER_MARKER), F.lit(1)),
-            "times": F.regexp_extract_all(t, F.lit(L.TIMESTAMP if compat else L.TIMESTAMP_LONG), F.lit(1)),
+            "is_intro": (F.octet_length(t) > F.length(t)) & t.rlike(L.CYRILLIC) & t.rlike(L.INTRODUCTION),  # all introductions have such letters
+            "is_clue": is_clue(t),
+            "markers": F.when(t.contains("**Speaker"), F.regexp_extract_all(t, F.lit(L.SPEAKER_MARKER), F.lit(1))).otherwise(none),
+            "times": F.when(t.contains("*"), F.regexp_extract_all(t, F.lit(L.TIMESTAMP if compat else L.TIMESTAMP_LONG), F.lit(1))).otherwise(none),
         }
     )
 
 
 def with_sizes(lines: DataFrame) -> DataFrame:
     """lines with _chars and _words of their stripped text, once a line, for token_estimate."""
-    return lines.withColumn("_stripped", X.strip("text")).withColumns({"_chars": F.length("_stripped"), "_words": F.regexp_count("_stripped", F.lit(r"(?U)\S+"))}).drop("_stripped")
+    return lines.withColumn("_stripped", X.strip("text")).withColumns({"_chars": F.length("_stripped"), "_words": X.filled_runs("_stripped")}).drop("_stripped")
 
 
 def token_estimate() -> Column:
@@ -154,7 +159,7 @@ def normalised_transcript(lines: DataFrame, compat: bool = False) -> DataFrame:
 
 def first_clues(lines: DataFrame, most: int = CLUES) -> DataFrame:
     """The first clue lines of each file, numbered."""
-    clues = lines.filter(F.col("text").rlike(L.SPEAKER_CLUE))
+    clues = lines.filter(is_clue(F.col("text")))
     return clues.withColumn("clue_no", F.row_number().over(by_doc())).filter(F.col("clue_no") <= most)
 
 
@@ -195,7 +200,8 @@ def window_scores(lines: DataFrame, limit: int, tail_lines: int = 100, size: int
     spans = counts.filter(middle > size).select("doc_id", (F.col("n") - tail_lines - size).alias("_end"), F.greatest(F.lit(1), F.floor((middle - size) / windows)).cast("int").alias("_step"))
     every = spans.select("doc_id", F.explode(F.sequence(F.lit(limit), F.col("_end") - 1, F.col("_step"))).alias("offset"))
     t = F.col("text")
-    telling = lines.select("doc_id", "line_no", t.rlike(L.SPEAKER_CLUE).alias("_clue"), F.regexp_extract_all(t, F.lit(L.SPEAKER_MARKER), F.lit(1)).alias("_m")).filter("_clue or size(_m) > 0")
+    markers = F.when(t.contains("**Speaker"), F.regexp_extract_all(t, F.lit(L.SPEAKER_MARKER), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    telling = lines.select("doc_id", "line_no", is_clue(t).alias("_clue"), markers.alias("_m")).filter("_clue or size(_m) > 0")
     # offset < line_no <= offset + size, offset = limit + k * step
     low = F.greatest(F.lit(0), F.ceil((F.col("line_no") - size - limit) / F.col("_step")))
     high = F.least(F.floor((F.col("line_no") - 1 - limit) / F.col("_step")), F.floor((F.col("_end") - 1 - limit) / F.col("_step")))
