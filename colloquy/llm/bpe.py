@@ -2,7 +2,7 @@
 
 The words of a step that are not remembered yet go into a trie. For each node, the last token of the encoding of its
 path is found from those of its ancestors: it is the one token that ends there and may follow the last token of the
-path before it. A depth-first walk carries these states, so that what words share is encoded once. Whole texts are
+path before it. Each word carries these states down its path, so that what words share is encoded once. Whole texts are
 encoded in map tasks without a shuffle; memory is bounded by a step's text and the remembered words.
 
 Defined results: a null or empty text has no tokens (an empty list) and decodes to an empty text; ids that are null or
@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import add_columns
 
 NEVER = 1 << 60
-#: What a worker remembers at most: words, and states of prefixes.
-MOST_WORDS, MOST_STATES = 300_000, 200_000
+#: What a worker remembers at most: words, and states of prefixes (nodes of the trie); how deep the trie goes.
+MOST_WORDS, MOST_STATES = 300_000, 400_000
+DEEPEST = 64
 STEP = 1 << 20
 #: Code points (hexadecimal, ranges with a hyphen) that the `regex` module takes as letters or numbers and
 #: the library, with older tables, doesn't; marks that it knows nothing of when it composes (and U+11930, which it leaves
@@ -78,6 +79,24 @@ def byte_letters() -> list[str]:
     return [out.get(b) or chr(next(following)) for b in range(256)]
 
 
+class Words(dict):
+    """Words by number; a new one gets the next number and is noted in `new`."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
+def grown(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, with room for `size` entries."""
+    return array if len(array) >= size else np.concatenate([array, np.empty(max(size, 2 * len(array)) - len(array), array.dtype)])
+
+
 class Model:
     """A vocabulary with ordered merges, read from a tokenizers JSON: byte letters, a word-end suffix, lower case."""
 
@@ -99,21 +118,27 @@ class Model:
         self.names |= {v: k for k, v in [*self.vocab.items(), *self.special.items()]}
         self.name_array = pa.array([self.names[i] for i in range(len(self.names))])
         self.find_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.rank: dict[tuple[int, int], int] = {}
-        self.parts: dict[int, tuple[int, int]] = {}
-        self.made: dict[int, int] = {}  # token: rank of the merge that makes it
+        tokens = len(self.names)
+        self.rank: dict[int, int] = {}  # left << 20 | right: rank of their merge
+        self.made = [-1] * tokens  # the rank of the merge that makes a token, and its parts
+        self.left, self.right = [-1] * tokens, [-1] * tokens
         for i, merge in enumerate(model["merges"]):
             left, right = merge if isinstance(merge, list) else merge.split(" ")
-            pair, token = (self.vocab[left], self.vocab[right]), self.vocab[left + right]
-            self.rank[pair] = i
-            self.parts.setdefault(token, pair)
-            self.made.setdefault(token, i)
+            a, b, token = self.vocab[left], self.vocab[right], self.vocab[left + right]
+            self.rank[a << 20 | b] = i
+            if self.made[token] < 0:
+                self.made[token], self.left[token], self.right[token] = i, a, b
         self.longest = max(len(t.removesuffix(self.suffix)) for t in self.vocab)
         self.letters = dict(enumerate(byte_letters()))
         self.follows: dict[int, bool] = {}
         self.known = self.usable()
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.states: dict[str, tuple[int, int]] = {}
+        self.words = Words()
+        # The tokens of known words one after another; by the word's number where they begin and how many they are.
+        self.tokens, self.begin, self.count = np.empty(1 << 16, np.int32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.used = 0
+        # The trie: (node << 8 | byte) to the node below; each node's last token and where it starts. Node 0 is the root.
+        self.below: dict[int, int] = {}
+        self.token, self.start = [-1], [0]
         # In ASCII text the classes are plain ranges, which the standard module matches faster.
         plain = split["pattern"]["Regex"]
         for wide, narrow in ((r"\p{L}", "a-z"), (r"\p{N}", "0-9"), (r"\s", r"\t-\r ")):
@@ -126,77 +151,78 @@ class Model:
         Goes back in time: undoes the later of the two border tokens' merges, and looks whether the pair that then met
         at the border would have merged sooner than either was used up. Of equal merges the leftmost comes first.
         """
-        rank, made, parts = self.rank, self.made, self.parts
+        rank, made = self.rank.get, self.made
         left_used = right_used = before
         while True:
-            across = rank.get((left, right), NEVER)
+            across = rank(left << 20 | right, NEVER)
             if across < left_used and across <= right_used and across < before:
                 return False
-            a, b = made.get(left, -1), made.get(right, -1)
+            a, b = made[left], made[right]
             if a < 0 and b < 0:
                 return True
             if a > b:
-                left_used, left = a, parts[left][1]
+                left_used, left = a, self.right[left]
             else:
-                right_used, right = b, parts[right][0]
+                right_used, right = b, self.left[right]
 
     def usable(self) -> dict[str, int]:
         """The tokens that merging their own letters gives; no other token is ever in an encoding."""
         good: set[int] = set()
-        for token in sorted(self.vocab.values(), key=lambda t: self.made.get(t, -1)):  # parts come before what they make
-            pair = self.parts.get(token)
-            if not pair or (pair[0] in good and pair[1] in good and self.stands(*pair, before=self.made[token])):
+        for token in sorted(self.vocab.values(), key=self.made.__getitem__):  # parts come before what they make
+            a, b = self.left[token], self.right[token]
+            if a < 0 or (a in good and b in good and self.stands(a, b, before=self.made[token])):
                 good.add(token)
         return {text: token for text, token in self.vocab.items() if token in good}
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes words by way of a trie of their byte letters, into self.words.
+    def learn(self, words: list[str]) -> list[tuple[int, ...]]:
+        """The tokens of words, by way of a trie of their bytes.
 
-        Nodes are visited depth first; last[d] is the last token of the encoding of the path's first d letters, back[d]
-        where that token starts. A node's own state needs only those of its ancestors. States of paths are remembered,
-        as the next step's words share prefixes with this one's.
+        Words are inserted one after the other. Going down, last[d] is the last token of the encoding of the word's first
+        d letters, back[d] where that token starts; a node's own state needs only those of its ancestors, so it is found
+        once, when its first word comes by, and what words share is encoded once. The trie stays for the next steps'
+        words. It is one table from (node, byte) to node, so that it needs no objects of its own.
         """
-        trie: dict = {}
-        suffix, letters = self.suffix, self.letters
-        longest_word = 0
-        for word in words:
-            w = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(letters)
-            longest_word = max(longest_word, len(w))
-            node = trie
-            for c in w[:-1]:
-                if (below := node.get(c)) is None:
-                    below = node[c] = {}
-                node = below
-            node[w[-1] + suffix + "."] = word  # the last letter with the suffix; the dot tells it from a letter that goes on
-        if len(self.states) > MOST_STATES:
-            self.states.clear()
+        suffix, letters, longest = self.suffix, self.letters, self.longest
+        if len(self.token) > MOST_STATES:
+            self.below, self.token, self.start = {}, [-1], [0]
         if len(self.follows) > MOST_STATES:
             self.follows.clear()
-        last, back = [-1] * (longest_word + 1), [0] * (longest_word + 1)
-        ends, states, found, longest = self.ends, self.states, self.words, self.longest
-        todo = [(0, "", trie)]  # depth, the path's last letters (as many as any token has), node
-        while todo:
-            depth, tail, node = todo.pop()
-            if depth:
-                if depth > longest:
-                    last[depth], back[depth] = ends(tail, depth - 1, last, 1)
-                else:
-                    if (state := states.get(tail)) is None:
-                        state = states[tail] = ends(tail, depth - 1, last, 1)
-                    last[depth], back[depth] = state
-            for c, below in node.items():
-                if below.__class__ is dict:
-                    todo.append((depth + 1, (tail + c)[-longest:], below))
-                else:
-                    token, at = ends(tail + c[:-1], depth, last, len(c) - 1)
-                    if at:
-                        out = [token]
-                        while at:
-                            out.append(last[at])
-                            at = back[at]
-                        found[below] = tuple(out[::-1])
-                    else:
-                        found[below] = (token,)
+        below, token_of, start_of, ends = self.below, self.token, self.start, self.ends
+        found: list[tuple[int, ...]] = []
+        last, back = [-1] * (DEEPEST + 2), [0] * (DEEPEST + 2)
+        for word in words:
+            if word[0] == "\n":  # a special token's string
+                found.append((self.special[word[1:]],))
+                continue
+            data = word.encode()
+            w = word if word.isascii() and word.isprintable() else data.decode("latin-1").translate(letters)
+            inner = len(w) - 1
+            node = depth = 0
+            for c in data[: min(inner, DEEPEST)]:
+                depth += 1
+                edge = node << 8 | c
+                node = below.get(edge, 0)
+                if not node:
+                    node = below[edge] = len(token_of)
+                    token, at = ends(w[max(0, depth - longest) : depth], depth - 1, last, 1)
+                    token_of.append(token)
+                    start_of.append(at)
+                last[depth], back[depth] = token_of[node], start_of[node]
+            if inner > DEEPEST:  # the rest of a long word is its own
+                last += [-1] * (inner + 2 - len(last))
+                back += [0] * (inner + 2 - len(back))
+                for depth in range(DEEPEST + 1, inner + 1):
+                    last[depth], back[depth] = ends(w[max(0, depth - longest) : depth], depth - 1, last, 1)
+            token, at = ends(w[max(0, inner - longest) :] + suffix, inner, last, 1 + len(suffix))
+            if at:
+                out = [token]
+                while at:
+                    out.append(last[at])
+                    at = back[at]
+                found.append(tuple(out[::-1]))
+            else:
+                found.append((token,))
+        return found
 
     def ends(self, tail: str, start: int, last: list[int], size: int) -> tuple[int, int]:
         """The token that ends a path, and where it starts: the one that may follow what is last there.
@@ -235,22 +261,30 @@ class Model:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each text's begin."""
+        if len(self.words) > MOST_WORDS:
+            self.words.clear()
+            self.used = 0
         special = self.find_special.search if self.find_special else lambda _: None
         parts = [[] if not t else self.pieces_around(t) if "<" in t and special(t) else self.pieces(t) for t in texts]
-        needed = set(chain.from_iterable(parts))
-        unknown = needed - self.words.keys()
-        if len(self.words) + len(unknown) > MOST_WORDS:
-            self.words.clear()
-            unknown = needed
-        marked = {w for w in unknown if w[0] == "\n"}
-        self.words |= {w: (self.special[w[1:]],) for w in marked}
-        with paused_gc():
-            self.learn(list(unknown - marked))
-        flat, starts, get = [], [0], self.words.__getitem__
-        for p in parts:
-            flat.extend(chain.from_iterable(map(get, p)))
-            starts.append(len(flat))
-        return np.array(flat, np.int32), np.array(starts, np.int32)
+        sizes = [len(p) for p in parts]
+        number = np.fromiter(map(self.words.__getitem__, chain.from_iterable(parts)), np.int64, sum(sizes))
+        if new := self.words.new:
+            with paused_gc():
+                made = self.learn(new)
+            n, first = len(self.words), len(self.words) - len(new)
+            counts = np.fromiter(map(len, made), np.int64, len(made))
+            self.count, self.begin = grown(self.count, n), grown(self.begin, n)
+            self.count[first:n], self.begin[first:n] = counts, self.used + np.cumsum(counts) - counts
+            last = self.used + int(counts.sum())
+            self.tokens = grown(self.tokens, last)
+            self.tokens[self.used : last] = np.fromiter(chain.from_iterable(made), np.int32, last - self.used)
+            self.used = last
+            self.words.new = []
+        count = self.count[number]
+        ends = np.cumsum(count)
+        flat = self.tokens[np.repeat(self.begin[number] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
+        starts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
+        return flat, starts.astype(np.int32)
 
 
 @contextmanager

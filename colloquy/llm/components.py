@@ -11,7 +11,7 @@ MOST_ROUNDS = 64
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges (a, b: long, not null) to (node, component): the smallest node that can be reached.
+    """edges (a, b: long, not null) to a written table (node, component): the smallest node that can be reached.
 
     Alternates the large-star and small-star steps of the public map-reduce algorithm until every node has one smaller
     neighbour, a root. Minima come from aggregations with map-side combine and are written to the shared folder, so that
@@ -36,7 +36,9 @@ def components(edges: DataFrame) -> DataFrame:
         raise RuntimeError("components did not settle")
     nodes = up.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = up.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return nodes.unionByName(roots)
+    out = written(nodes.unionByName(roots), "components")
+    dropped(up)
+    return out
 
 
 def done(up: DataFrame) -> bool:

@@ -163,7 +163,7 @@ def fitted(docs: DataFrame, labelled: Column, lang: str = "lang", text: str = "t
             rows = {(r["lang"], r["key"]): r["text"] for r in part.to_pylist()}
             new = [k for k in rows if k not in seen]
             seen.update(new)
-            made = [r.tobytes() for r in features([rows[k] for k in new]).astype(np.float16)]
+            made = [r.tobytes() for at in range(0, len(new), 256) for r in features([rows[k] for k in new[at : at + 256]]).astype(np.float16)]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in new], pa.string()), pa.array([k[1] for k in new], pa.int64()), pa.array(made, pa.binary())], names=["lang", "key", "features"])
 
     bounded_batches(spark)

@@ -338,7 +338,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = written(plausible_pairs(both).distinct(), "stars")
     needed = written(stars.select("node").unionByName(stars.select(F.col("hub").alias("node"))).distinct(), "needed")
     sets = written(full_sets(docs, needed), "sets")
-    groups = written(components(star_links(stars, sets)), "groups")
+    groups = components(star_links(stars, sets))
     dropped(pairs, stars, needed, sets)
 
     # What is left: members that aren't hubs, of buckets with several components.
@@ -346,20 +346,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     owned = written(owned, "owned")
     several = owned.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a <> _b").select("bucket")
     left = written(owned.join(several, "bucket", "left_semi").join(signed, "node").select("bucket", "node", "component", "signature"), "left")
-    clusters = written(components(compared(left, "bucket", "signature", BLOCK, plausible_of)).select(F.col("node").alias("component"), F.col("component").alias("cluster")), "clusters")
+    connected = components(compared(left, "bucket", "signature", BLOCK, plausible_of))
+    clusters = connected.select(F.col("node").alias("component"), F.col("component").alias("cluster"))
     every = nodes.select("node").distinct().join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     clustered = written(every.join(clusters, "component"), "clustered")
     sets = full_sets(docs, clustered).join(clustered, "node")
     sets = written(sets.select("cluster", "node", "component", "shingles"), "sets")
-    joined = components(compared(sets, "cluster", "shingles", SET_BLOCK, links_of)).select(F.col("node").alias("component"), F.col("component").alias("_larger"))
-    joined = written(joined, "joined")
+    larger = components(compared(sets, "cluster", "shingles", SET_BLOCK, links_of))
+    joined = larger.select(F.col("node").alias("component"), F.col("component").alias("_larger"))
     groups_of = groups.join(joined, "component", "left").select("node", F.coalesce("_larger", "component").alias("component"))
     # Components of one node that were joined only now stand in no group yet.
     alone = joined.join(groups.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("_larger").alias("component"))
 
     named = classes.join(groups_of.unionByName(alone), "node", "left").select("class", F.coalesce("component", "node").alias("component_id"))
     named = written(named, "named")
-    dropped(nodes, members, owned, left, clusters, clustered, sets, groups, joined, classes)
+    dropped(nodes, members, owned, left, connected, clustered, sets, groups, larger, classes)
     named = named.withColumnRenamed("class", "_class")
     out = sketched.select("doc_id", "n_shingles", "class").join(named, F.col("class") == F.col("_class"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
