@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.llm import decontamination, language_id, near_duplicates, quality_rules
-from colloquy.llm.common import table, written
+from colloquy.llm.common import dropped, table, written
 from colloquy.llm.queries import bpe_digests
 
 
@@ -40,8 +40,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result but the last is written into the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each result but the last is written into the shared folder and read again, and goes
+    when the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        dropped(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
