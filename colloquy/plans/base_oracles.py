@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from colloquy.functions import lexicons as L
-from colloquy.plans.fixtures import ACTION_TEXTS, MANIFEST_ROWS, NAMES, TIMES, URLS
+from colloquy.plans.fixtures import ACTION_TEXTS, NAMES, TIMES, URLS
 
 LINES = r"""
 split AS (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
@@ -90,12 +90,6 @@ c AS (SELECT *, {label("idx")} AS chunk_id, CASE WHEN idx > 0 THEN greatest(1, e
 MODES = "CASE WHEN c <= 1 THEN 'single' WHEN m = 'monologue' AND s > 0 AND s <= 1080 AND c <= 2 THEN 'single' WHEN m = 'monologue' AND c <= 4 AND s <= 2100 THEN 'micro-multi' WHEN c <= 3 THEN 'micro-multi' ELSE 'multi' END"
 
 
-def texts(values: tuple[str, ...], numbered: bool = False) -> str:
-    """SQL rows of texts."""
-    quoted = ["'" + v.replace("'", "''") + "'" for v in values]
-    return ", ".join(f"({i}, {q})" if numbered else f"({q})" for i, q in enumerate(quoted))
-
-
 def words(values: tuple[str, ...], column: str, how: str = "contains") -> str:
     return "(" + " OR ".join(f"{how}({column}, '{v}')" for v in values) + ")"
 
@@ -175,8 +169,11 @@ def pad(x: str) -> str:
     return f"CASE WHEN {x} < 10 THEN '0' ELSE '' END || CAST({x} AS VARCHAR)"
 
 
-_map = lambda m: "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in m.items()) + "}"
-MANIFEST = ", ".join(f"('{w}', '{c}', {r}, {_map(m)})" for w, c, r, m in MANIFEST_ROWS)
+def pick(k: str, values: tuple[str, ...]) -> str:
+    """SQL of one of the values, by a number."""
+    quoted = ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+    return f"([{quoted}])[CAST(({k}) % {len(values)} + 1 AS INT)]"
+
 
 def unquoted(x: str) -> str:
     return f"""regexp_replace({x}, '^[«»"]+|[«»"]+$', '', 'g')"""
@@ -190,7 +187,7 @@ def actions() -> str:
     prefixed = " ".join(f"WHEN contains({low}, '{w}') THEN '{p}' || lower(substr(candidate, 1, 1)) || substr(candidate, 2)" for w, p in L.IMPERATIVE_PREFIXES)
     score = f"2 * {counted(L.STRONG_ACTION, low)} + {counted(L.WEAK_ACTION, low)} - 2 * {counted(L.NO_ACTION, low)} + CAST(contains(candidate, '?') OR contains(candidate, '«') AS BIGINT) - CAST(length(candidate) > 220 AS BIGINT)"
     bucket = f"CASE WHEN score < 2 THEN NULL WHEN {words(L.IMMEDIATE_WORDS, low)} OR {words(L.IMMEDIATE_STARTS, low, 'starts_with')} THEN 'immediate' WHEN {words(L.ONGOING_WORDS, low)} OR {words(L.ONGOING_STARTS, low, 'starts_with')} THEN 'ongoing' ELSE 'month' END"
-    return rf"""WITH t(id, text) AS (VALUES {texts(ACTION_TEXTS, numbered=True)}), s AS (SELECT id, {statement("text")} AS s FROM t), a AS (SELECT id, s, strpos(s, ':') AS i, {squeeze(unquoted(strip("substr(s, strpos(s, ':') + 1)")))} AS rest FROM s),
+    return rf"""WITH t AS (SELECT doc_id AS id, {pick("doc_id", ACTION_TEXTS)} || CASE WHEN doc_id % 24 >= 12 THEN ' ' || replace(substr(coalesce(text, ''), 1, 40), chr(10), ' ') ELSE '' END AS text FROM documents), s AS (SELECT id, {statement("text")} AS s FROM t), a AS (SELECT id, s, strpos(s, ':') AS i, {squeeze(unquoted(strip("substr(s, strpos(s, ':') + 1)")))} AS rest FROM s),
 c AS (SELECT id, regexp_replace({unquoted(strip(f"CASE WHEN i > 0 AND rest <> '' AND {words(L.ACTION_PREFIX_MARKERS, 'lower(substr(s, 1, i - 1))')} THEN rest ELSE s END"))}, '\.+$', '') AS candidate FROM a),
 k AS (SELECT *, {score} AS score FROM c) SELECT id, candidate, CASE WHEN candidate = '' OR {first} IN ({verbs}) THEN candidate {prefixed} ELSE candidate END AS imperative, CAST(score AS BIGINT) AS score, {bucket} AS bucket FROM k"""
 
@@ -247,10 +244,12 @@ SELECT o_orderkey, {chunk_count("n", "s", "k")} AS chunks, {min_blocks("n", "k",
     "conversation_speakers": "SELECT DISTINCT conv_id, role, 'Speaker ' || dense_rank() OVER (PARTITION BY conv_id ORDER BY role) AS speaker FROM conversations",
     "merged_turns": f"WITH {TURNS}",
     "merged_filled_turns": f"WITH {TURNS}",
-    "renamed_speakers": rf"""WITH {CONVERSATION_LINES}, y AS (SELECT conv_id FROM conversations GROUP BY conv_id HAVING bool_or(role = 'system')), t AS (SELECT cl.doc_id AS work_id, line_no, text, CASE WHEN y.conv_id IS NULL THEN text ELSE regexp_replace(text, 'Speaker 1\b', 'Иван $1', 'g') END AS new FROM cl LEFT JOIN y USING (conv_id))
-SELECT work_id, line_no, new AS text, new <> text AS modified FROM t""",
+    "renamed_speakers": rf"""WITH {CONVERSATION_LINES}, nl AS (SELECT doc_id, conv_id, line_no, text || CASE WHEN line_no % 2 = 0 THEN ' (Speaker 12, Speaker 1)' ELSE '' END AS text FROM cl), y AS (SELECT conv_id FROM conversations GROUP BY conv_id HAVING bool_or(role = 'system')),
+t AS (SELECT nl.doc_id AS work_id, line_no, text, CASE WHEN y.conv_id IS NULL THEN text ELSE regexp_replace(regexp_replace(text, 'Speaker 12\b', 'Speaker 1 bis', 'g'), 'Speaker 1\b', 'Иван $1', 'g') END AS new FROM nl LEFT JOIN y USING (conv_id)) SELECT work_id, line_no, new AS text, new <> text AS modified FROM t""",
     "rename_totals": rf"""WITH {CONVERSATION_LINES}, y AS (SELECT conv_id FROM conversations GROUP BY conv_id HAVING bool_or(role = 'system'))
-SELECT doc_id AS work_id, count(*) FILTER (y.conv_id IS NOT NULL AND regexp_matches(text, 'Speaker 1\b')) AS modified, CAST(max(CASE WHEN y.conv_id IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS mappings, bool_and(y.conv_id IS NULL) AS skipped FROM cl LEFT JOIN y USING (conv_id) GROUP BY doc_id""",
+SELECT doc_id AS work_id, count(*) FILTER (y.conv_id IS NOT NULL AND (line_no % 2 = 0 OR regexp_matches(text, 'Speaker 1\b'))) AS modified, CAST(max(CASE WHEN y.conv_id IS NULL THEN 0 ELSE 2 END) AS BIGINT) AS mappings, bool_and(y.conv_id IS NULL) AS skipped FROM cl LEFT JOIN y USING (conv_id) GROUP BY doc_id""",
+    "timed_modes": rf"""WITH {CONVERSATION_LINES}, tl AS (SELECT doc_id, line_no, text || CASE WHEN conv_id % 5 > 0 THEN ' *' || ({pad("conv_id % 60")}) || ':' || ({pad("line_no")}) || '*' ELSE '' END AS text FROM cl), {meta('tl')} {WORKS.replace(chr(39) + 'corpus' + chr(39), 'CAST(CAST(doc_id AS BIGINT) // 4 AS VARCHAR)')}
+SELECT s.work_id, s.doc_id, w.files, w.duration_seconds, CAST(s.seconds AS BIGINT) AS seconds, w.speaker_stage, w.content_mode FROM s JOIN w USING (work_id)""",
     "transcript_markdown": rf"""WITH t AS (SELECT conv_id, turn, replace(text, chr(10), ' ') AS text FROM conversations WHERE text <> '') SELECT CAST(conv_id AS VARCHAR) AS doc_id, regexp_replace(string_agg('*' || ({pad("turn * 10 // 60")}) || ':' || ({pad("turn * 10 % 60")}) || '* ' || text, chr(10) ORDER BY turn), '\s+$', '') || chr(10) AS text FROM t GROUP BY conv_id""",
     "folded_segments": rf"""WITH e AS (SELECT *, event_id % 6000 AS s, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) = event_type THEN 0 ELSE 1 END AS new FROM events), i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM e)
 SELECT CAST(user_id AS VARCHAR) AS doc_id, CAST(island AS BIGINT) AS utt_no, any_value(event_type) AS speaker, string_agg(CAST(event_id AS VARCHAR), ' ' ORDER BY event_id) AS text, ({pad("arg_min(s, event_id) // 60")}) || ':' || ({pad("arg_min(s, event_id) % 60")}) AS ts FROM i GROUP BY user_id, island""",
@@ -266,20 +265,17 @@ t AS (SELECT work_id, count(DISTINCT chunk_id) AS files FROM pts GROUP BY work_i
 s AS (SELECT topic, pos, line, count(*) AS score FROM b JOIN l USING (tok) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, pos) AS n FROM s) SELECT 'corpus' AS work_id, topic, line, score FROM r WHERE n = 1""",
     "people_mentions": rf"""WITH t AS (SELECT doc_id, regexp_replace(text, '([\p{{L}}\p{{M}}\p{{N}}_]+)', '‹\1›', 'g') AS text FROM documents),
 p AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:‹[A-Z][a-z]+›(?:\s+‹[A-Z][a-z]+›){{1,2}}|‹[А-ЯЁ][а-яё]+›(?:\s+‹[А-ЯЁ][а-яё]+›){{1,2}})', 0)) AS name FROM t) SELECT DISTINCT doc_id, regexp_replace(translate(name, '‹›', ''), '\s+', ' ', 'g') AS name FROM p""",
-    "entity_lines": rf"""WITH m(work_id, chunk_id, row_no, m) AS (VALUES {MANIFEST}), t AS (SELECT work_id, coalesce(nullif(m['topic'], ''), nullif(m['title'], ''), m['block_file']) AS context, unnest(string_split_regex(coalesce(m['names'], ''), '[;|,]\s*')) AS name FROM m),
-k AS (SELECT DISTINCT work_id, trim(name) AS name, context FROM t WHERE trim(name) NOT IN ('', '—', '-', '–') AND NOT regexp_matches(lower(trim(name)), '^(unknown|speaker|author|creator|uploader|speaker\s+\d+)$'))
-SELECT work_id, name, array_to_string(list_slice(list(context ORDER BY context), 1, 2), '; ') AS contexts FROM k GROUP BY ALL""",
     "time_formats": rf"""WITH e AS (SELECT event_id, event_id * 7 % 20000 AS s FROM events) SELECT event_id, ({pad("s // 60")}) || ':' || ({pad("s % 60")}) AS mmss, CASE WHEN s >= 3600 THEN ({pad("s // 3600")}) || ':' ELSE '' END || ({pad("s % 3600 // 60")}) || ':' || ({pad("s % 60")}) AS hhmmss, s AS seconds, s AS vtt_seconds FROM e""",
-    "parsed_times": rf"""WITH t(text) AS (VALUES {texts(TIMES)}), p AS (SELECT text, string_split(text, ':') AS p FROM t)
-SELECT text, CAST(coalesce(CASE len(p) WHEN 3 THEN TRY_CAST(p[1] AS INT) * 3600 + TRY_CAST(CASE WHEN contains(p[2], '.') THEN NULL ELSE p[2] END AS INT) * 60 + TRY_CAST(CASE WHEN contains(p[3], '.') THEN NULL ELSE p[3] END AS INT) WHEN 2 THEN TRY_CAST(p[1] AS INT) * 60 + TRY_CAST(CASE WHEN contains(p[2], '.') THEN NULL ELSE p[2] END AS INT) END, 0) AS BIGINT) AS seconds,
+    "parsed_times": rf"""WITH t AS (SELECT event_id, {pick("event_id", TIMES)} AS text FROM events), p AS (SELECT event_id, text, string_split(text, ':') AS p FROM t)
+SELECT event_id, text, CAST(coalesce(CASE len(p) WHEN 3 THEN TRY_CAST(p[1] AS INT) * 3600 + TRY_CAST(CASE WHEN contains(p[2], '.') THEN NULL ELSE p[2] END AS INT) * 60 + TRY_CAST(CASE WHEN contains(p[3], '.') THEN NULL ELSE p[3] END AS INT) WHEN 2 THEN TRY_CAST(p[1] AS INT) * 60 + TRY_CAST(CASE WHEN contains(p[2], '.') THEN NULL ELSE p[2] END AS INT) END, 0) AS BIGINT) AS seconds,
   CAST(1000 * coalesce(CASE len(p) WHEN 1 THEN TRY_CAST(p[1] AS DOUBLE) WHEN 2 THEN TRY_CAST(p[1] AS INT) * 60 + TRY_CAST(p[2] AS DOUBLE) ELSE TRY_CAST(p[1] AS INT) * 3600 + TRY_CAST(p[2] AS INT) * 60 + TRY_CAST(p[3] AS DOUBLE) END, 0) AS BIGINT) AS vtt_ms FROM p""",
-    "video_ids": rf"""WITH u(url) AS (VALUES {texts(URLS)}) SELECT url, nullif(regexp_extract(url, '(?:youtube\.com/watch\?(?:.*?&)?v=|youtu\.be/|youtube\.com/shorts/|youtube\.com/live/|youtube\.com/embed/)([A-Za-z0-9_-]{{11}})', 1), '') AS video_id,
+    "video_ids": rf"""WITH u AS (SELECT page_id, {pick("page_id", URLS)} || CASE WHEN page_id % 20 >= 10 THEN '&p=' || page_id ELSE '' END AS url FROM pages) SELECT page_id, url, nullif(regexp_extract(url, '(?:youtube\.com/watch\?(?:.*?&)?v=|youtu\.be/|youtube\.com/shorts/|youtube\.com/live/|youtube\.com/embed/)([A-Za-z0-9_-]{{11}})', 1), '') AS video_id,
   CASE WHEN contains(url, 'youtube.com/') OR contains(url, 'youtu.be/') THEN 'youtube' WHEN lower(regexp_extract(url, '(\.[^./]*)$', 1)) IN ('.m4a', '.mp3', '.wav', '.ogg', '.opus', '.webm', '.mp4', '.mkv', '.mov', '.avi') THEN 'audio' ELSE 'local' END AS route FROM u""",
-    "page_title_clean": rf"""WITH t AS (SELECT page_id, {title("coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), '')")} AS title FROM pages) SELECT page_id, title, {is_title("title")} AS informative FROM t""",
+    "page_title_clean": rf"""WITH t AS (SELECT page_id, {title("(replace(coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), '&amp;', '&') || CASE WHEN page_id % 2 = 0 THEN ' & é<' ELSE '' END)")} AS title FROM pages) SELECT page_id, title, {is_title("title")} AS informative FROM t""",
     "page_routes": "SELECT page_id, 'local' AS route, trim(url) AS reference, 'url:' || sha1(trim(url)) AS note_id FROM pages",
-    "person_hints": rf"""WITH t(name) AS (VALUES {texts(NAMES)}), s AS (SELECT name, regexp_replace(regexp_replace(regexp_replace({strip("name")}, '^[A-Za-z0-9_-]{{11}}-', ''), '(?i)^\d{{4}}-\d{{2}}-\d{{2}}-[a-f0-9]{{6,}}$', ''), '(?i)-[a-f0-9]{{8,}}$', '') AS p FROM t),
-h AS (SELECT name, regexp_replace({squeeze("translate(p, '_-', '  ')")}, '^[ .\-_]+|[ .\-_]+$', '', 'g') AS p FROM s)
-SELECT name, {person("name")} AS person, length({strip("name")}) >= 2 AND NOT regexp_matches({strip("name")}, '(?i)^speaker\s+\d+$') AND NOT regexp_matches({strip("name")}, '^[\d\s:._/\-]+$') AND lower({strip("name")}) NOT IN ('author', 'creator', 'uploader', 'channel') AS is_person,
+    "person_hints": rf"""WITH t AS (SELECT doc_id, {pick("doc_id", NAMES)} || CASE WHEN doc_id % 36 >= 18 THEN ' ' || coalesce(lang, '?') || doc_id ELSE '' END AS name FROM documents), s AS (SELECT doc_id, name, regexp_replace(regexp_replace(regexp_replace({strip("name")}, '^[A-Za-z0-9_-]{{11}}-', ''), '(?i)^\d{{4}}-\d{{2}}-\d{{2}}-[a-f0-9]{{6,}}$', ''), '(?i)-[a-f0-9]{{8,}}$', '') AS p FROM t),
+h AS (SELECT doc_id, name, regexp_replace({squeeze("translate(p, '_-', '  ')")}, '^[ .\-_]+|[ .\-_]+$', '', 'g') AS p FROM s)
+SELECT doc_id, name, {person("name")} AS person, length({strip("name")}) >= 2 AND NOT regexp_matches({strip("name")}, '(?i)^speaker\s+\d+$') AND NOT regexp_matches({strip("name")}, '^[\d\s:._/\-]+$') AND lower({strip("name")}) NOT IN ('author', 'creator', 'uploader', 'channel') AS is_person,
   {squeeze("name")} IN ('', '—', '-', '–') OR lower({squeeze("name")}) IN ('unknown', 'speaker', 'author', 'creator', 'uploader') OR regexp_matches({squeeze("name")}, '(?i)^speaker\s+\d+$') AS placeholder,
   {title("(upper(substr(p, 1, 1)) || substr(p, 2))")} AS path_title, array_to_string(list_filter(list_transform(string_split_regex(name, '[;|,]\s*'), lambda x: trim(x)), lambda x: x NOT IN ('', '—', '-', '–')), '|') AS parts FROM h""",
     "topic_tokens": rf"""SELECT item_id, CAST(len({TOPIC_TOKENS.replace("{0}", "text")}) AS BIGINT) AS n_tokens, array_to_string({TOPIC_TOKENS.replace("{0}", "text")}, ' ') AS tokens, CASE WHEN length({squeeze("text")}) <= 140 THEN {squeeze("text")} ELSE rtrim(substr({squeeze("text")}, 1, 139)) || '…' END AS short, CAST({WORDS.replace("{0}", "text")} AS BIGINT) AS words FROM benchmark""",
@@ -313,5 +309,6 @@ SELECT CAST(s.r AS VARCHAR) AS run_id, CAST(user_id AS VARCHAR) AS note_id, CASE
     "batch_index": """WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS f, o_orderkey % 9 > 0 AS ok, CASE WHEN o_orderkey % 10 = 7 THEN 'Unknown' ELSE 'A&amp;B &lt;' || o_orderkey || '&gt;' END AS t FROM orders),
 i AS (SELECT f, ok, CASE WHEN f LIKE '%3' THEN '<li>' || t || ' <span class=''meta''>(no HTML)</span></li>' ELSE '<li><a href="' || f || '.html">' || t || '</a></li>' END AS item FROM o)
 SELECT count(*) AS total, count(*) FILTER (ok) AS ok, count(*) FILTER (NOT ok) AS failed, sha256('<ol>' || string_agg(item, '' ORDER BY f) FILTER (ok) || '</ol>') AS html FROM i""",
-    "already_delivered": "SELECT doc_id, CAST(doc_id AS VARCHAR) AS path FROM documents WHERE doc_id % 2 = 0 AND doc_id % 4 = 0 AND (doc_id % 3 > 0 OR doc_id % 5 > 0)",
+    "already_delivered": """WITH n AS (SELECT doc_id, source AS title, CAST(doc_id AS VARCHAR) AS path, 'c' AS chat, sha256(text) AS h FROM documents), d AS (SELECT source AS title, CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 4 = 0 THEN 'c' ELSE 'other' END AS chat, CASE WHEN doc_id % 3 > 0 THEN sha256(text) WHEN doc_id % 5 = 0 THEN 'x' END AS h, doc_id % 2 = 0 AS success FROM documents)
+SELECT doc_id, path FROM n WHERE EXISTS (SELECT 1 FROM d WHERE d.success AND trim(d.title) = trim(n.title) AND d.path = n.path AND (coalesce(d.chat, '') = '' OR d.chat = n.chat) AND (coalesce(d.h, '') = '' OR d.h = n.h))""",
 }

@@ -1,4 +1,4 @@
-"""Small inline inputs of queries whose rules need particular texts."""
+"""Texts that queries deal to the rows of the driver's tables, where rules need particular ones."""
 
 TIMES = ("00:00", "12:34", "1:02:03", "99:59", "00:01:02.500", "01:02.250", "7", "3.25", "x", "1:2:3:4", "a:b", "", "10:xx")
 URLS = (
@@ -28,9 +28,3 @@ ACTION_TEXTS = (
     "Первый шаг важнее плана",
     "Мысль приходит прямо сейчас: скажи себе «да»",
 )
-MANIFEST_ROWS = (
-    ("w1", "A", 1, {"block_file": "chunk_A_block_01.md", "topic": "Страх", "names": "Speaker 1; Алекс Хармози", "resources": "—; Notion", "primary_claim": "Страх мешает.", "action_now": "Запиши страх"}),
-    ("w1", "A", 2, {"block_file": "chunk_A_block_02.md", "title": "Ритм", "names": "Алекс Хармози, Anna Smith", "resources": "Miro"}),
-    ("w1", "B", 1, {"block_file": "chunk_B_block_01.md", "topic": "", "title": "", "names": "Anna Smith|unknown", "case_title": "Про бег"}),
-    ("w2", "A", 1, {"block_file": "chunk_A_block_01.md", "topic": "Страх", "names": "", "action_check": "Вопрос: как начать?"}),
-)

@@ -226,6 +226,12 @@ def described_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return AP.described_topics(top, told, lines).select("topic", "rank", "description")
 
 
+@query
+def entity_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in manifest rows with their contexts."""
+    return AP.entity_lines(AP.entity_contexts(manifest_rows(spark, sf_dir), "names"))
+
+
 @query
 def people_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """People of manifests and seeds with their first two contexts."""

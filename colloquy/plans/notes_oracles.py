@@ -130,6 +130,8 @@ SELECT work_id, topic, arg_min(d, o) AS description FROM u WHERE topic <> '' AND
 tk AS (SELECT DISTINCT topic, unnest(list_distinct({TOPIC_TOKENS.replace("{0}", "topic")})) AS tok FROM top), lk AS (SELECT pos, line, unnest(list_distinct({TOPIC_TOKENS.replace("{0}", "line")})) AS tok FROM l), sc AS (SELECT topic, pos, line, count(*) AS k FROM tk JOIN lk USING (tok) GROUP BY ALL), be AS (SELECT topic, line FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY k DESC, pos) AS n FROM sc) WHERE n = 1),
 tt AS (SELECT topic, 'Told ' || repeat('word ', CAST(rank AS INT)) AS told FROM top WHERE rank % 2 = 0)
 SELECT topic, rank, CASE WHEN told IS NOT NULL THEN {LIMIT("told", 180)} WHEN line IS NOT NULL THEN {LIMIT("line", 180)} ELSE '{L.TOPIC_FALLBACK}' END AS description FROM top LEFT JOIN tt USING (topic) LEFT JOIN be USING (topic)""",
+    "entity_lines": f"""WITH {MANIFEST}, p AS (SELECT work_id, {strip("name")} AS name, coalesce(topic, block_file) AS context FROM (SELECT *, unnest(string_split_regex(coalesce(names, ''), '[;|,]\\s*')) AS name FROM m)),
+d AS (SELECT DISTINCT work_id, name, context FROM p WHERE NOT regexp_matches(lower({squeeze("name")}), {PLACEHOLDER})) SELECT work_id, name, {LIMIT("array_to_string(list(context ORDER BY context)[1:2], '; ')", 140)} AS contexts FROM d GROUP BY ALL""",
     "people_lines": f"""WITH {MANIFEST}, p AS (SELECT work_id, {strip("name")} AS name, coalesce(topic, block_file) AS context FROM (SELECT *, unnest(string_split_regex(coalesce(names, ''), '[;|,]\\s*')) AS name FROM m) UNION ALL SELECT DISTINCT source, 'Cid Fox', '{L.AUTHOR_CONTEXT}' FROM documents WHERE source LIKE '%1' UNION ALL SELECT DISTINCT source, unnest(CASE WHEN source LIKE '%1' THEN ['Dan Elk'] ELSE ['Cid Fox', 'Dan Elk'] END), '{L.CANDIDATE_CONTEXT}' FROM documents),
 d AS (SELECT DISTINCT work_id, name, context FROM p WHERE NOT regexp_matches(lower({squeeze("name")}), {PLACEHOLDER})) SELECT work_id, name, {LIMIT("array_to_string(list(context ORDER BY context)[1:2], '; ')", 140)} AS contexts FROM d GROUP BY ALL""",
     "note_actions": f"""WITH {CANDIDATES}, {MANIFEST}, s0 AS (SELECT work_id, 'immediate' AS bucket, action_now AS x, (0, length(chunk_id), chunk_id, row_no, 0) AS o FROM m UNION ALL SELECT work_id, 'month', action_check, (1, length(chunk_id), chunk_id, row_no, 0) FROM m UNION ALL SELECT work_id, 'ongoing', action_avoid, (2, length(chunk_id), chunk_id, row_no, 0) FROM m),

@@ -17,7 +17,7 @@ from colloquy.operators import speakers as SP
 from colloquy.operators import state as ST
 from colloquy.operators import tldr as TL
 from colloquy.plans import landed, notes
-from colloquy.plans.fixtures import ACTION_TEXTS, MANIFEST_ROWS, NAMES, TIMES, URLS
+from colloquy.plans.fixtures import ACTION_TEXTS, NAMES, TIMES, URLS
 from colloquy.plans.views import conversation_lines, doc_lines, source_lines, source_meta, table
 from colloquy.sources import readers as RD
 from colloquy.sources import writers as WR
@@ -134,6 +134,18 @@ def conversation_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("work_id", "lines", "markers", "dialogue_cues", "dialogue_speakers", "speaker_stage", "content_mode", PL.execution_mode(F.lit(1), F.col("content_mode"), F.col("duration_seconds")).alias("execution_mode"), PL.prescan_limit(F.col("speaker_stage")).cast("long").alias("prescan_limit"), PL.quick_mode(F.col("lines")).alias("quick"))
 
 
+@query
+def timed_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with times, four of them a work: durations and shares come in."""
+    k = F.col("doc_id").cast("long")
+    stamp = F.format_string(" *%02d:%02d*", k % 60, F.col("line_no"))
+    lines = conversation_lines(spark, sf_dir).withColumn("text", F.when(k % 5 > 0, F.concat("text", stamp)).otherwise(F.col("text")))
+    meta = LN.file_meta(lines).withColumn("work_id", F.floor(k / 4).cast("string"))
+    files = PL.classified_files(meta)
+    works = PL.classified(meta).select("work_id", F.col("duration_seconds").cast("long").alias("duration_seconds"), "files")
+    return files.join(works, "work_id").select("work_id", "doc_id", "files", "duration_seconds", F.col("seconds").cast("long").alias("seconds"), "speaker_stage", "content_mode")
+
+
 @query
 def note_contract_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contracts of orders read as recordings: the price in seconds, the priority as the mode."""
@@ -187,21 +199,27 @@ def merged_filled_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def speaker_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names for the assistants of conversations that have a system turn; other conversations have no mapping."""
+    """Names for speakers of conversations that have a system turn; other conversations have no mapping."""
     roles = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.bool_or(F.col("role") == "system").alias("_system"))
-    return roles.filter("_system").select(F.col("conv_id").cast("string").alias("work_id"), F.lit("Speaker 1").alias("pattern"), F.lit("Иван $1").alias("replacement"))
+    two = F.explode(F.array(F.struct(F.lit("Speaker 1").alias("pattern"), F.lit("Иван $1").alias("replacement")), F.struct(F.lit("Speaker 12").alias("pattern"), F.lit("Speaker 1 bis").alias("replacement"))))
+    return roles.filter("_system").select(F.col("conv_id").cast("string").alias("work_id"), two.alias("m")).select("work_id", "m.*")
+
+
+def named_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of conversations that name speakers with one digit and two; the longer pattern must come first."""
+    return conversation_lines(spark, sf_dir).select(F.col("doc_id").alias("work_id"), "line_no", F.when(F.col("line_no") % 2 == 0, F.concat("text", F.lit(" (Speaker 12, Speaker 1)"))).otherwise(F.col("text")).alias("text"))
 
 
 @query
 def renamed_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = conversation_lines(spark, sf_dir).withColumnRenamed("doc_id", "work_id")
+    texts = named_lines(spark, sf_dir)
     renamed = SP.rename_speakers(texts, speaker_maps(spark, sf_dir))
     return renamed.select("work_id", F.col("line_no").cast("long").alias("line_no"), "text", "modified")
 
 
 @query
 def rename_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = conversation_lines(spark, sf_dir).withColumnRenamed("doc_id", "work_id")
+    texts = named_lines(spark, sf_dir)
     maps = speaker_maps(spark, sf_dir)
     return SP.rename_totals(SP.rename_speakers(texts, maps), maps)
 
@@ -282,19 +300,11 @@ def people_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d
 
 
-@query
-def entity_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names in manifest rows with their contexts."""
-    return AP.entity_lines(AP.entity_contexts(manifest(spark), "names"))
-
-
-def manifest(spark: SparkSession) -> DataFrame:
-    return RD.manifest_columns(spark.createDataFrame([(w, c, r, m) for w, c, r, m in MANIFEST_ROWS], "work_id string, chunk_id string, row_no int, m map<string,string>"))
-
-
 @query
 def imperative_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([(i, x) for i, x in enumerate(ACTION_TEXTS)], "id long, text string")
+    """Sentences by the document's id, half of them going on with its first letters."""
+    tail = F.when(F.col("doc_id") % 24 >= 12, F.concat(F.lit(" "), F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 40), "\n", " "))).otherwise("")
+    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(landed.pick(F.col("doc_id"), *ACTION_TEXTS), tail).alias("text"))
     return t.select("id", X.action_candidate("text").alias("candidate"), X.imperative("text").alias("imperative"), X.action_score(X.action_candidate("text")).cast("long").alias("score"), X.action_bucket(X.action_candidate("text")).alias("bucket"))
 
 
@@ -310,20 +320,22 @@ def time_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def parsed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([(x,) for x in TIMES], "text string")
-    return t.select("text", X.duration_seconds("text").cast("long").alias("seconds"), (X.vtt_seconds("text") * 1000).cast("long").alias("vtt_ms"))
+    t = table(spark, sf_dir, "events").select("event_id", landed.pick(F.col("event_id"), *TIMES).alias("text"))
+    return t.select("event_id", "text", X.duration_seconds("text").cast("long").alias("seconds"), (X.vtt_seconds("text") * 1000).cast("long").alias("vtt_ms"))
 
 
 @query
 def video_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([(x,) for x in URLS], "url string")
-    return t.select("url", X.video_id("url").alias("video_id"), PL.route(F.col("url")).alias("route"))
+    k = F.col("page_id")
+    tail = F.when(k % 20 >= 10, F.concat(F.lit("&p="), k.cast("string"))).otherwise("")
+    t = table(spark, sf_dir, "pages").select(k, F.concat(landed.pick(k, *URLS), tail).alias("url"))
+    return t.select("page_id", "url", X.video_id("url").alias("video_id"), PL.route(F.col("url")).alias("route"))
 
 
 @query
 def page_title_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    return table(spark, sf_dir, "pages").select("page_id", X.title_text(raw, unescaped=False).alias("title"), X.is_title(X.title_text(raw, unescaped=False)).alias("informative"))
+    raw = F.concat(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.when(F.col("page_id") % 2 == 0, " &amp; &#233;&lt;").otherwise(""))
+    return table(spark, sf_dir, "pages").select("page_id", X.title_text(raw).alias("title")).withColumn("informative", X.is_title("title"))
 
 
 @query
@@ -333,8 +345,9 @@ def page_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def person_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([(x,) for x in NAMES], "name string")
-    return t.select("name", X.person_text("name", unescaped=False).alias("person"), X.is_person("name").alias("is_person"), X.is_placeholder("name").alias("placeholder"), X.path_title("name", unescaped=False).alias("path_title"), F.array_join(X.split_values("name"), "|").alias("parts"))
+    k = F.col("doc_id")
+    t = table(spark, sf_dir, "documents").select(k, F.concat(landed.pick(k, *NAMES), F.when(k % 36 >= 18, F.concat(F.lit(" "), F.coalesce("lang", F.lit("?")), k.cast("string"))).otherwise("")).alias("name"))
+    return t.select("doc_id", "name", X.person_text("name", unescaped=False).alias("person"), X.is_person("name").alias("is_person"), X.is_placeholder("name").alias("placeholder"), X.path_title("name", unescaped=False).alias("path_title"), F.array_join(X.split_values("name"), "|").alias("parts"))
 
 
 @query
