@@ -271,7 +271,7 @@ SELECT event_id, text, CAST(coalesce(CASE len(p) WHEN 3 THEN TRY_CAST(p[1] AS IN
   CAST(1000 * coalesce(CASE len(p) WHEN 1 THEN TRY_CAST(p[1] AS DOUBLE) WHEN 2 THEN TRY_CAST(p[1] AS INT) * 60 + TRY_CAST(p[2] AS DOUBLE) ELSE TRY_CAST(p[1] AS INT) * 3600 + TRY_CAST(p[2] AS INT) * 60 + TRY_CAST(p[3] AS DOUBLE) END, 0) AS BIGINT) AS vtt_ms FROM p""",
     "video_ids": rf"""WITH u AS (SELECT page_id, {pick("page_id", URLS)} || CASE WHEN page_id % 20 >= 10 THEN '&p=' || page_id ELSE '' END AS url FROM pages) SELECT page_id, url, nullif(regexp_extract(url, '(?:youtube\.com/watch\?(?:.*?&)?v=|youtu\.be/|youtube\.com/shorts/|youtube\.com/live/|youtube\.com/embed/)([A-Za-z0-9_-]{{11}})', 1), '') AS video_id,
   CASE WHEN contains(url, 'youtube.com/') OR contains(url, 'youtu.be/') THEN 'youtube' WHEN lower(regexp_extract(url, '(\.[^./]*)$', 1)) IN ('.m4a', '.mp3', '.wav', '.ogg', '.opus', '.webm', '.mp4', '.mkv', '.mov', '.avi') THEN 'audio' ELSE 'local' END AS route FROM u""",
-    "page_title_clean": rf"""WITH t AS (SELECT page_id, {title("(regexp_replace(regexp_replace(coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') || CASE WHEN page_id % 2 = 0 THEN ' & é<' ELSE '' END)")} AS title FROM pages) SELECT page_id, title, {is_title("title")} AS informative FROM t""",
+    "page_title_clean": rf"""WITH t AS (SELECT page_id, {title("(regexp_replace(regexp_replace(coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), '&quot;?', chr(34), 'g'), '&amp;?', '&', 'g') || CASE WHEN page_id % 2 = 0 THEN ' & é<' ELSE '' END)")} AS title FROM pages) SELECT page_id, title, {is_title("title")} AS informative FROM t""",
     "page_routes": "SELECT page_id, 'local' AS route, trim(url) AS reference, 'url:' || sha1(trim(url)) AS note_id FROM pages",
     "person_hints": rf"""WITH t AS (SELECT doc_id, {pick("doc_id", NAMES)} || CASE WHEN doc_id % 36 >= 18 THEN ' ' || coalesce(lang, '?') || doc_id ELSE '' END AS name FROM documents), s AS (SELECT doc_id, name, regexp_replace(regexp_replace(regexp_replace({strip("name")}, '^[A-Za-z0-9_-]{{11}}-', ''), '(?i)^\d{{4}}-\d{{2}}-\d{{2}}-[a-f0-9]{{6,}}$', ''), '(?i)-[a-f0-9]{{8,}}$', '') AS p FROM t),
 h AS (SELECT doc_id, name, regexp_replace({squeeze("translate(p, '_-', '  ')")}, '^[ .\-_]+|[ .\-_]+$', '', 'g') AS p FROM s)
