@@ -9,6 +9,7 @@ from colloquy.functions import lexicons as L
 from colloquy.functions import text as X
 from colloquy.operators import appendix as AP
 from colloquy.operators import contract as CT
+from colloquy.operators import ingest as IN
 from colloquy.operators import lines as LN
 from colloquy.operators import plan as PL
 from colloquy.operators import quality as QL
@@ -367,3 +368,28 @@ def delivery_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(k.alias("work_id"), (k % 2 == 0).alias("enabled"), when(k % 3 == 0, "r").alias("reason"), when(k % 5 > 0, "c").alias("chat"))
     own = ST.delivery_summary(d)
     return own.select("work_id", F.size("delivery").cast("long").alias("fields"), F.col("delivery")["enabled"].alias("enabled"), F.col("delivery")["reason"].alias("reason"))
+
+
+# Transcription
+
+
+@query
+def transcribe_backends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", IN.transcribe_backend(pick(k, " Auto", "Groq ", "whisperx", "auto"), k % 3 == 0, k % 2 == 0, k % 5 > 1).alias("backend"))
+
+
+@query
+def retried_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user as requests of up to six tries."""
+    k, n = F.col("event_id"), F.col("event_id") % 6
+    e = table(spark, sf_dir, "events").select(F.floor(k / 6).alias("request_id"), n.cast("int").alias("attempt"), (F.col("user_id") % 7 == 3).alias("ok"), (F.col("user_id") % 3 == 0).alias("limited"), pick(F.col("user_id"), "try again in 1m12s", "in 3m0s", "busy", None).alias("message"))
+    return IN.retried(e)
+
+
+@query
+def host_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    tools = F.create_map(F.lit("ffmpeg"), k % 2 == 0, F.lit("curl"), k % 3 > 0, F.lit("pandoc"), k % 5 == 0)
+    hosts = table(spark, sf_dir, "customer").select(k.alias("host"), pick(k, "darwin", "linux").alias("platform"), tools.alias("tools"), (k % 7 == 0).alias("has_key"), (k % 4 == 0).alias("parakeet"), (k % 6 == 0).alias("whisper"))
+    return IN.doctor(hosts).withColumn("missing_tools", F.array_join("missing_tools", ","))

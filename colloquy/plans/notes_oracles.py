@@ -161,5 +161,12 @@ SELECT work_id, {NEXT} AS next_action, n AS planned_chunks, r AS ready_chunks, p
     "run_timeline": f"""WITH r AS (SELECT event_id AS run_id, user_id AS note_id, {pick("event_id", "assembled", "failed")} AS status, event_type AS title, {pick("event_id // 3", "t1", "t2")} AS transcript, {pick("event_id", "h", "")} AS html, {pick("event_id // 2", None, "d")} AS dv, ts FROM events), l AS (SELECT *, row_number() OVER w = 1 AS first_run, lag(transcript) OVER w AS t0, lag(html) OVER w AS h0, lag(dv) OVER w AS d0 FROM r WINDOW w AS (PARTITION BY note_id ORDER BY ts, run_id)),
 f AS (SELECT *, first_run OR transcript <> t0 AS input_changed, first_run OR html <> h0 AS output_changed, CASE WHEN first_run THEN dv IS NOT NULL ELSE dv IS DISTINCT FROM d0 END AS delivery_changed FROM l)
 SELECT run_id, note_id, status, title, transcript, first_run, input_changed, output_changed, delivery_changed, NOT first_run AND NOT input_changed AND NOT output_changed AND NOT delivery_changed AS only_resume FROM f""",
+    "transcribe_backends": f"SELECT doc_id, CASE WHEN c <> 'auto' THEN c WHEN doc_id % 3 = 0 THEN 'groq' WHEN doc_id % 2 = 0 AND doc_id % 5 > 1 THEN 'parakeet' END AS backend FROM (SELECT doc_id, lower(trim({pick('doc_id', ' Auto', 'Groq ', 'whisperx', 'auto')})) AS c FROM documents)",
+    "retried_requests": f"""WITH e AS (SELECT event_id // 6 AS r, event_id % 6 AS n, user_id % 7 = 3 AS ok, user_id % 3 = 0 AS lim, coalesce(regexp_extract({pick("user_id", "try again in 1m12s", "in 3m0s", "busy", None)}, 'in (\\d+)m(\\d+)s', ['m', 's']), {{'m': '', 's': ''}}) AS t FROM events),
+w AS (SELECT *, CASE WHEN ok THEN NULL WHEN lim THEN CASE WHEN (CASE WHEN t.m <> '' THEN TRY_CAST(t.m AS INT) * 60 + TRY_CAST(t.s AS INT) + 5 ELSE 180 END) <= 120 AND n < 5 THEN (CASE WHEN t.m <> '' THEN TRY_CAST(t.m AS INT) * 60 + TRY_CAST(t.s AS INT) + 5 ELSE 180 END) END WHEN n < 4 THEN 10 * (n + 1) END AS wait FROM e),
+x AS (SELECT *, min(CASE WHEN ok OR wait IS NULL OR n >= 4 THEN n END) OVER (PARTITION BY r) AS stop FROM w)
+SELECT r AS request_id, count(*) AS tries, CAST(coalesce(sum(wait), 0) AS BIGINT) AS waited, CASE WHEN bool_or(ok) THEN 'done' WHEN max(stop) IS NOT NULL THEN 'gave-up' ELSE 'open' END AS outcome FROM x WHERE stop IS NULL OR n <= stop GROUP BY r""",
+    "host_checks": """WITH h AS (SELECT c_custkey AS k, c_custkey % 2 = 0 AS mac FROM customer), r AS (SELECT *, k % 7 = 0 OR (mac AND (k % 4 = 0 OR k % 6 = 0)) AS ready FROM h)
+SELECT k AS host, concat_ws(',', CASE WHEN k % 3 = 0 THEN 'curl' END, CASE WHEN k % 2 = 1 THEN 'ffmpeg' END, CASE WHEN k % 5 > 0 THEN 'pandoc' END) AS missing_tools, ready AS audio_ready, CASE WHEN NOT ready THEN CASE WHEN mac THEN 'install a local backend or set a key' ELSE 'set a key' END END AS hint FROM r""",
     "delivery_summaries": "SELECT doc_id AS work_id, CAST(1 + CAST(doc_id % 3 = 0 AS INT) + CAST(doc_id % 5 > 0 AS INT) AS BIGINT) AS fields, CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END AS enabled, CASE WHEN doc_id % 3 = 0 THEN 'r' END AS reason FROM documents",
 }
