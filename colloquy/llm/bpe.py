@@ -17,6 +17,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 from itertools import chain
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import add_columns
 
 NEVER = 1 << 60
-#: What a worker remembers at most: words, and states of prefixes (nodes of the trie); how deep the trie goes.
-MOST_WORDS, MOST_STATES = 300_000, 400_000
+#: What a worker remembers at most: words, states of prefixes (nodes of the trie) and pairs of tokens; how deep the trie goes.
+MOST_WORDS, MOST_STATES, MOST_PAIRS = 200_000, 250_000, 100_000
 DEEPEST = 64
 STEP = 1 << 20
 #: Code points (hexadecimal, ranges with a hyphen) that the `regex` module takes as letters or numbers and
@@ -92,9 +93,9 @@ class Words(dict):
         return number
 
 
-def grown(array: np.ndarray, size: int) -> np.ndarray:
+def grown(values: np.ndarray, size: int) -> np.ndarray:
     """The array, with room for `size` entries."""
-    return array if len(array) >= size else np.concatenate([array, np.empty(max(size, 2 * len(array)) - len(array), array.dtype)])
+    return values if len(values) >= size else np.concatenate([values, np.empty(max(size, 2 * len(values)) - len(values), values.dtype)])
 
 
 class Model:
@@ -130,20 +131,24 @@ class Model:
                 self.made[token], self.left[token], self.right[token] = i, a, b
         self.longest = max(len(t.removesuffix(self.suffix)) for t in self.vocab)
         self.letters = dict(enumerate(byte_letters()))
-        self.follows: dict[int, bool] = {}
         self.known = self.usable()
+        self.forget()
+        # In ASCII text the classes are plain ranges, which the standard module matches faster.
+        plain = split["pattern"]["Regex"]
+        for wide, narrow in ((r"\p{L}", "a-z"), (r"\p{N}", "0-9"), (r"\s", r"\t-\r ")):
+            plain = plain.replace(wide, narrow)
+        self.ascii_pattern = re.compile(plain).findall
+
+    def forget(self) -> None:
+        """Drops all that was remembered of texts; a task does so at its end, as workers go on with other stages."""
         self.words = Words()
         # The tokens of known words one after another; by the word's number where they begin and how many they are.
         self.tokens, self.begin, self.count = np.empty(1 << 16, np.int32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
         self.used = 0
         # The trie: (node << 8 | byte) to the node below; each node's last token and where it starts. Node 0 is the root.
         self.below: dict[int, int] = {}
-        self.token, self.start = [-1], [0]
-        # In ASCII text the classes are plain ranges, which the standard module matches faster.
-        plain = split["pattern"]["Regex"]
-        for wide, narrow in ((r"\p{L}", "a-z"), (r"\p{N}", "0-9"), (r"\s", r"\t-\r ")):
-            plain = plain.replace(wide, narrow)
-        self.ascii_pattern = re.compile(plain).findall
+        self.token, self.start = array("i", [-1]), array("i", [0])
+        self.follows: dict[int, bool] = {}  # left << 20 | right: whether the two tokens stand apart
 
     def stands(self, left: int, right: int, before: int = NEVER) -> bool:
         """Whether the two tokens stay apart: at no time before `before` is a merge across their border the next one.
@@ -184,8 +189,8 @@ class Model:
         """
         suffix, letters, longest = self.suffix, self.letters, self.longest
         if len(self.token) > MOST_STATES:
-            self.below, self.token, self.start = {}, [-1], [0]
-        if len(self.follows) > MOST_STATES:
+            self.below, self.token, self.start = {}, array("i", [-1]), array("i", [0])
+        if len(self.follows) > MOST_PAIRS:
             self.follows.clear()
         below, token_of, start_of, ends = self.below, self.token, self.start, self.ends
         found: list[tuple[int, ...]] = []
@@ -340,7 +345,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
         flat, starts = model_of(data.value).encode(part.column("_text").to_pylist())
         return {ids: pa.ListArray.from_arrays(pa.array(starts), pa.array(flat))}
 
-    return add_columns(df, {"_text": F.col(f"`{text}`").cast("string")}, {ids: "array<int>"}, make, "_text", STEP)
+    return add_columns(df, {"_text": F.col(f"`{text}`").cast("string")}, {ids: "array<int>"}, make, "_text", STEP, lambda: model_of(data.value).forget())
 
 
 def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded_text: str = "decoded") -> DataFrame:
@@ -353,7 +358,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", d
         coded = pa.ListArray.from_arrays(pa.array(starts), pa.array(flat))
         return {ids: coded, decoded_text: decoded(model, coded)}
 
-    return add_columns(df, {"_text": F.col(f"`{text}`").cast("string")}, {ids: "array<int>", decoded_text: "string"}, make, "_text", STEP)
+    return add_columns(df, {"_text": F.col(f"`{text}`").cast("string")}, {ids: "array<int>", decoded_text: "string"}, make, "_text", STEP, lambda: model_of(data.value).forget())
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

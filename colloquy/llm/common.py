@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -76,10 +78,11 @@ def slices(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES) -> Iterat
             yield batch.slice(a, b - a)
 
 
-def add_columns(df: DataFrame, needs: dict[str, Column], new: dict[str, str], make: Callable[[pa.RecordBatch], dict[str, pa.Array]], sized: str | None = None, step: int = STEP_BYTES) -> DataFrame:
+def add_columns(df: DataFrame, needs: dict[str, Column], new: dict[str, str], make: Callable[[pa.RecordBatch], dict[str, pa.Array]], sized: str | None = None, step: int = STEP_BYTES, after: Callable[[], None] | None = None) -> DataFrame:
     """df with the columns that `make` gives for runs of rows; a column of df with such a name is replaced.
 
-    needs: what make reads besides, gone afterwards. sized: the text in it that bounds a run's size. No shuffle.
+    needs: what make reads besides, gone afterwards. sized: the text in it that bounds a run's size. after: what a task
+    does at its end. No shuffle.
     """
     bounded_batches(df.sparkSession)
     replaced = {c.lower() for c in new}
@@ -94,18 +97,42 @@ def add_columns(df: DataFrame, needs: dict[str, Column], new: dict[str, str], ma
     schema = T.StructType([*fields, *T.StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in new.items())).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen = pa.RecordBatch.from_arrays(batch.columns[at:], names=names)
-            start = 0
-            for part in slices(seen, sized, step) if sized else [seen]:
-                made = make(part)
-                own = batch.slice(start, part.num_rows).columns[:at]
-                start += part.num_rows
-                yield pa.RecordBatch.from_arrays([*own, *[made[k] for k in new]], names=[*kept, *new])
+        try:
+            for batch in batches:
+                seen = pa.RecordBatch.from_arrays(batch.columns[at:], names=names)
+                start = 0
+                for part in slices(seen, sized, step) if sized else [seen]:
+                    made = make(part)
+                    own = batch.slice(start, part.num_rows).columns[:at]
+                    start += part.num_rows
+                    yield pa.RecordBatch.from_arrays([*own, *[made[k] for k in new]], names=[*kept, *new])
+        finally:
+            if after:
+                after()
+            release()
 
     return source.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Gives back what a task's Python worker has freed; it goes on with other stages and would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without malloc_trim keeps it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that releases memory at a task's end."""
+
+    def to_the_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return to_the_end
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of at most BATCH_BYTES between the JVM and its Python workers, unless the session sets a bound itself."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -128,7 +155,7 @@ def keep_where(docs: DataFrame, test: Callable[[list[str | None]], list[bool]],
 class Ids(dict):
     """Word (bytes) to a 64-bit hash, remembered; forgets everything when it holds `most` words."""
 
-    def __init__(self, most: int = 150_000) -> None:
+    def __init__(self, most: int = 40_000) -> None:
         super().__init__()
         self.most = most
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import Ids, bounded_batches, slices, windows, written
+from colloquy.llm.common import Ids, bounded_batches, released, slices, windows, written
 
 #: Base phrases and their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -164,7 +164,7 @@ def gram_arrays(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     source = docs.select("doc_id", F.xxhash64(text).alias("_key"), F.encode(text, "utf-8").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, _key long, n_words long, grams array<long>")
+    return source.mapInArrow(released(run), f"doc_id {kind}, _key long, n_words long, grams array<long>")
 
 
 def votes(docs: DataFrame, spark: SparkSession) -> DataFrame:
@@ -238,7 +238,7 @@ def verified(candidates: DataFrame, docs: DataFrame, notices: dict[int, tuple[li
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], share, diagonal], names=[*kept, "share", "diagonal"]).filter(good)
 
     bounded_batches(docs.sparkSession)
-    return both.select(*kept, "hits", "text").mapInArrow(run, schema).dropDuplicates(["doc_id", "_key", "template"])
+    return both.select(*kept, "hits", "text").mapInArrow(released(run), schema).dropDuplicates(["doc_id", "_key", "template"])
 
 
 def spans(voted: DataFrame, docs: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import Ids, bounded_batches, changes, dropped, mix64, runs, slices, windows, written
+from colloquy.llm.common import Ids, bounded_batches, changes, dropped, mix64, released, runs, slices, windows, written
 from colloquy.llm.components import components
 
 SHINGLE = 5
@@ -113,7 +113,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_shingles", "class", "signature", "buckets"],
             )
 
-    return ids_and_texts(docs).mapInArrow(run, schema)
+    return ids_and_texts(docs).mapInArrow(released(run), schema)
 
 
 def ids_and_texts(docs: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def compared(members: DataFrame, key: str, value: str, block: int, find) -> Data
                     out_b.append(owners[a + y])
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
-    return sorted_rows.mapInArrow(run, "a long, b long")
+    return sorted_rows.mapInArrow(released(run), "a long, b long")
 
 
 def plausible_of(values: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -265,7 +265,7 @@ def plausible_pairs(pairs: DataFrame) -> DataFrame:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, COORDINATES) for c in ("signature", "hub_signature"))
             yield batch.select(["node", "hub"]).filter(pa.array(agreement(a, b) >= PLAUSIBLE * COORDINATES))
 
-    return pairs.mapInArrow(run, "node long, hub long")
+    return pairs.mapInArrow(released(run), "node long, hub long")
 
 
 def star_links(stars: DataFrame, sets: DataFrame) -> DataFrame:
@@ -298,7 +298,7 @@ def star_links(stars: DataFrame, sets: DataFrame) -> DataFrame:
                             out_b.append(hub[i])
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(released(run), "a long, b long")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -316,7 +316,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     texts = ids_and_texts(docs).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    return texts.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node", "shingles"])
+    return texts.mapInArrow(released(run), "node long, shingles binary").dropDuplicates(["node", "shingles"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
