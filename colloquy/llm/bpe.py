@@ -140,7 +140,7 @@ class Model:
         self.ascii_pattern = re.compile(plain).findall
 
     def forget(self) -> None:
-        """Drops all that was remembered of texts; a task does so at its end, as workers go on with other stages."""
+        """Starts with nothing remembered of texts."""
         self.words = Words()
         # The tokens of known words one after another; by the word's number where they begin and how many they are.
         self.tokens, self.begin, self.count = np.empty(1 << 16, np.int32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
@@ -306,7 +306,8 @@ _models: dict[str, Model] = {}
 
 
 def model_of(data: bytes) -> Model:
-    """The model of a JSON file's bytes, built once in a worker."""
+    """The model of a JSON file's bytes, built once in a task. At a task's end it goes with all that it remembers of texts,
+    as workers go on with other stages."""
     key = hashlib.md5(data).hexdigest()
     if key not in _models:
         _models[key] = Model(data)
@@ -345,7 +346,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
         flat, starts = model_of(data.value).encode(part.column("_text").to_pylist())
         return {ids: pa.ListArray.from_arrays(pa.array(starts), pa.array(flat))}
 
-    return add_columns(df, {"_text": F.col(f"`{text}`").cast("string")}, {ids: "array<int>"}, make, "_text", STEP, lambda: model_of(data.value).forget())
+    return add_columns(df, {"_text": F.col(f"`{text}`").cast("string")}, {ids: "array<int>"}, make, "_text", STEP, _models.clear)
 
 
 def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded_text: str = "decoded") -> DataFrame:
@@ -358,7 +359,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", d
         coded = pa.ListArray.from_arrays(pa.array(starts), pa.array(flat))
         return {ids: coded, decoded_text: decoded(model, coded)}
 
-    return add_columns(df, {"_text": F.col(f"`{text}`").cast("string")}, {ids: "array<int>", decoded_text: "string"}, make, "_text", STEP, lambda: model_of(data.value).forget())
+    return add_columns(df, {"_text": F.col(f"`{text}`").cast("string")}, {ids: "array<int>", decoded_text: "string"}, make, "_text", STEP, _models.clear)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 #: Bytes of text that one step of a Python worker handles at once; a single longer text is a step of its own.
 STEP_BYTES = 4 << 20
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: What Spark says where nobody has set the bound.
 DEFAULT_BATCH_BYTES = f"{64 << 20}b"
 
