@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, chat, decontamination, html_text, language_id, licenses, near_duplicates, quality_model, quality_rules, warc
+from colloquy.functions.text import let
+from colloquy.llm import bpe, chat, decontamination, html_text, language_id, licenses, near_duplicates, periodic_runs, quality_model, quality_rules, warc
 from colloquy.llm.common import table
 
 
@@ -71,6 +72,40 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text); with h = crc32(doc_id as text), where h % 10 = 0, the words from place a on repeat the first p of them."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+
+    def repeated(s: Column) -> Column:
+        n, g = F.size(s.words).cast("long"), F.floor(s.h / 10)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        whole = F.transform(F.array(F.struct(s.words.alias("words"), n.alias("n"), a.alias("a"), p.alias("p"))), from_place)
+        return F.when(n > 0, F.element_at(whole, 1)).otherwise("")
+
+    def from_place(s: Column) -> Column:
+        at = F.transform(F.sequence(F.lit(0).cast("long"), s.n - 1), lambda i: F.when(i < s.a, i).otherwise(s.a + (i - s.a) % s.p))
+        return F.array_join(F.transform(at, lambda i: F.get(s.words, i.cast("int"))), " ")
+
+    words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    planted = let(F.struct(words.alias("words"), h.alias("h")), repeated)
+    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("text")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period, F.lit("\n")))
+    best = F.col("strongest")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[best[c].alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.replace(F.array_join(lines, ""), F.lit(",\n"), F.lit("\n")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_bpe, op3_decontamination, op4_near_duplicates, op5_licenses, op6_language_id, op7_chat, op8_html, op9_quality, op10_quality_rules)
+    f.__name__: f for f in (op1_warc, op2_bpe, op3_decontamination, op4_near_duplicates, op5_licenses, op6_language_id, op7_chat, op8_html, op9_quality, op10_quality_rules, op11_periodic_runs)
 }
