@@ -43,4 +43,30 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM p GROUP BY conv_id
 """
 
-SQL = {"op1_warc": OP1_WARC, "op4_near_duplicates": OP4_NEAR_DUPLICATES, "op7_chat": OP7_CHAT}
+#: Canonical links and refreshes are read by patterns here, for heads in plain markup with absolute targets.
+OP13_URL_FILTERS = r"""
+WITH RECURSIVE rules(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+e AS (
+  SELECT url, unnest(regexp_extract_all(html, '<link rel="canonical" href="(https?://[^"]*)"', 1) || regexp_extract_all(html, '<meta http-equiv="refresh" content="[0-9]+; url=(https?://[^"]*)"', 1)) AS target
+  FROM pages WHERE contains(url, '://')),
+urls AS (SELECT DISTINCT url FROM (SELECT url FROM pages UNION ALL SELECT target FROM e) WHERE url IS NOT NULL),
+r AS (SELECT url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM urls),
+k AS (
+  SELECT url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+    regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail FROM r),
+n AS (
+  SELECT *, CASE WHEN contains(url, '://') THEN translate(substr(url, 1, instr(url, '://') - 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || '://' || host || CASE WHEN starts_with(tail, '/') THEN '' ELSE '/' END || tail END AS node FROM k),
+d AS (SELECT n.url, arg_max(h || p, (length(h) + length(p), length(h))) AS rule, arg_max(verdict, (length(h) + length(p), length(h))) AS own
+  FROM n JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY n.url),
+g AS (SELECT DISTINCT a.node AS a, b.node AS b FROM e JOIN n a ON a.url = e.url JOIN n b ON b.url = e.target),
+w AS (SELECT a, b FROM g UNION SELECT b, a FROM g),
+c AS (SELECT a AS node, a AS reached FROM w UNION SELECT c.node, w.b FROM c JOIN w ON w.a = c.reached),
+dn AS (SELECT node, arg_max(verdict, (length(h) + length(p), length(h))) AS own
+  FROM n JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(CASE WHEN path = '' THEN '/' ELSE path END, p) GROUP BY node),
+v AS (SELECT c.node, min(dn.own) AS class_verdict FROM c JOIN dn ON dn.node = c.reached GROUP BY c.node)
+SELECT page_id, coalesce(n.host, '') AS host, coalesce(n.path, '') AS path, d.rule, coalesce(d.own, v.class_verdict, 'allow') AS verdict,
+  CASE WHEN d.own IS NOT NULL THEN 'rule' WHEN v.class_verdict IS NOT NULL THEN 'alias' ELSE 'default' END AS decided_by
+FROM pages LEFT JOIN n ON n.url = pages.url LEFT JOIN d ON d.url = pages.url LEFT JOIN v ON v.node = n.node
+"""
+
+SQL = {"op1_warc": OP1_WARC, "op4_near_duplicates": OP4_NEAR_DUPLICATES, "op7_chat": OP7_CHAT, "op13_url_filters": OP13_URL_FILTERS}
