@@ -43,6 +43,26 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM p GROUP BY conv_id
 """
 
+OP12_COLLOCATIONS = r"""
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(ws) >= k),
+c AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM c WHERE k = 1 GROUP BY lang),
+s AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM c WHERE k > 1 AND f >= 30),
+t AS (SELECT lang, phrase, a, unnest(range(1, k)) AS cut, ws FROM s),
+u AS (
+  SELECT t.lang, t.phrase, t.a, t.cut, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * t.a // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+  FROM t JOIN c x ON x.lang = t.lang AND x.phrase = array_to_string(ws[1:cut], ' ') JOIN c y ON y.lang = t.lang AND y.phrase = array_to_string(ws[cut + 1:], ' ')),
+b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (SELECT s.lang, s.a AS longer, unnest(flatten(list_transform(range(2, s.k), lambda m: list_transform(range(1, s.k - m + 2), lambda q: array_to_string(ws[q:q + m - 1], ' '))))) AS phrase FROM s WHERE s.k > 2),
+m AS (SELECT lang, phrase, max(longer) AS longer FROM i GROUP BY ALL),
+z AS (SELECT b.* FROM b LEFT JOIN m USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z) JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 #: Canonical links and refreshes are read by patterns here, for heads in plain markup with absolute targets.
 OP13_URL_FILTERS = r"""
 WITH RECURSIVE rules(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
@@ -69,4 +89,4 @@ SELECT page_id, coalesce(n.host, '') AS host, coalesce(n.path, '') AS path, d.ru
 FROM pages LEFT JOIN n ON n.url = pages.url LEFT JOIN d ON d.url = pages.url LEFT JOIN v ON v.node = n.node
 """
 
-SQL = {"op1_warc": OP1_WARC, "op4_near_duplicates": OP4_NEAR_DUPLICATES, "op7_chat": OP7_CHAT, "op13_url_filters": OP13_URL_FILTERS}
+SQL = {"op1_warc": OP1_WARC, "op4_near_duplicates": OP4_NEAR_DUPLICATES, "op7_chat": OP7_CHAT, "op12_collocations": OP12_COLLOCATIONS, "op13_url_filters": OP13_URL_FILTERS}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import let
-from colloquy.llm import bpe, chat, decontamination, html_text, language_id, licenses, near_duplicates, periodic_runs, quality_model, quality_rules, url_filters, warc
+from colloquy.llm import bpe, chat, collocations, decontamination, html_text, language_id, licenses, near_duplicates, periodic_runs, quality_model, quality_rules, url_filters, warc
 from colloquy.llm.common import table
 
 
@@ -106,6 +106,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 #: (verdict, host, path): a rule fits its host and all subdomains, where the url's path starts with the rule's.
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
@@ -117,5 +121,5 @@ def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_bpe, op3_decontamination, op4_near_duplicates, op5_licenses, op6_language_id, op7_chat, op8_html, op9_quality, op10_quality_rules, op11_periodic_runs, op13_url_filters)
+    f.__name__: f for f in (op1_warc, op2_bpe, op3_decontamination, op4_near_duplicates, op5_licenses, op6_language_id, op7_chat, op8_html, op9_quality, op10_quality_rules, op11_periodic_runs, op12_collocations, op13_url_filters)
 }
