@@ -105,3 +105,29 @@ def test_digests_of_other_kinds():
 
     assert warc.agrees("sha256:" + hashlib.sha256(b"x").hexdigest(), b"x") and not warc.agrees("sha256:" + hashlib.sha256(b"y").hexdigest(), b"x")
     assert warc.agrees("SHA1:" + warc.base32_sha1(b"x").lower(), b"x") and warc.agrees("crc9:anything", b"x") and warc.agrees("", b"x")
+
+
+def test_a_revisit_with_a_bad_length_is_a_row_with_an_error():
+    good = warc.member(1, "u", b"payload", None, False)
+    plain = gzip.decompress(warc.member(2, "u", b"payload", 1, True))
+    head, _, block = plain.partition(b"\r\n\r\n")
+    for told in (b"abc", b"-7", b"7" * 30, "٣".encode()):
+        http = block.removesuffix(b"\r\n\r\n")
+        changed = b"\r\n".join(b"Content-Length: " + told if x.lower().startswith(b"content-length") else x for x in http.split(b"\r\n"))
+        lines = [b"Content-Length: %d" % len(changed) if x.lower().startswith(b"content-length") else x for x in head.split(b"\r\n") if not x.lower().startswith(b"warc-block-digest")]
+        data = gzip.compress(b"\r\n".join(lines) + b"\r\n\r\n" + changed + b"\r\n\r\n")
+        found = list(warc.records(io.BytesIO(good + data + good), "a"))
+        assert [r["record_type"] for r in found] == ["response", "revisit", "response"]
+        assert found[1]["payload_bytes"] is None and not found[1]["verified"] and "Content-Length" in found[1]["error"]
+
+
+def test_revisits_are_held_against_their_responses(spark, tmp_path):
+    data = warc.member(1, "u", b"payload", None, False) + warc.member(2, "u", b"payload", 1, True) + warc.member(3, "u", b"other..", 1, True) + warc.member(4, "u", b"payload", 9, True) + warc.member(5, "u", b"payload!", 1, True)
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    read = warc.read_warc(warc.archive_paths(spark, f"file://{tmp_path}"))
+    assert [r["verified"] for r in read.orderBy("page_id").collect()] == [True] * 5
+    held = warc.against_responses(read)
+    rows = held.orderBy("page_id").collect()
+    assert held.columns == read.columns
+    assert [(r["verified"], bool(r["error"])) for r in rows] == [(True, False), (True, False), (False, True), (False, True), (False, True)]
+    assert rows[0]["payload"] == b"payload"
