@@ -15,7 +15,6 @@ ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import add_columns, bounded_batches, crc_mod, keep_where, slices
+from colloquy.llm.common import add_columns, bounded_batches, crc_mod, dropped, keep_where, released, slices, written
 
 DIMENSIONS = 4096
 PER_LANGUAGE, LEAST_ROWS = 800, 8
@@ -36,7 +35,6 @@ EPOCHS, RATE, BATCH = 6, 0.4, 32
 RANDOM_BITS = 31
 #: Code comparisons and loss terms at once.
 MOST_TERMS = 1 << 22
-LETTER = re.compile(r"[^\W\d_]")
 _SPACES = bytes(i if 0x61 <= i <= 0x7A or i >= 0x80 else 0x20 for i in range(256))
 
 
@@ -88,7 +86,7 @@ class Classifier:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float, bool]]:
         """(language, score, margin to the second, ambiguous) for each text."""
         out = []
-        has = [bool(t and LETTER.search(t)) for t in texts]
+        has = [bool(t) and any(map(str.isalpha, t)) for t in texts]
         loss = self.losses(features(texts)) if self.languages and any(has) else None
         for i, letters in enumerate(has):
             if not letters or loss is None:
@@ -136,26 +134,38 @@ def sample_key(text: str) -> Column:
     return F.xxhash64(F.lit("language"), F.col("doc_id").cast("string"), F.col(f"`{text}`").cast("string"))
 
 
+def smallest_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's rows (lang, key) the PER_LANGUAGE distinct ones with the smallest keys of each language."""
+    kept: dict[str, np.ndarray] = {}
+    for batch in batches:
+        coded = batch.column("lang").dictionary_encode()
+        number, keys = coded.indices.to_numpy(), batch.column("key").to_numpy()
+        for k, lang in enumerate(coded.dictionary.to_pylist()):
+            own = np.unique(np.append(kept.get(lang, np.empty(0, np.int64)), keys[number == k]))
+            kept[lang] = own[:PER_LANGUAGE]
+    for lang, keys in kept.items():
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys)], names=["lang", "key"])
+
+
 def fitted(docs: DataFrame, labelled: Column, lang: str = "lang", text: str = "text") -> Classifier:
     """A classifier from a bounded sample of the labelled rows, of each language the distinct ones with the smallest hashes.
 
-    The number of distinct rows of each language is estimated first (JVM side), so that only the keys that can be among
-    the smallest are shuffled; texts are not. A row that repeats very often is read once a task.
+    Two scans: the first keeps the smallest keys of each language in each task, without sending a text to Python; the
+    second reads the picked rows. Texts are not shuffled. A row that repeats very often is read once a task.
     """
     spark = docs.sparkSession
     found = docs.filter(labelled & F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
     found = found.select(F.col(f"`{lang}`").cast("string").alias("lang"), sample_key(text).alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    counts = found.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("n")).collect()
-    if not counts:
-        return train([])
-    most = min(PER_LANGUAGE, max(LEAST_ROWS, SAMPLE_ROWS // len(counts)))
-    enough = 1.3 * most + 16  # so many are expected; that a language has far fewer by chance is out of the question
-    shares = spark.createDataFrame([(r["lang"], min(1.0, enough / max(r["n"], 1))) for r in counts], "lang string, share double")
-    low = F.shiftrightunsigned("key", 11) < F.col("share") * float(1 << 53)
     smallest = Window.partitionBy("lang").orderBy("key")
-    keys = found.select("lang", "key").join(F.broadcast(shares), "lang").filter(low).select("lang", "key").distinct()
-    keys = keys.withColumn("_place", F.row_number().over(smallest)).filter(F.col("_place") <= most).select("lang", "key").collect()
-    wanted = spark.createDataFrame([tuple(r) for r in keys], "lang string, key long")  # at most SAMPLE_ROWS, or LEAST_ROWS of each language
+    keys = found.select("lang", "key").mapInArrow(released(smallest_keys), "lang string, key long").distinct()
+    keys = written(keys.withColumn("_place", F.row_number().over(smallest)).filter(F.col("_place") <= PER_LANGUAGE), "sample-keys")
+    languages = keys.filter("_place = 1").count()
+    if not languages:
+        return train([])
+    most = min(PER_LANGUAGE, max(LEAST_ROWS, SAMPLE_ROWS // languages))
+    picked_keys = keys.filter(F.col("_place") <= most).select("lang", "key").collect()
+    dropped(keys)
+    wanted = spark.createDataFrame([tuple(r) for r in picked_keys], "lang string, key long")  # at most SAMPLE_ROWS, or LEAST_ROWS of each language
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[str, int]] = set()
@@ -167,7 +177,7 @@ def fitted(docs: DataFrame, labelled: Column, lang: str = "lang", text: str = "t
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in new], pa.string()), pa.array([k[1] for k in new], pa.int64()), pa.array(made, pa.binary())], names=["lang", "key", "features"])
 
     bounded_batches(spark)
-    picked = found.join(F.broadcast(wanted), ["lang", "key"]).mapInArrow(make, "lang string, key long, features binary")
+    picked = found.join(F.broadcast(wanted), ["lang", "key"]).mapInArrow(released(make), "lang string, key long, features binary")
     rows = picked.dropDuplicates(["lang", "key"]).collect()
     return train([(r["lang"], r["features"]) for r in sorted(rows, key=lambda r: (r["lang"], r["key"]))])
 
