@@ -8,7 +8,8 @@ Training reads at most PER_CLASS labelled documents of each class (a documented
 scoring reads whole texts, in one map pass without a shuffle.
 
 Defined results: null and empty texts get a score from their structure alone; without labels of both classes the score
-is the share of label 1 (0.5 without any); of labels that differ for an id the smallest counts; a null doc_id counts as
+is the share of label 1 (0.5 without any); of labels that differ for an id the smallest counts, of rows that
+share an id the one with the smallest hash is learnt from; a null doc_id counts as
 the text 'null' in the split; other columns are ignored.
 """
 
@@ -166,7 +167,8 @@ def fitted(docs: DataFrame, labels: DataFrame, labelled: Column) -> Machine:
     picked = own.filter("quality = 0").orderBy(key).limit(PER_CLASS).unionByName(own.filter("quality = 1").orderBy(key).limit(PER_CLASS))
     # At most 2 * PER_CLASS ids: small enough to broadcast.
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text"), n_chars_of(docs).alias("n_chars")).join(F.broadcast(picked.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"))
-    sample = sample.dropDuplicates(["doc_id"])
+    first = F.min(F.struct(F.xxhash64("text", "n_chars"), "text", "n_chars", "quality")).alias("_first")  # of rows that share an id
+    sample = sample.groupBy("doc_id").agg(first).select("doc_id", "_first.text", "_first.n_chars", "_first.quality")
     state: dict = {}
 
     def make(part: pa.RecordBatch) -> dict[str, pa.Array]:
