@@ -3,7 +3,7 @@
 The zstandard ratio (compressed bytes to bytes) of a whole text and of its fixed chunks must lie in a band: below it
 text is repetitive, above it incompressible. Short texts compress less, so the band depends on the length. A text
 fails if its whole ratio leaves the band of its length, or if chunks outside the chunk band hold more than CHUNK_SHARE
-of its chunked bytes. Beside the bands stand plain counts of words, symbols, repeated lines and repeated windows.
+of its bytes; every byte is in a chunk, and a short last chunk has the band of its own length. Beside the bands stand plain counts of words, symbols, repeated lines and repeated windows.
 All in one map pass without a shuffle; memory is bounded by the longest text.
 
 Defined results: a null or empty text has zero words and counts, null ratios, and fails the base rule; duplicate rows
@@ -23,7 +23,7 @@ from colloquy.llm.common import Ids, add_columns, keep_where, windows
 #: (bytes below which the band holds, lowest ratio, highest ratio) of whole texts, at zstandard level 3. The ratio falls
 #: with length up to the compressor's window of 2 MB; a clean text with 15 % of it repeated once is within the band.
 BANDS = ((150, 0.30, 1.10), (300, 0.45, 1.00), (600, 0.45, 0.90), (1200, 0.45, 0.80), (2400, 0.445, 0.75), (4800, 0.43, 0.70), (10_000, 0.40, 0.68), (50_000, 0.34, 0.66), (200_000, 0.32, 0.66), (1_000_000, 0.30, 0.66), (float("inf"), 0.29, 0.66))
-#: Fixed chunks; a last chunk under half of that size counts in the whole text only.
+#: Fixed chunks and their band; a last chunk under half of that size is judged by the band of its length.
 CHUNK_BYTES, CHUNK_BAND, CHUNK_SHARE = 4096, (0.43, 0.75), 0.3
 LEVEL = 3
 MIN_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
@@ -62,15 +62,13 @@ def in_band(size: int, ratio: float) -> bool:
 def compression(z: zstandard.ZstdCompressor, data: bytes) -> tuple[float, float, bool]:
     """Ratio of the whole text, share of chunked bytes outside the chunk band, and the verdict."""
     whole = len(z.compress(data)) / len(data)
-    seen = out = 0
+    out = 0
     for at in range(0, len(data), CHUNK_BYTES):
         chunk = data[at : at + CHUNK_BYTES]
-        if len(chunk) < CHUNK_BYTES // 2:
-            continue
-        seen += len(chunk)
-        if not CHUNK_BAND[0] <= len(z.compress(chunk)) / len(chunk) <= CHUNK_BAND[1]:
-            out += len(chunk)
-    share = out / seen if seen else 0.0
+        ratio = len(z.compress(chunk)) / len(chunk)
+        good = CHUNK_BAND[0] <= ratio <= CHUNK_BAND[1] if len(chunk) >= CHUNK_BYTES // 2 else in_band(len(chunk), ratio)
+        out += 0 if good else len(chunk)
+    share = out / len(data)
     return whole, share, in_band(len(data), whole) and share <= CHUNK_SHARE
 
 
