@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import lexicons as L
 from colloquy.functions import text as X
+from colloquy.sources import delimited as D
 from colloquy.sources import schemas as S
 
 # Text
@@ -255,31 +256,13 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
     Each file is parsed by its own header, so that files of several generations can be read at once.
     """
-    return manifests_of(read_lines(spark, path))
+    return manifests_of(D.raw_lines(read_texts(spark, path)))
 
 
 def manifests_of(lines: DataFrame) -> DataFrame:
     """As read_manifest, of lines that are landed already; doc_id is the file's path."""
-    header = lines.filter("line_no = 1").select("doc_id", F.split("text", "\t").alias("names"))
-    rows = lines.filter("line_no > 1 and trim(text) <> ''").join(header, "doc_id")
-    cells = F.transform(F.split("text", "\t"), unquoted)
-    cells = F.slice(F.concat(cells, F.array_repeat(F.lit(None).cast("string"), 32)), 1, F.size("names"))
-    fields = F.map_from_arrays(F.col("names"), cells)
-    base = rows.select("doc_id", F.regexp_extract("doc_id", r"manifest_chunk_([A-Za-z0-9]+)\.tsv$", 1).alias("chunk_id"), (F.col("line_no") - 1).alias("row_no"), fields.alias("m"))
-    return manifest_columns(base)
-
-
-def unquoted(cell: Column) -> Column:
-    return F.when(cell.rlike('^".*"$'), F.regexp_replace(F.regexp_replace(cell, '^"|"$', ""), '""', '"')).otherwise(cell)
-
-
-def manifest_columns(rows: DataFrame) -> DataFrame:
-    """The columns of all manifest generations from a map of names to cells (m); aliases fill what is empty."""
-    out = []
-    for name in S.MANIFEST_COLUMNS:
-        found = F.coalesce(*[X.blank_to_null(F.try_element_at("m", F.lit(a))) for a in S.MANIFEST_ALIASES.get(name, (name,))])
-        out.append(found.alias(name))
-    return rows.select(*[c for c in rows.columns if c != "m"], *out)
+    rows = D.by_name(lines, {c: S.MANIFEST_ALIASES.get(c, (c,)) for c in S.MANIFEST_COLUMNS})
+    return rows.withColumn("chunk_id", F.regexp_extract("doc_id", r"manifest_chunk_([A-Za-z0-9]+)\.tsv$", 1)).select("doc_id", "chunk_id", "row_no", *S.MANIFEST_COLUMNS)
 
 
 def blocks_of(texts: DataFrame) -> DataFrame:
