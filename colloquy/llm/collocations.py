@@ -26,12 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import Ids, bounded_batches, dropped, mix64, released, slices, windows, written
+from colloquy.llm.common import Ids, bounded_batches, dropped, mix64, released, slices, written
 
 MIN_COUNT, MOST_WORDS, TOP = 30, 4, 2000
 #: A candidate goes if a longer one has at least SHARE / 100 of its occurrences.
@@ -44,21 +45,50 @@ PARTS = 64
 #: A-Z to a-z; what ends a piece to a full stop; a tab to a blank.
 _TABLE = bytes(0x2E if i in b".,;:!?\x0a\x0b\x0c\x0d" else 0x20 if i == 0x09 else i + 32 if 0x41 <= i <= 0x5A else i for i in range(256))
 _STOP = b"."
-
-
-def words_of(texts: list[bytes]) -> list[bytes]:
-    """The words of all texts in order, with a full stop (which no word is) between pieces."""
-    return b" . ".join(t.translate(_TABLE).replace(_STOP, b" . ") for t in texts).split()
-
-
-def grouped(part: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Coded:
+    """The words of a group's texts in order as numbers, with a full stop (which no word is) between pieces, and the different words."""
+
+    def __init__(self, group: str, texts: list[bytes]) -> None:
+        data = b" . ".join(t.translate(_TABLE).replace(_STOP, b" . ") for t in texts)
+        words = pc.ascii_split_whitespace(pa.array([data], pa.large_string())).values
+        coded = words.dictionary_encode()
+        self.group = group
+        self.numbers = coded.indices.to_numpy().astype(np.int64)
+        self.words: list[bytes] = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        stop = np.array([not w or w == _STOP for w in self.words], bool)  # an empty one stands at most at either end
+        self.stops = stop[self.numbers]
+
+    def ids(self, known: Hashes) -> np.ndarray:
+        return known.array(self.words)[self.numbers]
+
+    def grams(self, ids: np.ndarray, k: int) -> np.ndarray:
+        """A hash for each run of k words, of the words one after another, starting with the group's."""
+        n = max(len(ids) - k + 1, 0)
+        out = np.full(n, salt(self.group))
+        for j in range(k):
+            out = mix64(out * _FACTOR + ids[j : j + n])
+        return out
+
+    def whole(self, k: int) -> np.ndarray:
+        """Where k words stand without the end of a piece between."""
+        n = max(len(self.stops) - k + 1, 0)
+        out = np.ones(n, bool)
+        for j in range(k):
+            out &= ~self.stops[j : j + n]
+        return out
+
+
+def grouped(part: pa.RecordBatch) -> Iterator[Coded]:
     """The words of each group's texts in a batch (text: bytes, group)."""
     texts: dict[str, list[bytes]] = {}
     for group, text in zip(part.column("group").to_pylist(), part.column("text").to_pylist(), strict=True):
         if text:
             texts.setdefault(group, []).append(text)
     for group, own in texts.items():
-        yield group, words_of(own)
+        yield Coded(group, own)
 
 
 class Bits:
@@ -92,56 +122,28 @@ def salt(group: str) -> np.uint64:
     return np.uint64(xxhash.xxh3_64_intdigest(group.encode(), 7))
 
 
-def gram_hashes(ids: np.ndarray, k: int, group: str) -> np.ndarray:
-    """A hash for each run of k words of a group."""
-    return mix64(windows(ids, k) + salt(group))
-
-
-def whole(stops: np.ndarray, k: int) -> np.ndarray:
-    """Where k words stand without the end of a piece between; stops: the end-of-piece marks."""
-    n = len(stops) - k + 1
-    out = np.ones(max(n, 0), bool)
-    for j in range(k if n > 0 else 0):
-        out &= ~stops[j : j + n]
-    return out
-
-
 class Hashes(Ids):
-    """Ids, with 0 for the mark between pieces and for nothing else."""
+    """Ids of up to 200,000 words."""
 
     def __init__(self) -> None:
         super().__init__(200_000)
 
-    def __missing__(self, word: bytes) -> int:
-        value = 0 if word == _STOP else super().__missing__(word) or 1
-        self[word] = value
-        return value
-
-
-def sums(held: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    every, inverse = np.unique(np.concatenate(held), return_inverse=True)
-    return every, np.bincount(inverse, np.concatenate(counts), len(every)).astype(np.int64)
-
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """(group, phrase, f) of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (p for b in batches for p in slices(b, "text")):
-            for group, words in grouped(part):
-                seen, n = counted(words)
-                yield pa.RecordBatch.from_arrays([pa.array([group] * len(seen), pa.string()), pa.array(seen, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["group", "phrase", "f"])
+        for own in (c for b in batches for p in slices(b, "text") for c in grouped(p)):
+            n = np.bincount(own.numbers[~own.stops], minlength=len(own.words))
+            seen = np.flatnonzero(n)
+            yield phrase_rows(own.group, [own.words[i] for i in seen.tolist()], n[seen])
 
     rows = texts.mapInArrow(released(run), "group string, phrase string, f long")
     return rows.groupBy("group", "phrase").agg(F.sum("f").alias("f"))
 
 
-def counted(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """The distinct words but the mark between pieces, and how often each stands."""
-    found = pa.array(words, pa.binary()).value_counts()
-    seen, n = found.field("values").to_pylist(), found.field("counts").to_numpy()
-    kept = np.array([w != _STOP for w in seen], bool)
-    return [w for w in seen if w != _STOP], n[kept]
+def phrase_rows(group: str, phrases: list[bytes], n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([group] * len(n), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["group", "phrase", "f"])
 
 
 def hashes_of(words: DataFrame) -> DataFrame:
@@ -150,9 +152,9 @@ def hashes_of(words: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = Hashes()
         for batch in batches:
-            groups = np.array([salt(g) for g in batch.column("group").to_pylist()], np.uint64)
+            salts = np.array([salt(g) for g in batch.column("group").to_pylist()], np.uint64)
             own = ids.array([p.encode() for p in batch.column("phrase").to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array(mix64(windows(own, 1) + groups).view(np.int64))], names=["h"])
+            yield pa.RecordBatch.from_arrays([pa.array(mix64(salts * _FACTOR + own).view(np.int64))], names=["h"])
 
     return words.select("group", "phrase").mapInArrow(released(run), "h long")
 
@@ -162,27 +164,22 @@ def gram_counts(texts: DataFrame, k: int, frequent: Broadcast) -> DataFrame:
     state: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = state.setdefault("ids", Hashes())
+        known = state.setdefault("ids", Hashes())
         held: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
 
         def flushed() -> pa.RecordBatch:
-            h, n = sums(held, counts)
+            h, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "f"])
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["h", "f"])
 
         for part in (p for b in batches for p in slices(b, "text")):
-            for group, words in grouped(part):
-                own = ids.array(words)
-                fits = whole(own == 0, k)
-                if not fits.any():
-                    continue
-                shorter = whole(own == 0, k - 1)
-                shorter[shorter] = frequent.value.has(gram_hashes(own, k - 1, group)[shorter])
-                fits &= shorter[:-1] & shorter[1:]
-                held.append(gram_hashes(own, k, group)[fits])
-                counts.append(np.ones(len(held[-1]), np.int64))
+            for own in grouped(part):
+                ids = own.ids(known)
+                shorter = own.grams(ids, k - 1)
+                there = own.whole(k - 1)
+                there[there] = frequent.value.has(shorter[there])
+                fits = np.flatnonzero(own.whole(k) & there[:-1] & there[1:])
+                held.append(mix64(shorter[fits] * _FACTOR + ids[fits + k - 1]))  # the k-gram's, of its first k - 1 words'
             if sum(map(len, held)) > HELD:
                 yield flushed()
         if held:
@@ -196,31 +193,31 @@ def phrase_counts(texts: DataFrame, levels: dict[int, Broadcast]) -> DataFrame:
     state: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = state.setdefault("ids", Hashes())
-        for part in (p for b in batches for p in slices(b, "text")):
-            for group, words in grouped(part):
-                own = ids.array(words)
-                numbers, known = numbered(words)
-                for k, frequent in levels.items():
-                    fits = whole(own == 0, k)
-                    fits[fits] = frequent.value.has(gram_hashes(own, k, group)[fits])
-                    at = np.flatnonzero(fits)
-                    if not len(at):
-                        continue
-                    code = numbers[at]
-                    for j in range(1, k):  # pairs of the number so far and the next word, numbered densely again
-                        _, code = np.unique(code * known + numbers[at + j], return_inverse=True)
-                    _, first, n = np.unique(code, return_index=True, return_counts=True)
-                    phrases = [b" ".join(words[i : i + k]) for i in at[first].tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array([group] * len(n), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["group", "phrase", "f"])
+        known = state.setdefault("ids", Hashes())
+        for own in (c for b in batches for p in slices(b, "text") for c in grouped(p)):
+            ids = own.ids(known)
+            for k, frequent in levels.items():
+                hashes, fits = own.grams(ids, k), own.whole(k)
+                fits[fits] = frequent.value.has(hashes[fits])
+                first, n = distinct(own, np.flatnonzero(fits), hashes[fits], k)
+                numbers = [own.numbers[first + j].tolist() for j in range(k)]
+                if len(n):
+                    yield phrase_rows(own.group, [b" ".join([own.words[i] for i in gram]) for gram in zip(*numbers, strict=True)], n)
 
     return texts.mapInArrow(released(run), "group string, phrase string, f long").groupBy("group", "phrase").agg(F.sum("f").alias("f"))
 
 
-def numbered(words: list[bytes]) -> tuple[np.ndarray, int]:
-    """The words as numbers, equal ones alike, and how many different ones there are."""
-    coded = pa.array(words, pa.binary()).dictionary_encode()
-    return coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+def distinct(own: Coded, at: np.ndarray, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each different k-gram at these places, and how often it stands there; the words decide, not the hashes."""
+    _, first, inverse, n = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    like = at[first][inverse]
+    if all((own.numbers[at + j] == own.numbers[like + j]).all() for j in range(k)):
+        return at[first], n
+    code = own.numbers[at]  # two phrases share a hash: number them word by word
+    for j in range(1, k):
+        _, code = np.unique(code * len(own.words) + own.numbers[at + j], return_inverse=True)
+    _, first, n = np.unique(code, return_index=True, return_counts=True)
+    return at[first], n
 
 
 def first_words(phrase: Column, n: Column | int) -> Column:

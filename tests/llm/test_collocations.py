@@ -37,7 +37,7 @@ def plain(rows, min_count, most_words, top):
 
 def texts(seed, n=60):
     rng = random.Random(seed)
-    words = ["Alpha", "beta", "γάμμα", "delta", "É", "é", "x\x00y", "　", "of", "the", "the", "the"]
+    words = ["Alpha", "beta", "γάμμα", "delta", "É", "é", "x\x00y", "　", "\x1c", "\x1f\x85", "\xa0", "of", "the", "the", "the"]
     phrase = ["alpha beta γάμμα delta", "of the É", "\tthe\t the"]
     marks = [" ", " ", " ", "  ", "\t", ". ", ",", "\n", "\r\n", ";", "!?", "\x0b", "\x0c"]
     out = []
