@@ -22,14 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; a local one, gone at exit, where that is unset on a single machine."""
+    """A new path under spark.checkpoint.dir, which goes when the application ends; under a local folder where that is unset on a single machine."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = tempfile.mkdtemp(prefix="colloquy-")
         atexit.register(shutil.rmtree, top, ignore_errors=True)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    own = spark._jvm.org.apache.hadoop.fs.Path(f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    store = own.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(own)
+    store.deleteOnExit(own)
+    return f"{own.toString()}/{name}"
 
 
 def spread(df: DataFrame) -> DataFrame:
