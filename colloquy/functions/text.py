@@ -360,8 +360,12 @@ def word_count(c: Column | str) -> Column:
 # Hashes, names and references
 
 
+#: Letters of a short hash.
+SHORT = 12
+
+
 def short_hash(c: Column | str) -> Column:
-    return F.substring(F.sha2(col(c), 256), 1, 12)
+    return F.substring(F.sha2(col(c), 256), 1, SHORT)
 
 
 def chunk_label(index: Column, letters: int = 8) -> Column:

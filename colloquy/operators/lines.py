@@ -44,25 +44,44 @@ def with_sizes(lines: DataFrame) -> DataFrame:
     return lines.withColumn("_stripped", X.strip("text")).withColumns({"_chars": F.length("_stripped"), "_words": X.filled_runs("_stripped")}).drop("_stripped")
 
 
+def tokens_of(filled: Column, chars: Column, words: Column) -> Column:
+    """Estimated tokens of lines: how many hold text, their characters and words. Line breaks between filled lines count."""
+    return F.when(filled > 0, F.greatest(F.lit(1), F.bround(F.greatest((chars + filled - 1) / 4.1, words * 1.18), 0))).otherwise(0).cast("long")
+
+
 def token_estimate() -> Column:
-    """An aggregate over with_sizes: estimated tokens of a group's lines, 0 without any text. Line breaks between filled lines count."""
-    filled = F.count_if(F.col("_chars") > 0)
-    return F.when(filled > 0, F.greatest(F.lit(1), F.bround(F.greatest((F.sum("_chars") + filled - 1) / 4.1, F.sum("_words") * 1.18), 0))).otherwise(0).cast("long")
+    """An aggregate over with_sizes: estimated tokens of a group's lines, 0 without any text."""
+    return tokens_of(F.count_if(F.col("_chars") > 0), F.sum("_chars"), F.sum("_words"))
 
 
 def file_meta(lines: DataFrame, compat: bool = True) -> DataFrame:
-    """A row per file: lines, estimated_tokens, distinct markers and dialogue speakers, dialogue and introduction lines, last timestamp."""
+    """A row per file: lines, estimated_tokens, distinct markers and dialogue speakers, dialogue and introduction lines, last timestamp.
+
+    Distinct names are found in two levels: a line's names are rows beside the line's own, equal ones meet first, and a
+    file only counts what is left. So no task holds the names of a file, and the lines are read once.
+    """
     f = with_sizes(line_features(lines, compat))
+    kind = "array<struct<kind:string,name:string>>"
+    marked = F.transform("markers", lambda m: F.struct(F.lit("marker").alias("kind"), m.alias("name")))
+    named = F.when(F.col("speaker_name").isNotNull(), F.array(F.struct(F.lit("speaker").alias("kind"), F.col("speaker_name").alias("name")))).otherwise(F.array().cast(kind))
+    line = F.array(F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("name")))
+    plain = (F.size("markers") == 0) & F.col("speaker_name").isNull()
+    rows = f.withColumn("_row", F.explode(F.when(plain, line).otherwise(F.concat(line, marked, named))))
+    own = F.col("_row.kind").isNull()
     last = F.max(F.when(F.size("times") > 0, F.struct("line_no", F.element_at("times", -1).alias("t"))))
-    return f.groupBy("doc_id").agg(
-        F.count("*").alias("lines"),
-        F.sum(F.octet_length("text") + 1).alias("bytes"),
-        token_estimate().alias("estimated_tokens"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("markers")))).cast("long").alias("markers"),
-        F.count_if("is_dialogue").alias("dialogue_cues"),
-        F.size(F.collect_set("speaker_name")).cast("long").alias("dialogue_speakers"),
-        F.count_if("is_intro").alias("intro_cues"),
-        last["t"].alias("duration_estimate"),
+    level = rows.groupBy("doc_id", "_row").agg(
+        F.count_if(own).alias("_lines"), F.sum(F.when(own, F.octet_length("text") + 1)).alias("_bytes"), F.count_if(own & (F.col("_chars") > 0)).alias("_filled"), F.sum(F.when(own, F.col("_chars"))).alias("_chars"),
+        F.sum(F.when(own, F.col("_words"))).alias("_words"), F.count_if(own & F.col("is_dialogue")).alias("_dialogue"), F.count_if(own & F.col("is_intro")).alias("_intro"), last.alias("_last"),
+    )
+    return level.groupBy("doc_id").agg(
+        F.sum("_lines").alias("lines"),
+        F.sum("_bytes").alias("bytes"),
+        tokens_of(F.sum("_filled"), F.sum("_chars"), F.sum("_words")).alias("estimated_tokens"),
+        F.count_if(F.col("_row.kind") == "marker").alias("markers"),
+        F.sum("_dialogue").alias("dialogue_cues"),
+        F.count_if(F.col("_row.kind") == "speaker").alias("dialogue_speakers"),
+        F.sum("_intro").alias("intro_cues"),
+        F.max("_last")["t"].alias("duration_estimate"),
     )
 
 

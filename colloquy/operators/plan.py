@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import lexicons as L
 from colloquy.functions import text as X
-from colloquy.operators.lines import token_estimate, with_sizes, work_totals
+from colloquy.operators.digests import ordered_digests
+from colloquy.operators.lines import token_estimate, tokens_of, with_sizes, work_totals
 
 MINUTE = 60
 
@@ -186,20 +187,25 @@ def chunk_lines(files: DataFrame, lines: DataFrame) -> DataFrame:
 def chunk_plan(files: DataFrame, lines: DataFrame, fingerprints: bool = True) -> DataFrame:
     """The plan: ranges with tokens, duration, least blocks and a fingerprint of each chunk.
 
-    Lines meet their file once and are grouped by chunk with the file's columns, so nothing is joined back.
+    Lines meet their file once and carry its columns to their chunk, so nothing is joined back. Fingerprints are digests of
+    lines as they pass in order (`ordered_digests`); no chunk's text is put together.
     """
     chunked = chunked_files(files)
-    told = [token_estimate().alias("chunk_tokens")]
+    placed = with_sizes(lines_in_chunks(chunked, lines))
+    told = (F.col("_filled"), F.col("_chars"), F.col("_words"))
     if fingerprints:
-        told.append(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]), "\n").alias("_text"))
-    own = with_ranges(with_sizes(lines_in_chunks(chunked, lines)).groupBy(*chunked.columns, "_k").agg(*told))
+        parts_of = ["doc_id", "speaker_stage", "extraction_start", "extraction_end", "context_start", "context_end"]
+        ranged = with_ranges(placed).withColumns({"_filled": F.col("_chars") > 0, "_head": F.concat_ws("\n", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in parts_of])})
+        ranged = ranged.withColumn("_filled", F.col("_filled").cast("int"))
+        carried = tuple(c for c in with_ranges(chunked.withColumn("_k", F.lit(0))).columns if c not in ("doc_id", "_k"))
+        own = ordered_digests(ranged, ["doc_id", "_k"], "line_no", "text", "_head", ("_filled", "_chars", "_words"), carried)
+        own = own.withColumns({"chunk_tokens": tokens_of(*told), "chunk_fingerprint": F.substring("sha256", 1, X.SHORT)})
+    else:
+        own = with_ranges(placed.groupBy(*chunked.columns, "_k").agg(token_estimate().alias("chunk_tokens")))
     count = F.col("extraction_end") - F.col("extraction_start") + 1
     seconds = F.when(F.col("seconds") > 0, F.bround(F.col("seconds") * (count / F.greatest(F.col("lines"), F.lit(1))), 0)).otherwise(0).cast("long")
     own = own.withColumn("approx_duration_seconds", seconds)
     own = own.withColumn("min_blocks", min_blocks(count, F.col("chunk_tokens"), F.col("approx_duration_seconds")))
-    if fingerprints:
-        parts_of = [F.col("doc_id").cast("string"), F.col("speaker_stage"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("extraction_start", "extraction_end", "context_start", "context_end")], F.col("_text")]
-        own = own.withColumn("chunk_fingerprint", X.short_hash(F.concat_ws("\n", *parts_of)))
     kept = ["work_id", "doc_id", "chunk_id", "context_start", "context_end", "extraction_start", "extraction_end", "read_start", "read_end", "chunk_size", "overlap", F.col("chunk_tokens").alias("estimated_tokens"), "approx_duration_seconds", "min_blocks", "target_lines", "content_mode", "speaker_stage"]
     return own.select(*kept, *(["chunk_fingerprint"] if fingerprints else []))
 
@@ -212,8 +218,8 @@ def planned(meta: DataFrame, lines: DataFrame, hints: DataFrame | None = None, f
 def fingerprint(files: DataFrame) -> DataFrame:
     """work_id and the fingerprint of its files (doc_id, lines, bytes, modified) in order."""
     row = F.concat_ws("|", F.col("doc_id").cast("string"), F.col("lines").cast("string"), F.col("bytes").cast("string"), F.col("modified").cast("long").cast("string"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", row.alias("r")))), lambda s: s["r"]), "\n")
-    return files.groupBy("work_id").agg(X.short_hash(joined).alias("fingerprint"))
+    own = ordered_digests(files.select("work_id", "doc_id", row.alias("row")), ["work_id"], "doc_id", "row")
+    return own.select("work_id", F.substring("sha256", 1, X.SHORT).alias("fingerprint"))
 
 
 def header_seed(works: DataFrame) -> DataFrame:

@@ -259,9 +259,8 @@ def numbered_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of a source as its summaries, their lines as points; ids give the order of files."""
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("work_id"), "doc_id")
-    lines = doc_lines(spark, sf_dir).join(d, "doc_id").withColumnRenamed("doc_id", "chunk_id")
-    return TL.summary_points(lines.select("work_id", "chunk_id", "line_no", "text")).withColumn("file_no", F.col("chunk_id"))
+    lines = doc_lines(spark, sf_dir, "source").select(F.col("source").alias("work_id"), F.col("doc_id").alias("chunk_id"), "line_no", "text")
+    return TL.summary_points(lines.filter("work_id is not null")).withColumn("file_no", F.col("chunk_id"))
 
 
 @query
@@ -367,8 +366,8 @@ def text_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First lines of a source's documents as case titles: those seen before."""
-    first = doc_lines(spark, sf_dir).filter("line_no = 1").join(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("work_id")), "doc_id")
-    lines = first.select("work_id", F.col("doc_id").alias("line_no"), F.concat(F.lit("### Кейс: "), "text").alias("text"))
+    first = doc_lines(spark, sf_dir, "source").filter("line_no = 1")
+    lines = first.select(F.col("source").alias("work_id"), F.col("doc_id").alias("line_no"), F.concat(F.lit("### Кейс: "), "text").alias("text"))
     return QL.duplicate_case_titles(lines).select("work_id", F.explode("titles").alias("title"))
 
 
@@ -383,7 +382,7 @@ def actionability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def note_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = doc_lines(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum(X.word_count("text")).alias("words"), F.count_distinct("doc_id").alias("blocks"))
+    words = doc_lines(spark, sf_dir, "source").groupBy("source").agg(F.sum(X.word_count("text")).alias("words"), F.count_distinct("doc_id").alias("blocks"))
     own = words.withColumn("d", QL.density(F.col("words"), F.col("blocks"), (F.col("blocks") * 100)))
     return own.select("source", "words", "blocks", F.floor(F.col("d.blocks_per_10min") * 100 + 0.5).cast("long").alias("per_10min_x100"), F.col("d.ok").alias("ok"))
 

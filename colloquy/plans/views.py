@@ -42,8 +42,10 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
-def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines_of(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+def doc_lines(spark: SparkSession, sf_dir: str, *beside: str) -> DataFrame:
+    """doc_id, line_no and text of each document's lines, and columns of the document beside them."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", *beside))
+    return lines_of(docs, beside=beside)
 
 
 def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,10 +75,9 @@ def source_meta(lines: DataFrame) -> DataFrame:
 
 
 def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation as a transcript of `**Speaker n**: text` lines; a role's number is its rank."""
+    """Each conversation as a transcript of `**Speaker n**: text` lines; a role's number is its rank, a missing role's is the first."""
     c = table(spark, sf_dir, "conversations")
-    names = c.select("conv_id", "role").distinct().withColumn("_n", F.dense_rank().over(Window.partitionBy("conv_id").orderBy("role")))
     text = F.regexp_replace(F.coalesce("text", F.lit("")), "\n", " ")
-    own = c.join(names, ["conv_id", "role"]).select("conv_id", "turn", F.concat(F.lit("**Speaker "), F.col("_n").cast("string"), F.lit("**: "), text).alias("text"))
-    numbered = own.withColumn("line_no", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
-    return numbered.select(F.col("conv_id").cast("string").alias("doc_id"), "line_no", "text")
+    own = Window.partitionBy("conv_id")
+    told = F.concat(F.lit("**Speaker "), F.dense_rank().over(own.orderBy("role")).cast("string"), F.lit("**: "), text)
+    return c.select(F.col("conv_id").cast("string").alias("doc_id"), F.row_number().over(own.orderBy("turn")).alias("line_no"), told.alias("text"))

@@ -27,9 +27,10 @@ def replacing_decode(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-def lines_of(texts: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, line_no (from 1) and text of each line."""
-    return texts.select(F.col(doc_id).alias("doc_id"), F.posexplode(X.split_lines(text)).alias("_pos", "text")).select("doc_id", (F.col("_pos") + 1).cast("int").alias("line_no"), "text")
+def lines_of(texts: DataFrame, doc_id: str = "doc_id", text: str = "text", beside: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, line_no (from 1) and text of each line, and columns of the text's row beside them."""
+    each = texts.select(F.col(doc_id).alias("doc_id"), *beside, F.posexplode(X.split_lines(text)).alias("_pos", "_line"))
+    return each.select("doc_id", (F.col("_pos") + 1).cast("int").alias("line_no"), F.col("_line").alias("text"), *beside)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -266,6 +267,15 @@ def manifests_of(lines: DataFrame) -> DataFrame:
     return rows.withColumn("chunk_id", F.regexp_extract("doc_id", r"manifest_chunk_([A-Za-z0-9]+)\.tsv$", 1)).select("doc_id", "chunk_id", "row_no", *S.MANIFEST_COLUMNS)
 
 
+def manifest_columns(rows: DataFrame) -> DataFrame:
+    """The columns of all manifest generations from a map of names to cells (m); aliases fill what is empty."""
+    out = []
+    for name in S.MANIFEST_COLUMNS:
+        found = F.coalesce(*[X.blank_to_null(F.try_element_at("m", F.lit(a))) for a in S.MANIFEST_ALIASES.get(name, (name,))])
+        out.append(found.alias(name))
+    return rows.select(*[c for c in rows.columns if c != "m"], *out)
+
+
 def blocks_of(texts: DataFrame) -> DataFrame:
     """Block files: work_id, chunk_id, block_no, ts_start, ts_end, topic and the body without front matter."""
     name = r"chunk_([A-Za-z0-9]+)_block_(\d+)\.md$"
