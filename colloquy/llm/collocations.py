@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import Ids, bounded_batches, dropped, mix64, released, slices, written
+from colloquy.llm.common import bounded_batches, dropped, mix64, released, slices, written
 
 MIN_COUNT, MOST_WORDS, TOP = 30, 4, 2000
 #: A candidate goes if a longer one has at least SHARE / 100 of its occurrences.
@@ -48,21 +48,41 @@ _STOP = b"."
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
+def word_hashes(words: pa.LargeStringArray) -> np.ndarray:
+    """A 64-bit hash of each word: the sum of its mixed bytes and places, mixed."""
+    words = words.cast(pa.large_binary())
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    if not len(words):
+        return np.empty(0, np.uint64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].astype(np.uint64)
+    ends = ends - ends[0]
+    sizes = np.diff(ends)
+    place = np.arange(len(data)) - np.repeat(ends[:-1], sizes)
+    mixed = mix64(data * _FACTOR + place.astype(np.uint64))
+    total = np.append(np.uint64(0), np.cumsum(mixed))  # modulo 2**64, as its differences are
+    return mix64(total[ends[1:]] - total[ends[:-1]] + sizes.astype(np.uint64))
+
+
 class Coded:
     """The words of a group's texts in order as numbers, with a full stop (which no word is) between pieces, and the different words."""
 
     def __init__(self, group: str, texts: list[bytes]) -> None:
         data = b" . ".join(t.translate(_TABLE).replace(_STOP, b" . ") for t in texts)
-        words = pc.ascii_split_whitespace(pa.array([data], pa.large_string())).values
-        coded = words.dictionary_encode()
-        self.group = group
-        self.numbers = coded.indices.to_numpy().astype(np.int64)
-        self.words: list[bytes] = coded.dictionary.cast(pa.large_binary()).to_pylist()
-        stop = np.array([not w or w == _STOP for w in self.words], bool)  # an empty one stands at most at either end
+        coded = pc.ascii_split_whitespace(pa.array([data], pa.large_string())).values.dictionary_encode()
+        self.group, self.words = group, coded.dictionary
+        self.numbers = coded.indices.to_numpy()
+        stop = pc.is_in(self.words, pa.array(["", _STOP.decode()], pa.large_string())).to_numpy(zero_copy_only=False)  # an empty one stands at most at either end
         self.stops = stop[self.numbers]
 
-    def ids(self, known: Hashes) -> np.ndarray:
-        return known.array(self.words)[self.numbers]
+    def ids(self) -> np.ndarray:
+        return word_hashes(self.words)[self.numbers]
+
+    def phrases(self, first: np.ndarray, n: np.ndarray, k: int) -> pa.RecordBatch:
+        """(group, phrase, f) rows of the k-grams that start at these places."""
+        words = [self.words.take(pa.array(self.numbers[first + j])) for j in range(k)]
+        joined = pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string())) if k > 1 else words[0]
+        group = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(n), np.int32)), pa.array([self.group])).cast(pa.string())
+        return pa.RecordBatch.from_arrays([group, joined.cast(pa.string()), pa.array(n, pa.int64())], names=["group", "phrase", "f"])
 
     def grams(self, ids: np.ndarray, k: int) -> np.ndarray:
         """A hash for each run of k words, of the words one after another, starting with the group's."""
@@ -122,38 +142,26 @@ def salt(group: str) -> np.uint64:
     return np.uint64(xxhash.xxh3_64_intdigest(group.encode(), 7))
 
 
-class Hashes(Ids):
-    """Ids of up to 200,000 words."""
-
-    def __init__(self) -> None:
-        super().__init__(200_000)
-
-
 def word_counts(texts: DataFrame) -> DataFrame:
     """(group, phrase, f) of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in (c for b in batches for p in slices(b, "text") for c in grouped(p)):
-            n = np.bincount(own.numbers[~own.stops], minlength=len(own.words))
-            seen = np.flatnonzero(n)
-            yield phrase_rows(own.group, [own.words[i] for i in seen.tolist()], n[seen])
+            words, first, n = np.unique(own.numbers, return_index=True, return_counts=True)
+            kept = ~own.stops[first]
+            yield own.phrases(first[kept], n[kept], 1)
 
     rows = texts.mapInArrow(released(run), "group string, phrase string, f long")
     return rows.groupBy("group", "phrase").agg(F.sum("f").alias("f"))
 
 
-def phrase_rows(group: str, phrases: list[bytes], n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([group] * len(n), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["group", "phrase", "f"])
-
-
 def hashes_of(words: DataFrame) -> DataFrame:
     """(h) of the words of a level-1 table (group, phrase)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Hashes()
         for batch in batches:
             salts = np.array([salt(g) for g in batch.column("group").to_pylist()], np.uint64)
-            own = ids.array([p.encode() for p in batch.column("phrase").to_pylist()])
+            own = word_hashes(batch.column("phrase").cast(pa.large_string()))
             yield pa.RecordBatch.from_arrays([pa.array(mix64(salts * _FACTOR + own).view(np.int64))], names=["h"])
 
     return words.select("group", "phrase").mapInArrow(released(run), "h long")
@@ -161,10 +169,8 @@ def hashes_of(words: DataFrame) -> DataFrame:
 
 def gram_counts(texts: DataFrame, k: int, frequent: Broadcast) -> DataFrame:
     """(h, f) of the k-grams whose two (k-1)-grams the filter has."""
-    state: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = state.setdefault("ids", Hashes())
         held: list[np.ndarray] = []
 
         def flushed() -> pa.RecordBatch:
@@ -174,7 +180,7 @@ def gram_counts(texts: DataFrame, k: int, frequent: Broadcast) -> DataFrame:
 
         for part in (p for b in batches for p in slices(b, "text")):
             for own in grouped(part):
-                ids = own.ids(known)
+                ids = own.ids()
                 shorter = own.grams(ids, k - 1)
                 there = own.whole(k - 1)
                 there[there] = frequent.value.has(shorter[there])
@@ -190,30 +196,30 @@ def gram_counts(texts: DataFrame, k: int, frequent: Broadcast) -> DataFrame:
 
 def phrase_counts(texts: DataFrame, levels: dict[int, Broadcast]) -> DataFrame:
     """(group, phrase, f) of the k-grams whose hash the filter of level k has, by their words."""
-    state: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = state.setdefault("ids", Hashes())
         for own in (c for b in batches for p in slices(b, "text") for c in grouped(p)):
-            ids = own.ids(known)
+            ids = own.ids()
             for k, frequent in levels.items():
                 hashes, fits = own.grams(ids, k), own.whole(k)
                 fits[fits] = frequent.value.has(hashes[fits])
                 first, n = distinct(own, np.flatnonzero(fits), hashes[fits], k)
-                numbers = [own.numbers[first + j].tolist() for j in range(k)]
                 if len(n):
-                    yield phrase_rows(own.group, [b" ".join([own.words[i] for i in gram]) for gram in zip(*numbers, strict=True)], n)
+                    yield own.phrases(first, n, k)
 
     return texts.mapInArrow(released(run), "group string, phrase string, f long").groupBy("group", "phrase").agg(F.sum("f").alias("f"))
 
 
 def distinct(own: Coded, at: np.ndarray, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """A place of each different k-gram at these places, and how often it stands there; the words decide, not the hashes."""
-    _, first, inverse, n = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-    like = at[first][inverse]
-    if all((own.numbers[at + j] == own.numbers[like + j]).all() for j in range(k)):
-        return at[first], n
-    code = own.numbers[at]  # two phrases share a hash: number them word by word
+    order = np.argsort(hashes)
+    hashes, at = hashes[order], at[order]
+    new = np.append(True, hashes[1:] != hashes[:-1])[: len(at)]
+    again = np.flatnonzero(~new)
+    if all((own.numbers[at[again] + j] == own.numbers[at[again - 1] + j]).all() for j in range(k)):
+        first = np.flatnonzero(new)
+        return at[first], np.diff(np.append(first, len(at)))
+    code = own.numbers[at].astype(np.int64)  # two phrases share a hash: number them word by word
     for j in range(1, k):
         _, code = np.unique(code * len(own.words) + own.numbers[at + j], return_inverse=True)
     _, first, n = np.unique(code, return_index=True, return_counts=True)

@@ -97,3 +97,24 @@ def test_odd_rows(spark):
     out = collocations.mine(same).collect()
     assert {r.lang for r in out} == {"und"} and {r.n for r in out} == {40004}
     assert sorted(map(tuple, out)) == plain([tuple(r) for r in same.collect()], 30, 4, 2000)
+
+
+def test_phrases_that_share_a_hash_stay_apart():
+    own = collocations.Coded("en", [b"a b a b c a b a c b a b" * 3])
+    for k in (1, 2, 3):
+        at = np.flatnonzero(own.whole(k))
+        want = Counter(tuple(own.numbers[i : i + k].tolist()) for i in at.tolist())
+        for hashes in (own.grams(own.ids(), k)[at], np.zeros(len(at), np.uint64), own.grams(own.ids(), k)[at] % np.uint64(2)):
+            first, n = collocations.distinct(own, at, hashes, k)
+            assert {tuple(own.numbers[i : i + k].tolist()): c for i, c in zip(first.tolist(), n.tolist(), strict=True)} == want
+        rows = own.phrases(first, n, k).to_pylist()
+        assert {r["phrase"]: r["f"] for r in rows} == {" ".join(own.words[i].as_py() for i in g): c for g, c in want.items()}
+
+
+def test_hashes_of_words_differ():
+    import pyarrow as pa
+
+    words = [f"{c}{i}" for i in range(20_000) for c in ("", "a", "é")] + ["", "a", "aa", "aaa", "ab", "ba"]
+    found = collocations.word_hashes(pa.array(words, pa.large_string()))
+    assert len(set(found.tolist())) == len(set(words))
+    assert (collocations.word_hashes(pa.array(words, pa.large_string())[100:300]) == found[100:300]).all()
