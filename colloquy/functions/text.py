@@ -334,14 +334,19 @@ def action_score(c: Column | str) -> Column:
     return let(col(c), lambda text: let(F.lower(text), told) + shape(text))
 
 
-def action_bucket(c: Column | str) -> Column:
-    """immediate, ongoing or month; null for what is no action."""
+def action_term(text: Column) -> Column:
+    """immediate, ongoing or month, by the words of an action."""
 
     def chosen(low: Column) -> Column:
         out = F.when(any_of(L.IMMEDIATE_WORDS, low) | starts_with_any(L.IMMEDIATE_STARTS, low), "immediate")
         return out.when(any_of(L.ONGOING_WORDS, low) | starts_with_any(L.ONGOING_STARTS, low), "ongoing").otherwise("month")
 
-    return let(col(c), lambda text: F.when(action_score(text) >= 2, let(F.lower(text), chosen)))
+    return let(F.lower(text), chosen)
+
+
+def action_bucket(c: Column | str) -> Column:
+    """As action_term; null for what is no action."""
+    return let(col(c), lambda text: F.when(action_score(text) >= 2, action_term(text)))
 
 
 def summary_point(line: Column | str) -> Column:

@@ -104,41 +104,63 @@ def people_contexts(manifest: DataFrame, candidates: DataFrame, seeds: DataFrame
 
 
 def entity_lines(contexts: DataFrame) -> DataFrame:
-    """work_id, name and its first two contexts in one line."""
-    found = contexts.groupBy("work_id", "name").agg(F.array_sort(F.collect_set("context")).alias("_all"))
-    return found.select("work_id", "name", X.limit_text(F.array_join(F.slice("_all", 1, 2), "; ")).alias("contexts"))
+    """work_id, name and its first two contexts in one line; the two smallest are found by aggregation, no list of all is made."""
+    once = contexts.select("work_id", "name", "context").distinct()
+    ranked = once.withColumn("_n", F.row_number().over(Window.partitionBy("work_id", "name").orderBy("context"))).filter("_n <= 2")
+    pair = F.concat_ws("; ", F.min("context"), F.max(F.when(F.col("_n") == 2, F.col("context"))))
+    return ranked.groupBy("work_id", "name").agg(pair.alias("_pair")).select("work_id", "name", X.limit_text("_pair").alias("contexts"))
 
 
-def collected_actions(manifest: DataFrame, candidates: DataFrame, lines: DataFrame) -> DataFrame:
-    """work_id, bucket, action, o: actions in order of their source, each once over all buckets.
+def action_rows(manifest: DataFrame, candidates: DataFrame, lines: DataFrame) -> DataFrame:
+    """work_id, bucket, action, o: actions in order of their source (o.s), each once over all buckets. Each table is read once.
 
-    Manifest columns always count; statements of blocks from a score of 2; summary lines from 3, and only in works with
-    fewer than 5 actions so far.
+    Manifest columns come first (o.s from 0 to 2), then statements of blocks with a score of 2 (3), summary lines with 3 (4).
     """
-    order = [F.length("chunk_id").alias("a"), F.col("chunk_id").alias("b"), F.col("row_no").cast("long").alias("c"), F.lit(0).cast("long").alias("d")]
-    parts = None
-    for k, (column, bucket) in enumerate((("action_now", "immediate"), ("action_check", "month"), ("action_avoid", "ongoing"))):
-        once = manifest.select("work_id", X.imperative(column).alias("_once"), F.struct(F.lit(k).alias("s"), *order).alias("o"))
-        own = once.select("work_id", F.lit(bucket).alias("bucket"), X.imperative("_once").alias("action"), "o")  # requests are made of requests
-        parts = own if parts is None else parts.unionByName(own)
-    said = candidates.select("work_id", X.action_candidate("statement").alias("action"), F.struct(F.lit(3).alias("s"), F.lit(0).alias("a"), F.lit("").alias("b"), F.col("block_key").cast("long").alias("c"), F.col("line_no").cast("long").alias("d")).alias("o"))
-    said = said.filter(X.action_score("action") >= 2).select("work_id", X.action_bucket("action").alias("bucket"), "action", "o")
-    sure = first_by_key(parts.unionByName(said).filter("action <> '' and bucket is not null"))
-    few = lines.select("work_id").distinct().join(sure.groupBy("work_id").count(), "work_id", "left").filter(F.coalesce("count", F.lit(0)) < FEW).select("work_id")
-    more = lines.join(few, "work_id", "left_semi").select("work_id", X.action_candidate(X.statement("line")).alias("action"), F.struct(F.lit(4).alias("s"), F.lit(0).alias("a"), F.lit("").alias("b"), F.col("pos").cast("long").alias("c"), F.lit(0).cast("long").alias("d")).alias("o"))
-    more = more.filter((F.col("action") != "") & (X.action_score("action") >= 3)).select("work_id", X.action_bucket("action").alias("bucket"), "action", "o").filter("bucket is not null")
-    return first_by_key(sure.unionByName(more))
+
+    def listed(rows: Column) -> Column:
+        """The rows (action, bucket, ...) that are actions."""
+        return F.explode(F.filter(rows, lambda r: (r["action"] != "") & r["bucket"].isNotNull()))
+
+    told = [F.struct(F.lit(k).alias("s"), F.lit(bucket).alias("bucket"), F.coalesce(column, F.lit("")).alias("text")) for k, (column, bucket) in enumerate((("action_now", "immediate"), ("action_check", "month"), ("action_avoid", "ongoing")))]
+    asked = F.transform(F.array(*told), lambda r: F.struct(r["s"].alias("s"), r["bucket"].alias("bucket"), X.let(X.imperative(r["text"]), X.imperative).alias("action")))  # requests are made of requests
+    own = manifest.select("work_id", "chunk_id", "row_no", listed(asked).alias("_r"))
+    place = F.struct(F.col("_r.s").alias("s"), F.length("chunk_id").alias("a"), F.col("chunk_id").alias("b"), F.col("row_no").cast("long").alias("c"), F.lit(0).cast("long").alias("d"))
+    own = own.select("work_id", F.col("_r.bucket").alias("bucket"), F.col("_r.action").alias("action"), place.alias("o"))
+
+    def placed(rows: DataFrame, s: int, action: Column, least: int, c: str, d: Column) -> DataFrame:
+        at = F.struct(F.lit(s).alias("s"), F.lit(0).alias("a"), F.lit("").alias("b"), F.col(c).cast("long").alias("c"), d.cast("long").alias("d"))
+        return rows.select("work_id", at.alias("o"), action.alias("_action"), F.lit(least).alias("_least"))
+
+    said = placed(candidates, 3, F.col("statement"), 2, "block_key", F.col("line_no"))
+    more = placed(lines, 4, X.statement("line"), 3, "pos", F.lit(0))
+    judged = X.let(X.action_candidate("_action"), lambda a: F.struct(a.alias("action"), F.when(X.action_score(a) >= F.col("_least"), X.action_term(a)).alias("bucket")))
+    found = said.unionByName(more).select("work_id", "o", listed(F.array(judged)).alias("_r"))
+    found = found.select("work_id", F.col("_r.bucket").alias("bucket"), F.col("_r.action").alias("action"), "o")
+    return first_by_key(own.unionByName(found))
+
+
+def collected_actions(manifest: DataFrame, candidates: DataFrame, lines: DataFrame) -> DataFrame:
+    """As action_rows, with summary lines only in works with fewer than FEW actions from elsewhere."""
+    rows = action_rows(manifest, candidates, lines)
+    sure = rows.filter("o.s < 4").groupBy("work_id").agg(F.count("*").alias("_sure"))
+    return rows.join(sure, "work_id", "left").filter((F.col("o.s") < 4) | (F.coalesce("_sure", F.lit(0)) < FEW)).drop("_sure")
 
 
 def first_by_key(rows: DataFrame) -> DataFrame:
-    w = Window.partitionBy("work_id", F.lower("action")).orderBy("o")
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """The first row of each action of a work, without regard to case: an aggregation, combined before the shuffle."""
+    first = F.min(F.struct("o", "bucket", "action")).alias("_f")
+    return rows.groupBy("work_id", F.lower("action").alias("_key")).agg(first).select("work_id", "_f.bucket", "_f.action", "_f.o")
 
 
 def top_actions(actions: DataFrame) -> DataFrame:
-    """The first five, five and six actions of the buckets immediate, month and ongoing."""
-    ranked = actions.withColumn("rank", F.row_number().over(Window.partitionBy("work_id", "bucket").orderBy("o")))
-    return ranked.filter(F.col("rank") <= F.when(F.col("bucket") == "ongoing", 6).otherwise(5))
+    """The first five, five and six actions of the buckets immediate, month and ongoing, of action_rows or collected_actions.
+
+    Summary lines stand behind all others and go where those are FEW or more: to tell this, the first six of each bucket do.
+    """
+    ranked = actions.withColumn("rank", F.row_number().over(Window.partitionBy("work_id", "bucket").orderBy("o"))).filter("rank <= 6")
+    sure = F.count_if(F.col("o.s") < 4).over(Window.partitionBy("work_id"))  # at most 18 rows of a work
+    kept = ranked.withColumn("_sure", sure).filter((F.col("o.s") < 4) | (F.col("_sure") < FEW)).drop("_sure")
+    return kept.filter((F.col("bucket") == "ongoing") | (F.col("rank") <= 5))
 
 
 def appendix_text(works: DataFrame, people: DataFrame, resources: DataFrame, actions: DataFrame, topics: DataFrame) -> DataFrame:

@@ -244,9 +244,10 @@ def people_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def note_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The actions that a note lists, from manifests, blocks and, where these give few, summaries."""
-    lines = table(spark, sf_dir, "documents").select(F.col("source").alias("work_id"), F.col("doc_id").alias("pos"), F.concat(F.lit("запиши вопрос "), F.col("source"), F.lit(" сегодня")).alias("line"))
-    found = AP.collected_actions(manifest_rows(spark, sf_dir), AP.block_candidates(block_lines(spark, sf_dir)), lines)
+    """The actions that a note lists, from manifests, blocks and, where these give few, summaries: the documents' first lines."""
+    first = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
+    lines = table(spark, sf_dir, "documents").select(F.col("source").alias("work_id"), F.col("doc_id").alias("pos"), F.concat(F.lit("запиши вопрос "), F.substring_index(first, " ", 3), F.lit(" сегодня")).alias("line"))
+    found = AP.action_rows(manifest_rows(spark, sf_dir), AP.block_candidates(block_lines(spark, sf_dir)), lines)
     return longs(AP.top_actions(found), "rank").select("work_id", "bucket", "rank", "action")
 
 

@@ -137,7 +137,7 @@ d AS (SELECT DISTINCT work_id, name, context FROM p WHERE NOT regexp_matches(low
     "note_actions": f"""WITH {CANDIDATES}, {MANIFEST}, s0 AS (SELECT work_id, 'immediate' AS bucket, action_now AS x, (0, length(chunk_id), chunk_id, row_no, 0) AS o FROM m UNION ALL SELECT work_id, 'month', action_check, (1, length(chunk_id), chunk_id, row_no, 0) FROM m UNION ALL SELECT work_id, 'ongoing', action_avoid, (2, length(chunk_id), chunk_id, row_no, 0) FROM m),
 {candidate("s0", "x", "s1")}, {request("s1", "s2")}, {candidate("(SELECT work_id, bucket, o, action AS y FROM s2)", "y", "s3")}, {request("s3", "s4")}, {candidate("(SELECT work_id, statement, (3, 0, '', block_key, line_no) AS o FROM ca)", "statement", "f1")},
 u1 AS (SELECT work_id, bucket, action, o FROM s4 WHERE action <> '' UNION ALL SELECT work_id, {BUCKET}, action, o FROM f1 WHERE {SCORE} >= 2), sure AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY work_id, lower(action) ORDER BY o) AS k FROM u1 WHERE action <> '' AND bucket IS NOT NULL) WHERE k = 1),
-few AS (SELECT DISTINCT source AS work_id FROM documents WHERE source NOT IN (SELECT work_id FROM sure GROUP BY work_id HAVING count(*) >= 5)), l0 AS (SELECT work_id, (4, 0, '', doc_id, 0) AS o, {statement("'запиши вопрос ' || source || ' сегодня'")} AS z FROM documents JOIN few ON work_id = source), {candidate("l0", "z", "l1")},
+few AS (SELECT DISTINCT source AS work_id FROM documents WHERE source NOT IN (SELECT work_id FROM sure GROUP BY work_id HAVING count(*) >= 5)), l0 AS (SELECT work_id, (4, 0, '', doc_id, 0) AS o, {statement("'запиши вопрос ' || array_to_string(string_split(string_split(coalesce(text, ''), chr(10))[1], ' ')[1:3], ' ') || ' сегодня'")} AS z FROM documents JOIN few ON work_id = source), {candidate("l0", "z", "l1")},
 u2 AS (SELECT work_id, bucket, action, o FROM sure UNION ALL SELECT work_id, {BUCKET}, action, o FROM l1 WHERE action <> '' AND {SCORE} >= 3), fin AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY work_id, lower(action) ORDER BY o) AS k FROM u2 WHERE bucket IS NOT NULL) WHERE k = 1), r AS (SELECT *, row_number() OVER (PARTITION BY work_id, bucket ORDER BY o) AS rank FROM fin)
 SELECT work_id, bucket, rank, action FROM r WHERE rank <= CASE WHEN bucket = 'ongoing' THEN 6 ELSE 5 END""",
     "appendices": """WITH d AS (SELECT doc_id AS w, doc_id % 2 = 0 AS p, doc_id % 3 = 0 AS r, doc_id % 2 = 1 AS i, doc_id % 5 = 0 AS m, doc_id % 7 = 0 AS o, doc_id % 4 > 0 AS t, chr(10) AS n FROM documents)
