@@ -16,7 +16,7 @@ from colloquy.operators import quality as QL
 from colloquy.operators import state as ST
 from colloquy.plans.fixtures import ACTION_TEXTS
 from colloquy.plans.landed import pick
-from colloquy.plans.views import table
+from colloquy.plans.views import doc_lines, table
 
 QUERIES: dict = {}
 
@@ -218,12 +218,12 @@ def topic_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def described_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as topics: some described, others by the document's first line that shares most tokens, or by neither."""
+    """Benchmark items as topics: some described, others by the document line that shares most tokens, or by neither."""
     b, k = table(spark, sf_dir, "benchmark"), F.col("item_id")
     work = F.lit("corpus").alias("work_id")
     top = b.select(work, F.when(k % 5 == 4, F.concat(F.lit("no "), k.cast("string"))).otherwise(F.col("text")).alias("topic"), F.lit(1).cast("long").alias("n"), k.alias("rank"))
     told = top.filter("rank % 2 = 0").select("work_id", "topic", F.concat(F.lit("Told "), F.repeat(F.lit("word "), F.col("rank").cast("int"))).alias("description"))
-    lines = table(spark, sf_dir, "documents").filter("text is not null").select(work, F.col("doc_id").alias("pos"), F.substring_index("text", "\n", 1).alias("line"))
+    lines = doc_lines(spark, sf_dir).select(work, F.struct("doc_id", "line_no").alias("pos"), F.col("text").alias("line"))
     return AP.described_topics(top, told, lines).select("topic", "rank", "description")
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from colloquy.functions import lexicons as L
-from colloquy.plans.base_oracles import MODES, TOPIC_TOKENS, WORDS, counted, is_title, label, person, squeeze, statement, strip, title, unquoted, words
+from colloquy.plans.base_oracles import LINES, MODES, TOPIC_TOKENS, WORDS, counted, is_title, label, person, squeeze, statement, strip, title, unquoted, words
 from colloquy.plans.fixtures import ACTION_TEXTS
 from colloquy.plans.landed_oracles import is_person, pick
 
@@ -126,7 +126,7 @@ SELECT doc_id, m->>'$.a' AS a, m->>'$.b.x' AS x, m->>'$.b.y' AS y, m->>'$.b.w' A
 c AS (SELECT work_id, topic, count(*) AS n, min(o) AS f FROM u GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY n DESC, f) AS rank FROM c) SELECT work_id, topic, n, rank FROM r WHERE rank <= 8""",
     "topic_descriptions": f"""WITH {CANDIDATES}, {MANIFEST}, u AS (SELECT work_id, topic, {statement("coalesce(primary_claim, '')")} AS d, (0, length(chunk_id), chunk_id, row_no, 0) AS o FROM m UNION ALL SELECT work_id, topic, 'Кейс: ' || nullif({squeeze("case_title")}, ''), (0, length(chunk_id), chunk_id, row_no, 1) FROM m UNION ALL SELECT work_id, topic, statement, (1, 0, '', block_key, line_no) FROM ca)
 SELECT work_id, topic, arg_min(d, o) AS description FROM u WHERE topic <> '' AND d <> '' GROUP BY ALL""",
-    "described_topics": f"""WITH top AS (SELECT CASE WHEN item_id % 5 = 4 THEN 'no ' || item_id ELSE text END AS topic, item_id AS rank FROM benchmark), l AS (SELECT doc_id AS pos, string_split(text, chr(10))[1] AS line FROM documents WHERE text IS NOT NULL),
+    "described_topics": f"""WITH top AS (SELECT CASE WHEN item_id % 5 = 4 THEN 'no ' || item_id ELSE text END AS topic, item_id AS rank FROM benchmark), {LINES}, l AS (SELECT (doc_id, line_no) AS pos, text AS line FROM dl),
 tk AS (SELECT DISTINCT topic, unnest(list_distinct({TOPIC_TOKENS.replace("{0}", "topic")})) AS tok FROM top), lk AS (SELECT pos, line, unnest(list_distinct({TOPIC_TOKENS.replace("{0}", "line")})) AS tok FROM l), sc AS (SELECT topic, pos, line, count(*) AS k FROM tk JOIN lk USING (tok) GROUP BY ALL), be AS (SELECT topic, line FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY k DESC, pos) AS n FROM sc) WHERE n = 1),
 tt AS (SELECT topic, 'Told ' || repeat('word ', CAST(rank AS INT)) AS told FROM top WHERE rank % 2 = 0)
 SELECT topic, rank, CASE WHEN told IS NOT NULL THEN {LIMIT("told", 180)} WHEN line IS NOT NULL THEN {LIMIT("line", 180)} ELSE '{L.TOPIC_FALLBACK}' END AS description FROM top LEFT JOIN tt USING (topic) LEFT JOIN be USING (topic)""",

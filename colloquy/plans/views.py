@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy.operators import lines as LN
 from colloquy.sources.readers import lines_of
+from colloquy.sources.shared import scratch
+
+__all__ = ["conversation_lines", "doc_lines", "scratch", "source_lines", "source_meta", "spread", "table"]
 
 #: Documents whose line counts are summed together before sums run over the groups.
 STRIDE = 10_000
@@ -21,21 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir, which goes when the application ends; under a local folder where that is unset on a single machine."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        top = tempfile.mkdtemp(prefix="colloquy-")
-        atexit.register(shutil.rmtree, top, ignore_errors=True)
-    own = spark._jvm.org.apache.hadoop.fs.Path(f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    store = own.getFileSystem(spark._jsc.hadoopConfiguration())
-    store.mkdirs(own)
-    store.deleteOnExit(own)
-    return f"{own.toString()}/{name}"
-
-
 def spread(df: DataFrame) -> DataFrame:
     """A table of fewer files than there are cores is dealt out once, as one file may be one task; others stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
