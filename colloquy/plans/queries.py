@@ -16,7 +16,7 @@ from colloquy.operators import quality as QL
 from colloquy.operators import speakers as SP
 from colloquy.operators import state as ST
 from colloquy.operators import tldr as TL
-from colloquy.plans import files, landed, notes
+from colloquy.plans import files, landed, notes, streams
 from colloquy.plans.fixtures import ACTION_TEXTS, NAMES, TIMES, URLS
 from colloquy.plans.views import conversation_lines, doc_lines, source_lines, source_meta, table
 from colloquy.sources import readers as RD
@@ -510,4 +510,4 @@ def already_delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ST.already_delivered(notes, sent).select("doc_id", "path")
 
 
-QUERIES |= landed.QUERIES | notes.QUERIES | files.QUERIES
+QUERIES |= landed.QUERIES | notes.QUERIES | files.QUERIES | streams.QUERIES
