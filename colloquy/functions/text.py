@@ -449,3 +449,32 @@ def source_hint_lines(author: Column, candidates: Column, channel: Column, uploa
         )
     )
     return F.when(author.isNotNull() | (F.size(candidates) > 0) | line.isNotNull(), lines).otherwise(F.array().cast("array<string>"))
+
+
+# Names
+
+
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+#: ASCII characters that are neither letters, digits nor a tilde; in names they come after all letters.
+_SIGNS = "".join(chr(i) for i in range(128) if not chr(i).isalnum() and chr(i) != "~")
+
+
+def _part_key(name: Column) -> Column:
+    """A text that sorts as the name's parts do: runs of digits by value, letters before signs, the end before both, a tilde before the end."""
+    signs = F.translate(name, _SIGNS + "~", "".join(chr(128 + ord(c)) for c in _SIGNS) + "\x01")
+    coded = F.regexp_replace(signs, "([^\\x00-ÿ])", "Ā$1")
+
+    def one(part: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_extract(part, "[0-9]*\\z", 0), "^0+", "")
+        return F.concat(F.regexp_replace(part, "[0-9]+\\z", ""), F.lit("\x02"), F.lpad(F.length(digits).cast("string"), 6, "0"), digits)
+
+    return F.array_join(F.transform(F.regexp_extract_all(coded, F.lit("([^0-9]*+[0-9]*+)"), F.lit(1)), one), "")
+
+
+def version_key(c: Column | str) -> Column:
+    """What file names are sorted by in natural (version) order: numbers by value, `~` before everything, suffixes last; of names
+    that are equal so far the bytes decide. Empty names, `.`, `..` and hidden ones come first."""
+    name = F.coalesce(col(c), F.lit(""))
+    kind = F.when(name == "", 0).when(name == ".", 1).when(name == "..", 2).when(name.startswith("."), 3).otherwise(4)
+    stem = F.regexp_replace(name, r"(?:\.[A-Za-z~][A-Za-z0-9~]*+)++\z", "")
+    return F.struct(kind.alias("kind"), _part_key(stem).alias("stem"), _part_key(name).alias("whole"), name.alias("name"))

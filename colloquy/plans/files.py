@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from colloquy.functions import text as X
 from colloquy.plans.landed import pick
 from colloquy.plans.views import scratch, table
 from colloquy.sources import delimited as D
+from colloquy.sources import outbox as OB
 from colloquy.sources import readers as RD
 from colloquy.sources import stores as SO
 
@@ -84,3 +86,25 @@ def manifest_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest cells that hold whole texts, read back."""
     rows = RD.manifests_of(D.raw_lines(cell_files(spark, sf_dir)))
     return rows.select("chunk_id", F.col("row_no").cast("long").alias("row_no"), "block_file", "topic", F.length("quote_text").cast("long").alias("chars"), F.sha2("quote_text", 256).alias("sha256"))
+
+
+@query
+def natural_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names of A_FILE documents each, numbered in natural order."""
+    k = F.col("doc_id")
+    n = k.cast("string")
+    name = pick(k, ".n", "lesson", "lesson", "lesson", "lessonb", "lesson-")
+    own = table(spark, sf_dir, "documents").filter("doc_id is not null").select(F.floor(k / A_FILE).alias("part"), F.concat(name, pick(F.floor(k / 6), "", "00"), n, pick(k, "", "~", "", ".tar.gz", ".md", "")).alias("name"))
+    return own.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(X.version_key("name"))).cast("long"))
+
+
+@query
+def published_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes published three times, the last time changed in part: the ledger has each content once."""
+    path, schema = scratch(spark, "outbox"), "doc_id long, title string, sha256 string"
+    d = table(spark, sf_dir, "documents").filter("doc_id is not null").select("doc_id", F.coalesce("source", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
+    notes = d.select("doc_id", "title", F.sha2("text", 256).alias("sha256"))
+    changed = d.select("doc_id", "title", F.sha2(F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("sha256"))
+    for rows in (notes, notes, changed):
+        OB.publish(rows, path)
+    return OB.ledger(spark, path, schema)

@@ -11,4 +11,9 @@ SELECT part, CAST(len(ls) AS BIGINT) AS lines, CAST(list_sum(list_transform(ls,
     "manifest_cells": r"""WITH d AS (SELECT doc_id // 100 AS part, doc_id, doc_id % 5 AS k, coalesce(text, '') || (['', chr(9) || 'a', chr(10) || '"b"' || chr(10), chr(13) || chr(10) || chr(10), '"'])[CAST(doc_id % 5 + 1 AS INT)] AS t FROM documents WHERE doc_id IS NOT NULL)
 SELECT CAST(part AS VARCHAR) AS chunk_id, row_number() OVER (PARTITION BY part ORDER BY doc_id) AS row_no, CASE k WHEN 0 THEN 'b' WHEN 1 THEN 'b' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS block_file,
 CASE k WHEN 0 THEN NULL WHEN 1 THEN 'last' ELSE 'c"' || doc_id END AS topic, CASE WHEN k > 0 AND trim(t) <> '' THEN length(t) END AS chars, CASE WHEN k > 0 AND trim(t) <> '' THEN sha256(t) END AS sha256 FROM d""",
+    "natural_names": """WITH d AS (SELECT doc_id // 100 AS part, doc_id AS k, (['.n', 'lesson', 'lesson', 'lesson', 'lessonb', 'lesson-'])[CAST(doc_id % 6 + 1 AS INT)] || (['', '00'])[CAST((doc_id // 6) % 2 + 1 AS INT)] || doc_id || (['', '~', '', '.tar.gz', '.md', ''])[CAST(doc_id % 6 + 1 AS INT)] AS name FROM documents WHERE doc_id IS NOT NULL)
+SELECT part, name, row_number() OVER (PARTITION BY part ORDER BY CASE k % 6 WHEN 0 THEN 0 WHEN 4 THEN 2 WHEN 5 THEN 3 ELSE 1 END, k, name) AS rank FROM d""",
+    "published_notes": """WITH d AS (SELECT doc_id, coalesce(source, '') AS title, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL),
+a AS (SELECT min((doc_id, title)) AS r, sha256(text) AS sha256 FROM d GROUP BY ALL), b AS (SELECT min((doc_id, title)) AS r, sha256(CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END) AS sha256 FROM d GROUP BY ALL),
+u AS (SELECT * FROM a UNION ALL SELECT * FROM b WHERE sha256 NOT IN (SELECT sha256 FROM a)) SELECT r[1] AS doc_id, r[2] AS title, sha256 FROM u""",
 }
