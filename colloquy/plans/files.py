@@ -10,6 +10,7 @@ from colloquy.plans.landed import pick
 from colloquy.plans.views import scratch, table
 from colloquy.sources import delimited as D
 from colloquy.sources import outbox as OB
+from colloquy.sources import pages as PG
 from colloquy.sources import readers as RD
 from colloquy.sources import stores as SO
 
@@ -108,3 +109,14 @@ def published_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     for rows in (notes, notes, changed):
         OB.publish(rows, path)
     return OB.ledger(spark, path, schema)
+
+
+@query
+def html_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as notes (headings that repeat, the whole text's letters as paragraphs, a nested list, a table) and these as HTML pages."""
+    k = F.col("doc_id").cast("string")
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}\n .,]", " ")
+    parts = [F.concat(F.lit("# Note "), k), F.concat(F.lit("## Part & "), F.col("doc_id") % 3), text, F.concat(F.lit("- one\n  - two *"), k, F.lit("*\n  1. three\n- four")), F.concat(F.lit("## Part & "), F.col("doc_id") % 3), F.concat(F.lit("| x | y |\n|---|--:|\n| "), k, F.lit(" | `2` |"))]
+    notes = table(spark, sf_dir, "documents").filter("doc_id is not null").select(F.col("doc_id").alias("work_id"), F.concat_ws("\n\n", *parts).alias("note"))
+    pages = PG.note_pages(notes)
+    return pages.select(F.col("work_id").alias("doc_id"), "title", F.length("html").cast("long").alias("chars"), F.sha2("html", 256).alias("sha256"))

@@ -16,4 +16,10 @@ SELECT part, name, row_number() OVER (PARTITION BY part ORDER BY CASE k % 6 WHEN
     "published_notes": """WITH d AS (SELECT doc_id, coalesce(source, '') AS title, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL),
 a AS (SELECT min((doc_id, title)) AS r, sha256(text) AS sha256 FROM d GROUP BY ALL), b AS (SELECT min((doc_id, title)) AS r, sha256(CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END) AS sha256 FROM d GROUP BY ALL),
 u AS (SELECT * FROM a UNION ALL SELECT * FROM b WHERE sha256 NOT IN (SELECT sha256 FROM a)) SELECT r[1] AS doc_id, r[2] AS title, sha256 FROM u""",
+    "html_notes": r"""WITH d AS (SELECT doc_id, chr(10) AS n, doc_id % 3 AS p, list_transform(string_split(regexp_replace(coalesce(text, ''), '[^\p{L}\n .,]', ' ', 'g'), chr(10)), lambda x: trim(x)) AS ls FROM documents WHERE doc_id IS NOT NULL),
+b AS (SELECT *, list_filter(string_split_regex(array_to_string(ls, chr(10)), '\n{2,}'), lambda x: trim(x, chr(10)) <> '') AS ps FROM d),
+h AS (SELECT doc_id, '<!DOCTYPE html>' || n || '<html><head><meta charset="utf-8"><title>Note ' || doc_id || '</title></head><body>' || n || '<nav id="TOC"><ul><li><a href="#note-' || doc_id || '">Note ' || doc_id || '</a><ul><li><a href="#part-' || p || '">Part &amp; ' || p || '</a></li><li><a href="#part-' || p || '--2">Part &amp; ' || p || '</a></li></ul></li></ul></nav>' || n
+  || '<h1 id="note-' || doc_id || '">Note ' || doc_id || '</h1>' || n || '<h2 id="part-' || p || '">Part &amp; ' || p || '</h2>' || n || array_to_string(list_transform(ps, lambda x: '<p>' || trim(x, chr(10)) || '</p>' || chr(10)), '')
+  || '<ul><li>one<ul><li>two <em>' || doc_id || '</em></li></ul><ol><li>three</li></ol></li><li>four</li></ul>' || n || '<h2 id="part-' || p || '--2">Part &amp; ' || p || '</h2>' || n || '<table><thead><tr><th>x</th><th>y</th></tr></thead><tbody><tr><td>' || doc_id || '</td><td><code>2</code></td></tr></tbody></table>' || n || '</body></html>' || n AS html FROM b)
+SELECT doc_id, 'Note ' || doc_id AS title, CAST(length(html) AS BIGINT) AS chars, sha256(html) AS sha256 FROM h""",
 }
