@@ -27,6 +27,7 @@ from colloquy.llm.common import add_columns, bounded_batches, crc_mod, dropped,
 
 DIMENSIONS = 4096
 PER_LANGUAGE, LEAST_ROWS = 800, 8
+KEY_PARTS = 64
 #: Rows of the sample in all (8 KB each on the driver); with many languages each gets its share.
 SAMPLE_ROWS = 6400
 AMBIGUOUS = 0.5
@@ -157,7 +158,9 @@ def fitted(docs: DataFrame, labelled: Column, lang: str = "lang", text: str = "t
     found = docs.filter(labelled & F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
     found = found.select(F.col(f"`{lang}`").cast("string").alias("lang"), sample_key(text).alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     smallest = Window.partitionBy("lang").orderBy("key")
+    in_parts = Window.partitionBy("lang", F.pmod("key", F.lit(KEY_PARTS))).orderBy("key")  # so that no task sorts what all tasks have kept of a language
     keys = found.select("lang", "key").mapInArrow(released(smallest_keys), "lang string, key long").distinct()
+    keys = keys.withColumn("_place", F.row_number().over(in_parts)).filter(F.col("_place") <= PER_LANGUAGE).drop("_place")
     keys = written(keys.withColumn("_place", F.row_number().over(smallest)).filter(F.col("_place") <= PER_LANGUAGE), "sample-keys")
     languages = keys.filter("_place = 1").count()
     if not languages:

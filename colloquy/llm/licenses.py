@@ -9,7 +9,12 @@ read again, and only places whose words are the template's, word by word, go on
 Templates are phrases, which must stand whole (every vote on one diagonal; these are the base places), and notices. Short
 notices have 2-grams, also with a word between, so that an edit costs a word and not all votes; their TELLING words must be
 covered, and no word of BARRED may stand between, which makes it another license.
-The template table is fixed, under 1000 rows; it is the one side of the join that is broadcast.
+Their table is fixed, under 1000 rows, and the one side of their join that is broadcast.
+
+Whole license texts come as a table (label, text). Their 4-grams are found by Spark too, and joined by hash as Spark sees fit:
+a table of many licenses is not forced to be broadcast. Here all diagonals are neighbours, as paragraphs may be inserted, left
+out and moved: a text has the license if some stretch of it, up to STRETCH times as long, covers SHARE of the license's
+words by 4-grams that are the license's, word by word.
 
 Votes are few. They are counted before they are shuffled, then everything about a text is brought together by (doc_id,
 hash of the text) and written once for all steps to come; each text also votes once for a marker, so that texts without
@@ -48,6 +53,15 @@ NOTICES = (
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc-notice"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("gnu general public license version 2", "gpl-2.0"),
+    ("gnu lesser general public license version 2 1", "lgpl-2.1"),
+    ("gnu lesser general public license version 3", "lgpl-3.0"),
+    ("gnu affero general public license version 3", "agpl-3.0"),
+    ("eclipse public license v 1 0", "epl-1.0"),
+    ("eclipse public license v 2 0", "epl-2.0"),
+    ("mozilla public license version 2 0", "mpl-2.0"),
+    ("boost software license version 1 0", "bsl-1.0"),
+    ("creative commons attribution 4 0 international", "cc-by-4.0"),
     ("all rights reserved", "all-rights-reserved"),
     ("all rights reserved no part of this publication may be reproduced", "all-rights-reserved"),
 )
@@ -57,13 +71,15 @@ SHORT_WORDS = 12
 #: The steps between diagonals of a span; the share of a long or short notice's words that a span needs; its length against the notice's.
 NEIGHBOURS, SHARE, SHORT_SHARE, STRETCH = 3, 0.7, 0.8, 1.5
 #: Words that a span of a short notice needs wherever the notice has them, beside numbers; words that make it another license.
-TELLING = frozenset("apache mit cc by nc sa gnu general public unencumbered".split())
-BARRED = {"cc": ("nc", "nd", "sa"), "gnu": ("lesser", "library", "affero")}
+TELLING = frozenset("apache mit cc by nc sa gnu lesser affero general public unencumbered eclipse mozilla boost creative commons attribution".split())
+BARRED = {"cc": ("nc", "nd", "sa"), "gnu": ("lesser", "library", "affero"), "attribution": ("noncommercial", "noderivatives", "noderivs", "sharealike")}
 #: Added to a notice's number where a k-gram has a barred word at its second or first place.
 BARRED_AFTER, BARRED_BEFORE = 1000, 2000
 #: Added to it for 2-grams with a word between, which have a width and a hash of their own.
 SKIPPED, SKIP_K, SKIP_HASH = 3000, 3, np.uint64(0x5851F42D4C957F2D)
 MARKER = -1
+#: The number of the first license that is given; the others go down from it.
+FIRST_GIVEN = -2
 #: Lower-cases A-Z; ASCII other than digits and letters separates words.
 _TABLE = bytes(i + 32 if 0x41 <= i <= 0x5A else i if 0x30 <= i <= 0x39 or 0x61 <= i <= 0x7A or i >= 0x80 else 0x20 for i in range(256))
 
@@ -261,9 +277,84 @@ def spans(voted: DataFrame, docs: DataFrame) -> DataFrame:
     return phrases.select(*out).unionByName(merged.select(*out)).unionByName(known.filter(F.col("template") == MARKER).withColumn("share", F.lit(0.0)).select(*out))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """n_words, base places and labels of each document; see the module's text."""
+def numbered(templates: DataFrame) -> DataFrame:
+    """Whole licenses (label, text) as a written table with a number each, below all others'. Nulls and repeated rows go."""
+    own = templates.select(F.col("label").cast("string").alias("label"), F.encode(F.col("text").cast("string"), "utf-8").alias("license")).dropna().distinct()
+    return written(own.withColumn("template", F.lit(FIRST_GIVEN) - F.monotonically_increasing_id()), "licenses")
+
+
+def four_grams(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, n_words, at and gram: the hashes of all word 4-grams of each text (bytes)."""
+    bounded_batches(texts.sparkSession)
+    own = texts.select(*keys, F.col(text).alias("text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields if f.name != "text") + ", n_words long, grams array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = Ids()
+        for part in (p for b in batches for p in slices(b, "text", 2 << 20)):
+            words = [words_of(t) for t in part.column("text").to_pylist()]
+            arrays = [windows(ids.array(w), NOTICE_K).view(np.int64) for w in words]
+            starts = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate([np.empty(0, np.int64), *arrays])))
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keys], pa.array([len(w) for w in words], pa.int64()), lists], names=[*keys, "n_words", "grams"])
+
+    return own.mapInArrow(released(run), schema).select(*keys, "n_words", F.posexplode("grams").alias("at", "gram"))
+
+
+def covered(words: list[bytes], template: list[bytes]) -> tuple[float, int]:
+    """The largest share of a license's words that 4-grams of a stretch of STRETCH times its length cover, and where that starts."""
+    n, most = len(template), int(STRETCH * len(template))
+    places: dict[tuple[bytes, ...], list[int]] = {}
+    for q in range(n - NOTICE_K + 1):
+        places.setdefault(tuple(template[q : q + NOTICE_K]), []).append(q)
+    hits = [(p, places[g]) for p in range(len(words) - NOTICE_K + 1) if (g := tuple(words[p : p + NOTICE_K])) in places]
+    times, now, best, low = [0] * n, 0, (0, 0), 0
+    for p, own in hits:
+        for x in (x for q in own for x in range(q, q + NOTICE_K)):
+            now += times[x] == 0
+            times[x] += 1
+        while p + NOTICE_K - hits[low][0] > most:
+            for x in (x for q in hits[low][1] for x in range(q, q + NOTICE_K)):
+                times[x] -= 1
+                now -= times[x] == 0
+            low += 1
+        if now > best[0]:
+            best = (now, hits[low][0])
+    return best[0] / n, best[1]
+
+
+def whole_licenses(docs: DataFrame, templates: DataFrame) -> DataFrame:
+    """doc_id, _key, label, share: the whole licenses that stand in each different text."""
+    licenses = numbered(templates)
+    text = F.col("text").cast("string")
+    once = docs.select(F.xxhash64(text).alias("_key"), F.encode(text, "utf-8").alias("text")).filter(F.col("text").isNotNull())
+    told = four_grams(licenses, ["template"], "license").select("template", F.col("n_words").alias("words"), "gram", F.col("at").alias("place"))
+    hits = four_grams(once, ["_key"], "text").join(told, "gram")
+    # Votes by diagonal, counted before they are shuffled; then how many of a license's places a text has at all.
+    voted = hits.groupBy("_key", "template", "words", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.collect_set("place").alias("places"))
+    enough = voted.groupBy("_key", "template", "words").agg(F.sum(F.size("places")).alias("_votes")).filter(F.col("_votes") * NOTICE_K >= SHARE * F.col("words"))
+    wanted = written(enough.select(F.col("_key").alias("_hash"), "template"), "licensed")
+    texts = once.join(wanted.select("_hash").distinct(), F.col("_key") == F.col("_hash"), "left_semi").dropDuplicates(["_key"])
+    both = texts.join(wanted, F.col("_key") == F.col("_hash")).join(licenses, "template").select("_key", "text", "label", "license")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for b in batches for p in slices(b, "text", 1 << 20)):
+            shares = [covered(words_of(t), words_of(x))[0] for t, x in zip(part.column("text").to_pylist(), part.column("license").to_pylist(), strict=True)]
+            made = pa.RecordBatch.from_arrays([part.column("_key"), part.column("label"), pa.array(shares, pa.float64())], names=["_key", "label", "share"])
+            yield made.filter(pa.array([x >= SHARE for x in shares], pa.bool_()))
+
+    return both.mapInArrow(released(run), "_key long, label string, share double").groupBy("_key", "label").agg(F.max("share").alias("share"))
+
+
+def scan(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
+    """n_words, base places and labels of each document; see the module's text. templates: whole licenses (label, text)."""
     found = spans(written(votes(docs, docs.sparkSession), "votes"), docs)
+    if templates is not None:
+        found = written(found, "spans")
+        whole = whole_licenses(docs, templates).withColumnsRenamed({"label": "_label", "share": "_share"})
+        rows = found.filter(F.col("template") == MARKER).join(whole, "_key")
+        rows = rows.withColumns({"template": F.lit(FIRST_GIVEN), "label": F.col("_label"), "share": F.col("_share"), "phrase": F.lit(False)})
+        found = found.unionByName(rows.select(*found.columns))
     base, marker = F.col("phrase") & (F.col("template") != MARKER), F.col("template") == MARKER
 
     def joined(labels: Column) -> Column:

@@ -511,3 +511,63 @@ def test_labels_of_documents_against_plain_loops(spark):
     rows = {r["doc_id"]: r["labels"] for r in LC.scan(d).collect()}
     some = [i for i, t in texts.items() if "icense" in t or "cc by" in t.lower() or "rights reserved" in t.lower()]
     assert len(some) > 10 and all(rows[i] == brute_labels(texts[i]) for i in some) and sum(bool(x) for x in rows.values()) == sum(bool(brute_labels(texts[i])) for i in some)
+
+
+NAMED = [
+    ("GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "lgpl-2.1"), ("Eclipse Public License - v 2.0", "epl-2.0"), ("GNU Affero General Public License, version 3", "agpl-3.0"),
+    ("Creative Commons Attribution 4.0 International", "cc-by-4.0"), ("Mozilla Public License Version 2.0", "mpl-2.0"), ("Boost Software License - Version 1.0", "bsl-1.0"),
+]
+
+
+def test_licenses_by_their_titles(spark):
+    others = [("GNU Lesser General Public License version 2.1", "gpl-2.0"), ("Creative Commons Attribution ShareAlike 4.0 International", "cc-by-4.0"), ("Eclipse Public License v 1.0", "epl-2.0")]
+    rows = {r["doc_id"]: r["labels"] for r in LC.scan(docs(spark, *[t for t, _ in NAMED + others])).collect()}
+    assert [label in rows[i].split(",") for i, (_, label) in enumerate(NAMED + others)] == [True] * len(NAMED) + [False] * len(others)
+    assert all(rows[i] == brute_labels(t) for i, (t, _) in enumerate(NAMED + others))
+
+
+def brute_covered(text, license_text):
+    """The share by its definition: every stretch, every pair of equal 4-grams."""
+    w, t = LC.words_of(text.encode()), LC.words_of(license_text.encode())
+    most, best = int(1.5 * len(t)), 0
+    pairs = [(p, q) for p in range(len(w) - 3) for q in range(len(t) - 3) if w[p : p + 4] == t[q : q + 4]]
+    for start in {p for p, _ in pairs}:
+        best = max(best, len({x for p, q in pairs if start <= p and p + 4 <= start + most for x in range(q, q + 4)}))
+    return best / len(t)
+
+
+def test_whole_licenses_with_edited_paragraphs(spark):
+    rng = random.Random(8)
+    vocabulary = [f"{a}{b}" for a in ("grant", "work", "notice", "term", "party") for b in ("", "s", "ed", "ing", "or")]
+    paragraph = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    given = {f"license-{k}": [paragraph(rng.randrange(30, 60)) for _ in range(6)] for k in range(3)}
+    given["license-0b"] = [*given["license-0"][:5], paragraph(40)]
+    whole = {k: ". ".join(v) for k, v in given.items()}
+    texts = [None, "", "short text", whole["license-1"], "before " * 50 + whole["license-1"].upper() + " after" * 50]
+    for v in given.values():
+        texts += ["\n\n".join(random.Random(1).sample(v, 6)), ". ".join([v[0], paragraph(50), *v[1:]]), ". ".join(v[1:]), ". ".join(v[:3]), ". ".join([*v[:3], paragraph(400), *v[3:]])]
+        w = whole_words = ". ".join(v).split()
+        texts.append(" ".join(x if rng.random() > 0.05 else "edited" for x in w))
+        texts.append(" ".join(x if rng.random() > 0.4 else "edited" for x in whole_words))
+    table_rows = [(k, t) for k, t in whole.items()] + [("license-1", whole["license-1"]), (None, "x y z w"), ("none", None), ("tiny", "one two")]
+    templates = spark.createDataFrame(table_rows, "label string, text string")
+    df = docs(spark, *texts).unionByName(docs(spark, whole["license-2"]).withColumn("doc_id", F.lit(None).cast("long")))
+    rows = LC.scan(df.unionByName(df.filter("doc_id = 3")), templates).collect()
+    assert len(rows) == len(texts) + 2
+    want = {i: sorted(k for k, t in whole.items() if x and brute_covered(x, t) >= 0.7) for i, x in enumerate(texts)}
+    got = {r["doc_id"]: [x for x in r["labels"].split(",") if x.startswith("license-")] for r in rows}
+    assert {i: got[i] for i in want} == want and got[None] == ["license-2"]
+    assert sum(bool(x) for x in want.values()) > 15 and ["license-0", "license-0b"] in want.values()
+    plain = {r["doc_id"]: r["labels"] for r in LC.scan(df).collect()}
+    assert all(plain[i] == ",".join(x for x in r["labels"].split(",") if not x.startswith("license-")) for r in rows for i in [r["doc_id"]])
+    assert LC.scan(df, templates.limit(0)).count() == len(texts) + 1
+
+
+def test_a_table_of_licenses_is_not_forced_to_be_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = " ".join(f"w{i}" for i in range(300))
+        out = LC.scan(docs(spark, text, "other " * 300), spark.createDataFrame([("long", text)], "label string, text string")).collect()
+        assert {r["doc_id"]: r["labels"] for r in out} == {0: "long", 1: ""}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
