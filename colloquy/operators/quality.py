@@ -28,16 +28,20 @@ def duplicate_case_titles(lines: DataFrame) -> DataFrame:
     return again.groupBy("work_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "title"))), lambda s: s["title"]).alias("titles"))
 
 
-def actionability(lines: DataFrame) -> DataFrame:
-    """work_id, items, verbish_items, ratio and ok of checklist actions."""
-    actions = lines.withColumn("_a", X.checklist_action("text"))
+def action_columns() -> list[Column]:
+    """Aggregates over _a, the checklist actions of lines: items, verbish_items, ratio and ok."""
     n, verbs = F.count("_a"), F.count_if(F.col("_a").rlike(L.ACTION_VERB))
     ratio = F.when(n > 0, F.round(verbs / n, 2)).otherwise(1.0)
-    return actions.groupBy("work_id").agg(n.alias("items"), verbs.alias("verbish_items"), ratio.alias("ratio"), (ratio >= 0.6).alias("ok"))
+    return [n.alias("items"), verbs.alias("verbish_items"), ratio.alias("ratio"), (ratio >= 0.6).alias("ok")]
 
 
-def header_check(lines: DataFrame, required: tuple[str, ...] = L.HEADER_LABELS) -> DataFrame:
-    """work_id, header_complete and missing_header_fields."""
+def actionability(lines: DataFrame) -> DataFrame:
+    """work_id, items, verbish_items, ratio and ok of checklist actions."""
+    return lines.withColumn("_a", X.checklist_action("text")).groupBy("work_id").agg(*action_columns())
+
+
+def header_columns(required: tuple[str, ...] = L.HEADER_LABELS) -> list[Column]:
+    """Aggregates over lines: header_complete and missing_header_fields."""
 
     def any_line(pattern: str) -> Column:
         return F.coalesce(F.bool_or(F.col("text").rlike(pattern)), F.lit(False))
@@ -45,14 +49,23 @@ def header_check(lines: DataFrame, required: tuple[str, ...] = L.HEADER_LABELS)
     labels = [any_line(rf"(?U)^\*\*{x}:\*\*\s+\S") for x in required]
     frame = any_line(rf"(?U)^##\s+{L.AUTHOR_FRAME}\s*$")
     missing = F.array_compact(F.array(*[F.when(~f, F.lit(x)) for x, f in zip((*required, L.AUTHOR_FRAME), (*labels, frame), strict=True)]))
-    return lines.groupBy("work_id").agg((any_line(r"(?U)^\s*#\s+\S") & any_line(r"(?U)^\s*>\s+\S") & (F.size(missing) == 0)).alias("header_complete"), missing.alias("missing_header_fields"))
+    return [(any_line(r"(?U)^\s*#\s+\S") & any_line(r"(?U)^\s*>\s+\S") & (F.size(missing) == 0)).alias("header_complete"), missing.alias("missing_header_fields")]
+
+
+def header_check(lines: DataFrame, required: tuple[str, ...] = L.HEADER_LABELS) -> DataFrame:
+    """work_id, header_complete and missing_header_fields."""
+    return lines.groupBy("work_id").agg(*header_columns(required))
+
+
+def placeholder_column() -> Column:
+    """An aggregate over lines: the kinds of placeholders that leaked into them."""
+    kinds = (("Speaker N", r"(?U)\bSpeaker\s+\d+\b"), ("—", r"(?U)^\s*-\s+\*\*[—-]\*\*"), ("unknown", r"(?iuU)\bunknown\b"))
+    return F.array_compact(F.array(*[F.when(F.bool_or(F.col("text").rlike(p)), F.lit(name)) for name, p in kinds])).alias("placeholder_hits")
 
 
 def placeholder_hits(lines: DataFrame) -> DataFrame:
     """work_id and the kinds of placeholders that leaked into the note."""
-    kinds = (("Speaker N", r"(?U)\bSpeaker\s+\d+\b"), ("—", r"(?U)^\s*-\s+\*\*[—-]\*\*"), ("unknown", r"(?iuU)\bunknown\b"))
-    hits = F.array_compact(F.array(*[F.when(F.bool_or(F.col("text").rlike(p)), F.lit(name)) for name, p in kinds]))
-    return lines.groupBy("work_id").agg(hits.alias("placeholder_hits"))
+    return lines.groupBy("work_id").agg(placeholder_column())
 
 
 def density(words: Column, blocks: Column, seconds: Column) -> Column:
@@ -71,9 +84,10 @@ def tldr_check(count: Column, low: Column, high: Column) -> Column:
 
 def final_quality(lines: DataFrame, works: DataFrame) -> DataFrame:
     """A row per note. lines: work_id, line_no, text. works: work_id, block_count, tldr_count, duration_seconds, contract (null without)."""
-    words = lines.groupBy("work_id").agg(F.sum(X.word_count("text")).alias("word_count"))
+    rows = lines.withColumn("_a", X.checklist_action("text"))
+    told = rows.groupBy("work_id").agg(F.sum(X.word_count("text")).alias("word_count"), *header_columns(), placeholder_column(), F.struct(*action_columns()).alias("actionability"))
     own = works
-    for part in (words, header_check(lines), placeholder_hits(lines), duplicate_case_titles(lines).withColumnRenamed("titles", "duplicate_case_titles"), populated_sections(lines), actionability(lines).select("work_id", F.struct("items", "verbish_items", "ratio", "ok").alias("actionability"))):
+    for part in (told, duplicate_case_titles(lines).withColumnRenamed("titles", "duplicate_case_titles"), populated_sections(lines)):
         own = own.join(part, "work_id", "left")
     own = own.fillna(0, ["word_count", "meaning_blocks", "case_blocks", "tldr_count"])
     tldr = F.col("contract.tldr")
