@@ -44,10 +44,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet into the shared folder and read again: cuts the lineage, survives lost executors."""
+    """df written as Parquet into the shared folder and read again: cuts the lineage, survives lost executors. It goes when
+    the application ends, if not before (`dropped`)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(own)
     back = spark.read.schema(df.schema).parquet(path)
     back._written_to = path
     return back

@@ -22,7 +22,6 @@ or kept (`clean`).
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import Ids, bounded_batches, keep_where, mix64, shared_dir, slices, windows, written
+from colloquy.llm.common import Ids, bounded_batches, keep_where, mix64, slices, windows, written
 
 MIN_MATCH = 5
 COVERAGE = 0.5
@@ -348,8 +347,7 @@ def written_blocks(spark, waiting: Iterator[list[Item]]) -> tuple[list[str], Fil
     for block in waiting:
         seen.add(block)
         df = spark.createDataFrame(pa.table({"item_id": pa.array([i for i, _ in block], pa.int64()), "words": pa.array([w for _, w in block], pa.list_(pa.binary()))}))
-        paths.append(f"{shared_dir(spark)}/block-{uuid.uuid4().hex}")
-        df.write.parquet(paths[-1])
+        paths.append(written(df, "block")._written_to)
         if len(paths) == GROUP_BLOCKS:
             break
     return paths, seen
