@@ -51,6 +51,13 @@ def file_line_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def whole_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files as whole texts."""
+    texts = RD.read_texts(spark, f"{text_files(spark, sf_dir)}/part=*/*.txt")
+    return texts.select(part_of("doc_id").alias("part"), "bytes", F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("sha256"))
+
+
 @query
 def copied_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listed files copied to another folder, with the digests of both sides."""

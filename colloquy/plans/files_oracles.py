@@ -7,6 +7,7 @@ BODIES = """f AS (SELECT doc_id // 100 AS part, string_agg(replace(coalesce(text
 SQL: dict[str, str] = {
     "file_line_ranges": rf"""WITH {BODIES}, s AS (SELECT part, string_split_regex(body, '\r\n|[\n\r\x{{0B}}\x{{0C}}\x{{1C}}\x{{1D}}\x{{1E}}\x{{85}}\x{{2028}}\x{{2029}}]') AS p FROM f), c AS (SELECT part, p[:len(p) - 1] AS ls FROM s)
 SELECT part, CAST(len(ls) AS BIGINT) AS lines, CAST(list_sum(list_transform(ls, lambda x, i: length(x) * i)) AS BIGINT) AS weighed, ls[len(ls)] AS last_line FROM c""",
+    "whole_files": f"WITH {BODIES} SELECT part, CAST(strlen(body) AS BIGINT) AS bytes, CAST(length(body) AS BIGINT) AS chars, sha256(body) AS sha256 FROM f",
     "copied_files": f"WITH {BODIES} SELECT part, CAST(strlen(body) AS BIGINT) AS bytes, sha256(body) AS sha256, sha256(body) AS copy_sha256 FROM f",
     "manifest_cells": r"""WITH d AS (SELECT doc_id // 100 AS part, doc_id, doc_id % 5 AS k, coalesce(text, '') || (['', chr(9) || 'a', chr(10) || '"b"' || chr(10), chr(13) || chr(10) || chr(10), '"'])[CAST(doc_id % 5 + 1 AS INT)] AS t FROM documents WHERE doc_id IS NOT NULL)
 SELECT CAST(part AS VARCHAR) AS chunk_id, row_number() OVER (PARTITION BY part ORDER BY doc_id) AS row_no, CASE k WHEN 0 THEN 'b' WHEN 1 THEN 'b' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS block_file,
