@@ -292,6 +292,11 @@ def topic_tokens(c: Column | str) -> Column:
     return F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(*L.TOPIC_STOP_WORDS))
 
 
+def long_tokens(c: Column | str) -> Column:
+    """Tokens of four letters or more, stop words included: for texts whose tokens then meet those of topics."""
+    return F.regexp_extract_all(F.lower(F.coalesce(col(c), F.lit(""))), F.lit(L.LONG_TOKEN), F.lit(0))
+
+
 def split_values(c: Column | str) -> Column:
     """The entries of a multi-valued manifest cell."""
     parts = F.transform(F.split(F.coalesce(col(c), F.lit("")), r"[;|,]\s*"), strip)

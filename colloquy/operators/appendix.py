@@ -63,42 +63,51 @@ def topic_descriptions(manifest: DataFrame, candidates: DataFrame) -> DataFrame:
     return claims.unionByName(cases).unionByName(said).filter("topic <> '' and d <> ''").groupBy("work_id", "topic").agg(F.min_by("d", "o").alias("description"))
 
 
+#: Lines of a topic that are scored first, for a bound on its best score.
+TRIED = 16
+
+
 def best_lines(topics: DataFrame, lines: DataFrame) -> DataFrame:
     """work_id, topic and the line that shares most tokens with it, the first of equal ones; topics without any shared token go.
 
-    lines: work_id, pos (of any type with an order), line. A topic's tokens are visited from rare to common. After p of its m
-    tokens a line that shared c of them scores c + m - p at most: once the best count exceeds m - p, no line that hasn't been
-    met can win. So the rarer half is joined with the lines first; only topics that this doesn't settle go on, up to all
-    tokens but their most common one, which is never joined: alone it makes a score of 1, and its first line stands for all.
-    Lines that can still win are scored exactly by their own tokens.
+    lines: work_id, pos (of any type with an order, a line each), line. First the lines that share most of a topic's rarest
+    third are scored exactly; the best of them scores `least`. A line that scores as much shares one of the m - least + 1
+    rarest of the topic's m tokens at least, so only these are joined with the lines. A topic's most common token is never
+    joined: where `least` is 1 it matters only alone, and its first line stands for all. Of the lines that are met, those
+    that can still win are scored exactly by their own tokens.
     """
     named = topics.select("work_id", "topic").distinct()
     named = named.withColumn("_t", F.struct(F.xxhash64("topic"), F.hash("topic")))  # 96 bits for a topic, so that its text isn't shuffled
-    wanted = named.select("work_id", "_t", F.explode(F.array_distinct(X.topic_tokens("topic"))).alias("_token"))
-    had = lines.select("work_id", "pos", F.explode(F.array_distinct(X.topic_tokens("line"))).alias("_token"))
+    wanted = kept(named.select("work_id", "_t", F.explode(F.array_distinct(X.topic_tokens("topic"))).alias("_token")), "wanted")
+    had = lines.select("work_id", "pos", F.explode(F.array_distinct(X.long_tokens("line"))).alias("_token"))
     places = kept(had.join(wanted.select("work_id", "_token").distinct(), ["work_id", "_token"], "left_semi"), "places")
-    found = places.groupBy("work_id", "_token").agg(F.count("*").alias("_lines"), F.min("pos").alias("_first"))
+    found = places.groupBy("work_id", "_token").agg(F.count("*").alias("_lines"))
     own = Window.partitionBy("work_id", "_t")
     ranked = wanted.join(found, ["work_id", "_token"]).withColumns({"_rank": F.row_number().over(own.orderBy("_lines", "_token")), "_m": F.count("*").over(own)})
     ranked = kept(ranked.drop("_lines"), "ranked")
-    half = F.ceil(F.col("_m") / 2).cast("int")
-
-    def met(tokens: DataFrame) -> DataFrame:
-        joined = tokens.select("work_id", "_t", "_m", "_token").join(places, ["work_id", "_token"])
-        return joined.groupBy("work_id", "_t", "_m", "pos").agg(F.count("*").alias("_c"))
-
-    rare = kept(met(ranked.filter((F.col("_rank") <= half) & (F.col("_rank") < F.col("_m")))), "rare")
-    settled = rare.groupBy("work_id", "_t", "_m").agg(F.max("_c").alias("_best")).filter(F.col("_best") > F.col("_m") - half).select("work_id", "_t", F.lit(True).alias("_settled"))
-    more = met(ranked.filter((F.col("_rank") > half) & (F.col("_rank") < F.col("_m"))).join(settled, ["work_id", "_t"], "left_anti"))
-    counts = rare.unionByName(more).groupBy("work_id", "_t", "_m", "pos").agg(F.sum("_c").alias("_c"))
-    counts = kept(counts.join(settled, ["work_id", "_t"], "left"), "counts")
-    least = counts.groupBy("work_id", "_t").agg(F.max("_c").alias("_least"))
-    unseen = F.when(F.col("_settled"), F.col("_m") - half).otherwise(1)
-    can_win = counts.join(least, ["work_id", "_t"]).filter(F.col("_c") + unseen >= F.col("_least")).select("work_id", "_t", "pos")
-    can_win = can_win.unionByName(ranked.filter("_rank = _m").select("work_id", "_t", F.col("_first").alias("pos"))).distinct()
-    scored = can_win.join(places, ["work_id", "pos"]).join(wanted, ["work_id", "_t", "_token"]).groupBy("work_id", "_t", "pos").agg(F.count("*").alias("_score"))
+
+    def met(tokens: DataFrame, *beside: str) -> DataFrame:
+        joined = tokens.select("work_id", "_t", *beside, "_token").join(places, ["work_id", "_token"])
+        return joined.groupBy("work_id", "_t", *beside, "pos").agg(F.count("*").alias("_c"))
+
+    def shared(some: DataFrame) -> DataFrame:
+        return some.select("work_id", "_t", "pos").join(places, ["work_id", "pos"]).join(wanted, ["work_id", "_t", "_token"])
+
+    rare = met(ranked.filter((F.col("_rank") <= F.ceil(F.col("_m") / 3)) & (F.col("_rank") < F.col("_m"))))
+    tried = kept(rare.withColumn("_try", F.row_number().over(own.orderBy(F.desc("_c"), "pos"))).filter(F.col("_try") <= TRIED), "tried")
+    least = shared(tried).groupBy("work_id", "_t", "pos").agg(F.count_distinct("_token").alias("_k")).groupBy("work_id", "_t").agg(F.max("_k").alias("_least"))
+    bounded = kept(ranked.join(least, ["work_id", "_t"], "left").fillna(1, ["_least"]), "bounded")
+    prefix = bounded.filter((F.col("_rank") <= F.col("_m") - F.col("_least") + 1) & (F.col("_rank") < F.col("_m")))
+    counts = kept(met(prefix, "_least"), "counts")
+    most = counts.groupBy("work_id", "_t").agg(F.max("_c").alias("_most"))
+    unmet = F.greatest(F.col("_least") - 1, F.lit(1))  # tokens that weren't joined
+    can_win = counts.join(most, ["work_id", "_t"]).filter(F.col("_c") + unmet >= F.greatest("_least", "_most")).select("work_id", "_t", "pos")
+    common = bounded.filter("_rank = _m and _least = 1").select("work_id", "_t", "_token")
+    first = places.join(common.select("work_id", "_token").distinct(), ["work_id", "_token"], "left_semi").groupBy("work_id", "_token").agg(F.min("pos").alias("pos"))
+    can_win = kept(can_win.unionByName(common.join(first, ["work_id", "_token"]).select("work_id", "_t", "pos")).distinct(), "can_win")
+    scored = shared(can_win).groupBy("work_id", "_t", "pos").agg(F.count("*").alias("_score"))
     best = scored.groupBy("work_id", "_t").agg(F.min(F.struct((-F.col("_score")).alias("less"), "pos")).alias("_b"))
-    best = best.select("work_id", "_t", (-F.col("_b.less")).alias("score"), F.col("_b.pos").alias("pos"))
+    best = kept(best.select("work_id", "_t", (-F.col("_b.less")).alias("score"), F.col("_b.pos").alias("pos")), "best")
     text = lines.join(best, ["work_id", "pos"]).groupBy("work_id", "_t").agg(F.min("line").alias("line"), F.max("score").alias("score"))
     return text.join(named.select("work_id", "_t", "topic"), ["work_id", "_t"]).select("work_id", "topic", "line", "score")
 
