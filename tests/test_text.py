@@ -55,6 +55,11 @@ def test_chunk_label(spark):
     assert [r["x"] for r in found] == ["A", "Z", "AA", "ZZ", "AAA", "ZZZ", "AAAA"]
 
 
+def test_chunk_label_goes_on_after_four_letters(spark):
+    found = spark.createDataFrame([(475253,), (475254,), (475279,), (12356629,), (12356630,)], "n long").select(X.chunk_label(F.col("n")).alias("x")).collect()
+    assert [r["x"] for r in found] == ["ZZZZ", "AAAAA", "AAAAZ", "ZZZZZ", "AAAAAA"]
+
+
 def test_note_id_order(spark):
     cols = "e string, k string, v string, c string, m string, p string, u string"
     rows = [("n", None, None, None, None, None, None), ("", "youtube", "vid", None, None, "/p", "u"), (None, "telegram", None, "1", "2", None, None), (None, "local", None, None, None, "/p", "u"), (None, "local", None, None, None, "", "u"), (None,) * 7]
