@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from colloquy.plans import streams as ST
 from colloquy.sources.readers import read_trace
 from colloquy.streaming import trace as TR
 
@@ -53,3 +54,16 @@ def test_resume(spark, tmp_path):
     seen = []
     TR.resume_each(plan, lambda: done, lambda df: seen.extend(r["chunk_id"] for r in df.collect()))(plan, 0)
     assert seen == ["B"]
+
+
+def test_a_part_lands_in_many_files_and_is_one_batch(spark, tmp_path):
+    table = spark.range(0, 1000, 1, 8)
+    folder, parts = ST.landed(table, "numbers", F.col("id") % 5)
+    seen, files = [], 0
+    for _ in parts:
+        now = len(spark.read.schema("id long").parquet(folder).inputFiles())
+        assert now - files > 1  # no task holds a part
+        files = now
+        ST.streamed(spark, folder, table.schema, lambda b, k: seen.append((k, b.count())), str(tmp_path / "checkpoint"))
+    ST.streamed(spark, folder, table.schema, lambda b, k: seen.append((k, b.count())), str(tmp_path / "checkpoint"))
+    assert seen == [(k, 200) for k in range(5)]
