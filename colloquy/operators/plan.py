@@ -9,6 +9,7 @@ from colloquy.functions import lexicons as L
 from colloquy.functions import text as X
 from colloquy.operators.digests import ordered_digests
 from colloquy.operators.lines import token_estimate, tokens_of, with_sizes, work_totals
+from colloquy.sources.shared import kept
 
 MINUTE = 60
 
@@ -174,9 +175,12 @@ def chunk_ranges(files: DataFrame) -> DataFrame:
 
 
 def lines_in_chunks(chunked: DataFrame, lines: DataFrame) -> DataFrame:
-    """lines with the columns of their chunked file and the number _k of their chunk, by arithmetic on the line's number."""
+    """lines with the columns of their chunked file and the number _k of their chunk, by arithmetic on the line's number.
+
+    The files are written first: of known size, they are broadcast where they are few, and lines aren't dealt by their file.
+    """
     k = F.least(F.floor((F.col("line_no") - 1) / F.col("chunk_size")), F.col("chunks") - 1).cast("int")
-    return lines.join(chunked, "doc_id").withColumn("_k", k)
+    return lines.join(kept(chunked, "chunked"), "doc_id").withColumn("_k", k)
 
 
 def chunk_lines(files: DataFrame, lines: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.operators import lines as LN
 from colloquy.sources.readers import lines_of
-from colloquy.sources.shared import scratch
+from colloquy.sources.shared import kept, scratch
 
 __all__ = ["conversation_lines", "doc_lines", "scratch", "source_lines", "source_meta", "spread", "table"]
 
@@ -45,6 +45,7 @@ def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = placed.groupBy("source", "_g").agg(F.sum("_n").alias("_all"))
     w = Window.partitionBy("source").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.select(F.col("source").alias("_source"), F.col("_g").alias("_group"), F.coalesce(F.sum("_all").over(w), F.lit(0)).alias("_base"))
+    groups = kept(groups, "groups")  # of known size: where it is small it is broadcast, and texts aren't dealt a second time
     own = Window.partitionBy("source", "_g").orderBy("doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
     within = placed.withColumn("_before", F.coalesce(F.sum("_n").over(own), F.lit(0)))
     numbered = within.join(groups, F.col("source").eqNullSafe(F.col("_source")) & F.col("_g").eqNullSafe(F.col("_group")))

@@ -1,5 +1,7 @@
 """Views over tables with null, repeated and odd rows."""
 
+import pytest
+
 from colloquy.plans import queries as Q
 from colloquy.plans import views as V
 
@@ -25,3 +27,14 @@ def test_repeated_rows_count_as_often_as_they_stand(spark, tmp_path):
     density = {r["source"]: r["words"] for r in Q.QUERIES["note_density"](spark, d).collect()}
     one = next(r["words"] for r in Q.QUERIES["note_density"](spark, landed(spark, tmp_path / "one", "documents", rows[1:], "doc_id long, text string, lang string, source string, n_chars long")).collect() if r["source"] == "s")
     assert density["s"] - one == 9
+
+
+@pytest.mark.parametrize("query", ["source_chunk_plan", "chunk_lines"])
+def test_lines_meet_groups_and_files_without_a_shuffle(spark, sf_dir, query):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")  # as if the texts were large
+    try:
+        plan = Q.QUERIES[query](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
