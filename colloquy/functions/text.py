@@ -150,11 +150,24 @@ def language_hint(c: Column | str) -> Column:
 
 
 @pandas_udf(StringType())
-def unescape(texts: pd.Series) -> pd.Series:
+def unescape_any(texts: pd.Series) -> pd.Series:
     """HTML character references as characters."""
     return texts.map(lambda x: html.unescape(x) if isinstance(x, str) and "&" in x else x)
 
 
+#: Character references that are replaced without Python; that of the ampersand comes last, so that none is read twice.
+REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+
+
+def unescape(c: Column | str) -> Column:
+    """Text without HTML character references; only texts with other ones than REFERENCES go to Python."""
+    rest = replaced = col(c)
+    for name, sign in REFERENCES.items():
+        rest, replaced = F.replace(rest, F.lit(name), F.lit(" ")), F.replace(replaced, F.lit(name), F.lit(sign))
+    other = rest.contains("&")
+    return F.when(other, unescape_any(F.when(other, col(c)))).otherwise(replaced)
+
+
 def clean_caption(lines: Column) -> Column:
     """The text of a caption's lines."""
     stripped = F.filter(F.transform(lines, strip), lambda x: x != "")

@@ -84,3 +84,12 @@ def test_hints_and_captions(spark):
     assert r["refs"] == ["a", "b"] and r["file"] == "a b c.html"
     lines = df.select(X.source_hint_lines(F.lit("A"), F.array(F.lit("B")), F.lit("ch"), F.lit(""), F.lit("@h")).alias("l"), X.source_hint_lines(F.lit(""), F.array().cast("array<string>"), F.lit(""), F.lit(None).cast("string"), F.lit("")).alias("n")).first()
     assert len(lines["l"]) == 5 and lines["l"][3].endswith("ch (@h)") and lines["n"] == []
+
+
+def test_common_references_need_no_python(spark):
+    import html
+
+    rows = ["", "plain", "a &amp; b", "&amp;lt; &lt;&gt;&quot;&#39;", "&amp;amp;", "&eacute; &amp;", "& b", "&amp", "&am&amp;p;", None]
+    got = spark.createDataFrame([(x,) for x in rows], "t string").select("t", X.unescape("t").alias("x")).collect()
+    assert [r["x"] for r in got] == [x if x is None else html.unescape(x) for x in rows]
+    assert {html.unescape(k): k for k in X.REFERENCES} == {v: k for k, v in X.REFERENCES.items()}
